@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from netloom.plans import q_circuits, q_detection  # noqa: F401
+from netloom.plans import q_circuits, q_detection, q_metrics  # noqa: F401
 from netloom.plans.registry import ORACLES, QUERIES  # noqa: F401
