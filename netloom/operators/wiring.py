@@ -1 +1,519 @@
-"""placeholder"""
+"""Wiring inference: which ports of a picture hang on one net (vector-only path).
+
+Tables: comps(image_id, idx, name, x1..y2), ports(image_id, ci, pi, px, py, n_ports, name),
+junctions(image_id, jx, jy, jord), links(image_id, ci, pi, jx, jy, ord),
+limits(image_id, pjr, pjf, ...). `jord` and `ord` are structs giving the place in the list the
+published procedure would build, so ties fall the same way. All joins carry the picture and a cell.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from netloom.functions import dims, geom
+from netloom.lineage import count_all, cut, cut_counting, drop_table
+from netloom.operators import graph, spatial
+
+CELL_SIZE = 128
+WIDE_CELL = 256
+SIDE = 1 << 20        # pictures are below a million pixels a side; a point packs into one id
+MAX_PORTS = 1000      # ports per component in packed port ids
+
+
+def point_id(x, y) -> Column:
+    return x * SIDE + y
+
+
+def port_id(ci="ci", pi="pi") -> Column:
+    return (F.col(ci) * MAX_PORTS + F.col(pi)).cast("bigint")
+
+
+def order(stage: int, *keys) -> Column:
+    ks = [k if isinstance(k, Column) else F.lit(k) for k in keys] + [F.lit(0)] * (4 - len(keys))
+    return F.struct(F.lit(stage).alias("s"), *[k.cast("bigint").alias(n) for k, n in zip(ks, "abcd")])
+
+
+def config_grid(images: DataFrame) -> DataFrame:
+    """(image_id, config, flags): every picture with every setting, own switches over the defaults."""
+    rows = [(n, {**dims.DEFAULT_SWITCHES, **c}) for n, c in dims.ABLATIONS.items()]
+    grid = images.sparkSession.createDataFrame(rows, "config string, flags map<string,boolean>")
+    return images.crossJoin(F.broadcast(grid))  # five fixed settings
+
+
+# ---- snapping and merging points ---------------------------------------------------------------
+def snap_axis(points: DataFrame, col: str, tol: Column) -> DataFrame:
+    """Coordinate moved to the truncated median of its cluster of distinct values.
+
+    A cluster ends where the gap to the next value exceeds `tol` (a column of `points`, one value per
+    picture). The windows run over distinct coordinates, at most one per pixel row or column.
+    """
+    vals = points.select("image_id", F.col(col).alias("v"), tol.alias("tol")).distinct()
+    by = W.partitionBy("image_id").orderBy("v")
+    gap = F.col("v") - F.lag("v").over(by)
+    runs = vals.withColumn("new", F.when(gap > F.col("tol"), 1).otherwise(0)).withColumn(
+        "run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    mids = runs.groupBy("image_id", "run").agg(F.percentile("v", F.lit(0.5)).cast("bigint").alias("mid"))
+    moved = runs.join(mids, ["image_id", "run"]).select("image_id", F.col("v").alias(col), "mid")
+    return points.join(moved, ["image_id", col]).drop(col).withColumnRenamed("mid", col)
+
+
+def snap(points: DataFrame, x: str, y: str, tol: Column) -> DataFrame:
+    return snap_axis(snap_axis(points, x, tol), y, tol)
+
+
+def merge_points(points: DataFrame, x: str, y: str, tol: Column, round_metric: bool = True) -> DataFrame:
+    """Adds mx, my: truncated mean of all points joined by steps of at most `tol`.
+
+    Euclidean steps when `round_metric`, else the larger coordinate difference counts. Equal points
+    weigh by their number.
+    """
+    spots = cut(points.groupBy("image_id", F.col(x).alias("x"), F.col(y).alias("y")).agg(
+        count_all().alias("w"), F.max(tol).alias("tol")).withColumn("node", point_id(F.col("x"), F.col("y"))), "spots")
+    size = F.col("tol")
+    a = spatial.with_cell(spots.select("image_id", F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "tol"),
+                          F.col("ax"), F.col("ay"), size)
+    b = spatial.with_near_cells(spots.select("image_id", F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "tol"),
+                                F.col("bx"), F.col("by"), size).drop("tol")
+    metric = geom.dist if round_metric else geom.chebyshev
+    near = metric(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.col("tol")
+    edges = a.join(b, ["image_id", *spatial.CELL]).where((F.col("a") < F.col("b")) & near).select("image_id", "a", "b")
+    comp = graph.connected_components(spots, edges)
+    means = spots.join(comp, ["image_id", "node"]).groupBy("image_id", "comp").agg(
+        (F.sum(F.col("x") * F.col("w")) / F.sum("w")).cast("bigint").alias("mx"),
+        (F.sum(F.col("y") * F.col("w")) / F.sum("w")).cast("bigint").alias("my"))
+    to = spots.join(comp, ["image_id", "node"]).join(means, ["image_id", "comp"]).select(
+        "image_id", F.col("x").alias(x), F.col("y").alias(y), "mx", "my")
+    return points.join(to, ["image_id", x, y])
+
+
+def prepare_junctions(raw: DataFrame, limits: DataFrame) -> DataFrame:
+    """Raw junction centres (image_id, jx, jy), repeats included, to the ordered junction list."""
+    pts = raw.join(limits.select("image_id", "grid_snap", "uf_merge"), "image_id")
+    merged = merge_points(snap(pts, "jx", "jy", F.col("grid_snap")), "jx", "jy", F.col("uf_merge"))
+    once = merged.select("image_id", F.col("mx").alias("jx"), F.col("my").alias("jy")).distinct()
+    return base_junctions(snap(once, "jx", "jy", F.lit(8)))
+
+
+def base_junctions(points: DataFrame) -> DataFrame:
+    return points.select("image_id", "jx", "jy").distinct().withColumn("jord", order(0, F.col("jy"), F.col("jx")))
+
+
+def prepare_ports(ports: DataFrame) -> DataFrame:
+    """Ports on common grid lines, near ports merged to their mean."""
+    merged = merge_points(snap(ports, "px", "py", F.lit(5)), "px", "py", F.lit(8), round_metric=False)
+    return merged.drop("px", "py").withColumnsRenamed({"mx": "px", "my": "py"})
+
+
+# ---- crossings ------------------------------------------------------------------------------------
+def crossing(segs: DataFrame, comps: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of segments (image_id, *keys, own, sx1, sy1, sx2, sy2) meeting the box, grown by 8, of a
+    component other than `own`."""
+    size = F.lit(CELL_SIZE)
+    z = geom.grow(geom.box(""), 8)
+    boxes = comps.select("image_id", F.col("idx").alias("z"), *[c.alias(n) for c, n in zip(z, ("zx1", "zy1", "zx2", "zy2"))])
+    zb = tuple(F.col(n) for n in ("zx1", "zy1", "zx2", "zy2"))
+    s = tuple(F.col(n) for n in ("sx1", "sy1", "sx2", "sy2"))
+    a = spatial.with_cells(segs, F.least(s[0], s[2]), F.least(s[1], s[3]), F.greatest(s[0], s[2]), F.greatest(s[1], s[3]), size)
+    b = spatial.with_cells(boxes, *zb, size)
+    return a.join(b, ["image_id", *spatial.CELL]).where((F.col("own") != F.col("z")) & geom.segment_meets_box(s, zb)).select(
+        "image_id", *keys).distinct()
+
+
+def _clear(cand: DataFrame, comps: DataFrame, keys: list[str], waived: Column | None = None) -> DataFrame:
+    """Candidates with a free line of sight from (px, py) to (qx, qy); `waived` ones are not tested."""
+    tested = cand if waived is None else cand.where(~waived)
+    segs = tested.select("image_id", *keys, F.col("ci").alias("own"), F.col("px").alias("sx1"), F.col("py").alias("sy1"),
+                         F.col("qx").alias("sx2"), F.col("qy").alias("sy2"))
+    return cand.join(crossing(segs, comps, keys), ["image_id", *keys], "left_anti")
+
+
+def _open_ports(ports: DataFrame, links: DataFrame) -> DataFrame:
+    return ports.join(links.select("image_id", "ci", "pi").distinct(), ["image_id", "ci", "pi"], "left_anti")
+
+
+# ---- ports to junctions -----------------------------------------------------------------------------
+def _junctions_near(ports: DataFrame, junctions: DataFrame, reach: DataFrame, col: str) -> DataFrame:
+    """Ports with junctions closer than limit `col` of the picture."""
+    size, r = F.lit(WIDE_CELL), F.col("reach").cast("bigint")
+    p = ports.join(reach.select("image_id", F.col(col).alias("reach")), "image_id")
+    a = spatial.with_near_cells(p, F.col("px"), F.col("py"), size, r)
+    b = spatial.with_cell(junctions.select("image_id", F.col("jx").alias("qx"), F.col("jy").alias("qy"), "jord"), F.col("qx"), F.col("qy"), size)
+    d = geom.dist(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
+    return a.join(b, ["image_id", *spatial.CELL]).withColumn("d", d).where(F.col("d") < F.col("reach")).drop(*spatial.CELL, "reach")
+
+
+def _nearest_junction(cand: DataFrame, stage: int) -> DataFrame:
+    return cand.groupBy("image_id", "ci", "pi").agg(F.min(F.struct("d", "jord", "qx", "qy")).alias("b")).select(
+        "image_id", "ci", "pi", F.col("b.qx").alias("jx"), F.col("b.qy").alias("jy"), order(stage, F.col("ci"), F.col("pi")).alias("ord"))
+
+
+def nearest_junctions(ports: DataFrame, junctions: DataFrame, comps: DataFrame, limits: DataFrame) -> DataFrame:
+    """Each port to the nearest junction in reach with a free line."""
+    cand = _junctions_near(ports, junctions, limits, "pjr")
+    return _nearest_junction(_clear(cand, comps, ["ci", "pi", "qx", "qy"]), 0)
+
+
+def drop_own_shorts(links: DataFrame, ports: DataFrame) -> DataFrame:
+    """Two-port components keep their nearest link to a junction; larger ones with all ports on one keep two.
+
+    The window runs inside one component and junction: at most as many rows as the component has ports.
+    """
+    at = links.join(ports.select("image_id", "ci", "pi", "px", "py", "n_ports"), ["image_id", "ci", "pi"]).withColumn(
+        "d", geom.dist(F.col("px"), F.col("py"), F.col("jx"), F.col("jy")))
+    here = W.partitionBy("image_id", "ci", "jx", "jy")
+    at = at.withColumn("k", count_all().over(here)).withColumn("r", F.row_number().over(here.orderBy("d", "ord")))
+    bad = ((F.col("n_ports") == 2) & (F.col("r") > 1)) | ((F.col("n_ports") >= 3) & (F.col("k") == F.col("n_ports")) & (F.col("r") > 2))
+    return at.where(~bad).select(*links.columns)
+
+
+def second_junctions(ports: DataFrame, junctions: DataFrame, comps: DataFrame, limits: DataFrame, links: DataFrame,
+                     stage: int = 2) -> DataFrame:
+    """Links for still open ports to the nearest junction in the smaller reach.
+
+    The two ports of a two-port component may not meet at one junction. Only there does one choice
+    bear on another, so first ports go first and second ports see the result.
+    """
+    cand = cut(_clear(_junctions_near(_open_ports(ports, links), junctions, limits, "pjf"), comps, ["ci", "pi", "qx", "qy"]), "second")
+    pair = F.col("n_ports") == 2
+
+    def without_other(c, held):
+        taken = held.select("image_id", "ci", (1 - F.col("pi")).alias("pi"), F.col("jx").alias("qx"), F.col("jy").alias("qy")).distinct()
+        return c.where(~pair).unionByName(c.where(pair).join(taken, ["image_id", "ci", "pi", "qx", "qy"], "left_anti"))
+    first = cut(_nearest_junction(without_other(cand.where(~pair | (F.col("pi") == 0)), links), stage), "second")
+    rest = _nearest_junction(without_other(cand.where(pair & (F.col("pi") == 1)), links.select(
+        "image_id", "ci", "pi", "jx", "jy").unionByName(first.select("image_id", "ci", "pi", "jx", "jy"))), stage)
+    return first.unionByName(rest)
+
+
+# ---- ports to ports -----------------------------------------------------------------------------------
+def _partners(left: DataFrame, right: DataFrame, reach: Column | int, drop: str | None = None) -> DataFrame:
+    """Ports of different components closer than `reach`: left columns plus cj, pj, qx, qy, nameq, d."""
+    size = F.lit(WIDE_CELL)
+    r = reach if isinstance(reach, Column) else F.lit(reach)
+    a = spatial.with_near_cells(left, F.col("px"), F.col("py"), size, r.cast("bigint"))
+    b = spatial.with_cell(right.select("image_id", F.col("ci").alias("cj"), F.col("pi").alias("pj"), F.col("px").alias("qx"),
+                                       F.col("py").alias("qy"), F.col("name").alias("nameq")), F.col("qx"), F.col("qy"), size)
+    d = geom.dist(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
+    out = a.join(b, ["image_id", *spatial.CELL]).where(F.col("ci") != F.col("cj")).withColumn("d", d).where(F.col("d") < r)
+    return out.drop(*spatial.CELL, *([drop] if drop else []))
+
+
+def settle_choices(choices: DataFrame) -> DataFrame:
+    """Which of choices(image_id, p, t) act when ports go in order of p and a port already chosen by an
+    earlier acting one stays still. Returns the acting rows.
+
+    A port waits only for earlier ports that chose it; every round settles all ports whose choosers
+    are settled or one of whose choosers acts.
+    """
+    made = cut(choices, "choices")
+    waits = cut(made.select("image_id", F.col("p").alias("q"), F.col("t").alias("p")).where("q < p").join(
+        made.select("image_id", "p"), ["image_id", "p"]), "waits")
+    state = cut(made.join(waits.select("image_id", "p").distinct().withColumn("w", F.lit(True)), ["image_id", "p"], "left")
+                .select("image_id", "p", F.when(F.col("w").isNull(), F.lit(True)).alias("acts")), "acts")
+    while True:
+        seen = (waits.join(state.select("image_id", F.col("p").alias("q"), F.col("acts").alias("q_acts")), ["image_id", "q"])
+                .groupBy("image_id", "p").agg(F.coalesce(F.bool_or("q_acts"), F.lit(False)).alias("beaten"),
+                                              F.bool_or(F.col("q_acts").isNull()).alias("pending")))
+        nxt, metrics = cut_counting(
+            state.join(seen, ["image_id", "p"], "left").select("image_id", "p", F.when(F.col("acts").isNotNull(), F.col("acts")).when(
+                F.col("beaten"), F.lit(False)).when(~F.col("pending"), F.lit(True)).alias("acts")), "acts",
+            open=F.sum(F.col("acts").isNull().cast("int")))
+        drop_table(state)
+        state = nxt
+        if not metrics["open"]:
+            return made.join(state.where("acts"), ["image_id", "p"]).drop("acts")
+
+
+def _midpoint_links(pairs: DataFrame, stage: int) -> DataFrame:
+    """Both ports of pairs(ci, pi, cj, pj, px, py, qx, qy) linked to their midpoint."""
+    m = pairs.withColumn("jx", geom.half(F.col("px"), F.col("qx"))).withColumn("jy", geom.half(F.col("py"), F.col("qy")))
+    ends = F.array(F.struct(F.col("ci").alias("c"), F.col("pi").alias("p"), F.lit(0).alias("side")),
+                   F.struct(F.col("cj").alias("c"), F.col("pj").alias("p"), F.lit(1).alias("side")))
+    return m.select("image_id", "ci", "pi", "jx", "jy", F.inline(ends)).select(
+        "image_id", F.col("c").alias("ci"), F.col("p").alias("pi"), "jx", "jy",
+        order(stage, F.col("ci"), F.col("pi"), F.lit(0), F.col("side")).alias("ord"))
+
+
+def add_junctions(junctions: DataFrame, links: DataFrame) -> DataFrame:
+    """Junction list with the new link targets behind it, in the order of their first link."""
+    new = links.groupBy("image_id", "jx", "jy").agg(F.min("ord").alias("jord")).join(
+        junctions.select("image_id", "jx", "jy"), ["image_id", "jx", "jy"], "left_anti")
+    return junctions.unionByName(new.select("image_id", "jx", "jy", F.struct(
+        F.col("jord.s").alias("s"), *[F.col(f"jord.{n}").alias(n) for n in "abcd"]).alias("jord")))
+
+
+def port_fallback(ports: DataFrame, comps: DataFrame, limits: DataFrame, links: DataFrame, limit: str, stage: int) -> DataFrame:
+    """Links for open ports to the nearest port of another component below limit column `limit`.
+
+    Aligned pairs (a coordinate within 15) need no free line. A port chosen by an earlier one stays still.
+    """
+    left = _open_ports(ports, links).join(limits.select("image_id", F.col(limit).alias("reach")), "image_id")
+    cand = _partners(left, ports, F.col("reach"), drop="reach")
+    aligned = (F.abs(F.col("px") - F.col("qx")) < 15) | (F.abs(F.col("py") - F.col("qy")) < 15)
+    ok = _clear(cand, comps, ["ci", "pi", "cj", "pj"], waived=aligned)
+    best = ok.groupBy("image_id", "ci", "pi", "px", "py").agg(F.min(F.struct("d", "cj", "pj", "qx", "qy")).alias("b")).select(
+        "image_id", "ci", "pi", "px", "py", F.col("b.cj").alias("cj"), F.col("b.pj").alias("pj"), F.col("b.qx").alias("qx"),
+        F.col("b.qy").alias("qy"), port_id().alias("p")).withColumn("t", port_id("cj", "pj"))
+    return _midpoint_links(settle_choices(best), stage)
+
+
+def close_ports(ports: DataFrame, links: DataFrame, stage: int = 6, reach: int = 50) -> DataFrame:
+    """Open ports of different components within reach, paired greedily in index order; never two grounds."""
+    free = cut(_open_ports(ports, links), "free")
+    cand = _partners(free, free, reach).where((F.col("ci") < F.col("cj")) & ~((F.col("name") == "GND") & (F.col("nameq") == "GND")))
+    pairs = cand.withColumn("a", port_id()).withColumn("b", port_id("cj", "pj")).withColumn("ord", F.struct("a", "b")).select(
+        "image_id", "a", "b", "ord", "ci", "pi", "cj", "pj", "px", "py", "qx", "qy")
+    return _midpoint_links(graph.greedy_matching(pairs), stage)
+
+
+def sight_lines(ports: DataFrame, comps: DataFrame, links: DataFrame, stage: int = 4, band: int = 25) -> DataFrame:
+    """Ports on one line with no third box between, not both linked; the closest pair of each two components."""
+    linked = links.select("image_id", "ci", "pi").distinct().withColumn("on", F.lit(True))
+    p = cut(ports.join(linked, ["image_id", "ci", "pi"], "left").select(
+        "image_id", "ci", "pi", "px", "py", "name", F.coalesce("on", F.lit(False)).alias("on")), "sight")
+    b = p.select("image_id", F.col("ci").alias("cj"), F.col("pi").alias("pj"), F.col("px").alias("qx"), F.col("py").alias("qy"),
+                 F.col("name").alias("nameq"), F.col("on").alias("onq"))
+    near = [F.floor(F.col(v) / band).cast("bigint") for v in ("px", "py", "qx", "qy")]
+    bands_a = F.array(F.struct(F.lit("h").alias("way"), near[1].alias("lane")), F.struct(F.lit("v").alias("way"), near[0].alias("lane")))
+    lanes = lambda w, v: F.transform(F.array(v - 1, v, v + 1), lambda k: F.struct(F.lit(w).alias("way"), k.alias("lane")))
+    a = p.where("not on").select("*", F.inline(bands_a))
+    z = b.select("*", F.inline(F.concat(lanes("h", near[3]), lanes("v", near[2]))))
+    dx, dy = F.abs(F.col("px") - F.col("qx")), F.abs(F.col("py") - F.col("qy"))
+    same_h, same_v = (dy < band) & (dx > 5), (dx < band) & (dy > 5)
+    cand = (a.join(z, ["image_id", "way", "lane"]).where(F.col("ci") != F.col("cj"))
+            .where(((F.col("way") == "h") & same_h) | ((F.col("way") == "v") & same_v & ~same_h))
+            .where("not (name = 'GND' and nameq = 'GND')"))
+    # lower component first; a pair of two open ports is found from both ends and kept once
+    swap = F.col("ci") > F.col("cj")
+    def pick(x, y):
+        return F.when(swap, F.col(y)).otherwise(F.col(x))
+    cand = cand.where(~swap | F.col("onq")).select(
+        "image_id", "way", pick("ci", "cj").alias("ia"), pick("pi", "pj").alias("pa"), pick("px", "qx").alias("ax"), pick("py", "qy").alias("ay"),
+        pick("cj", "ci").alias("ib"), pick("pj", "pi").alias("pb"), pick("qx", "px").alias("bx"), pick("qy", "py").alias("by"))
+    cand = cut(cand, "sight")
+    h = F.col("way") == "h"
+    low = F.when(h, F.least("ax", "bx")).otherwise(F.least("ay", "by")) + 5
+    high = F.when(h, F.greatest("ax", "bx")).otherwise(F.greatest("ay", "by")) - 5
+    mid = F.when(h, F.col("ay")).otherwise(F.col("ax"))
+    strip = cand.withColumn("low", low).withColumn("high", high).withColumn("mid", mid)
+    lo, hi = F.least("low", "high"), F.greatest("low", "high")
+    size = F.lit(CELL_SIZE)
+    cells = spatial.with_cells(strip, F.when(h, lo).otherwise(F.col("mid") - band), F.when(h, F.col("mid") - band).otherwise(lo),
+                               F.when(h, hi).otherwise(F.col("mid") + band), F.when(h, F.col("mid") + band).otherwise(hi), size)
+    boxes = spatial.with_cells(comps.select("image_id", "idx", "x1", "y1", "x2", "y2"), *geom.box(""), size)
+    k1, k2 = F.when(h, F.col("x1")).otherwise(F.col("y1")), F.when(h, F.col("x2")).otherwise(F.col("y2"))
+    m1, m2 = F.when(h, F.col("y1")).otherwise(F.col("x1")), F.when(h, F.col("y2")).otherwise(F.col("x2"))
+    keys = ["image_id", "ia", "pa", "ib", "pb"]
+    blocked = cells.join(boxes, ["image_id", *spatial.CELL]).where(
+        (F.col("idx") != F.col("ia")) & (F.col("idx") != F.col("ib")) & (k2 > F.col("low")) & (k1 < F.col("high"))
+        & (m1 < F.col("mid") + band) & (m2 > F.col("mid") - band)).select(*keys).distinct()
+    d = geom.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    best = cand.join(blocked, keys, "left_anti").groupBy("image_id", "ia", "ib").agg(
+        F.min(F.struct(d.alias("d"), "pa", "pb", "ax", "ay", "bx", "by")).alias("w"), F.min("pa").alias("first"))
+    ends = F.array(F.struct(F.col("ia").alias("ci"), F.col("w.pa").alias("pi"), F.lit(0).alias("side")),
+                   F.struct(F.col("ib").alias("ci"), F.col("w.pb").alias("pi"), F.lit(1).alias("side")))
+    return best.select("image_id", "ia", "ib", "first", geom.half(F.col("w.ax"), F.col("w.bx")).alias("jx"),
+                       geom.half(F.col("w.ay"), F.col("w.by")).alias("jy"), F.inline(ends)).select(
+        "image_id", "ci", "pi", "jx", "jy", order(stage, F.col("ia"), F.col("first"), F.col("ib"), F.col("side")).alias("ord"))
+
+
+def force_last(ports: DataFrame, junctions: DataFrame, comps: DataFrame, links: DataFrame, stage: int = 5, reach: int = 500) -> DataFrame:
+    """Components with one open port: to the nearest junction in reach that holds none of their other ports."""
+    open_ = _open_ports(ports, links)
+    lonely = open_.join(open_.groupBy("image_id", "ci").agg(count_all().alias("k")).where("k = 1").select("image_id", "ci"), ["image_id", "ci"])
+    cand = _junctions_near(lonely, junctions, lonely.select("image_id").distinct().withColumn("r", F.lit(reach)), "r")
+    held = links.select("image_id", "ci", F.col("jx").alias("qx"), F.col("jy").alias("qy")).distinct()
+    return _nearest_junction(_clear(cand.join(held, ["image_id", "ci", "qx", "qy"], "left_anti"), comps, ["ci", "pi", "qx", "qy"]), stage)
+
+
+# ---- junctions to junctions -----------------------------------------------------------------------------
+def junction_pairs(junctions: DataFrame, links: DataFrame, comps: DataFrame, limits: DataFrame) -> DataFrame:
+    """Candidate pairs (image_id, ax, ay, bx, by, d, oa, ob), a before b in the junction list.
+
+    Near (12) or aligned within limits; not sharing all components, not shorting one, not grounds only.
+    """
+    j = cut(junctions.join(limits.select("image_id", "jj_align", "jj_max"), "image_id"), "jj")
+    a = j.select("image_id", F.col("jx").alias("ax"), F.col("jy").alias("ay"), F.col("jord").alias("oa"), "jj_align", "jj_max")
+    b = j.select("image_id", F.col("jx").alias("bx"), F.col("jy").alias("by"), F.col("jord").alias("ob"), "jj_align", "jj_max")
+    def keys(x, y):
+        f = lambda v, s: F.floor(v / s).cast("bigint")
+        al, mx = F.col("jj_align"), F.col("jj_max")
+        return [("n", f(x, F.lit(12)), f(y, F.lit(12))), ("h", f(x, mx), f(y, al)), ("v", f(x, al), f(y, mx))]
+    one = F.array(*[F.struct(F.lit(w).alias("way"), u.alias("u"), v.alias("v")) for w, u, v in keys(F.col("ax"), F.col("ay"))])
+    nine = F.array(*[F.struct(F.lit(w).alias("way"), (u + i).alias("u"), (v + k).alias("v"))
+                     for w, u, v in keys(F.col("bx"), F.col("by")) for i in (-1, 0, 1) for k in (-1, 0, 1)])
+    d = geom.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    dx, dy = F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by"))
+    line = (((dy < F.col("jj_align")) & (dx > 10)) | ((dx < F.col("jj_align")) & (dy > 10))) & (d < F.col("jj_max"))
+    pairs = (a.select("*", F.inline(one)).join(b.drop("jj_align", "jj_max").join(j.select("image_id", "jj_align", "jj_max").distinct(), "image_id")
+                                              .select("image_id", "bx", "by", "ob", F.inline(nine)), ["image_id", "way", "u", "v"])
+             .where((F.col("oa") < F.col("ob")) & ((d < 12) | line)).withColumn("d", d)
+             .select("image_id", "ax", "ay", "bx", "by", "d", "oa", "ob").distinct())
+    at = links.groupBy("image_id", "jx", "jy", "ci").agg(F.sort_array(F.collect_set("pi")).alias("pins"))
+    at = cut(at.join(comps.select("image_id", F.col("idx").alias("ci"), (F.col("name") != "GND").alias("live")), ["image_id", "ci"]), "at")
+    stat = at.groupBy("image_id", "jx", "jy").agg(count_all().alias("n"), F.count_if("live").alias("live"))
+    def side(df, x, y, s):
+        return df.select("image_id", F.col("jx").alias(x), F.col("jy").alias(y), *[F.col(c).alias(c + s) for c in df.columns if c not in ("image_id", "jx", "jy")])
+    pairs = cut(pairs, "jj")
+    both = (pairs.select("image_id", "ax", "ay", "bx", "by").join(side(at.drop("live"), "ax", "ay", "1").withColumnRenamed("ci1", "ci"), ["image_id", "ax", "ay"])
+            .join(side(at.drop("live"), "bx", "by", "2").withColumnRenamed("ci2", "ci"), ["image_id", "bx", "by", "ci"])
+            .groupBy("image_id", "ax", "ay", "bx", "by").agg(count_all().alias("shared"), F.bool_or(F.col("pins1") != F.col("pins2")).alias("short")))
+    out = (pairs.join(side(stat, "ax", "ay", "1"), ["image_id", "ax", "ay"], "left").join(side(stat, "bx", "by", "2"), ["image_id", "bx", "by"], "left")
+           .join(both, ["image_id", "ax", "ay", "bx", "by"], "left").na.fill(0, ["n1", "n2", "live1", "live2", "shared"]))
+    same = (F.col("shared") > 0) & (F.col("shared") == F.col("n1")) & (F.col("shared") == F.col("n2"))
+    return out.where(~same & ~F.coalesce("short", F.lit(False)) & ((F.col("live1") > 0) | (F.col("live2") > 0))).select(
+        "image_id", "ax", "ay", "bx", "by", "d", "oa", "ob")
+
+
+def nearest_by_direction(pairs: DataFrame, limits: DataFrame) -> DataFrame:
+    """Directed links (ax, ay) -> (bx, by): the closest candidate to the left, right, above and below."""
+    flip = pairs.select("image_id", F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"),
+                        "d", "oa", "ob", F.lit(1).alias("side"))
+    all_ = pairs.withColumn("side", F.lit(0)).unionByName(flip).join(limits.select("image_id", "jj_align"), "image_id")
+    dx, dy, al = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("jj_align")
+    ways = F.array(F.when((F.abs(dy) < al) & (dx < 0), 0), F.when((F.abs(dy) < al) & (dx > 0), 1),
+                   F.when((F.abs(dx) < al) & (dy < 0), 2), F.when((F.abs(dx) < al) & (dy > 0), 3))
+    firsts = all_.groupBy("image_id", "ax", "ay").agg(F.min(F.struct("oa", "ob", "side")).alias("seen"))
+    best = all_.select("*", F.explode(ways).alias("way")).where("way is not null").groupBy("image_id", "ax", "ay", "way").agg(
+        F.min(F.struct("d", "oa", "ob", "bx", "by")).alias("w"))
+    return best.join(firsts, ["image_id", "ax", "ay"]).select(
+        "image_id", "ax", "ay", F.col("w.bx").alias("bx"), F.col("w.by").alias("by"), "way",
+        F.struct("seen", "way").alias("ord"))
+
+
+def degree_cap(jj: DataFrame, limit: int = 10) -> DataFrame:
+    """Links kept while both junctions have fewer than `limit` (eight branches assumed, plus two)."""
+    p = jj.withColumn("a", point_id(F.col("ax"), F.col("ay"))).withColumn("b", point_id(F.col("bx"), F.col("by")))
+    return graph.capped_pairs(p, limit).drop("a", "b")
+
+
+def same_wire(junctions: DataFrame, wires: DataFrame, margin: int = 5) -> DataFrame:
+    """(image_id, wire, n): junctions inside each wire box grown by `margin`; two of one wire are joined."""
+    size = F.lit(CELL_SIZE)
+    w = wires.select("image_id", "wire", *[c.alias(n) for c, n in zip(geom.grow(geom.box(""), margin), ("wx1", "wy1", "wx2", "wy2"))])
+    a = spatial.with_cells(w, F.col("wx1"), F.col("wy1"), F.col("wx2"), F.col("wy2"), size)
+    b = spatial.with_cell(junctions.select("image_id", "jx", "jy"), F.col("jx"), F.col("jy"), size)
+    return a.join(b, ["image_id", *spatial.CELL]).where(
+        F.col("jx").between(F.col("wx1"), F.col("wx2")) & F.col("jy").between(F.col("wy1"), F.col("wy2"))).select("image_id", "wire", "jx", "jy")
+
+
+# ---- groups -------------------------------------------------------------------------------------------------
+def reverse_pairs(links: DataFrame, ports: DataFrame) -> DataFrame:
+    """Edges (image_id, a, b) between ports that are each other's link target."""
+    here = ports.groupBy("image_id", F.col("px").alias("jx"), F.col("py").alias("jy")).agg(F.max(port_id()).alias("b"))
+    at = ports.select("image_id", port_id().alias("a"), "px", "py")
+    out = links.select("image_id", port_id().alias("a"), "jx", "jy").join(here, ["image_id", "jx", "jy"]).join(at, ["image_id", "a"])
+    back = links.select("image_id", port_id().alias("b"), F.col("jx").alias("px"), F.col("jy").alias("py"))
+    return out.join(back, ["image_id", "b", "px", "py"], "left_semi").select("image_id", "a", "b").distinct()
+
+
+def _group_edges(links: DataFrame, jj: DataFrame, between_comps: bool) -> DataFrame:
+    at = links.select("image_id", "jx", "jy", port_id().alias("p"), "ord")
+    lead = at.groupBy("image_id", "jx", "jy").agg(F.min_by("p", "ord").alias("lead"))
+    star = at.join(lead, ["image_id", "jx", "jy"]).where("p <> lead")
+    if between_comps:
+        star = star.where(F.floor(F.col("p") / MAX_PORTS) != F.floor(F.col("lead") / MAX_PORTS))
+    la = lead.select("image_id", F.col("jx").alias("ax"), F.col("jy").alias("ay"), F.col("lead").alias("a"))
+    lb = lead.select("image_id", F.col("jx").alias("bx"), F.col("jy").alias("by"), F.col("lead").alias("b"))
+    ties = jj.select("image_id", "ax", "ay", "bx", "by").join(la, ["image_id", "ax", "ay"]).join(lb, ["image_id", "bx", "by"])
+    return star.select("image_id", F.col("lead").alias("a"), F.col("p").alias("b")).unionByName(ties.select("image_id", "a", "b"))
+
+
+def port_groups(ports: DataFrame, links: DataFrame, jj: DataFrame, final: bool = False) -> DataFrame:
+    """(image_id, ci, pi, g): ports joined through junctions; g is the smallest port of the group.
+
+    The final pass keeps the first port of a junction apart from ports of its own component and adds
+    no reverse pairs.
+    """
+    edges = _group_edges(links, jj, between_comps=final)
+    if not final:
+        edges = edges.unionByName(reverse_pairs(links, ports))
+    nodes = ports.select("image_id", port_id().alias("node"))
+    comp = graph.connected_components(nodes, edges)
+    return comp.select("image_id", F.floor(F.col("node") / MAX_PORTS).cast("bigint").alias("ci"),
+                       (F.col("node") % MAX_PORTS).cast("int").alias("pi"), F.col("comp").alias("g"))
+
+
+def unshort(ports: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links without those of the farther port of two-port components whose ports share a group."""
+    p = ports.where("n_ports = 2").select("image_id", "ci", "pi", "px", "py")
+    first = links.groupBy("image_id", "ci", "pi").agg(F.min_by(F.struct("jx", "jy"), "ord").alias("j"))
+    at = p.join(first, ["image_id", "ci", "pi"]).join(groups, ["image_id", "ci", "pi"]).select(
+        "image_id", "ci", "pi", "g", geom.dist(F.col("px"), F.col("py"), F.col("j.jx"), F.col("j.jy")).alias("d"))
+    wide = at.groupBy("image_id", "ci").agg(*[F.max(F.when(F.col("pi") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("g", "d")])
+    drop = wide.where("g0 = g1").select("image_id", "ci", F.when(F.col("d0") > F.col("d1"), 0).otherwise(1).alias("pi"))
+    return links.join(drop, ["image_id", "ci", "pi"], "left_anti")
+
+
+def eligible(groups: DataFrame) -> DataFrame:
+    """Groups that join two components or more."""
+    big = groups.groupBy("image_id", "g").agg((F.max("ci") != F.min("ci")).alias("ok")).where("ok").select("image_id", "g")
+    return groups.join(big, ["image_id", "g"])
+
+
+# ---- routes ---------------------------------------------------------------------------------------------------
+def bends(margin: int = 20) -> Column:
+    """Ordered bend points of a link (px, py) -> (qx, qy)."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("px", "py", "qx", "qy"))
+    mx, my = geom.half(x1, x2), geom.half(y1, y2)
+    steps = [s * k * margin for k in (1, 2, 3) for s in (1, -1)]
+    pts = [(x2, y1), (x1, y2)] + [(x2 + s, y1) for s in steps] + [(x1, y2 + s) for s in steps]
+    for k in (1, 2):
+        m = k * margin
+        pts += [(mx + m, my), (mx - m, my), (mx, my + m), (mx, my - m)]
+    return F.array(*[F.struct(F.lit(i).alias("n"), x.cast("bigint").alias("mx"), y.cast("bigint").alias("my")) for i, (x, y) in enumerate(pts)])
+
+
+def routes(lines: DataFrame, comps: DataFrame, ports: DataFrame) -> DataFrame:
+    """(image_id, line, n, mx, my) for lines(image_id, line, own, px, py, qx, qy, port_link): the first bend
+    with both legs clear; n = -1 for the straight line of a port link that is clear or ends at a port."""
+    cand = lines.select("*", F.inline(bends()))
+    leg1 = cand.select("image_id", "line", "n", "own", F.col("px").alias("sx1"), F.col("py").alias("sy1"), F.col("mx").alias("sx2"), F.col("my").alias("sy2"))
+    leg2 = cand.select("image_id", "line", "n", "own", F.col("mx").alias("sx1"), F.col("my").alias("sy1"), F.col("qx").alias("sx2"), F.col("qy").alias("sy2"))
+    bad = crossing(leg1.unionByName(leg2), comps, ["line", "n"])
+    best = cand.join(bad, ["image_id", "line", "n"], "left_anti").groupBy("image_id", "line").agg(F.min(F.struct("n", "mx", "my")).alias("b")).select(
+        "image_id", "line", "b.n", "b.mx", "b.my")
+    best = cut(best, "routes")
+    rest = lines.where("port_link").join(best.select("image_id", "line"), ["image_id", "line"], "left_anti")
+    spots = ports.select("image_id", F.col("px").alias("qx"), F.col("py").alias("qy")).distinct().withColumn("on_port", F.lit(True))
+    hit = crossing(rest.select("image_id", "line", "own", F.col("px").alias("sx1"), F.col("py").alias("sy1"), F.col("qx").alias("sx2"), F.col("qy").alias("sy2")), comps, ["line"])
+    straight = rest.join(spots, ["image_id", "qx", "qy"], "left").join(hit.withColumn("hit", F.lit(True)), ["image_id", "line"], "left").where(
+        "on_port or hit is null").select("image_id", "line", F.lit(-1).alias("n"), F.lit(None).cast("bigint").alias("mx"), F.lit(None).cast("bigint").alias("my"))
+    return best.unionByName(straight)
+
+
+# ---- the whole run -----------------------------------------------------------------------------------------------
+def wire(comps: DataFrame, ports: DataFrame, raw_junctions: DataFrame, limits: DataFrame, switches: dict | None = None) -> dict[str, DataFrame]:
+    """Groups, links, junction links and junctions of all pictures under one set of switches."""
+    on = {**dims.DEFAULT_SWITCHES, **(switches or {})}
+    comps, limits = cut(comps, "comps"), cut(limits, "limits")
+    ports = cut(prepare_ports(ports), "ports")
+    junctions = cut(prepare_junctions(raw_junctions, limits), "junctions")
+    links = cut(drop_own_shorts(nearest_junctions(ports, junctions, comps, limits), ports), "links")
+
+    def extend(more, targets=False):
+        nonlocal links, junctions
+        more = cut(more, "more")
+        links = links.unionByName(more)
+        if targets:
+            junctions = cut(add_junctions(junctions, more), "junctions")
+    extend(port_fallback(ports, comps, limits, links, "p2p_max", 1), True)
+    extend(second_junctions(ports, junctions, comps, limits, links, 2))
+    extend(port_fallback(ports, comps, limits, links, "agg_p2p", 3), True)
+    jj = junction_pairs(junctions, links, comps, limits)
+    if on["use_nn_filter"]:
+        jj = nearest_by_direction(jj, limits)
+    else:
+        jj = jj.withColumn("ord", F.struct("oa", "ob"))
+    jj = cut(jj, "jj")
+    if on["use_degree_constraint"]:
+        jj = degree_cap(jj)
+    if on["use_los"]:
+        extend(sight_lines(ports, comps, links))
+    if on["use_force_connect"]:
+        extend(force_last(ports, junctions, comps, links))
+    if on["use_close_port"]:
+        extend(close_ports(ports, links), True)
+    kept = cut(unshort(ports, links, port_groups(ports, links, jj)), "links")
+    groups = eligible(port_groups(ports, kept, jj, final=True))
+    return {"groups": groups, "links": kept, "jj": jj, "junctions": junctions, "ports": ports}
