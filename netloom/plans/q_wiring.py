@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from netloom.functions import dims, geom
@@ -19,7 +21,7 @@ _P2J0 = _J + f""", p2j0 AS (SELECT image_id, ci, pi, n_ports, px, py, b.jx AS jx
 _NEED = ("ports_wiring", "comps_wiring", "junctions", "limits")
 
 
-class Stage:
+class Inputs:
     """Inputs of the wiring stages over the derived tables, with the links after the first clean-up."""
 
     def __init__(self, t):
@@ -32,9 +34,33 @@ class Stage:
     def links0(self):
         return wiring.nearest_junctions(self.ports, self.junctions, self.comps, self.limits)
 
-    def links(self):
+    @cached_property
+    def _links(self):
         return cut(wiring.drop_own_shorts(self.links0(), self.ports), "links")
 
+    def links(self):
+        return self._links
+
+    @cached_property
+    def jj(self):
+        pairs = wiring.junction_pairs(self.junctions, self.links(), self.comps, self.limits)
+        return cut(wiring.nearest_by_direction(pairs, self.limits), "jj")
+
+    @cached_property
+    def groups(self):
+        return cut(wiring.port_groups(self.ports, self.links(), self.jj), "groups")
+
+
+_inputs: dict[tuple[str, str], Inputs] = {}
+
+
+def Stage(t) -> Inputs:
+    """The written inputs of one folder, made once per session and shared by the stage queries."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _inputs:
+        _inputs[key] = Inputs(t)
+    return _inputs[key]
+
 
 LINK = ["image_id", "ci", "pi", "jx", "jy"]
 
@@ -168,8 +194,9 @@ def _(t):
 @query("W14_degree_cap", ("boxes",), """, c AS (SELECT image_id, idx, (x1+x2)//2 AS x, (y1+y2)//2 AS y FROM boxes),
  steps AS (SELECT a.image_id, a.idx AS a, b.idx AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, row_number() OVER (PARTITION BY a.image_id ORDER BY a.idx, b.idx) AS n FROM c a JOIN c b ON a.image_id=b.image_id AND a.idx<b.idx AND b.idx<a.idx+4),
  walk(image_id, n, ends, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM steps UNION ALL
-  SELECT w.image_id, s.n, CASE WHEN full_ THEN ends ELSE list_concat(ends, [s.ax*1048576+s.ay, s.bx*1048576+s.by]) END, CASE WHEN full_ THEN kept ELSE list_append(kept, s.n) END
-  FROM walk w JOIN steps s ON s.image_id=w.image_id AND s.n=w.n+1, LATERAL (SELECT len(list_filter(ends, lambda e: e=s.ax*1048576+s.ay))>=2 OR len(list_filter(ends, lambda e: e=s.bx*1048576+s.by))>=2 AS full_)),
+  SELECT image_id, n, CASE WHEN full_ THEN ends ELSE list_concat(ends, [ea, eb]) END, CASE WHEN full_ THEN kept ELSE list_append(kept, n) END FROM (
+   SELECT w.image_id, s.n, w.ends, w.kept, s.ax*1048576+s.ay AS ea, s.bx*1048576+s.by AS eb, len(list_filter(w.ends, lambda e: e=s.ax*1048576+s.ay))>=2 OR len(list_filter(w.ends, lambda e: e=s.bx*1048576+s.by))>=2 AS full_
+   FROM walk w JOIN steps s ON s.image_id=w.image_id AND s.n=w.n+1)),
  kept AS (SELECT image_id, unnest(arg_max(kept, n)) AS n FROM walk GROUP BY image_id)
  SELECT image_id, a, b FROM steps JOIN kept USING (image_id, n)""", recursive=True)
 def _(t):
@@ -257,22 +284,15 @@ _UNSHORT = f""", sh AS (SELECT a.image_id, a.ci, CASE WHEN {g.dist('a.px', 'a.py
  kept AS (SELECT * FROM p2j ANTI JOIN sh USING (image_id, ci, pi))"""
 
 
-def _jj(s, links):
-    return cut(wiring.nearest_by_direction(wiring.junction_pairs(s.junctions, links, s.comps, s.limits), s.limits), "jj")
-
-
 @query("G05_port_groups", _NEED, _P2J0 + _JJ + _NN + _GROUPS + " SELECT * FROM grp", recursive=True)
 def _(t):
-    s = Stage(t)
-    links = s.links()
-    return wiring.port_groups(s.ports, links, _jj(s, links))
+    return Stage(t).groups
 
 
 @query("G06_unshort", _NEED, _P2J0 + _JJ + _NN + _GROUPS + _UNSHORT + " SELECT * FROM kept", recursive=True)
 def _(t):
     s = Stage(t)
-    links = s.links()
-    return wiring.unshort(s.ports, links, wiring.port_groups(s.ports, links, _jj(s, links))).select(*LINK)
+    return wiring.unshort(s.ports, s.links(), s.groups).select(*LINK)
 
 
 @query("G06_final_groups", _NEED, _P2J0 + _JJ + _NN + _GROUPS + _UNSHORT + """, lead2 AS (SELECT image_id, jx, jy, min(ci*1000+pi) AS lead FROM kept GROUP BY ALL),
@@ -284,10 +304,8 @@ def _(t):
  SELECT * FROM fgrp WHERE (image_id, g) IN (SELECT (image_id, g) FROM fgrp GROUP BY image_id, g HAVING count(DISTINCT ci)>=2)""", recursive=True)
 def _(t):
     s = Stage(t)
-    links, jj = s.links(), None
-    jj = _jj(s, links)
-    kept = cut(wiring.unshort(s.ports, links, wiring.port_groups(s.ports, links, jj)), "links")
-    return wiring.eligible(wiring.port_groups(s.ports, kept, jj, final=True))
+    kept = cut(wiring.unshort(s.ports, s.links(), s.groups), "links")
+    return wiring.eligible(wiring.port_groups(s.ports, kept, s.jj, final=True))
 
 
 _BENDS = """[(qx,py),(px,qy),(qx+20,py),(qx-20,py),(qx+40,py),(qx-40,py),(qx+60,py),(qx-60,py),(px,qy+20),(px,qy-20),(px,qy+40),(px,qy-40),(px,qy+60),(px,qy-60),

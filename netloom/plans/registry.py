@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def query(name: str, needs: tuple[str, ...] = (), sql: str | None = None, recurs
     def add(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_sql(needs, sql, recursive)
+            # `by` is a column name here and a keyword there
+            ORACLES[name] = with_sql(needs, re.sub(r"\bby\b", '"by"', sql), recursive)
         return build
     return add
