@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from netloom.lineage import cut
+
 RATES = ["port_correct_rate", "fp_rate", "fn_rate", "group_accuracy", "comp_neighbor_accuracy"]
 
 
@@ -36,7 +38,9 @@ def pair_counts(members: DataFrame) -> DataFrame:
         return n * (n - 1) / 2
     simple = members.groupBy("image_id", "g").agg(F.count(F.lit(1)).alias("n")).select(
         "image_id", twos(F.col("n")).cast("bigint").alias("pairs"))
-    sets = members.groupBy("image_id", "id").agg(F.sort_array(F.collect_set("g")).alias("gs")).where(F.size("gs") > 1)
+    # a plain count finds the few ids in several groups before any set is built
+    multi = members.groupBy("image_id", "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("image_id", "id")
+    sets = members.join(multi, ["image_id", "id"]).groupBy("image_id", "id").agg(F.sort_array(F.collect_set("g")).alias("gs"))
     classes = sets.groupBy("image_id", "gs").agg(F.count(F.lit(1)).alias("n"))
     inner = classes.select("image_id", (-(F.size("gs") - 1) * twos(F.col("n"))).cast("bigint").alias("pairs"))
     flat = classes.select("image_id", "gs", "n", F.explode("gs").alias("g"))
@@ -48,15 +52,14 @@ def pair_counts(members: DataFrame) -> DataFrame:
 
 
 def cells(truth: DataFrame, pred: DataFrame, on: str = "id") -> DataFrame:
-    """(image_id, g, p, on) for every id in true group g and predicted group p."""
-    t = truth.select("image_id", "g", on).distinct()
-    p = pred.select("image_id", F.col("g").alias("p"), on).distinct()
-    return t.join(p, ["image_id", on])
+    """(image_id, g, p, on) for every id in true group g and predicted group p; members do not repeat."""
+    return truth.select("image_id", "g", on).join(pred.select("image_id", F.col("g").alias("p"), on), ["image_id", on])
 
 
-def edge_counts(truth: DataFrame, pred: DataFrame) -> DataFrame:
+def edge_counts(truth: DataFrame, pred: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """(image_id, tp, fp, fn, n_true, n_pred) over unordered pairs of ids sharing a group."""
-    both = cells(truth, pred).select("image_id", F.struct("g", "p").alias("g"), "id")
+    shared = cut(cells(truth, pred), "cells") if shared is None else shared
+    both = shared.select("image_id", F.struct("g", "p").alias("g"), "id")
     parts = [(pair_counts(truth.select("image_id", "g", "id")), "n_true"),
              (pair_counts(pred.select("image_id", "g", "id")), "n_pred"), (pair_counts(both), "tp")]
     rows = None
@@ -69,18 +72,19 @@ def edge_counts(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return out.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_true") - F.col("tp"))
 
 
-def equal_groups(truth: DataFrame, pred: DataFrame) -> DataFrame:
+def equal_groups(truth: DataFrame, pred: DataFrame, both: DataFrame | None = None) -> DataFrame:
     """(image_id, g, p) of true and predicted groups that hold the same ids."""
     def sizes(df, as_):
         return df.groupBy("image_id", "g").agg(F.count(F.lit(1)).alias("n_" + as_)).withColumnRenamed("g", as_)
-    shared = cells(truth, pred).groupBy("image_id", "g", "p").agg(F.count(F.lit(1)).alias("n"))
+    both = cells(truth, pred) if both is None else both
+    shared = both.groupBy("image_id", "g", "p").agg(F.count(F.lit(1)).alias("n"))
     return (shared.join(sizes(truth, "g"), ["image_id", "g"]).join(sizes(pred, "p"), ["image_id", "p"])
             .where("n = n_g and n = n_p").select("image_id", "g", "p"))
 
 
-def matched_groups(truth: DataFrame, pred: DataFrame) -> DataFrame:
+def matched_groups(truth: DataFrame, pred: DataFrame, both: DataFrame | None = None) -> DataFrame:
     """One-to-one matches (image_id, g, p): equal groups paired in order inside their class."""
-    eq = equal_groups(truth, pred)
+    eq = cut(equal_groups(truth, pred, both), "equal")
     gs = eq.groupBy("image_id", "g").agg(F.min("p").alias("cls"))
     ps = eq.groupBy("image_id", "p").agg(F.min("p").alias("_"), F.min("g").alias("g0"))
     ps = ps.join(gs.withColumnRenamed("g", "g0"), ["image_id", "g0"]).select("image_id", "p", "cls")
@@ -129,12 +133,13 @@ def _rate(a: Column, b: Column) -> Column:
 
 def evaluate(images: DataFrame, true_entries: DataFrame, pred_entries: DataFrame) -> DataFrame:
     """All rates of each picture in images(image_id)."""
-    truth, pred = true_groups(true_entries), predicted_groups(pred_entries)
+    truth, pred = cut(true_groups(true_entries), "truth"), cut(predicted_groups(pred_entries), "pred")
+    both = cut(cells(truth, pred), "cells")
     gn = truth.select("image_id", "g").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("n_gt_groups"))
     pn = pred.select("image_id", "g").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pred_groups"))
-    mn = matched_groups(truth, pred).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_matched"))
+    mn = matched_groups(truth, pred, both).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_matched"))
     out = images.select("image_id")
-    for d in (edge_counts(truth, pred), gn, pn, mn, neighbour_accuracy(truth, pred)):
+    for d in (edge_counts(truth, pred, both), gn, pn, mn, neighbour_accuracy(truth, pred)):
         out = out.join(d, "image_id", "left")
     out = out.na.fill(0)
     return out.select(

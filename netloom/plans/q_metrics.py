@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netloom.functions import dims, text
+from netloom.lineage import cut
 from netloom.operators import dataset, detect, lines, metrics
 from netloom.plans import sqlgeo as g
 from netloom.plans.fixtures import _values, sql_list
@@ -32,7 +33,7 @@ _GROUPS = """, tg AS (SELECT DISTINCT image_id, g, designator||'.'||label AS id,
 
 
 def _tp(t):
-    return metrics.true_groups(t.truth), metrics.predicted_groups(t.predicted)
+    return cut(metrics.true_groups(t.truth), "truth"), cut(metrics.predicted_groups(t.predicted), "pred")
 
 
 @query("A07_A08_A09_wiring_metrics", ("truth", "predicted"), _GROUPS + """ SELECT o_orderkey AS image_id, coalesce(gt,0) AS n_gt_groups, coalesce(pr,0) AS n_pred_groups,

@@ -141,7 +141,7 @@ def _(t):
                                   F.concat(F.lit("R"), F.col("l_partkey").cast("string"), F.lit(".x")).alias("designator"), F.col("l_linenumber").cast("string").alias("label"))
     path = scratch_path(t.spark, "truth")
     sinks.write_lines(sinks.truth_lines(e), "image_id", ["no"], path)
-    texts = t.spark.read.option("wholetext", True).text(path).select("image_id", F.col("value").alias("text"))
+    texts = t.spark.read.text(path, wholetext=True).select("image_id", F.col("value").alias("text"))
     return readers.true_group_entries(texts).select(F.col("image_id").cast("bigint").alias("image_id"), "g", "designator", "label")
 
 

@@ -14,7 +14,7 @@ RAW_BOXES = "image_id bigint, idx bigint, cls string, conf double, x1 bigint, y1
 
 def descriptions(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(file, path, description): one row per text file."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    return (spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("description"), "*").drop("value"))
 
 
