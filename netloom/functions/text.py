@@ -14,7 +14,7 @@ _DIGITS_PREFIX = r"^([0-9.]+)"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def compact(c: Column) -> Column:
@@ -149,15 +149,13 @@ def strip_fences(c: Column) -> Column:
     return F.when(t.startswith("```"), _strip(body)).otherwise(t)
 
 
-def first_json(c: Column) -> Column:
-    """Text up to the bracket that closes the first one; unbalanced text becomes empty.
+def first_json(t: Column) -> Column:
+    """Text without fences up to the bracket that closes the first one; unbalanced becomes empty.
 
     Only brackets of the opening kind count, wherever they stand. The bracket positions alone are
     walked: splitting at the closing kind, the k-th piece ends the value when the pieces so far
     hold no more than k opening brackets.
     """
-    t = strip_fences(c)
-
     def balanced(op: str, cl: str) -> Column:
         parts = F.split(t, "\\" + cl)
         def step(acc, piece):

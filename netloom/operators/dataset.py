@@ -163,9 +163,12 @@ def apply_corrections(texts: DataFrame, memory: DataFrame, col: str = "text") ->
         return (texts.crossJoin(F.broadcast(packed)).withColumn("_h", hit).withColumn(
             col, F.when(F.col("_h").isNotNull(), F.replace(F.col(col), F.col("_h.pattern"), F.col("_h.replacement")))
             .otherwise(F.col(col))).drop("_m", "_h"))
-    lengths = [r[0] for r in ordered.select(F.length("pattern").alias("n")).distinct().limit(1000).collect()]
-    subs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1))),
-                                           lambda i, n=n: F.substring(F.col(col), i, F.lit(n))) for n in sorted(lengths)]))
+    lengths = [r[0] for r in ordered.select(F.length("pattern").alias("n")).distinct().collect()]  # one entry per length of a pattern
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col("_t"), i, F.lit(n)))
+    subs = F.flatten(F.array(*[pieces(n) for n in sorted(lengths)]))
     keyed = texts.select(F.col(col).alias("_t")).distinct()
     hits = (keyed.select("_t", F.explode(F.array_distinct(subs)).alias("pattern")).join(ordered, "pattern")
             .groupBy("_t").agg(F.min_by(F.struct("pattern", "replacement"), "first").alias("_h")))

@@ -27,28 +27,28 @@ def predicted_groups(entries: DataFrame) -> DataFrame:
     return ids.join(big, ["image_id", "g"]).withColumn("designator", F.split_part("id", F.lit("."), F.lit(1)))
 
 
-def pair_counts(members: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of ids that share a group, per picture: (image_id, pairs).
+def pair_counts(members: DataFrame, keys: tuple = ("image_id",)) -> DataFrame:
+    """Distinct unordered pairs of ids that share a group, per key: (*keys, pairs).
 
-    members(image_id, g, id) without repeats; g may be any type. Sum of n(n-1)/2 over the groups,
-    less what ids lying in several groups count too often. Such ids are collapsed by their set of
-    groups, so the correction works on few classes.
+    members(*keys, g, id) without repeats; g may be any type. Sum of n(n-1)/2 over the groups, less
+    what ids lying in several groups count too often. Such ids are collapsed by their set of groups,
+    so the correction works on few classes.
     """
     def twos(n):
         return n * (n - 1) / 2
-    simple = members.groupBy("image_id", "g").agg(F.count(F.lit(1)).alias("n")).select(
-        "image_id", twos(F.col("n")).cast("bigint").alias("pairs"))
+    simple = members.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("n")).select(
+        *keys, twos(F.col("n")).cast("bigint").alias("pairs"))
     # a plain count finds the few ids in several groups before any set is built
-    multi = members.groupBy("image_id", "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("image_id", "id")
-    sets = members.join(multi, ["image_id", "id"]).groupBy("image_id", "id").agg(F.sort_array(F.collect_set("g")).alias("gs"))
-    classes = sets.groupBy("image_id", "gs").agg(F.count(F.lit(1)).alias("n"))
-    inner = classes.select("image_id", (-(F.size("gs") - 1) * twos(F.col("n"))).cast("bigint").alias("pairs"))
-    flat = classes.select("image_id", "gs", "n", F.explode("gs").alias("g"))
-    a, b = flat.alias("a"), flat.select("image_id", "g", F.col("gs").alias("gs2"), F.col("n").alias("n2"))
-    cross = (a.join(b, ["image_id", "g"]).where("gs < gs2").groupBy("image_id", "gs", "gs2", "n", "n2")
+    multi = members.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*keys, "id")
+    sets = members.join(multi, [*keys, "id"]).groupBy(*keys, "id").agg(F.sort_array(F.collect_set("g")).alias("gs"))
+    classes = cut(sets.groupBy(*keys, "gs").agg(F.count(F.lit(1)).alias("n")), "classes")
+    inner = classes.select(*keys, (-(F.size("gs") - 1) * twos(F.col("n"))).cast("bigint").alias("pairs"))
+    flat = classes.select(*keys, "gs", "n", F.explode("gs").alias("g"))
+    other = flat.select(*keys, "g", F.col("gs").alias("gs2"), F.col("n").alias("n2"))
+    cross = (flat.join(other, [*keys, "g"]).where("gs < gs2").groupBy(*keys, "gs", "gs2", "n", "n2")
              .agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-             .select("image_id", (-(F.col("k") - 1) * F.col("n") * F.col("n2")).cast("bigint").alias("pairs")))
-    return simple.unionByName(inner).unionByName(cross).groupBy("image_id").agg(F.sum("pairs").alias("pairs"))
+             .select(*keys, (-(F.col("k") - 1) * F.col("n") * F.col("n2")).cast("bigint").alias("pairs")))
+    return simple.unionByName(inner).unionByName(cross).groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
 
 
 def cells(truth: DataFrame, pred: DataFrame, on: str = "id") -> DataFrame:
@@ -59,13 +59,14 @@ def cells(truth: DataFrame, pred: DataFrame, on: str = "id") -> DataFrame:
 def edge_counts(truth: DataFrame, pred: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """(image_id, tp, fp, fn, n_true, n_pred) over unordered pairs of ids sharing a group."""
     shared = cut(cells(truth, pred), "cells") if shared is None else shared
-    both = shared.select("image_id", F.struct("g", "p").alias("g"), "id")
-    parts = [(pair_counts(truth.select("image_id", "g", "id")), "n_true"),
-             (pair_counts(pred.select("image_id", "g", "id")), "n_pred"), (pair_counts(both), "tp")]
-    rows = None
-    for df, name in parts:
-        one = df.select("image_id", F.lit(name).alias("what"), "pairs")
-        rows = one if rows is None else rows.unionByName(one)
+    none = F.lit(None).cast("bigint")
+
+    def tagged(df, what, g, p):
+        return df.select("image_id", F.lit(what).alias("what"), F.struct(g.cast("bigint").alias("g"), p.cast("bigint").alias("p")).alias("g"), "id")
+    # the three counts run as one job over tagged rows
+    rows = pair_counts(tagged(truth, "n_true", F.col("g"), none).unionByName(tagged(pred, "n_pred", F.col("g"), none)).unionByName(
+        tagged(shared, "tp", F.col("g"), F.col("p"))), ("image_id", "what"))
+
     def total(n):
         return F.coalesce(F.sum(F.when(F.col("what") == n, F.col("pairs"))), F.lit(0)).cast("bigint").alias(n)
     out = rows.groupBy("image_id").agg(total("n_true"), total("n_pred"), total("tp"))

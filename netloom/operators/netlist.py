@@ -76,16 +76,20 @@ def netlist_lines(circuits: DataFrame, parts: DataFrame, analysis: str = "op",
 
 
 # ---- reading netlists: everything happens inside the row of a text -------------------------------
-def _live_lines(c: Column) -> Column:
-    """Trimmed lines up to the first line starting with .END (any case, also .ENDS)."""
-    lines = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    end = F.array_position(F.transform(lines, lambda x: F.upper(x).startswith(".END")), True)
-    return F.when(end > 0, F.slice(lines, F.lit(1), (end - 1).cast("int"))).otherwise(lines)
+def _live_lines(texts: DataFrame) -> DataFrame:
+    """(circuit_id, lines): trimmed lines before the first one starting with .END (any case, also .ENDS).
+
+    The trimmed lines and the end are columns of their own, so each is worked out once.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
+    end = F.array_position(F.transform("all", lambda x: F.upper(F.substring(x, 1, 4)) == ".END"), True)
+    return (texts.select("circuit_id", lines.alias("all")).withColumn("end", end.cast("int")).select(
+        "circuit_id", F.when(F.col("end") > 0, F.slice("all", F.lit(1), F.col("end") - 1)).otherwise(F.col("all")).alias("lines")))
 
 
 def netlist_headers(texts: DataFrame) -> DataFrame:
     """(circuit_id, title, analysis): first comment and last of the .OP/.DC/.TRAN directives."""
-    live = texts.select("circuit_id", _live_lines(F.col("text")).alias("lines"))
+    live = _live_lines(texts)
     title = F.get(F.filter("lines", lambda x: x.startswith("* ")), F.lit(0))
     kinds = F.filter(F.transform("lines", lambda x: F.when(F.upper(x).startswith(".OP"), "op").when(
         F.upper(x).startswith(".DC"), "dc").when(F.upper(x).startswith(".TRAN"), "tran")), lambda k: k.isNotNull())
@@ -95,7 +99,7 @@ def netlist_headers(texts: DataFrame) -> DataFrame:
 
 def netlist_parts(texts: DataFrame) -> DataFrame:
     """(circuit_id, line_no, id, type, nodes, value, model) of every usable part line."""
-    rows = texts.select("circuit_id", F.posexplode(_live_lines(F.col("text"))).alias("line_no", "line"))
+    rows = _live_lines(texts).select("circuit_id", F.posexplode("lines").alias("line_no", "line"))
     w = rows.where((F.col("line") != "") & ~F.col("line").startswith("*") & ~F.col("line").startswith(".")).withColumn(
         "w", F.split("line", r"\s+"))
     letters = F.create_map(*[F.lit(x) for kv in dims.LETTER_TYPES.items() for x in kv])

@@ -11,20 +11,24 @@ ISSUE = "array<struct<type:string,severity:string,description:string,suggestion:
 REPLY = f"overall_score int, fatal_errors {ISSUE}, correctness_issues {ISSUE}, quality_issues {ISSUE}, summary string"
 
 
+def with_json(replies: DataFrame) -> DataFrame:
+    """Adds `json`: the first JSON value of the response. The body is its own column, worked out once."""
+    return replies.withColumn("_body", text.strip_fences(F.col("response"))).withColumn("json", text.first_json(F.col("_body"))).drop("_body")
+
+
 def parse_replies(replies: DataFrame) -> DataFrame:
     """Adds `json`, `ok` and `reply`; what is not JSON is kept with ok = false instead of asked again."""
-    out = replies.withColumn("json", text.first_json(F.col("response")))
+    out = with_json(replies)
     out = out.withColumn("ok", F.try_parse_json("json").isNotNull() & F.col("json").rlike(r"^\s*[\[{]"))
     return out.withColumn("reply", F.when(F.col("ok"), F.from_json("json", REPLY)))
 
 
 def reply_issues(parsed: DataFrame) -> DataFrame:
     """Issues of good replies in long form with normalised severities."""
-    r, out = parsed.where("ok"), None
-    for family, col in (("safety", "fatal_errors"), ("correctness", "correctness_issues"), ("quality", "quality_issues")):
-        one = r.select("circuit_id", F.lit(family).alias("family"), F.posexplode(F.col("reply")[col]).alias("ord", "i")).select(
-            "circuit_id", "family", "ord", "i.type", "i.severity", "i.description", "i.suggestion")
-        out = one if out is None else out.unionByName(one)
+    lists = F.array(*[F.struct(F.lit(family).alias("family"), F.col("reply")[col].alias("items")) for family, col in (
+        ("safety", "fatal_errors"), ("correctness", "correctness_issues"), ("quality", "quality_issues"))])
+    out = (parsed.where("ok").select("circuit_id", F.inline(lists)).select("circuit_id", "family", F.posexplode("items").alias("ord", "i"))
+           .select("circuit_id", "family", "ord", "i.type", "i.severity", "i.description", "i.suggestion"))
     return out.withColumn("severity", normal_severity(F.col("family"), F.col("severity")))
 
 

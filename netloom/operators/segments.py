@@ -35,11 +35,14 @@ def _ends(segs: DataFrame) -> DataFrame:
 
 
 def adjacent(segs: DataFrame, threshold: int = 12) -> DataFrame:
-    """Edges (image_id, a, b) between segments with ends at most `threshold` apart."""
-    size = F.lit(threshold)
+    """Edges (image_id, a, b) between segments with ends at most `threshold` apart.
+
+    Cells four times the threshold wide: an end reaches about two of them instead of nine.
+    """
+    size, reach = F.lit(4 * threshold), F.lit(threshold)
     e = _ends(segs)
     a = spatial.with_cell(e.select("image_id", F.col("seg").alias("a"), F.col("ex").alias("ax"), F.col("ey").alias("ay")), F.col("ax"), F.col("ay"), size)
-    b = spatial.with_near_cells(e.select("image_id", F.col("seg").alias("b"), F.col("ex").alias("bx"), F.col("ey").alias("by")), F.col("bx"), F.col("by"), size)
+    b = spatial.with_near_cells(e.select("image_id", F.col("seg").alias("b"), F.col("ex").alias("bx"), F.col("ey").alias("by")), F.col("bx"), F.col("by"), size, reach)
     return a.join(b, ["image_id", *spatial.CELL]).where(
         (F.col("a") < F.col("b")) & (geom.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= threshold)).select("image_id", "a", "b").distinct()
 

@@ -69,11 +69,11 @@ def merge_points(points: DataFrame, x: str, y: str, tol: Column, round_metric: b
     """
     spots = cut(points.groupBy("image_id", F.col(x).alias("x"), F.col(y).alias("y")).agg(
         count_all().alias("w"), F.max(tol).alias("tol")).withColumn("node", point_id(F.col("x"), F.col("y"))), "spots")
-    size = F.col("tol")
+    size = F.col("tol") * 4
     a = spatial.with_cell(spots.select("image_id", F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "tol"),
                           F.col("ax"), F.col("ay"), size)
     b = spatial.with_near_cells(spots.select("image_id", F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "tol"),
-                                F.col("bx"), F.col("by"), size).drop("tol")
+                                F.col("bx"), F.col("by"), size, F.col("tol")).drop("tol")
     metric = geom.dist if round_metric else geom.chebyshev
     near = metric(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= F.col("tol")
     edges = a.join(b, ["image_id", *spatial.CELL]).where((F.col("a") < F.col("b")) & near).select("image_id", "a", "b")

@@ -221,7 +221,7 @@ _FIRST = f""", b AS (SELECT circuit_id, {_BODY} AS body FROM replies),
 
 @query("F14_first_json", ("replies",), _FIRST + " SELECT * FROM js")
 def _(t):
-    return t.replies.select("circuit_id", text.first_json(F.col("response")).alias("json"))
+    return replies.with_json(t.replies).select("circuit_id", "json")
 
 
 @query("F15_F17_typed_issues", ("replies",), _FIRST + """, fam AS (SELECT circuit_id, f, key, CAST(json_extract(json, key) AS JSON[]) AS items FROM js,

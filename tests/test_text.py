@@ -34,7 +34,7 @@ def test_fits(spark):
 
 
 def test_json_extraction(spark):
-    got = _map(spark, text.first_json, ['```json\n{"a":{"b":1}}\n```', '{"a":{"b":1}} tail', '{"a":1', "hello", '[1,[2]] x]', "```\n"])
+    got = _map(spark, lambda c: text.first_json(text.strip_fences(c)), ['```json\n{"a":{"b":1}}\n```', '{"a":{"b":1}} tail', '{"a":1', "hello", '[1,[2]] x]', "```\n"])
     assert got == ['{"a":{"b":1}}', '{"a":{"b":1}}', "", "hello", "[1,[2]]", ""]
 
 
