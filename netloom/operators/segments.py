@@ -97,7 +97,10 @@ def nearest_on_wire(ports: DataFrame, merged: DataFrame) -> DataFrame:
     Connections go by distance, then wire, then the places of both ports in the wire's list. Only the
     first connection of a port can give it a node, so the other pairs of a wire are never formed.
     """
-    at = merged.join(ports.select("image_id", "ci", "pi", "px", "py"), ["image_id", "ci", "pi"]).withColumn("p", port_id())
+    # a wire of one component offers no partner; without those the search below always ends early
+    joint = merged.groupBy("image_id", "m").agg((F.min("ci") != F.max("ci")).alias("ok")).where("ok").select("image_id", "m")
+    at = cut(merged.join(joint, ["image_id", "m"]).join(ports.select("image_id", "ci", "pi", "px", "py"), ["image_id", "ci", "pi"])
+             .withColumn("p", port_id()), "at")
     left = at.select("image_id", "m", "p", "ci", F.col("first").alias("lf"), F.col("px").alias("lx"), F.col("py").alias("ly"))
     right = at.select("image_id", "m", F.col("p").alias("q"), F.col("ci").alias("cq"), F.col("first").alias("rf"), F.col("px").alias("rx"), F.col("py").alias("ry"))
     # the tie is the pair in list order: which of both comes first depends on the partner
