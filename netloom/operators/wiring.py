@@ -483,37 +483,40 @@ def routes(lines: DataFrame, comps: DataFrame, ports: DataFrame) -> DataFrame:
 
 
 # ---- the whole run -----------------------------------------------------------------------------------------------
-def wire(comps: DataFrame, ports: DataFrame, raw_junctions: DataFrame, limits: DataFrame, switches: dict | None = None) -> dict[str, DataFrame]:
-    """Groups, links, junction links and junctions of all pictures under one set of switches."""
-    on = {**dims.DEFAULT_SWITCHES, **(switches or {})}
+def prepare(comps: DataFrame, ports: DataFrame, raw_junctions: DataFrame, limits: DataFrame) -> dict[str, DataFrame]:
+    """Everything that no switch changes: placed ports, junctions, links up to the port fallbacks, and
+    candidate junction pairs. Written once, shared by all settings."""
     comps, limits = cut(comps, "comps"), cut(limits, "limits")
     ports = cut(prepare_ports(ports), "ports")
     junctions = cut(prepare_junctions(raw_junctions, limits), "junctions")
     links = cut(drop_own_shorts(nearest_junctions(ports, junctions, comps, limits), ports), "links")
+    more = cut(port_fallback(ports, comps, limits, links, "p2p_max", 1), "more")
+    links, junctions = cut(links.unionByName(more), "links"), cut(add_junctions(junctions, more), "junctions")
+    links = cut(links.unionByName(second_junctions(ports, junctions, comps, limits, links, 2)), "links")
+    more = cut(port_fallback(ports, comps, limits, links, "agg_p2p", 3), "more")
+    links, junctions = cut(links.unionByName(more), "links"), cut(add_junctions(junctions, more), "junctions")
+    pairs = cut(junction_pairs(junctions, links, comps, limits), "pairs")
+    return {"comps": comps, "limits": limits, "ports": ports, "junctions": junctions, "links": links, "pairs": pairs}
+
 
-    def extend(more, targets=False):
-        nonlocal links, junctions
-        more = cut(more, "more")
-        links = links.unionByName(more)
-        if targets:
-            junctions = cut(add_junctions(junctions, more), "junctions")
-    extend(port_fallback(ports, comps, limits, links, "p2p_max", 1), True)
-    extend(second_junctions(ports, junctions, comps, limits, links, 2))
-    extend(port_fallback(ports, comps, limits, links, "agg_p2p", 3), True)
-    jj = junction_pairs(junctions, links, comps, limits)
+def wire(prepared: dict[str, DataFrame], switches: dict | None = None) -> dict[str, DataFrame]:
+    """Groups, links, junction links and junctions of all pictures under one set of switches."""
+    on = {**dims.DEFAULT_SWITCHES, **(switches or {})}
+    comps, limits, ports, junctions, links = (prepared[k] for k in ("comps", "limits", "ports", "junctions", "links"))
     if on["use_nn_filter"]:
-        jj = nearest_by_direction(jj, limits)
+        jj = nearest_by_direction(prepared["pairs"], limits)
     else:
-        jj = jj.withColumn("ord", F.struct("oa", "ob"))
+        jj = prepared["pairs"].withColumn("ord", F.struct("oa", "ob"))
     jj = cut(jj, "jj")
     if on["use_degree_constraint"]:
         jj = degree_cap(jj)
     if on["use_los"]:
-        extend(sight_lines(ports, comps, links))
+        links = cut(links.unionByName(sight_lines(ports, comps, links)), "links")
     if on["use_force_connect"]:
-        extend(force_last(ports, junctions, comps, links))
+        links = cut(links.unionByName(force_last(ports, junctions, comps, links)), "links")
     if on["use_close_port"]:
-        extend(close_ports(ports, links), True)
+        more = cut(close_ports(ports, links), "more")
+        links, junctions = cut(links.unionByName(more), "links"), cut(add_junctions(junctions, more), "junctions")
     kept = cut(unshort(ports, links, port_groups(ports, links, jj)), "links")
     groups = eligible(port_groups(ports, kept, jj, final=True))
     return {"groups": groups, "links": kept, "jj": jj, "junctions": junctions, "ports": ports}

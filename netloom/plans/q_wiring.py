@@ -325,22 +325,29 @@ def _(t):
     return wiring.routes(cut(lines, "lines"), s.comps, s.ports)
 
 
+_prepared: dict[tuple[str, str], dict] = {}
+
+
 def wired(t, switches):
-    comps = detect.fix_sources(t.comps("wiring"))
-    comps = cut(detect.suppress(comps, detect.family_conflicts(comps, "wiring")), "comps")
-    ports = detect.place_ports(comps, "wiring").withColumnRenamed("idx", "ci").select("image_id", "ci", "pi", "px", "py", "n_ports", "name")
-    raw = detect.with_centre(detect.route_boxes(t.boxes).where("route = 'junction'")).select("image_id", F.col("cx").alias("jx"), F.col("cy").alias("jy"))
-    return comps, wiring.wire(comps, ports, raw, detect.thresholds(t.images), switches)
+    """The whole run; what no setting changes is worked out once per folder and session."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _prepared:
+        comps = detect.fix_sources(t.comps("wiring"))
+        comps = cut(detect.suppress(comps, detect.family_conflicts(comps, "wiring")), "comps")
+        ports = detect.place_ports(comps, "wiring").withColumnRenamed("idx", "ci").select("image_id", "ci", "pi", "px", "py", "n_ports", "name")
+        raw = detect.with_centre(detect.route_boxes(t.boxes).where("route = 'junction'")).select("image_id", F.col("cx").alias("jx"), F.col("cy").alias("jy"))
+        _prepared[key] = wiring.prepare(comps, ports, raw, detect.thresholds(t.images))
+    return wiring.wire(_prepared[key], switches)
 
 
 @query("G05_G06_whole_wiring")
 def _(t):
-    return wired(t, dims.ABLATIONS["Ours"])[1]["groups"]
+    return wired(t, dims.ABLATIONS["Ours"])["groups"]
 
 
 @query("J29_baseline_wiring")
 def _(t):
-    return wired(t, dims.ABLATIONS["Baseline"])[1]["groups"]
+    return wired(t, dims.ABLATIONS["Baseline"])["groups"]
 
 
 @query("F19_distances", ("boxes",), f"""SELECT image_id, idx, round({g.dist('x1', 'y1', 'x2', 'y2')},6) AS euclid, {g.manhattan('x1', 'y1', 'x2', 'y2')} AS manhattan, greatest(abs(x1-x2),abs(y1-y2)) AS chebyshev FROM boxes""")
