@@ -88,9 +88,11 @@ def merge_points(points: DataFrame, x: str, y: str, tol: Column, round_metric: b
 
 def prepare_junctions(raw: DataFrame, limits: DataFrame) -> DataFrame:
     """Raw junction centres (image_id, jx, jy), repeats included, to the ordered junction list."""
-    pts = raw.join(limits.select("image_id", "grid_snap", "uf_merge"), "image_id")
-    merged = merge_points(snap(pts, "jx", "jy", F.col("grid_snap")), "jx", "jy", F.col("uf_merge"))
-    once = merged.select("image_id", F.col("mx").alias("jx"), F.col("my").alias("jy")).distinct()
+    # every snap reads its points several times, so they are written in between
+    pts = cut(raw.join(limits.select("image_id", "grid_snap", "uf_merge"), "image_id"), "raw")
+    snapped = cut(snap(pts, "jx", "jy", F.col("grid_snap")), "snapped")
+    merged = merge_points(snapped, "jx", "jy", F.col("uf_merge"))
+    once = cut(merged.select("image_id", F.col("mx").alias("jx"), F.col("my").alias("jy")).distinct(), "once")
     return base_junctions(snap(once, "jx", "jy", F.lit(8)))
 
 
@@ -100,7 +102,8 @@ def base_junctions(points: DataFrame) -> DataFrame:
 
 def prepare_ports(ports: DataFrame) -> DataFrame:
     """Ports on common grid lines, near ports merged to their mean."""
-    merged = merge_points(snap(ports, "px", "py", F.lit(5)), "px", "py", F.lit(8), round_metric=False)
+    snapped = cut(snap(cut(ports, "placed"), "px", "py", F.lit(5)), "snapped")
+    merged = merge_points(snapped, "px", "py", F.lit(8), round_metric=False)
     return merged.drop("px", "py").withColumnsRenamed({"mx": "px", "my": "py"})
 
 
