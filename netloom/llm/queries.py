@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import chat, decontaminate, langid, mixing, warc
+from netloom.llm import chat, decontaminate, extract, langid, mixing, warc
 from netloom.llm.common import table
 
 
@@ -26,9 +26,13 @@ def op8_warc_salvage(spark, folder):
     return warc.page_records(table(spark, folder, "pages"))
 
 
+def op9_block_labeller(spark, folder):
+    return extract.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 def op10_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_chat_format, op6_fm_index, op8_warc_salvage, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_chat_format, op6_fm_index, op8_warc_salvage, op9_block_labeller, op10_language_id)}
 ORACLES = {"op2_source_mix": mixing.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL}
