@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from netloom.llm import chat, decontaminate, extract, langid, mixing, warc
+from netloom.llm import chat, decontaminate, extract, langid, mixing, pii, warc
 from netloom.llm.common import table
 
 
+def op1_word_shape_crf(spark, folder):
+    return pii.find(table(spark, folder, "documents"))
+
+
 def op2_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,5 +38,5 @@ def op10_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_chat_format, op6_fm_index, op8_warc_salvage, op9_block_labeller, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op4_chat_format, op6_fm_index, op8_warc_salvage, op9_block_labeller, op10_language_id)}
 ORACLES = {"op2_source_mix": mixing.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL}
