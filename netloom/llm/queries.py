@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import chat, decontaminate, extract, langid, mixing, pii, warc
+from netloom.llm import chat, decontaminate, extract, langid, mixing, pii, pivots, warc
 from netloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_fm_index(spark, folder):
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_pivot_permutations(spark, folder):
+    return pivots.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op8_warc_salvage(spark, folder):
     return warc.page_records(table(spark, folder, "pages"))
 
@@ -38,5 +42,5 @@ def op10_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op4_chat_format, op6_fm_index, op8_warc_salvage, op9_block_labeller, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op4_chat_format, op6_fm_index, op7_pivot_permutations, op8_warc_salvage, op9_block_labeller, op10_language_id)}
 ORACLES = {"op2_source_mix": mixing.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL}
