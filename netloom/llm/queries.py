@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import chat, decontaminate, extract, langid, mixing, pii, pivots, warc
+from netloom.llm import chat, decontaminate, extract, jaccard, langid, mixing, pii, pivots, warc
 from netloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_source_mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_divide_skip(spark, folder):
+    return jaccard.join(table(spark, folder, "documents"))
+
+
 def op4_chat_format(spark, folder):
     control = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, '{"messages": [{"role": "user", "content": "%s"}, {"role": "assistant", "content": "%s"}]}' % (control, control))],
@@ -42,5 +46,5 @@ def op10_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op4_chat_format, op6_fm_index, op7_pivot_permutations, op8_warc_salvage, op9_block_labeller, op10_language_id)}
-ORACLES = {"op2_source_mix": mixing.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL}
+QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op3_divide_skip, op4_chat_format, op6_fm_index, op7_pivot_permutations, op8_warc_salvage, op9_block_labeller, op10_language_id)}
+ORACLES = {"op2_source_mix": mixing.SQL, "op3_divide_skip": jaccard.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL}
