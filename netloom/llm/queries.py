@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import chat, decontaminate, extract, jaccard, langid, mixing, pii, pivots, warc
+from netloom.llm import chat, decontaminate, extract, jaccard, langid, mixing, pii, pivots, repeats, warc
 from netloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_chat_format(spark, folder):
     return chat.digests(chat.formatted(turns))
 
 
+def op5_suffix_levels(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def op6_fm_index(spark, folder):
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -46,5 +50,5 @@ def op10_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op3_divide_skip, op4_chat_format, op6_fm_index, op7_pivot_permutations, op8_warc_salvage, op9_block_labeller, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op3_divide_skip, op4_chat_format, op5_suffix_levels, op6_fm_index, op7_pivot_permutations, op8_warc_salvage, op9_block_labeller, op10_language_id)}
 ORACLES = {"op2_source_mix": mixing.SQL, "op3_divide_skip": jaccard.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL}
