@@ -1,5 +1,60 @@
-"""Corpus pipeline."""
+"""Preparation of a training corpus: five stages over the documents, each written before the next one reads it.
 
+1. language: documents without letters, or without a clear language, go.
+2. near duplicates: of documents whose five-word shingles are 80% alike, directly or through others, the one with
+   the smallest id stays; of equal rows, one.
+3. benchmark: passages of benchmark items are cut out; a document left without words goes.
+4. personal data: spans are replaced by their kind.
+5. mix: blocks are apportioned to sources; the result has the documents that the mix takes, with the number of words.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from netloom.lineage import cut
+from netloom.llm import decontaminate, jaccard, langid, mixing, pii
+from netloom.llm.common import table
+from netloom.llm.packed import small_enough
+
+MIN_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs.where(~langid.held_out()))
+    scored = langid.predict(docs, model)
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.join(docs, k=5, percent=80)
+    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    joined = docs.join(small_enough(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("kept")))
+    once = joined.where("rows = 1").select(*docs.columns)
+    return once.unionByName(joined.where("rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_spans(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    plan = cut(mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken")), "plan")
+    return docs.drop("size", "target", "taken").join(small_enough(plan, plan.count()), "doc_id")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("mix", mix)]
+
+# models and similarity joins cannot be written as SQL; tests compare the stages with plain versions
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
