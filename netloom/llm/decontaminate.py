@@ -43,7 +43,8 @@ def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(k):
         key <<= bits
-        key[:n - j] |= s[j:]
+        if j < n:
+            key[:n - j] |= s[j:]
     order = np.argsort(key)
     first = np.concatenate([[True], np.diff(key[order]) != 0])
     rank = np.empty(n, np.int64)

@@ -309,12 +309,15 @@ def fit(docs: DataFrame) -> Field:
                 new = rewritten(kind, text[a:b], r)
                 moved = len(new) - (b - a)
                 others = [(k, x + moved * (x >= b), y + moved * (x >= b)) for k, x, y in spans if y <= a or x >= b]
-                data += labelled(text[:a] + new + text[b:], [*others, (kind, a, a + len(new))])
+                data += labelled(text[:a] + new + text[b:], [*others, (kind, a + 4 * new.startswith("tel "), a + len(new))])
     field = Field()
     field.fit(data)
     return field
 
 
+_AT_FIRST, _NAME_BEFORE = re.compile(r"[\[(]?(?:at\b|@)", re.I), re.compile(r"(?:[A-Za-z0-9._%+-]+[ \[(]*)?\Z")
+
+
 def _plausible(kind: str, text: str) -> bool:
     """What an added span must hold; stricter than a base span where shapes alone could mislead."""
     d = _digits(text)
@@ -345,9 +348,17 @@ def spans_of(texts: list[str | None], field: Field) -> list[tuple[list[tuple[str
             stop = k + 1
             while stop < len(labels) and labels[stop] == labels[k] + 1:
                 stop += 1
-            kind, a, b = KINDS[(int(labels[k]) - 1) // 2], int(start[k]), int(end[stop - 1])
-            if _plausible(kind, texts[i][a:b]) and not any(x < b and a < y for _, x, y in base[i]):
-                added[i].append((kind, a, b))
+            kind, a = KINDS[(int(labels[k]) - 1) // 2], int(start[k])
+            if kind == "email":  # a name is taken whole
+                a -= len(_NAME_BEFORE.search(texts[i][max(0, a - 80):a])[0]) if _AT_FIRST.match(texts[i], a) else 0
+                while a and texts[i][a - 1] in _LOCAL:
+                    a -= 1
+            for last in range(stop - 1, max(k, stop - 4) - 1, -1):  # an end too far by a few tokens
+                b = int(end[last])
+                if _plausible(kind, texts[i][a:b]):
+                    if not any(x < b and a < y for _, x, y in base[i]):
+                        added[i].append((kind, a, b))
+                    break
     return list(zip(base, added))
 
 
