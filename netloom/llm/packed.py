@@ -43,7 +43,8 @@ def unpack(batches, kinds: dict[str, type]) -> Columns:
 
 
 def dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "bucket")
+    """One partition for each bucket."""
+    return rows.repartitionById(buckets, F.col("bucket"))
 
 
 def reduce(rows: DataFrame, buckets: int, kinds: dict[str, type], work: Callable[[Columns], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from netloom.lineage import cut
 from netloom.llm.common import prefix_hash, runs, stretch_hash, tasks_of, utf8
-from netloom.llm.packed import pack, reduce, schema_of, small_enough
+from netloom.llm.packed import dealt, pack, reduce, schema_of, small_enough
 
-LENGTH, GRAM, CHUNK, BATCH_IDS = 100, 32, 4 << 20, 65536
+LENGTH, GRAM, CHUNK, FLUSH, BATCH_IDS = 100, 32, 1 << 20, 250_000, 65536
 GRAMS = LENGTH - GRAM + 1
 PLACE_BITS = 23  # places within a chunk, below the hash in one number
 
@@ -101,7 +101,7 @@ def entries(docs: DataFrame, buckets: int) -> DataFrame:
                 for k, v in zip(ENTRY, (gram, stretch, np.full(len(gram), ids[i], np.int64), start, count.astype(np.uint8))):
                     columns[k].append(v)
                 size += len(gram)
-                if size > 1_000_000:
+                if size > FLUSH:
                     yield from _packed(columns, buckets)
                     columns, size = {k: [] for k in ENTRY}, 0
             if size:
@@ -256,7 +256,7 @@ def _with_texts(docs: DataFrame, packed: DataFrame, wanted: DataFrame, count: in
         if ids:
             yield from flush()
 
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return dealt(both, buckets).mapInArrow(run, schema)
 
 
 CONTEXT = {"doc": np.int64, "start": np.int64, "count": np.uint8}
