@@ -26,6 +26,13 @@ def hash63(column, seed: str):
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices of a few rows, so that what Python makes of long texts stays small."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
+
+
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from netloom.llm.common import LOWER, runs, sha, utf8, word_hashes
+from netloom.llm.common import LOWER, runs, sha, sliced, utf8, word_hashes
 
 WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 8 << 20, 16
 FOUND = "_found"
@@ -292,7 +292,7 @@ def _searcher(tests, text: str, shard_bytes: int, schema: T.StructType):
     def search(batches):
         from pyspark.sql.pandas.types import to_arrow_type
         kind = to_arrow_type(FOUND_TYPE)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             earlier = batch.column(FOUND).to_pylist() if FOUND in batch.schema.names else [None] * batch.num_rows
             rows = []
             for (n, spans, items), old in zip(find(batch.column(text).to_pylist(), tests.value, shard_bytes), earlier):
@@ -331,7 +331,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     schema = docs.select(*names).schema
 
     def cut_out(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             texts, keep, counts = [], [], []
             sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else [None] * batch.num_rows
             for t, n, found in zip(batch.column("text").to_pylist(), sizes, batch.column(FOUND).to_pylist()):

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import hash63
+from netloom.llm.common import hash63, sliced
 
 SAMPLE_PAGES, SAMPLE_BLOCKS, MADE_UP, HIDDEN, EPOCHS, BATCH, SEED = 120, 40, 420, 12, 10, 32, 7
 PATH_DIMS, WORD_DIMS = 64, 16
@@ -331,7 +331,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
 
     def run(batches):
         features = Features()
-        for b in batches:
+        for b in sliced(batches, 512):
             texts = main_texts(b.column("html").to_pylist(), held.value, features)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 

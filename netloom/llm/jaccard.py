@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.lineage import cut
-from netloom.llm.common import LOWER, not_space, prefix_hash, stretch_hash, tasks_of, utf8, word_hashes
+from netloom.llm.common import LOWER, not_space, prefix_hash, sliced, stretch_hash, tasks_of, utf8, word_hashes
 from netloom.llm.packed import components, pack, reduce, schema_of, small_enough
 
 SHINGLE, PERCENT, SHORT_LIST, BLOCK_NODES, SPARE = 4, 85, 64, 20_000, 10
@@ -60,7 +60,7 @@ def posted(n: int, percent: int) -> int:
 def nodes_of(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, number of shingles and node (a digest of the set; null if empty)."""
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1024):
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                                               pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "node"])
@@ -215,7 +215,7 @@ def verified(docs: DataFrame, members: DataFrame, count: int, k: int, percent: i
     texts = docs.select("doc_id", "text").join(small_enough(members, count), "doc_id")
 
     def sets(batches):
-        for b in batches:
+        for b in sliced(batches, 1024):
             found = [shingle_set(t, k) for t in b.column("text").to_pylist()]
             own = [node_of(s) == node for s, node in zip(found, b.column("node").to_pylist())]  # an id may have several texts
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("block"), b.column("parts"), pa.array([s.tobytes() for s in found], pa.binary())],

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.lineage import cut
-from netloom.llm.common import hash63
+from netloom.llm.common import hash63, sliced
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS, ROUNDS, SMOOTHING, CACHE = 2000, 2, 0.1, 400_000
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         import pyarrow as pa
         m = held.value
         lattices, index, table = Lattices(m.pieces), {}, np.zeros((0, len(m.languages)))
-        for b in batches:
+        for b in sliced(batches):
             if len(index) > CACHE:
                 index, table = {}, table[:0]
             found = [words(t) if m.languages else [] for t in b.column(text).to_pylist()]

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import hash63, runs, sha
+from netloom.llm.common import hash63, runs, sha, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_STRETCHES, EPOCHS, REACH = 4000, 400, 10, 2
@@ -370,7 +370,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(field or fit(docs))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = spans_of(b.column("text").to_pylist(), held.value)
             counts = [[sum(k == kind for k, _, _ in base) for base, _ in found] for kind in KINDS]
             yield pa.RecordBatch.from_arrays(
@@ -387,7 +387,7 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column("text").to_pylist()
             sizes = b.column("n_chars").to_pylist() if "n_chars" in b.schema.names else [None] * len(texts)
             for i, (base, more) in enumerate(spans_of(texts, held.value)):
