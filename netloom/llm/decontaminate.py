@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for every training shard.
 
-A task turns its documents into shards of a few megabytes. The words of a shard, as numbers of the test
+A task turns its documents into shards of about two megabytes. The words of a shard, as numbers of the test
 vocabulary, get a suffix array, a Burrows-Wheeler transform held in a wavelet matrix and sampled suffix
 positions. All windows of the test items are searched backwards at once, their occurrences located, and the
 covered words of each document merged into spans. Words that no test item contains share one symbol, and a
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from netloom.llm.common import LOWER, runs, sha, sliced, utf8, word_hashes
 
-WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 8 << 20, 16
+WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 1_900_000, 8 << 20, 16
 FOUND = "_found"
 FOUND_TYPE = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -292,7 +292,7 @@ def _searcher(tests, text: str, shard_bytes: int, schema: T.StructType):
     def search(batches):
         from pyspark.sql.pandas.types import to_arrow_type
         kind = to_arrow_type(FOUND_TYPE)
-        for batch in sliced(batches, 1024):
+        for batch in sliced(batches, 512):
             earlier = batch.column(FOUND).to_pylist() if FOUND in batch.schema.names else [None] * batch.num_rows
             rows = []
             for (n, spans, items), old in zip(find(batch.column(text).to_pylist(), tests.value, shard_bytes), earlier):
@@ -331,7 +331,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     schema = docs.select(*names).schema
 
     def cut_out(batches):
-        for batch in sliced(batches, 1024):
+        for batch in sliced(batches, 512):
             texts, keep, counts = [], [], []
             sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else [None] * batch.num_rows
             for t, n, found in zip(batch.column("text").to_pylist(), sizes, batch.column(FOUND).to_pylist()):

@@ -29,7 +29,7 @@ from netloom.lineage import cut
 from netloom.llm.common import prefix_hash, runs, stretch_hash, tasks_of, utf8
 from netloom.llm.packed import dealt, pack, reduce, schema_of, small_enough
 
-LENGTH, GRAM, CHUNK, FLUSH, BATCH_IDS = 100, 32, 1 << 20, 250_000, 65536
+LENGTH, GRAM, CHUNK, FLUSH, BATCH_IDS = 100, 32, 1_000_000, 250_000, 65536
 GRAMS = LENGTH - GRAM + 1
 PLACE_BITS = 23  # places within a chunk, below the hash in one number
 
@@ -297,17 +297,28 @@ def contexts(docs: DataFrame, asked: DataFrame, wanted: DataFrame, count: int, b
     return _with_texts(docs, asked, wanted, count, buckets, MARK, work, schema_of([*CONTEXT, "bytes"]))
 
 
+def _string_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of all strings of the stretches, a piece of the bytes at a time."""
+    out, i = [], 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + CHUNK, "right")))
+        h = prefix_hash(data[begins[i]:ends[j - 1]].astype(np.uint64) + np.uint64(1))
+        n = size[i:j]
+        at = np.repeat(begins[i:j] - begins[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out.append(stretch_hash(h, at, at + LENGTH))
+        i = j
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def compared(c: dict[str, np.ndarray], buckets: int):
     """Runs of starts, among the asked stretches of one task, whose strings stand earlier."""
     size = c["count"].astype(np.int64)
     ends = np.cumsum(size - 1 + LENGTH)
     begins = ends - (size - 1 + LENGTH)
-    h = prefix_hash(c["bytes"].astype(np.uint64) + np.uint64(1))
     total = size.sum()
     owner = np.repeat(np.arange(len(size)), size)
     offset = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-    at = begins[owner] + offset
-    string = stretch_hash(h, at, at + LENGTH)
+    string = _string_hashes(c["bytes"], begins, ends, size)
     order = np.argsort(string, kind="stable")
     string = string[order]
     group = np.cumsum(np.concatenate([[False], string[1:] != string[:-1]]))
