@@ -102,81 +102,222 @@ PORT_KEYS = {
 }
 
 # ---- fixed values: port templates, relative to the box (0 left/top, 1 right/bottom) -----------------
-_LR = ((0.0, 0.5), (1.0, 0.5))
-_TB = ((0.5, 0.0), (0.5, 1.0))
 TEMPLATES = {
     "wiring": {
-        "Resistor": _LR, "Capacitor": _LR, "Polarized-Capacitor": _LR, "Inductor": _LR, "Diode": _LR,
-        "LED": _LR, "Zener Diode": _LR, "Thyristor": _LR, "Triac": _LR, "Diac": _LR, "Varistor": _LR,
-        "V-DC": _TB, "V-AC": _TB, "I-DC": _TB, "I-AC": _TB, "GND": ((0.5, 0.0),),
-        "BJT-NPN": ((0.0, 0.5), (0.7, 0.0), (0.7, 1.0)), "BJT-PNP": ((0.0, 0.5), (0.7, 0.0), (0.7, 1.0)),
-        "MOSFET-N": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)), "MOSFET-P": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
-        "Op-Amp": ((0.0, 0.5), (0.0, 0.3), (1.0, 0.5)), "Lamp": _LR,
-        "Potentiometer": ((0.0, 0.5), (1.0, 0.5), (0.5, 1.0)), "Photo-Resistor": _LR,
+        "Resistor": ((0.0, 0.5), (1.0, 0.5)),
+        "Capacitor": ((0.0, 0.5), (1.0, 0.5)),
+        "Polarized-Capacitor": ((0.0, 0.5), (1.0, 0.5)),
+        "Inductor": ((0.0, 0.5), (1.0, 0.5)),
+        "Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "LED": ((0.0, 0.5), (1.0, 0.5)),
+        "Zener Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "Thyristor": ((0.0, 0.5), (1.0, 0.5)),
+        "Triac": ((0.0, 0.5), (1.0, 0.5)),
+        "Diac": ((0.0, 0.5), (1.0, 0.5)),
+        "Varistor": ((0.0, 0.5), (1.0, 0.5)),
+        "V-DC": ((0.5, 0.0), (0.5, 1.0)),
+        "V-AC": ((0.5, 0.0), (0.5, 1.0)),
+        "I-DC": ((0.5, 0.0), (0.5, 1.0)),
+        "I-AC": ((0.5, 0.0), (0.5, 1.0)),
+        "GND": ((0.5, 0.0),),
+        "BJT-NPN": ((0.0, 0.5), (0.7, 0.0), (0.7, 1.0)),
+        "BJT-PNP": ((0.0, 0.5), (0.7, 0.0), (0.7, 1.0)),
+        "MOSFET-N": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
+        "MOSFET-P": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
+        "Op-Amp": ((0.0, 0.5), (0.0, 0.3), (1.0, 0.5)),
+        "Lamp": ((0.0, 0.5), (1.0, 0.5)),
+        "Potentiometer": ((0.0, 0.5), (1.0, 0.5), (0.5, 1.0)),
+        "Photo-Resistor": ((0.0, 0.5), (1.0, 0.5)),
         "Transformer": ((0.0, 0.5), (1.0, 0.5), (0.0, 0.2), (1.0, 0.2)),
         "Schmitt-Trigger": ((0.0, 0.5), (0.0, 0.3), (1.0, 0.5)),
         "Optocoupler": ((0.0, 0.5), (1.0, 0.5), (0.0, 0.8), (1.0, 0.8)),
         "IC": ((0.0, 0.3), (0.0, 0.7), (1.0, 0.5)),
-        "NE555": ((0.0, 0.2), (0.0, 0.4), (0.0, 0.6), (0.0, 0.8),
-                  (1.0, 0.5), (0.5, 1.0), (0.5, 0.0), (1.0, 0.3)),
+        "NE555": ((0.0, 0.2), (0.0, 0.4), (0.0, 0.6), (0.0, 0.8), (1.0, 0.5), (0.5, 1.0), (0.5, 0.0), (1.0, 0.3)),
         "Voltage-Regulator": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
         "Photo-Transistor": ((0.5, 1.0), (0.5, 0.0)),
-        "XOR": (*_LR, (0.5, 0.0)), "AND": (*_LR, (0.5, 0.0)), "OR": (*_LR, (0.5, 0.0)),
-        "NOT": (*_LR, (0.5, 0.0)), "NAND": (*_LR, (0.5, 0.0)), "NOR": (*_LR, (0.5, 0.0)),
-        "Switch": _LR, "Relay": ((0.0, 0.3), (0.0, 0.7), (1.0, 0.5)), "Socket": _LR, "Fuse": _LR,
-        "Speaker": _LR, "Motor": _LR, "Microphone": _LR, "Antenna": ((0.5, 0.0),), "Crystal": _LR,
-        "Mechanical": _LR, "Magnetic": _LR, "Optical": _LR, "Block": _LR,
-        "Explanatory": (), "Unknown": (), "Wire Crossover": (),
+        "XOR": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
+        "AND": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
+        "OR": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
+        "NOT": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
+        "NAND": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
+        "NOR": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
+        "Switch": ((0.0, 0.5), (1.0, 0.5)),
+        "Relay": ((0.0, 0.3), (0.0, 0.7), (1.0, 0.5)),
+        "Socket": ((0.0, 0.5), (1.0, 0.5)),
+        "Fuse": ((0.0, 0.5), (1.0, 0.5)),
+        "Speaker": ((0.0, 0.5), (1.0, 0.5)),
+        "Motor": ((0.0, 0.5), (1.0, 0.5)),
+        "Microphone": ((0.0, 0.5), (1.0, 0.5)),
+        "Antenna": ((0.5, 0.0),),
+        "Crystal": ((0.0, 0.5), (1.0, 0.5)),
+        "Mechanical": ((0.0, 0.5), (1.0, 0.5)),
+        "Magnetic": ((0.0, 0.5), (1.0, 0.5)),
+        "Optical": ((0.0, 0.5), (1.0, 0.5)),
+        "Block": ((0.0, 0.5), (1.0, 0.5)),
+        "Explanatory": (),
+        "Unknown": (),
+        "Wire Crossover": (),
     },
     "annotation": {
-        "Resistor": _LR, "Potentiometer": (*_LR, (0.5, 0.0)), "Capacitor": _LR,
-        "Polarized-Capacitor": _LR, "Inductor": _LR, "Diode": _LR, "LED": _LR, "Zener-Diode": _LR,
-        "V-DC": _TB, "V-AC": _TB, "I-DC": _TB, "I-AC": _TB, "Battery": _TB, "GND": ((0.5, 0.0),),
-        "Switch": _LR, "Speaker": _LR, "BJT": ((0.0, 0.5), (0.7, 0.0), (0.7, 1.0)), "Diac": _LR,
-        "Variable-Capacitor": _LR, "Terminal": ((0.5, 0.5),), "Explanatory": (),
-        "Op-Amp": ((0.0, 0.15), (0.0, 0.85), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0)), "Lamp": _LR,
-        "PhotoTransistor": _TB, "FET": ((0.0, 0.5), (0.5, 0.0), (0.5, 1.0)),
-        "Relay": (*_LR, (0.5, 0.0), (0.5, 1.0)), "Thyristor": _LR, "Motor": _LR,
+        "Resistor": ((0.0, 0.5), (1.0, 0.5)),
+        "Potentiometer": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0)),
+        "Capacitor": ((0.0, 0.5), (1.0, 0.5)),
+        "Polarized-Capacitor": ((0.0, 0.5), (1.0, 0.5)),
+        "Inductor": ((0.0, 0.5), (1.0, 0.5)),
+        "Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "LED": ((0.0, 0.5), (1.0, 0.5)),
+        "Zener-Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "V-DC": ((0.5, 0.0), (0.5, 1.0)),
+        "V-AC": ((0.5, 0.0), (0.5, 1.0)),
+        "I-DC": ((0.5, 0.0), (0.5, 1.0)),
+        "I-AC": ((0.5, 0.0), (0.5, 1.0)),
+        "Battery": ((0.5, 0.0), (0.5, 1.0)),
+        "GND": ((0.5, 0.0),),
+        "Switch": ((0.0, 0.5), (1.0, 0.5)),
+        "Speaker": ((0.0, 0.5), (1.0, 0.5)),
+        "BJT": ((0.0, 0.5), (0.7, 0.0), (0.7, 1.0)),
+        "Diac": ((0.0, 0.5), (1.0, 0.5)),
+        "Variable-Capacitor": ((0.0, 0.5), (1.0, 0.5)),
+        "Terminal": ((0.5, 0.5),),
+        "Explanatory": (),
+        "Op-Amp": ((0.0, 0.15), (0.0, 0.85), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0)),
+        "Lamp": ((0.0, 0.5), (1.0, 0.5)),
+        "PhotoTransistor": ((0.5, 0.0), (0.5, 1.0)),
+        "FET": ((0.0, 0.5), (0.5, 0.0), (0.5, 1.0)),
+        "Relay": ((0.0, 0.5), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0)),
+        "Thyristor": ((0.0, 0.5), (1.0, 0.5)),
+        "Motor": ((0.0, 0.5), (1.0, 0.5)),
         "Transformer": ((0.0, 0.2), (0.0, 0.8), (1.0, 0.2), (1.0, 0.8)),
     },
     "reading": {
-        "Resistor": _LR, "Capacitor": _LR, "Inductor": _LR, "Diode": _LR, "Zener Diode": _LR,
-        "Thyristor": _LR, "Triac": _LR, "Diac": _LR, "Varistor": _LR,
-        "V-DC": _TB[::-1], "V-AC": _TB[::-1], "I-DC": _TB[::-1], "I-AC": _TB[::-1],
+        "Resistor": ((0.0, 0.5), (1.0, 0.5)),
+        "Capacitor": ((0.0, 0.5), (1.0, 0.5)),
+        "Inductor": ((0.0, 0.5), (1.0, 0.5)),
+        "Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "Zener Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "Thyristor": ((0.0, 0.5), (1.0, 0.5)),
+        "Triac": ((0.0, 0.5), (1.0, 0.5)),
+        "Diac": ((0.0, 0.5), (1.0, 0.5)),
+        "Varistor": ((0.0, 0.5), (1.0, 0.5)),
+        "V-DC": ((0.5, 1.0), (0.5, 0.0)),
+        "V-AC": ((0.5, 1.0), (0.5, 0.0)),
+        "I-DC": ((0.5, 1.0), (0.5, 0.0)),
+        "I-AC": ((0.5, 1.0), (0.5, 0.0)),
+        "GND": ((0.5, 0.0),),
+        "BJT-NPN": ((0.0, 0.5), (0.7, 1.0), (0.7, 0.0)),
+        "BJT-PNP": ((0.0, 0.5), (0.7, 1.0), (0.7, 0.0)),
+        "MOSFET-N": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
+        "MOSFET-P": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
+        "Op-Amp": ((0.0, 0.5), (0.0, 0.3), (1.0, 0.5)),
+        "Wire Crossover": (),
+    },
+    "segments": {
+        "Resistor": ((0.0, 0.5), (1.0, 0.5)),
+        "Capacitor": ((0.0, 0.5), (1.0, 0.5)),
+        "Inductor": ((0.0, 0.5), (1.0, 0.5)),
+        "Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "Zener Diode": ((0.0, 0.5), (1.0, 0.5)),
+        "V-DC": ((0.5, 1.0), (0.5, 0.0)),
+        "V-AC": ((0.5, 1.0), (0.5, 0.0)),
+        "I-DC": ((0.5, 1.0), (0.5, 0.0)),
+        "I-AC": ((0.5, 1.0), (0.5, 0.0)),
         "GND": ((0.5, 0.0),),
-        "BJT-NPN": ((0.0, 0.5), (0.7, 1.0), (0.7, 0.0)), "BJT-PNP": ((0.0, 0.5), (0.7, 1.0), (0.7, 0.0)),
-        "MOSFET-N": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)), "MOSFET-P": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
-        "Op-Amp": ((0.0, 0.5), (0.0, 0.3), (1.0, 0.5)), "Wire Crossover": (),
+        "BJT-NPN": ((0.0, 0.5), (0.7, 1.0), (0.7, 0.0)),
+        "BJT-PNP": ((0.0, 0.5), (0.7, 1.0), (0.7, 0.0)),
+        "MOSFET-N": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
+        "MOSFET-P": ((0.0, 0.5), (0.5, 1.0), (0.5, 0.0)),
+        "Op-Amp": ((0.0, 0.5), (0.0, 0.3), (1.0, 0.5)),
+        "Wire Crossover": (),
     },
 }
-TEMPLATES["segments"] = {n: t for n, t in TEMPLATES["reading"].items()
-                         if n not in ("Thyristor", "Triac", "Diac", "Varistor")}
 TYPES_WITH_SCANNED_PINS = ("IC", "NE555", "Voltage-Regulator", "Op-Amp", "Schmitt-Trigger", "Optocoupler")
 
 # ---- fixed values: port labels ------------------------------------------------------------------
 LABELS = {
     "wiring": {
-        "Resistor": "1 2", "Capacitor": "1 2", "Polarized-Capacitor": "+ -", "Inductor": "1 2",
-        "Diode": "A K", "LED": "+ -", "Zener Diode": "A K", "Thyristor": "A K", "Triac": "T1 T2",
-        "Diac": "T1 T2", "Varistor": "1 2", "V-DC": "+ -", "V-AC": "~ ~", "I-DC": "- +", "I-AC": "~ ~",
-        "GND": "GND", "BJT-NPN": "B E C", "BJT-PNP": "B E C", "MOSFET-N": "G S D", "MOSFET-P": "G S D",
-        "Op-Amp": "- + OUT", "Lamp": "1 2", "Potentiometer": "1 2 W", "Photo-Resistor": "1 2",
-        "Transformer": "P1 P2 S1 S2", "Schmitt-Trigger": "- + OUT", "Optocoupler": "A K C E",
-        "IC": "- + OUT", "NE555": "GND TRIG OUT RST CTRL THR DIS VCC",
-        "Voltage-Regulator": "IN OUT GND", "Photo-Transistor": "C E",
-        "XOR": "A B Y", "AND": "A B Y", "OR": "A B Y", "NOT": "A Y", "NAND": "A B Y", "NOR": "A B Y",
-        "Switch": "1 2", "Relay": "COIL1 COIL2 COM", "Socket": "1 2", "Fuse": "1 2", "Speaker": "1 2",
-        "Motor": "+ -", "Microphone": "+ -", "Antenna": "ANT", "Crystal": "1 2", "Mechanical": "1 2",
-        "Magnetic": "1 2", "Optical": "1 2", "Block": "1 2", "Explanatory": "", "Unknown": "",
+        "Resistor": ("1", "2"),
+        "Capacitor": ("1", "2"),
+        "Polarized-Capacitor": ("+", "-"),
+        "Inductor": ("1", "2"),
+        "Diode": ("A", "K"),
+        "LED": ("+", "-"),
+        "Zener Diode": ("A", "K"),
+        "Thyristor": ("A", "K"),
+        "Triac": ("T1", "T2"),
+        "Diac": ("T1", "T2"),
+        "Varistor": ("1", "2"),
+        "V-DC": ("+", "-"),
+        "V-AC": ("~", "~"),
+        "I-DC": ("-", "+"),
+        "I-AC": ("~", "~"),
+        "GND": ("GND",),
+        "BJT-NPN": ("B", "E", "C"),
+        "BJT-PNP": ("B", "E", "C"),
+        "MOSFET-N": ("G", "S", "D"),
+        "MOSFET-P": ("G", "S", "D"),
+        "Op-Amp": ("-", "+", "OUT"),
+        "Lamp": ("1", "2"),
+        "Potentiometer": ("1", "2", "W"),
+        "Photo-Resistor": ("1", "2"),
+        "Transformer": ("P1", "P2", "S1", "S2"),
+        "Schmitt-Trigger": ("-", "+", "OUT"),
+        "Optocoupler": ("A", "K", "C", "E"),
+        "IC": ("-", "+", "OUT"),
+        "NE555": ("GND", "TRIG", "OUT", "RST", "CTRL", "THR", "DIS", "VCC"),
+        "Voltage-Regulator": ("IN", "OUT", "GND"),
+        "Photo-Transistor": ("C", "E"),
+        "XOR": ("A", "B", "Y"),
+        "AND": ("A", "B", "Y"),
+        "OR": ("A", "B", "Y"),
+        "NOT": ("A", "Y"),
+        "NAND": ("A", "B", "Y"),
+        "NOR": ("A", "B", "Y"),
+        "Switch": ("1", "2"),
+        "Relay": ("COIL1", "COIL2", "COM"),
+        "Socket": ("1", "2"),
+        "Fuse": ("1", "2"),
+        "Speaker": ("1", "2"),
+        "Motor": ("+", "-"),
+        "Microphone": ("+", "-"),
+        "Antenna": ("ANT",),
+        "Crystal": ("1", "2"),
+        "Mechanical": ("1", "2"),
+        "Magnetic": ("1", "2"),
+        "Optical": ("1", "2"),
+        "Block": ("1", "2"),
+        "Explanatory": (),
+        "Unknown": (),
     },
     "annotation": {
-        "Resistor": "1 2", "Potentiometer": "1 2 W", "Capacitor": "1 2", "Polarized-Capacitor": "+ -",
-        "Inductor": "1 2", "Diode": "+ -", "LED": "+ -", "Zener-Diode": "+ -", "V-DC": "+ -",
-        "V-AC": "~ ~", "I-DC": "+ -", "I-AC": "~ ~", "Battery": "+ -", "GND": "GND", "Switch": "1 2",
-        "Speaker": "1 2", "BJT": "B E C", "Diac": "1 2", "Variable-Capacitor": "1 2", "Terminal": "T",
-        "Explanatory": "", "Op-Amp": "- + OUT V+ V-", "Lamp": "1 2", "PhotoTransistor": "C E",
-        "FET": "G S D", "Relay": "C1 C2 NO COM", "Thyristor": "A K", "Motor": "1 2",
-        "Transformer": "P1 P2 S1 S2",
+        "Resistor": ("1", "2"),
+        "Potentiometer": ("1", "2", "W"),
+        "Capacitor": ("1", "2"),
+        "Polarized-Capacitor": ("+", "-"),
+        "Inductor": ("1", "2"),
+        "Diode": ("+", "-"),
+        "LED": ("+", "-"),
+        "Zener-Diode": ("+", "-"),
+        "V-DC": ("+", "-"),
+        "V-AC": ("~", "~"),
+        "I-DC": ("+", "-"),
+        "I-AC": ("~", "~"),
+        "Battery": ("+", "-"),
+        "GND": ("GND",),
+        "Switch": ("1", "2"),
+        "Speaker": ("1", "2"),
+        "BJT": ("B", "E", "C"),
+        "Diac": ("1", "2"),
+        "Variable-Capacitor": ("1", "2"),
+        "Terminal": ("T",),
+        "Explanatory": (),
+        "Op-Amp": ("-", "+", "OUT", "V+", "V-"),
+        "Lamp": ("1", "2"),
+        "PhotoTransistor": ("C", "E"),
+        "FET": ("G", "S", "D"),
+        "Relay": ("C1", "C2", "NO", "COM"),
+        "Thyristor": ("A", "K"),
+        "Motor": ("1", "2"),
+        "Transformer": ("P1", "P2", "S1", "S2"),
     },
 }
 
@@ -291,6 +432,8 @@ ABLATIONS = {"Ours": {"skip_llm": True},
              "w/o_Sobel": {"use_sobel": False, "skip_llm": True},
              "w/_Skeleton": {"use_skeleton": True, "skip_llm": True},
              "CCL": {"use_ccl": True, "skip_llm": True}}
+# switches that ask for work on pixels; the vector path can only do without
+RASTER_SWITCHES = ("use_skeleton", "use_skel_jj", "use_sobel", "use_ccl")
 DIAGONAL = 2000.0
 # name: (length at the reference diagonal, floor or None)
 SCALED = {"pjr": (300, None), "pjf": (250, None), "jj_align": (15, 8), "jj_max": (1000, None),
@@ -299,14 +442,17 @@ SCALED = {"pjr": (300, None), "pjf": (250, None), "jj_align": (15, 8), "jj_max":
 
 # ---- fixed values: selection bins (label, low, high, target) and data set classes --------------------
 BINS = (("0-4", 0, 4, 12), ("5-9", 5, 9, 22), ("10-19", 10, 19, 22), ("20+", 20, 999, 14))
-CLASSES_V13 = tuple("""text junction crossover terminal gnd vss voltage.dc voltage.ac voltage.battery
-resistor resistor.adjustable resistor.photo capacitor.unpolarized capacitor.polarized
-capacitor.adjustable inductor inductor.ferrite inductor.coupled transformer diode
-diode.light_emitting diode.thyrector diode.zener diac triac thyristor varistor transistor.bjt
-transistor.fet transistor.photo operational_amplifier operational_amplifier.schmitt_trigger
-optocoupler integrated_circuit integrated_circuit.ne555 integrated_circuit.voltage_regulator xor and
-or not nand nor probe probe.current probe.voltage switch relay socket fuse speaker motor lamp
-microphone antenna crystal mechanical""".split())
+CLASSES_V13 = (
+    "text", "junction", "crossover", "terminal", "gnd", "vss", "voltage.dc", "voltage.ac", "voltage.battery",
+    "resistor", "resistor.adjustable", "resistor.photo", "capacitor.unpolarized", "capacitor.polarized",
+    "capacitor.adjustable", "inductor", "inductor.ferrite", "inductor.coupled", "transformer", "diode",
+    "diode.light_emitting", "diode.thyrector", "diode.zener", "diac", "triac", "thyristor", "varistor",
+    "transistor.bjt", "transistor.fet", "transistor.photo", "operational_amplifier",
+    "operational_amplifier.schmitt_trigger", "optocoupler", "integrated_circuit", "integrated_circuit.ne555",
+    "integrated_circuit.voltage_regulator", "xor", "and", "or", "not", "nand", "nor", "probe", "probe.current",
+    "probe.voltage", "switch", "relay", "socket", "fuse", "speaker", "motor", "lamp", "microphone", "antenna",
+    "crystal", "mechanical",
+)
 CLASSES_V16 = (*CLASSES_V13, "magnetic", "optical", "block", "explanatory", "unknown")
 
 # ---- fixed values: Chinese part names for rendered summaries --------------------------------------
@@ -347,7 +493,7 @@ def templates(spark: SparkSession, profile: str) -> DataFrame:
 
 
 def label_rows(profile: str) -> list[tuple]:
-    return [(n, i, lab) for n, labs in LABELS[profile].items() for i, lab in enumerate(labs.split())]
+    return [(n, i, lab) for n, labs in LABELS[profile].items() for i, lab in enumerate(labs)]
 
 
 def labels(spark: SparkSession, profile: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.functions import dims
@@ -78,7 +80,7 @@ def split_totals(labels: DataFrame) -> DataFrame:
 # ---- annotated texts ------------------------------------------------------------------------------
 def permitted(c: Column) -> Column:
     """Non-empty and made of label characters only."""
-    return F.coalesce(c.rlike("^[0-9.kKmMΩμunpFV AHz+/-]+$"), F.lit(False))
+    return F.coalesce(c.rlike(f"^[{re.escape(dims.LABEL_ALPHABET)}]+$"), F.lit(False))
 
 
 def text_counters(objects: DataFrame) -> DataFrame:
@@ -147,30 +149,20 @@ def correction_memory(posts: DataFrame) -> DataFrame:
     return posts.groupBy("pattern").agg(F.max_by("replacement", "seq").alias("replacement"), F.min("seq").alias("first"))
 
 
-CORRECTIONS_LIMIT = 20_000
-
-
 def apply_corrections(texts: DataFrame, memory: DataFrame, col: str = "text") -> DataFrame:
     """Text with the first pattern it contains replaced everywhere.
 
-    A memory up to CORRECTIONS_LIMIT patterns travels as one broadcast row and is folded inside each
-    row of text; a larger one is looked up through the substrings of the text.
+    Patterns and distinct texts meet by the first characters of a pattern, as many as the shortest has.
     """
     ordered = memory.where("pattern <> ''").select("pattern", "replacement", "first")
-    if ordered.limit(CORRECTIONS_LIMIT + 1).count() <= CORRECTIONS_LIMIT:
-        packed = ordered.agg(F.sort_array(F.collect_list(F.struct("first", "pattern", "replacement"))).alias("_m"))
-        hit = F.get(F.filter("_m", lambda m: F.contains(F.col(col), m["pattern"])), F.lit(0))
-        return (texts.crossJoin(F.broadcast(packed)).withColumn("_h", hit).withColumn(
-            col, F.when(F.col("_h").isNotNull(), F.replace(F.col(col), F.col("_h.pattern"), F.col("_h.replacement")))
-            .otherwise(F.col(col))).drop("_m", "_h"))
-    lengths = [r[0] for r in ordered.select(F.length("pattern").alias("n")).distinct().collect()]  # one entry per length of a pattern
-
-    def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(F.col("_t"), i, F.lit(n)))
-    subs = F.flatten(F.array(*[pieces(n) for n in sorted(lengths)]))
-    keyed = texts.select(F.col(col).alias("_t")).distinct()
-    hits = (keyed.select("_t", F.explode(F.array_distinct(subs)).alias("pattern")).join(ordered, "pattern")
+    short = ordered.agg(F.min(F.length("pattern"))).first()[0]
+    if short is None:
+        return texts
+    keyed = ordered.withColumn("_k", F.substring("pattern", 1, short))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - short + 1, F.lit(1)))
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_t"), i, F.lit(short))))
+    distinct = texts.select(F.col(col).alias("_t")).where(F.length("_t") >= short).distinct()
+    hits = (distinct.select("_t", F.explode(pieces).alias("_k")).join(keyed, "_k").where(F.contains("_t", "pattern"))
             .groupBy("_t").agg(F.min_by(F.struct("pattern", "replacement"), "first").alias("_h")))
     return (texts.join(hits, F.col(col) == F.col("_t"), "left").withColumn(
         col, F.when(F.col("_h").isNotNull(), F.replace(F.col(col), F.col("_h.pattern"), F.col("_h.replacement"))).otherwise(F.col(col)))

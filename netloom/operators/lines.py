@@ -1,18 +1,11 @@
-"""Joining rows to one text per group, only where the size of every group was checked."""
+"""Joining rows to one text per group, as the file formats want it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.operators.ranks import SkewGuard
 
-MAX_ROWS_PER_TEXT = 1_000_000
-
-
-def joined(df: DataFrame, keys: list[str], order: list[str], value: str, sep: str, out: str,
-           limit: int = MAX_ROWS_PER_TEXT) -> DataFrame:
-    """One text per group, rows in order. Refuses groups above `limit`: use the rows themselves then."""
-    if keys and SkewGuard(df, keys, limit).hot is not None:
-        raise ValueError(f"a group of {keys} holds over {limit} rows; write its rows instead of one text")
+def joined(df: DataFrame, keys: list[str], order: list[str], value: str, sep: str, out: str) -> DataFrame:
+    """One text per group, rows in order. The rows themselves are the form for anything but writing."""
     packed = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(packed, lambda x: x["_v"]), sep).alias(out))

@@ -21,6 +21,12 @@ class SkewGuard:
         self.df, self.keys, self.limit = df, keys, limit
         self._done, self._hot = False, None
 
+    def renamed(self, key: str) -> SkewGuard:
+        """The same groups for a table that names the (only) key differently."""
+        other = SkewGuard(self.df.withColumnRenamed(self.keys[0], key), [key], self.limit)
+        other._hot, other._done = None if self.hot is None else self.hot.withColumnRenamed(self.keys[0], key), True
+        return other
+
     @property
     def hot(self) -> DataFrame | None:
         if not self._done:
@@ -67,26 +73,24 @@ def global_number(df: DataFrame, order: list, out: str, start: int = 1) -> DataF
     return _ranged(df, [], order, out).withColumn(out, F.col(out) + F.lit(start - 1))
 
 
-def cutoff_value(df: DataFrame, digest: Column, k: int, small: int = 50_000) -> str | None:
+def cutoff_value(df: DataFrame, digest: Column, k: int) -> str | None:
     """The k-th smallest hex digest, found by histograms over growing prefixes.
 
-    Only counts per prefix (16^3 per step) and one bucket of at most `small` rows reach the driver.
+    Only counts per prefix (16^3 per step) reach the driver; the prefix of full width is the answer.
     """
     if k <= 0:
         return None
     data, prefix, left = df.select(digest.alias("_h")), "", k
     while True:
-        width = len(prefix) + 3
         inside = data.where(F.col("_h").startswith(prefix)) if prefix else data
-        bins = sorted((r["p"], r["n"]) for r in inside.groupBy(F.substring("_h", 1, width).alias("p"))
-                      .agg(F.count(F.lit(1)).alias("n")).collect())
-        for p, n in bins:
+        bins = sorted((r["p"], r["n"], r["top"]) for r in inside.groupBy(F.substring("_h", 1, len(prefix) + 3).alias("p"))
+                      .agg(F.count(F.lit(1)).alias("n"), F.max("_h").alias("top")).collect())
+        for p, n, top in bins:
             if left <= n:
-                prefix, size = p, n
                 break
             left -= n
         else:
             return None
-        if size <= small or width >= 30:
-            rows = data.where(F.col("_h").startswith(prefix)).orderBy("_h").limit(left)
-            return rows.agg(F.max("_h")).first()[0]
+        if left == n or p == top:  # the last of its prefix, or a whole digest
+            return top
+        prefix = p

@@ -183,7 +183,7 @@ def report_lines(comps: DataFrame, texts: DataFrame, junctions: DataFrame, listi
         return images.join(n, "image_id", "left").select("image_id", F.lit(section).alias("section"), F.lit(0).alias("ord"), line.alias("line"))
     zh = F.create_map(*[F.lit(x) for kv in dims.CHINESE.items() for x in kv])
     value = F.when(F.col("value") != "", F.concat(F.lit("值="), "value")).otherwise("值未识别")
-    ports = F.create_map(*[F.lit(x) for n, labs in dims.LABELS["wiring"].items() if labs for x in (n, ",".join(labs.split()))])
+    ports = F.create_map(*[F.lit(x) for n, labs in dims.LABELS["wiring"].items() if labs for x in (n, ",".join(labs))])
     pinfo = F.try_element_at(ports, F.col("name"))
     parts = comps.select("image_id", F.lit(0).alias("section"), (F.col("idx") + 1).alias("ord"), F.concat(
         F.format_string("  %-6s %-10s ", "designator", F.coalesce(F.try_element_at(zh, F.col("name")), "name")), value,

@@ -16,16 +16,28 @@ from netloom.operators import graph, spatial
 
 CELL_SIZE = 128
 WIDE_CELL = 256
-SIDE = 1 << 20        # pictures are below a million pixels a side; a point packs into one id
-MAX_PORTS = 1000      # ports per component in packed port ids
+LOW_HALF = 0xFFFFFFFF
+
+
+def packed(high: Column, low: Column) -> Column:
+    """Two 32-bit numbers as one id that sorts by the first, then the second."""
+    return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low.cast("bigint").bitwiseAND(F.lit(LOW_HALF)))
 
 
 def point_id(x, y) -> Column:
-    return x * SIDE + y
+    return packed(x, y)
 
 
 def port_id(ci="ci", pi="pi") -> Column:
-    return (F.col(ci) * MAX_PORTS + F.col(pi)).cast("bigint")
+    return packed(F.col(ci), F.col(pi))
+
+
+def component_of(port: Column) -> Column:
+    return F.shiftright(port, 32)
+
+
+def place_of(port: Column) -> Column:
+    return port.bitwiseAND(F.lit(LOW_HALF)).cast("int")
 
 
 def order(stage: int, *keys) -> Column:
@@ -205,7 +217,13 @@ def settle_choices(choices: DataFrame) -> DataFrame:
     """Which of choices(image_id, p, t) act when ports go in order of p and a port already chosen by an
     earlier acting one stays still. Returns the acting rows.
 
-    A port waits only for earlier ports that chose it; every round settles all ports whose choosers
+    """
+    walk = choices.withColumn("a", F.col("p")).withColumn("b", F.col("p")).withColumn("ord", F.col("p"))
+    return graph.walked(walk, F.array("p", "t"), "image_id", 1, _settle_in_rounds).drop("a", "b", "ord")
+
+
+def _settle_in_rounds(choices: DataFrame) -> DataFrame:
+    """A port waits only for earlier ports that chose it; every round settles all ports whose choosers
     are settled or one of whose choosers acts.
     """
     made = cut(choices, "choices")
@@ -415,7 +433,7 @@ def _group_edges(links: DataFrame, jj: DataFrame, between_comps: bool) -> DataFr
     lead = at.groupBy("image_id", "jx", "jy").agg(F.min_by("p", "ord").alias("lead"))
     star = at.join(lead, ["image_id", "jx", "jy"]).where("p <> lead")
     if between_comps:
-        star = star.where(F.floor(F.col("p") / MAX_PORTS) != F.floor(F.col("lead") / MAX_PORTS))
+        star = star.where(component_of(F.col("p")) != component_of(F.col("lead")))
     la = lead.select("image_id", F.col("jx").alias("ax"), F.col("jy").alias("ay"), F.col("lead").alias("a"))
     lb = lead.select("image_id", F.col("jx").alias("bx"), F.col("jy").alias("by"), F.col("lead").alias("b"))
     ties = jj.select("image_id", "ax", "ay", "bx", "by").join(la, ["image_id", "ax", "ay"]).join(lb, ["image_id", "bx", "by"])
@@ -433,8 +451,7 @@ def port_groups(ports: DataFrame, links: DataFrame, jj: DataFrame, final: bool =
         edges = edges.unionByName(reverse_pairs(links, ports))
     nodes = ports.select("image_id", port_id().alias("node"))
     comp = graph.connected_components(nodes, edges)
-    return comp.select("image_id", F.floor(F.col("node") / MAX_PORTS).cast("bigint").alias("ci"),
-                       (F.col("node") % MAX_PORTS).cast("int").alias("pi"), F.col("comp").alias("g"))
+    return comp.select("image_id", component_of(F.col("node")).alias("ci"), place_of(F.col("node")).alias("pi"), F.col("comp").alias("g"))
 
 
 def unshort(ports: DataFrame, links: DataFrame, groups: DataFrame) -> DataFrame:
@@ -456,7 +473,7 @@ def eligible(groups: DataFrame) -> DataFrame:
 
 # ---- routes ---------------------------------------------------------------------------------------------------
 def bends(margin: int = 20) -> Column:
-    """Ordered bend points of a link (px, py) -> (qx, qy)."""
+    """Ordered bend points of a link (px, py) -> (qx, qy). Their order is fixed: the first clear one is taken."""
     x1, y1, x2, y2 = (F.col(c) for c in ("px", "py", "qx", "qy"))
     mx, my = geom.half(x1, x2), geom.half(y1, y2)
     steps = [s * k * margin for k in (1, 2, 3) for s in (1, -1)]
@@ -504,7 +521,11 @@ def prepare(comps: DataFrame, ports: DataFrame, raw_junctions: DataFrame, limits
 
 def wire(prepared: dict[str, DataFrame], switches: dict | None = None) -> dict[str, DataFrame]:
     """Groups, links, junction links and junctions of all pictures under one set of switches."""
-    on = {**dims.DEFAULT_SWITCHES, **(switches or {})}
+    own = switches or {}
+    raster = [k for k in dims.RASTER_SWITCHES if own.get(k)]
+    if raster:
+        raise ValueError(f"these switches need pictures, which the vector path does not read: {', '.join(raster)}")
+    on = {**dims.DEFAULT_SWITCHES, **own}
     comps, limits, ports, junctions, links = (prepared[k] for k in ("comps", "limits", "ports", "junctions", "links"))
     if on["use_nn_filter"]:
         jj = nearest_by_direction(prepared["pairs"], limits)

@@ -49,10 +49,7 @@ class Tables:
 
     @property
     def image_guard(self) -> ranks.SkewGuard:
-        g = ranks.SkewGuard(self.read("lineitem").select(F.col("l_orderkey").alias("image_id")), ["image_id"])
-        g._done, hot = True, self.guard.hot
-        g._hot = None if hot is None else hot.withColumnRenamed("l_orderkey", "image_id")
-        return g
+        return self.guard.renamed("image_id")
 
     @cached_property
     def base(self) -> DataFrame:

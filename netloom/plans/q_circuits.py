@@ -17,10 +17,7 @@ def _circuits(t):
 
 
 def _guard(t):
-    g = ranks.SkewGuard(t.parts, ["circuit_id"])
-    g._done, hot = True, t.guard.hot
-    g._hot = None if hot is None else hot.withColumnRenamed("l_orderkey", "circuit_id")
-    return g
+    return t.guard.renamed("circuit_id")
 
 
 _ROLES = """, roles AS (SELECT circuit_id, nodes[1] AS node, 'p' AS role FROM parts WHERE type='voltage_source' UNION ALL

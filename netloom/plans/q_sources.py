@@ -55,8 +55,7 @@ def _(t):
     b = t.boxes
     o = F.struct(F.col("cls").alias("name"), F.when(F.col("cls") == "text", "10k").alias("text"), F.struct(
         F.concat(F.col("x1").cast("string"), F.lit(".7")).alias("xmin"), F.col("y1").cast("string").alias("ymin"), F.col("x2").cast("string").alias("xmax"), F.col("y2").cast("string").alias("ymax")).alias("bndbox"))
-    chunk = F.floor(F.col("idx") / sinks.PARTS_PER_DOCUMENT)
-    docs = b.withColumn("o", o).groupBy("image_id", chunk.alias("k")).agg(F.collect_list("o").alias("object")).select(
+    docs = b.withColumn("o", o).groupBy("image_id").agg(F.collect_list("o").alias("object")).select(
         F.concat(F.lit("C"), F.col("image_id").cast("string"), F.lit(".jpg")).alias("filename"), "object")
     path = scratch_path(t.spark, "voc")
     docs.write.format("xml").option("rowTag", "annotation").option("rootTag", "set").save(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import dims, geom
 from netloom.lineage import cut
-from netloom.operators import detect, lines, segments, values
+from netloom.operators import detect, lines, segments, values, wiring
 from netloom.plans import sqlgeo as g
 from netloom.plans.q_metrics import _VARIANTS, _fits_sql
 from netloom.plans.registry import query
@@ -119,7 +119,7 @@ def _(t):
 
 
 _ZH = "coalesce(MAP {" + ",".join(f"'{k}':'{v}'" for k, v in dims.CHINESE.items()) + "}[name], name)"
-_PI = "MAP {" + ",".join(f"'{k}':'{','.join(v.split())}'" for k, v in dims.LABELS["wiring"].items() if v) + "}[name]"
+_PI = "MAP {" + ",".join(f"'{k}':'{','.join(v)}'" for k, v in dims.LABELS["wiring"].items() if v) + "}[name]"
 
 
 @query("S16_report_lines", ("comps_wiring", "texts", "junctions", "predicted"), _C % "wiring" + f""", im AS (SELECT DISTINCT image_id FROM c), li AS (SELECT image_id, g, string_agg(designator||'.'||label, ', ' ORDER BY designator||'.'||label) AS listing FROM predicted WHERE image_id IN (SELECT image_id FROM im) GROUP BY ALL),
@@ -208,19 +208,20 @@ def _(t):
     return segments.merge_wires(_on(t, _sp(t)))
 
 
-_CONN = f""", mp AS (SELECT m.*, px, py, ci*1000+pi AS p FROM merged m JOIN sp USING (image_id, ci, pi)),
+_CONN = f""", mp AS (SELECT m.*, px, py, ci*4294967296+pi AS p FROM merged m JOIN sp USING (image_id, ci, pi)),
  conn AS (SELECT a.image_id, a.p, b.p AS q, row({g.dist('a.px', 'a.py', 'b.px', 'b.py')}, 0, a.m, a.first, a.p, b.first, b.p) AS o FROM mp a JOIN mp b ON a.image_id=b.image_id AND a.m=b.m AND a.ci<>b.ci AND row(a.first, a.p)<row(b.first, b.p))"""
 
 
-@query("G08_first_connections", ("segments", "ports_wiring"), _WG + _SP + _MW + _CONN + """ SELECT image_id, p, arg_min(q, o) AS q FROM (SELECT image_id, p, q, o FROM conn UNION ALL SELECT image_id, q, p, o FROM conn) GROUP BY ALL""", recursive=True)
+@query("G08_first_connections", ("segments", "ports_wiring"), _WG + _SP + _MW + _CONN + """ SELECT image_id, p // 4294967296 AS ci, p % 4294967296 AS pi, q // 4294967296 AS cj, q % 4294967296 AS pj FROM (SELECT image_id, p, arg_min(q, o) AS q FROM (SELECT image_id, p, q, o FROM conn UNION ALL SELECT image_id, q, p, o FROM conn) GROUP BY ALL)""", recursive=True)
 def _(t):
     ports = _sp(t)
     best = segments.nearest_on_wire(ports, segments.merge_wires(_on(t, ports)))
-    return best.groupBy("image_id", "p").agg(F.min_by("q", "ord").alias("q"))
+    first = best.groupBy("image_id", "p").agg(F.min_by("q", "ord").alias("q"))
+    return first.select("image_id", *[f(F.col(c)).alias(n) for c, names in (("p", ("ci", "pi")), ("q", ("cj", "pj"))) for f, n in zip((wiring.component_of, wiring.place_of), names)])
 
 
-@query("J22_close_connections", ("ports_wiring",), f"""SELECT a.image_id, a.ci, a.pi, b.ci AS cj, b.pi AS pj, round({g.dist('a.px', 'a.py', 'b.px', 'b.py')},6) AS d FROM ports_wiring a JOIN ports_wiring b ON a.image_id=b.image_id AND a.ci<b.ci
- WHERE {g.dist('a.px', 'a.py', 'b.px', 'b.py')}<35""")
+@query("J22_close_connections", ("ports_wiring",), f""", pw AS MATERIALIZED (SELECT image_id, ci, pi, px, py FROM ports_wiring) SELECT image_id, ci, pi, cj, pj, round(d, 6) AS d FROM (
+ SELECT a.image_id, a.ci, a.pi, b.ci AS cj, b.pi AS pj, {g.dist('a.px', 'a.py', 'b.px', 'b.py')} AS d FROM pw a JOIN pw b ON a.image_id=b.image_id AND a.ci<b.ci) WHERE d<35""")
 def _(t):
     return segments.proximity(t.ports("wiring")).withColumn("d", F.round("d", 6))
 

@@ -130,7 +130,7 @@ _CHOICE = f""", openp AS (SELECT * FROM ports_wiring ANTI JOIN p2j USING (image_
   FROM openp p JOIN ports_wiring q ON p.image_id=q.image_id AND p.ci<>q.ci JOIN limits l ON l.image_id=p.image_id
   WHERE {g.dist('p.px', 'p.py', 'q.px', 'q.py')} < l.%s AND (abs(p.px-q.px)<15 OR abs(p.py-q.py)<15 OR NOT {g.crosses(('p.px', 'p.py'), ('q.px', 'q.py'), 'p.ci', 'comps_wiring', 'p.image_id')})),
  pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, ci, pi ORDER BY d, cj, pj) AS r FROM cand) WHERE r=1),
- steps AS (SELECT *, ci*1000+pi AS p, cj*1000+pj AS t, row_number() OVER (PARTITION BY image_id ORDER BY ci, pi) AS n FROM pick),
+ steps AS (SELECT *, ci*4294967296+pi AS p, cj*4294967296+pj AS t, row_number() OVER (PARTITION BY image_id ORDER BY ci, pi) AS n FROM pick),
  walk(image_id, n, busy, acted) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM steps UNION ALL
   SELECT w.image_id, s.n, CASE WHEN list_contains(busy, s.p) THEN busy ELSE list_append(list_append(busy, s.p), s.t) END, CASE WHEN list_contains(busy, s.p) THEN acted ELSE list_append(acted, s.p) END
   FROM walk w JOIN steps s ON s.image_id=w.image_id AND s.n=w.n+1),
@@ -233,13 +233,13 @@ def _(t):
 
 
 @query("J21_close_ports", _NEED, _P2J0 + f""", openp AS (SELECT * FROM ports_wiring ANTI JOIN p2j USING (image_id, ci, pi)),
- steps AS (SELECT a.image_id, a.ci*1000+a.pi AS a, b.ci*1000+b.pi AS b, (a.px+b.px)//2 AS jx, (a.py+b.py)//2 AS jy, row_number() OVER (PARTITION BY a.image_id ORDER BY a.ci, a.pi, b.ci, b.pi) AS n
+ steps AS (SELECT a.image_id, a.ci*4294967296+a.pi AS a, b.ci*4294967296+b.pi AS b, (a.px+b.px)//2 AS jx, (a.py+b.py)//2 AS jy, row_number() OVER (PARTITION BY a.image_id ORDER BY a.ci, a.pi, b.ci, b.pi) AS n
   FROM openp a JOIN openp b ON a.image_id=b.image_id AND a.ci<b.ci WHERE {g.dist('a.px', 'a.py', 'b.px', 'b.py')}<50 AND NOT (a.name='GND' AND b.name='GND')),
  walk(image_id, n, busy, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM steps UNION ALL
   SELECT w.image_id, s.n, CASE WHEN list_contains(busy, s.a) OR list_contains(busy, s.b) THEN busy ELSE list_concat(busy, [s.a, s.b]) END, CASE WHEN list_contains(busy, s.a) OR list_contains(busy, s.b) THEN kept ELSE list_append(kept, s.n) END
   FROM walk w JOIN steps s ON s.image_id=w.image_id AND s.n=w.n+1),
  kept AS (SELECT image_id, unnest(arg_max(kept, n)) AS n FROM walk GROUP BY image_id)
- SELECT image_id, a//1000 AS ci, a%1000 AS pi, jx, jy FROM steps JOIN kept USING (image_id, n) UNION ALL SELECT image_id, b//1000, b%1000, jx, jy FROM steps JOIN kept USING (image_id, n)""", recursive=True)
+ SELECT image_id, a//4294967296 AS ci, a%4294967296 AS pi, jx, jy FROM steps JOIN kept USING (image_id, n) UNION ALL SELECT image_id, b//4294967296, b%4294967296, jx, jy FROM steps JOIN kept USING (image_id, n)""", recursive=True)
 def _(t):
     s = Stage(t)
     return wiring.close_ports(s.ports, s.links()).select(*LINK)
@@ -247,9 +247,9 @@ def _(t):
 
 _REV = """, rp AS (SELECT image_id, ci, pi, px, py FROM ports_wiring), rl AS (SELECT r.image_id, r.ci, r.pi, q.px AS jx, q.py AS jy FROM rp r JOIN rp q ON q.image_id=r.image_id AND q.ci=(r.ci+1) AND q.pi=r.pi
   UNION ALL SELECT r.image_id, r.ci, r.pi, q.px, q.py FROM rp r JOIN rp q ON q.image_id=r.image_id AND q.ci=(r.ci-1) AND q.pi=r.pi WHERE r.image_id%3=0),
- here AS (SELECT image_id, px, py, max(ci*1000+pi) AS b FROM rp GROUP BY ALL)
- SELECT DISTINCT l.image_id, l.ci*1000+l.pi AS a, h.b FROM rl l JOIN here h ON h.image_id=l.image_id AND h.px=l.jx AND h.py=l.jy JOIN rp a ON a.image_id=l.image_id AND a.ci=l.ci AND a.pi=l.pi
- WHERE EXISTS (SELECT 1 FROM rl k WHERE k.image_id=l.image_id AND k.ci*1000+k.pi=h.b AND k.jx=a.px AND k.jy=a.py)"""
+ here AS (SELECT image_id, px, py, max(ci*4294967296+pi) AS b FROM rp GROUP BY ALL)
+ SELECT DISTINCT l.image_id, l.ci*4294967296+l.pi AS a, h.b FROM rl l JOIN here h ON h.image_id=l.image_id AND h.px=l.jx AND h.py=l.jy JOIN rp a ON a.image_id=l.image_id AND a.ci=l.ci AND a.pi=l.pi
+ WHERE EXISTS (SELECT 1 FROM rl k WHERE k.image_id=l.image_id AND k.ci*4294967296+k.pi=h.b AND k.jx=a.px AND k.jy=a.py)"""
 
 
 @query("J30_reverse_pairs", ("ports_wiring",), _REV)
@@ -270,14 +270,14 @@ def _(t):
     return wiring.same_wire(t.junctions, w)
 
 
-_GROUPS = """, lead AS (SELECT image_id, jx, jy, min(ci*1000+pi) AS lead FROM p2j GROUP BY ALL),
- ed0 AS (SELECT image_id, lead AS a, ci*1000+pi AS b FROM p2j JOIN lead USING (image_id, jx, jy) UNION ALL
+_GROUPS = """, lead AS (SELECT image_id, jx, jy, min(ci*4294967296+pi) AS lead FROM p2j GROUP BY ALL),
+ ed0 AS (SELECT image_id, lead AS a, ci*4294967296+pi AS b FROM p2j JOIN lead USING (image_id, jx, jy) UNION ALL
   SELECT n.image_id, x.lead, y.lead FROM nn n JOIN lead x ON x.image_id=n.image_id AND x.jx=n.ax AND x.jy=n.ay JOIN lead y ON y.image_id=n.image_id AND y.jx=n.bx AND y.jy=n.by UNION ALL
-  SELECT l.image_id, l.ci*1000+l.pi, h.b FROM p2j l JOIN (SELECT image_id, px, py, max(ci*1000+pi) AS b FROM ports_wiring GROUP BY ALL) h ON h.image_id=l.image_id AND h.px=l.jx AND h.py=l.jy JOIN ports_wiring a ON a.image_id=l.image_id AND a.ci=l.ci AND a.pi=l.pi
-  WHERE EXISTS (SELECT 1 FROM p2j k WHERE k.image_id=l.image_id AND k.ci*1000+k.pi=h.b AND k.jx=a.px AND k.jy=a.py)),
+  SELECT l.image_id, l.ci*4294967296+l.pi, h.b FROM p2j l JOIN (SELECT image_id, px, py, max(ci*4294967296+pi) AS b FROM ports_wiring GROUP BY ALL) h ON h.image_id=l.image_id AND h.px=l.jx AND h.py=l.jy JOIN ports_wiring a ON a.image_id=l.image_id AND a.ci=l.ci AND a.pi=l.pi
+  WHERE EXISTS (SELECT 1 FROM p2j k WHERE k.image_id=l.image_id AND k.ci*4294967296+k.pi=h.b AND k.jx=a.px AND k.jy=a.py)),
  ed AS (SELECT image_id, a, b FROM ed0 WHERE a<>b UNION SELECT image_id, b, a FROM ed0 WHERE a<>b),
- reach(image_id, node, to_) AS (SELECT image_id, ci*1000+pi, ci*1000+pi FROM ports_wiring UNION SELECT r.image_id, r.node, e.b FROM reach r JOIN ed e ON e.image_id=r.image_id AND e.a=r.to_),
- grp AS (SELECT image_id, node//1000 AS ci, node%1000 AS pi, min(to_) AS g FROM reach GROUP BY image_id, node)"""
+ reach(image_id, node, to_) AS (SELECT image_id, ci*4294967296+pi, ci*4294967296+pi FROM ports_wiring UNION SELECT r.image_id, r.node, e.b FROM reach r JOIN ed e ON e.image_id=r.image_id AND e.a=r.to_),
+ grp AS (SELECT image_id, node//4294967296 AS ci, node%4294967296 AS pi, min(to_) AS g FROM reach GROUP BY image_id, node)"""
 _UNSHORT = f""", sh AS (SELECT a.image_id, a.ci, CASE WHEN {g.dist('a.px', 'a.py', 'a.jx', 'a.jy')} > {g.dist('b.px', 'b.py', 'b.jx', 'b.jy')} THEN 0 ELSE 1 END AS pi FROM (SELECT l.*, px, py, n_ports FROM p2j l JOIN ports_wiring USING (image_id, ci, pi)) a
   JOIN (SELECT l.*, px, py FROM p2j l JOIN ports_wiring USING (image_id, ci, pi)) b ON a.image_id=b.image_id AND a.ci=b.ci AND a.pi=0 AND b.pi=1 AND a.n_ports=2
   JOIN grp ga ON ga.image_id=a.image_id AND ga.ci=a.ci AND ga.pi=0 JOIN grp gb ON gb.image_id=a.image_id AND gb.ci=a.ci AND gb.pi=1 WHERE ga.g=gb.g),
@@ -295,12 +295,12 @@ def _(t):
     return wiring.unshort(s.ports, s.links(), s.groups).select(*LINK)
 
 
-@query("G06_final_groups", _NEED, _P2J0 + _JJ + _NN + _GROUPS + _UNSHORT + """, lead2 AS (SELECT image_id, jx, jy, min(ci*1000+pi) AS lead FROM kept GROUP BY ALL),
- fe0 AS (SELECT image_id, lead AS a, ci*1000+pi AS b FROM kept JOIN lead2 USING (image_id, jx, jy) WHERE lead//1000<>ci UNION ALL
+@query("G06_final_groups", _NEED, _P2J0 + _JJ + _NN + _GROUPS + _UNSHORT + """, lead2 AS (SELECT image_id, jx, jy, min(ci*4294967296+pi) AS lead FROM kept GROUP BY ALL),
+ fe0 AS (SELECT image_id, lead AS a, ci*4294967296+pi AS b FROM kept JOIN lead2 USING (image_id, jx, jy) WHERE lead//4294967296<>ci UNION ALL
   SELECT n.image_id, x.lead, y.lead FROM nn n JOIN lead2 x ON x.image_id=n.image_id AND x.jx=n.ax AND x.jy=n.ay JOIN lead2 y ON y.image_id=n.image_id AND y.jx=n.bx AND y.jy=n.by),
  fe AS (SELECT image_id, a, b FROM fe0 WHERE a<>b UNION SELECT image_id, b, a FROM fe0 WHERE a<>b),
- freach(image_id, node, to_) AS (SELECT image_id, ci*1000+pi, ci*1000+pi FROM ports_wiring UNION SELECT r.image_id, r.node, e.b FROM freach r JOIN fe e ON e.image_id=r.image_id AND e.a=r.to_),
- fgrp AS (SELECT image_id, node//1000 AS ci, node%1000 AS pi, min(to_) AS g FROM freach GROUP BY image_id, node)
+ freach(image_id, node, to_) AS (SELECT image_id, ci*4294967296+pi, ci*4294967296+pi FROM ports_wiring UNION SELECT r.image_id, r.node, e.b FROM freach r JOIN fe e ON e.image_id=r.image_id AND e.a=r.to_),
+ fgrp AS (SELECT image_id, node//4294967296 AS ci, node%4294967296 AS pi, min(to_) AS g FROM freach GROUP BY image_id, node)
  SELECT * FROM fgrp WHERE (image_id, g) IN (SELECT (image_id, g) FROM fgrp GROUP BY image_id, g HAVING count(DISTINCT ci)>=2)""", recursive=True)
 def _(t):
     s = Stage(t)
@@ -312,7 +312,7 @@ _BENDS = """[(qx,py),(px,qy),(qx+20,py),(qx-20,py),(qx+40,py),(qx-40,py),(qx+60,
  (hx+20,hy),(hx-20,hy),(hx,hy+20),(hx,hy-20),(hx+40,hy),(hx-40,hy),(hx,hy+40),(hx,hy-40)]"""
 
 
-@query("G10_routes", _NEED, _P2J0 + f""", ln AS (SELECT p.image_id, p.ci*1000+p.pi AS line, p.ci AS own, px, py, l.jx AS qx, l.jy AS qy, (px+l.jx)//2 AS hx, (py+l.jy)//2 AS hy FROM p2j l JOIN ports_wiring p USING (image_id, ci, pi)),
+@query("G10_routes", _NEED, _P2J0 + f""", ln AS (SELECT p.image_id, p.ci*4294967296+p.pi AS line, p.ci AS own, px, py, l.jx AS qx, l.jy AS qy, (px+l.jx)//2 AS hx, (py+l.jy)//2 AS hy FROM p2j l JOIN ports_wiring p USING (image_id, ci, pi)),
  bd AS (SELECT *, unnest(range(22)) AS n, CAST(unnest(list_transform({_BENDS}, lambda r: r[1])) AS BIGINT) AS mx, CAST(unnest(list_transform({_BENDS}, lambda r: r[2])) AS BIGINT) AS my FROM ln),
  fit AS (SELECT image_id, line, n, mx, my FROM bd b WHERE NOT {g.crosses(('b.px', 'b.py'), ('b.mx', 'b.my'), 'b.own', 'comps_wiring', 'b.image_id')} AND NOT {g.crosses(('b.mx', 'b.my'), ('b.qx', 'b.qy'), 'b.own', 'comps_wiring', 'b.image_id')}),
  best AS (SELECT image_id, line, min(n) AS n, arg_min(mx, n) AS mx, arg_min(my, n) AS my FROM fit GROUP BY ALL)
@@ -332,8 +332,9 @@ def wired(t, switches):
     """The whole run; what no setting changes is worked out once per folder and session."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _prepared:
-        comps = detect.fix_sources(t.comps("wiring"))
-        comps = cut(detect.suppress(comps, detect.family_conflicts(comps, "wiring")), "comps")
+        comps = t.comps("wiring")
+        comps = detect.reindex(detect.suppress(comps, detect.family_conflicts(comps, "wiring")), t.image_guard)
+        comps = cut(detect.fix_sources(comps.drop("idx").withColumnRenamed("new_idx", "idx")), "comps")
         ports = detect.place_ports(comps, "wiring").withColumnRenamed("idx", "ci").select("image_id", "ci", "pi", "px", "py", "n_ports", "name")
         raw = detect.with_centre(detect.route_boxes(t.boxes).where("route = 'junction'")).select("image_id", F.col("cx").alias("jx"), F.col("cy").alias("jy"))
         _prepared[key] = wiring.prepare(comps, ports, raw, detect.thresholds(t.images))

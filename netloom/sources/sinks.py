@@ -6,22 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from netloom.operators import lines, ranks
 
-PARTS_PER_DOCUMENT = 50_000
-
 
 def detection_documents(comps: DataFrame, ports: DataFrame) -> DataFrame:
-    """Nested documents from comps(image, width, height, idx, name, raw_name, designator, conf, x1..y2) and
-    ports(image, ci, pi, px, py, label).
-
-    A document holds at most PARTS_PER_DOCUMENT components; a larger picture gives several documents
-    of the same image, which readers put together by exploding them.
-    """
+    """One nested document per picture from comps(image, width, height, idx, name, raw_name, designator, conf, x1..y2)
+    and ports(image, ci, pi, px, py, label). The tables themselves are the form for anything but this format."""
     p = ports.groupBy("image", F.col("ci").alias("idx")).agg(F.sort_array(F.collect_list(F.struct("pi", "px", "py", "label"))).alias("ps"))
     part = comps.join(p, ["image", "idx"], "left").withColumn("ps", F.coalesce("ps", F.expr("array()").cast("array<struct<pi int, px bigint, py bigint, label string>>")))
     c = F.struct("idx", "name", "raw_name", "designator", F.array("x1", "y1", "x2", "y2").alias("xyxy"),
                  F.transform("ps", lambda x: F.array(x["px"], x["py"])).alias("ports"), F.transform("ps", lambda x: x["label"]).alias("labels"), "conf")
-    return (part.withColumn("chunk", F.floor(F.col("idx") / PARTS_PER_DOCUMENT)).withColumn("c", c)
-            .groupBy("image", "width", "height", "chunk").agg(F.sort_array(F.collect_list("c")).alias("components")).drop("chunk"))
+    return part.withColumn("c", c).groupBy("image", "width", "height").agg(F.sort_array(F.collect_list("c")).alias("components"))
 
 
 def write_detections(comps: DataFrame, ports: DataFrame, path: str) -> None:
@@ -65,8 +58,8 @@ def truth_lines(entries: DataFrame, guard: ranks.SkewGuard | None = None) -> Dat
 
 
 def write_lines(rows: DataFrame, key: str, order: list[str], path: str) -> None:
-    """Line tables as one text folder per key, lines in order."""
-    (rows.hint("rebalance", key).sortWithinPartitions(key, *order).select(key, F.col("line").alias("value"))
+    """Line tables as one text file per key, lines in order: all lines of a key meet in one task."""
+    (rows.repartition(key).sortWithinPartitions(key, *order).select(key, F.col("line").alias("value"))
      .write.mode("overwrite").partitionBy(key).text(path))
 
 

@@ -74,3 +74,39 @@ def test_choices_equal_walk(spark):
             want.add((i, p))
     df = spark.createDataFrame(rows, "image_id long, p long, t long").repartition(5)
     assert {(r.image_id, r.p) for r in wiring.settle_choices(df).collect()} == want
+
+
+def test_the_three_ways_agree(spark, monkeypatch):
+    """One pass per key, one pass per component, and rounds."""
+    for seed in (7, 8):
+        _, df = _pairs(spark, seed)
+        df = df.withColumn("loser", F.when((F.col("a") + F.col("b")) % 3 != 0, F.col("b")).otherwise(F.col("a")))
+        choices = df.groupBy("image_id", F.col("a").alias("p")).agg(F.min("b").alias("t"))
+        runs = []
+        for rows in (10 ** 6, 8, 2):
+            monkeypatch.setattr(graph, "FOLD_ROWS", rows)
+            runs.append([sorted(map(tuple, x.collect())) for x in (
+                graph.greedy_matching(df).select("image_id", "a", "b"), graph.resolve_pairs(df, F.array("loser")).select("image_id", "a", "b"),
+                graph.capped_pairs(df, 2).select("image_id", "a", "b"), wiring.settle_choices(choices).select("image_id", "p", "t"))])
+        assert runs[0] == runs[1] == runs[2]
+
+
+def test_a_row_of_ports_takes_no_more_jobs(spark):
+    def jobs(n):
+        df = spark.range(n).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("a"), (F.col("id") + 1).alias("b")).withColumn("ord", F.struct("a", "b"))
+        group = f"row-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = sorted(r.a for r in graph.greedy_matching(df).collect())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == list(range(0, n, 2))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert jobs(500) <= jobs(8) + 1
+
+
+def test_ids_do_not_collide(spark):
+    rows = [(1, 0, 1000), (1, 1, 0), (1, 0, 70_000), (1, 3_000_000, 5)]
+    df = spark.createDataFrame(rows, "image_id long, ci long, pi int").withColumn("p", wiring.port_id())
+    back = df.select(wiring.component_of(F.col("p")), wiring.place_of(F.col("p"))).collect()
+    assert [tuple(r) for r in back] == [r[1:] for r in rows]
+    points = spark.createDataFrame([(1, 1 << 20), (2, 0), (0, 1 << 21)], "x long, y long").select(wiring.point_id(F.col("x"), F.col("y")))
+    assert points.distinct().count() == 3

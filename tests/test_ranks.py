@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import lines, ranks
+from netloom.operators import ranks
 
 
 @pytest.fixture()
@@ -45,11 +45,11 @@ def test_cutoff(spark):
     digests = sorted(hashlib.md5(str(i).encode()).hexdigest() for i in range(3000))
     df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("h"))
     for k in (1, 17, 2550, 3000):
-        assert ranks.cutoff_value(df, F.col("h"), k, small=5) == digests[k - 1]
+        assert ranks.cutoff_value(df, F.col("h"), k) == digests[k - 1]
     assert ranks.cutoff_value(df, F.col("h"), 0) is None
 
 
-def test_text_size_is_checked(spark, rows):
-    df = spark.createDataFrame(rows, "g long, x long").withColumn("v", F.col("x").cast("string"))
-    with pytest.raises(ValueError):
-        lines.joined(df, ["g"], ["x"], "v", ",", "t", limit=100)
+def test_renamed_guard(spark):
+    df = spark.range(300).select(F.when(F.col("id") < 250, 1).otherwise(F.col("id")).alias("g"))
+    guard = ranks.SkewGuard(df, ["g"], limit=100)
+    assert [r[0] for r in guard.renamed("h").hot.select("h").collect()] == [1]

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from netloom.operators import dataset
 from netloom.sources import readers, sinks
 
@@ -14,23 +16,33 @@ def test_annotations(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<annotation><filename>p.png</filename></annotation>")
     (tmp_path / "c.xml").write_text("<annotation><object><name>")
     got = {(r.filename, r.name, r.x1, r.x2) for r in readers.voc_objects(spark, str(tmp_path)).collect()}
-    assert got == {("a.jpg", "text", 1, None), ("p.png", None, 0, 0)} or got == {("a.jpg", "text", 1, None), ("p.png", None, None, None)}
+    assert got == {("a.jpg", "text", 1, None), ("p.png", None, 0, 0)}
 
 
-def test_large_pictures_split_into_documents(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "PARTS_PER_DOCUMENT", 3)
-    comps = spark.createDataFrame([("i", 10, 10, k, "Resistor", "resistor", f"R{k}", 0.5, 1, 2, 3, 4) for k in range(8)],
+def test_one_document_for_a_large_picture(spark):
+    comps = spark.createDataFrame([("i", 10, 10, k, "Resistor", "resistor", f"R{k}", 0.5, 1, 2, 3, 4) for k in range(60_000)],
                                   "image string, width long, height long, idx long, name string, raw_name string, designator string, conf double, x1 long, y1 long, x2 long, y2 long")
     ports = spark.createDataFrame([("i", k, p, 1, 2, str(p)) for k in range(8) for p in (0, 1)], "image string, ci long, pi int, px long, py long, label string")
     docs = sinks.detection_documents(comps, ports)
-    assert docs.count() == 3
-    assert readers.detection_components(docs).count() == 8
-
-
-def test_large_memory_gives_the_same(spark, monkeypatch):
-    memory = spark.createDataFrame([("l", "1", 2), ("O", "0", 1), ("10k", "x", 3)], "pattern string, replacement string, first long")
-    texts = spark.createDataFrame([("1Ol",), ("lll",), ("10k",), ("zz",), ("",)], "text string")
-    small = sorted(r[0] for r in dataset.apply_corrections(texts, memory).select("text").collect())
-    monkeypatch.setattr(dataset, "CORRECTIONS_LIMIT", 1)
-    large = sorted(r[0] for r in dataset.apply_corrections(texts, memory).select("text").collect())
-    assert small == large == sorted(["10l", "111", "x", "zz", ""])
+    assert docs.count() == 1
+    assert readers.detection_components(docs).count() == 60_000
+
+
+def test_corrections(spark):
+    memory = spark.createDataFrame([("l", "1", 2), ("O", "0", 1), ("10k", "x", 3), ("", "y", 0)], "pattern string, replacement string, first long")
+    texts = spark.createDataFrame([("1Ol",), ("lll",), ("10k",), ("zz",), ("",), (None,)], "text string")
+    got = [r[0] for r in dataset.apply_corrections(texts, memory).select("text").collect()]
+    assert sorted(got, key=str) == sorted(["10l", "111", "x", "zz", "", None], key=str)
+    assert dataset.apply_corrections(texts, memory.limit(0)).count() == 6
+
+
+def test_a_picture_over_several_tasks_keeps_its_groups(spark, tmp_path):
+    rows = [(k % 3, k // 3, f"G{k // 3 + 1}: R{k}.1, R{k}.2") for k in range(3000)]
+    lines = spark.createDataFrame(rows, "image_id long, no long, line string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        sinks.write_lines(lines, "image_id", ["no"], str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    texts = spark.read.text(str(tmp_path / "t"), wholetext=True).select("image_id", F.col("value").alias("text"))
+    assert readers.true_group_entries(texts).select("image_id", "g").distinct().count() == 3000
