@@ -27,45 +27,71 @@ def predicted_groups(entries: DataFrame) -> DataFrame:
     return ids.join(big, ["image_id", "g"]).withColumn("designator", F.split_part("id", F.lit("."), F.lit(1)))
 
 
+def _twos(n: Column) -> Column:
+    return n * (n - 1) / 2
+
+
+def _digest(value: Column) -> list[Column]:
+    """Aggregates that tell sets apart without holding them: number, sum and exclusive or of hashes."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(value) % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(value, F.lit(1))).alias("h2")]
+
+
 def pair_counts(members: DataFrame, keys: tuple = ("image_id",)) -> DataFrame:
     """Distinct unordered pairs of ids that share a group, per key: (*keys, pairs).
 
     members(*keys, g, id) without repeats; g may be any type. Sum of n(n-1)/2 over the groups, less
-    what ids lying in several groups count too often. Such ids are collapsed by their set of groups,
-    so the correction works on few classes.
+    what ids lying in several groups count too often. Such ids fall into classes of equal sets of groups
+    (compared by digest), so the correction works on few classes and no set is ever held.
     """
-    def twos(n):
-        return n * (n - 1) / 2
     simple = members.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, twos(F.col("n")).cast("bigint").alias("pairs"))
-    # a plain count finds the few ids in several groups before any set is built
-    multi = members.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*keys, "id")
-    sets = members.join(multi, [*keys, "id"]).groupBy(*keys, "id").agg(F.sort_array(F.collect_set("g")).alias("gs"))
-    classes = cut(sets.groupBy(*keys, "gs").agg(F.count(F.lit(1)).alias("n")), "classes")
-    inner = classes.select(*keys, (-(F.size("gs") - 1) * twos(F.col("n"))).cast("bigint").alias("pairs"))
-    flat = classes.select(*keys, "gs", "n", F.explode("gs").alias("g"))
-    other = flat.select(*keys, "g", F.col("gs").alias("gs2"), F.col("n").alias("n2"))
-    cross = (flat.join(other, [*keys, "g"]).where("gs < gs2").groupBy(*keys, "gs", "gs2", "n", "n2")
+        *keys, _twos(F.col("n")).cast("bigint").alias("pairs"))
+    many = members.groupBy(*keys, "id").agg(*_digest(F.col("g"))).where("n > 1")
+    classes = cut(many.groupBy(*keys, F.struct("n", "h1", "h2").alias("c")).agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id")), "classes")
+    inner = classes.select(*keys, (-(F.col("c.n") - 1) * _twos(F.col("w"))).cast("bigint").alias("pairs"))
+    flat = cut(classes.join(members, [*keys, "id"]).select(*keys, "c", "w", "g"), "flat")  # the groups of one id of each class
+    other = flat.select(*keys, "g", F.col("c").alias("c2"), F.col("w").alias("w2"))
+    cross = (flat.join(other, [*keys, "g"]).where("c < c2").groupBy(*keys, "c", "c2", "w", "w2")
              .agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-             .select(*keys, (-(F.col("k") - 1) * F.col("n") * F.col("n2")).cast("bigint").alias("pairs")))
+             .select(*keys, (-(F.col("k") - 1) * F.col("w") * F.col("w2")).cast("bigint").alias("pairs")))
     return simple.unionByName(inner).unionByName(cross).groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
 
 
-def cells(truth: DataFrame, pred: DataFrame, on: str = "id") -> DataFrame:
-    """(image_id, g, p, on) for every id in true group g and predicted group p; members do not repeat."""
-    return truth.select("image_id", "g", on).join(pred.select("image_id", F.col("g").alias("p"), on), ["image_id", on])
-
+def shared_pairs(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """(image_id, pairs): distinct pairs of ids that share a true group and a predicted group.
 
-def edge_counts(truth: DataFrame, pred: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    Ids in one group on either side are counted by their pair of groups. Ids in several groups meet the counts
+    of the others through one side, then the other; among themselves they meet by classes of equal sets. So an
+    id in m true and n predicted groups gives m + n rows.
+    """
+    ids = (truth.groupBy("image_id", "id").agg(*[c.alias("t_" + n) for c, n in zip(_digest(F.col("g")), ("n", "h1", "h2"))], F.min("g").alias("g"))
+           .join(pred.groupBy("image_id", "id").agg(*[c.alias("p_" + n) for c, n in zip(_digest(F.col("g")), ("n", "h1", "h2"))], F.min("g").alias("p")), ["image_id", "id"]))
+    ids = cut(ids, "ids")
+    simple = ids.where("t_n = 1 and p_n = 1").groupBy("image_id", "g", "p").agg(F.count(F.lit(1)).alias("k"))
+    many = ids.where("t_n > 1 or p_n > 1")
+    classes = cut(many.groupBy("image_id", F.struct("t_n", "t_h1", "t_h2", "p_n", "p_h1", "p_h2").alias("c")).agg(
+        F.count(F.lit(1)).alias("w"), F.min("id").alias("id")), "classes")
+    side = lambda df, name: cut(classes.join(df, ["image_id", "id"]).select("image_id", "c", "w", F.col("g").alias(name)), "side")
+    in_t, in_p = side(truth, "g"), side(pred, "p")
+    with_simple = (simple.join(in_t, ["image_id", "g"]).groupBy("image_id", "c", "w", "p").agg(F.sum("k").alias("k"))
+                   .join(in_p.select("image_id", "c", "p"), ["image_id", "c", "p"]).select("image_id", (F.col("w") * F.col("k")).alias("pairs")))
+
+    def meet(df, on):
+        other = df.select("image_id", on, F.col("c").alias("c2"), F.col("w").alias("w2"))
+        return df.join(other, ["image_id", on]).where("c < c2").select("image_id", "c", "c2", "w", "w2").distinct()
+    among = meet(in_t, "g").join(meet(in_p, "p"), ["image_id", "c", "c2", "w", "w2"], "left_semi").select("image_id", (F.col("w") * F.col("w2")).alias("pairs"))
+    parts = [simple.select("image_id", _twos(F.col("k")).alias("pairs")), classes.select("image_id", _twos(F.col("w")).alias("pairs")), with_simple, among]
+    out = parts[0].select("image_id", F.col("pairs").cast("bigint"))
+    for p in parts[1:]:
+        out = out.unionByName(p.select("image_id", F.col("pairs").cast("bigint")))
+    return out.groupBy("image_id").agg(F.sum("pairs").alias("pairs"))
+
+
+def edge_counts(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """(image_id, tp, fp, fn, n_true, n_pred) over unordered pairs of ids sharing a group."""
-    shared = cut(cells(truth, pred), "cells") if shared is None else shared
-    none = F.lit(None).cast("bigint")
-
-    def tagged(df, what, g, p):
-        return df.select("image_id", F.lit(what).alias("what"), F.struct(g.cast("bigint").alias("g"), p.cast("bigint").alias("p")).alias("g"), "id")
-    # the three counts run as one job over tagged rows
-    rows = pair_counts(tagged(truth, "n_true", F.col("g"), none).unionByName(tagged(pred, "n_pred", F.col("g"), none)).unionByName(
-        tagged(shared, "tp", F.col("g"), F.col("p"))), ("image_id", "what"))
+    def tagged(df, what):
+        return df.select("image_id", F.lit(what).alias("what"), F.col("g").cast("bigint").alias("g"), "id")
+    rows = pair_counts(tagged(truth, "n_true").unionByName(tagged(pred, "n_pred")), ("image_id", "what"))
+    rows = rows.unionByName(shared_pairs(truth, pred).select("image_id", F.lit("tp").alias("what"), "pairs"))
 
     def total(n):
         return F.coalesce(F.sum(F.when(F.col("what") == n, F.col("pairs"))), F.lit(0)).cast("bigint").alias(n)
@@ -73,26 +99,23 @@ def edge_counts(truth: DataFrame, pred: DataFrame, shared: DataFrame | None = No
     return out.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_true") - F.col("tp"))
 
 
-def equal_groups(truth: DataFrame, pred: DataFrame, both: DataFrame | None = None) -> DataFrame:
+def _group_digests(df: DataFrame, name: str, on: str = "id") -> DataFrame:
+    """(image_id, name, d): one digest for each group."""
+    return df.groupBy("image_id", F.col("g").alias(name)).agg(*_digest(F.col(on))).select("image_id", name, F.struct("n", "h1", "h2").alias("d"))
+
+
+def equal_groups(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """(image_id, g, p) of true and predicted groups that hold the same ids."""
-    def sizes(df, as_):
-        return df.groupBy("image_id", "g").agg(F.count(F.lit(1)).alias("n_" + as_)).withColumnRenamed("g", as_)
-    both = cells(truth, pred) if both is None else both
-    shared = both.groupBy("image_id", "g", "p").agg(F.count(F.lit(1)).alias("n"))
-    return (shared.join(sizes(truth, "g"), ["image_id", "g"]).join(sizes(pred, "p"), ["image_id", "p"])
-            .where("n = n_g and n = n_p").select("image_id", "g", "p"))
+    return _group_digests(truth, "g").join(_group_digests(pred, "p"), ["image_id", "d"]).select("image_id", "g", "p")
 
 
-def matched_groups(truth: DataFrame, pred: DataFrame, both: DataFrame | None = None) -> DataFrame:
+def matched_groups(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """One-to-one matches (image_id, g, p): equal groups paired in order inside their class."""
-    eq = cut(equal_groups(truth, pred, both), "equal")
-    gs = eq.groupBy("image_id", "g").agg(F.min("p").alias("cls"))
-    ps = eq.groupBy("image_id", "p").agg(F.min("p").alias("_"), F.min("g").alias("g0"))
-    ps = ps.join(gs.withColumnRenamed("g", "g0"), ["image_id", "g0"]).select("image_id", "p", "cls")
+    gs, ps = _group_digests(truth, "g"), _group_digests(pred, "p")
     # classes of equal sets are as small as the number of repeated nets in a picture
-    gs = gs.withColumn("k", F.row_number().over(W.partitionBy("image_id", "cls").orderBy("g")))
-    ps = ps.withColumn("k", F.row_number().over(W.partitionBy("image_id", "cls").orderBy("p")))
-    return gs.join(ps, ["image_id", "cls", "k"]).select("image_id", "g", "p")
+    gs = gs.withColumn("k", F.row_number().over(W.partitionBy("image_id", "d").orderBy("g")))
+    ps = ps.withColumn("k", F.row_number().over(W.partitionBy("image_id", "d").orderBy("p")))
+    return gs.join(ps, ["image_id", "d", "k"]).select("image_id", "g", "p")
 
 
 def last_groups(groups: DataFrame) -> DataFrame:
@@ -118,13 +141,12 @@ def neighbour_counts(groups: DataFrame) -> DataFrame:
 def neighbour_accuracy(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """(image_id, n_right, n_comps): components whose neighbour sets agree; a missing one is empty."""
     t, p = designator_groups(truth), designator_groups(pred, 2)
-    lt = neighbour_counts(t.withColumn("id", F.col("designator"))).select(
-        "image_id", "designator", "g", F.col("n_neighbours").alias("nt"))
-    lp = neighbour_counts(p).select("image_id", "designator", F.col("g").alias("p"), F.col("n_neighbours").alias("np"))
-    shared = cells(t, p, on="designator").groupBy("image_id", "g", "p").agg((F.count(F.lit(1)) - 1).alias("both"))
-    comps = lt.join(lp, ["image_id", "designator"], "full").join(shared, ["image_id", "g", "p"], "left")
-    right = F.when(F.col("g").isNull(), F.col("np") == 0).when(F.col("p").isNull(), F.col("nt") == 0).otherwise(
-        (F.col("nt") == F.col("np")) & (F.col("nt") == F.coalesce("both", F.lit(-1))))
+    def last(d, name):
+        own = last_groups(d).withColumnRenamed("g", name)
+        return own.join(_group_digests(d, name, "designator"), ["image_id", name]).select("image_id", "designator", F.col("d").alias("d_" + name))
+    comps = last(t, "g").join(last(p, "p"), ["image_id", "designator"], "full")
+    # a component is in both its groups, so its neighbours agree where the groups do
+    right = F.when(F.col("d_g").isNull(), F.col("d_p.n") == 1).when(F.col("d_p").isNull(), F.col("d_g.n") == 1).otherwise(F.col("d_g") == F.col("d_p"))
     return comps.groupBy("image_id").agg(F.sum(right.cast("bigint")).alias("n_right"), F.count(F.lit(1)).alias("n_comps"))
 
 
@@ -135,14 +157,16 @@ def _rate(a: Column, b: Column) -> Column:
 def evaluate(images: DataFrame, true_entries: DataFrame, pred_entries: DataFrame) -> DataFrame:
     """All rates of each picture in images(image_id)."""
     truth, pred = cut(true_groups(true_entries), "truth"), cut(predicted_groups(pred_entries), "pred")
-    both = cut(cells(truth, pred), "cells")
-    gn = truth.select("image_id", "g").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("n_gt_groups"))
-    pn = pred.select("image_id", "g").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pred_groups"))
-    mn = matched_groups(truth, pred, both).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_matched"))
-    out = images.select("image_id")
-    for d in (edge_counts(truth, pred, both), gn, pn, mn, neighbour_accuracy(truth, pred)):
-        out = out.join(d, "image_id", "left")
-    out = out.na.fill(0)
+    names = ["n_true", "n_pred", "tp", "fp", "fn", "n_gt_groups", "n_pred_groups", "n_matched", "n_right", "n_comps"]
+
+    def tagged(df):
+        return df.select("image_id", *[(F.col(n) if n in df.columns else F.lit(0)).cast("bigint").alias(n) for n in names])
+    count = lambda df, g, n: df.groupBy("image_id").agg(F.count_distinct(g).alias(n))
+    found = tagged(images.select("image_id").withColumn("n_true", F.lit(0)))
+    for d in (edge_counts(truth, pred), count(truth, "g", "n_gt_groups"), count(pred, "g", "n_pred_groups"),
+              matched_groups(truth, pred).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_matched")), neighbour_accuracy(truth, pred)):
+        found = found.unionByName(tagged(d.join(images.select("image_id").distinct(), "image_id", "left_semi")))
+    out = found.groupBy("image_id").agg(*[F.sum(n).alias(n) for n in names])
     return out.select(
         "image_id", "n_gt_groups", "n_pred_groups", _rate(F.col("tp"), F.col("n_true")).alias("port_correct_rate"),
         _rate(F.col("fp"), F.col("n_pred")).alias("fp_rate"), _rate(F.col("fn"), F.col("n_true")).alias("fn_rate"),

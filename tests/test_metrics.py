@@ -14,7 +14,6 @@ def _rates(spark, truth, pred):
 
 
 def test_perfect(spark):
-    g = [["R1.1", "C1.1"], ["R1.2", "U1.+", "L1.1"]]
     g = [["R1.1", "C1.1"], ["R2.2", "U1.+", "L1.1"]]
     assert _rates(spark, g, g) == (1.0, 0.0, 0.0, 1.0, 1.0)
 
@@ -42,3 +41,27 @@ def test_equal_groups_match_once(spark):
     t = spark.createDataFrame(rows([["a", "b"], ["a", "b"], ["c", "d"]]), "image_id long, g long, id string, designator string")
     p = spark.createDataFrame(rows([["a", "b"], ["c", "d"], ["c", "d"]]), "image_id long, g long, id string, designator string")
     assert {(r.g, r.p) for r in metrics.matched_groups(t, p).collect()} == {(0, 0), (2, 1)}
+
+
+def _plain_edges(groups):
+    return {p for g in groups for p in combinations(sorted(g), 2)}
+
+
+def test_edges_equal_listed_pairs(spark):
+    rnd, truth, pred, want = random.Random(11), [], [], {}
+    for i in range(8):
+        t, p = ([set(rnd.sample(range(14), rnd.randint(2, 7))) for _ in range(5)] for _ in range(2))
+        truth += [(i, g, str(x)) for g, ms in enumerate(t) for x in ms]
+        pred += [(i, g, str(x)) for g, ms in enumerate(p) for x in ms]
+        a, b = (_plain_edges([set(map(str, m)) for m in gs]) for gs in (t, p))
+        want[i] = (len(a & b), len(b - a), len(a - b))
+    frame = lambda rows: spark.createDataFrame(rows, "image_id long, g long, id string")
+    got = {r.image_id: (r.tp, r.fp, r.fn) for r in metrics.edge_counts(frame(truth), frame(pred)).collect()}
+    assert got == want
+
+
+def test_an_id_in_many_groups_on_both_sides(spark):
+    n = 1000
+    rows = [(1, g, x) for g in range(n) for x in ("hot", f"x{g}")]
+    df = spark.createDataFrame(rows, "image_id long, g long, id string")
+    assert [tuple(r) for r in metrics.edge_counts(df, df).select("tp", "fp", "fn").collect()] == [(n, 0, 0)]
