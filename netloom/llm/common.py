@@ -15,6 +15,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python get ROWS_PER_BATCH rows at once at most, since texts are long; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+
+
+def map_arrow(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def tasks_of(spark: SparkSession, at_least: int = 1) -> int:
     """Partitions for a shuffle whose rows the caller has packed itself."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), at_least)

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for every training shard.
 
-A task turns its documents into shards of about two megabytes. The words of a shard, as numbers of the test
+A task turns its documents into shards of about a megabyte. The words of a shard, as numbers of the test
 vocabulary, get a suffix array, a Burrows-Wheeler transform held in a wavelet matrix and sampled suffix
 positions. All windows of the test items are searched backwards at once, their occurrences located, and the
 covered words of each document merged into spans. Words that no test item contains share one symbol, and a
@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from netloom.llm.common import LOWER, runs, sha, sliced, utf8, word_hashes
+from netloom.llm.common import LOWER, map_arrow, runs, sha, sliced, utf8, word_hashes
 
-WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 1_900_000, 8 << 20, 16
+WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 1_000_000, 8 << 20, 16
 FOUND = "_found"
 FOUND_TYPE = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -272,40 +272,64 @@ def _find_long(data, tests, shard_bytes, merged):
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-         shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The documents with a column `_found`: n_words, spans and items of `benchmark` (item_id, text)."""
+         shard_bytes: int = SHARD_BYTES, cut_out: bool = False) -> DataFrame:
+    """The documents with a column `_found`: n_words, spans and items of `benchmark` (item_id, text). With `cut_out` they
+    come without that column and without the spans in their texts."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     names = [c for c in docs.columns if c != FOUND]
     out = docs.select(*names)
-    schema = T.StructType([*out.schema.fields, T.StructField(FOUND, FOUND_TYPE)])
+    plain = out.schema
+    schema = T.StructType([*plain.fields, T.StructField(FOUND, FOUND_TYPE)])
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         tests = spark.sparkContext.broadcast(TestSet([(r.item_id, r.text) for r in block.collect()], window))
-        out = out.mapInArrow(_searcher(tests, text, shard_bytes, schema), schema)
+        last = cut_out and b == blocks - 1
+        out = map_arrow(out, _searcher(tests, text, shard_bytes, last), plain if last else schema)
     return out
 
 
-def _searcher(tests, text: str, shard_bytes: int, schema: T.StructType):
+def _searcher(tests, text: str, shard_bytes: int, cut_out: bool):
     def search(batches):
         from pyspark.sql.pandas.types import to_arrow_type
         kind = to_arrow_type(FOUND_TYPE)
         for batch in sliced(batches, 512):
             earlier = batch.column(FOUND).to_pylist() if FOUND in batch.schema.names else [None] * batch.num_rows
-            rows = []
-            for (n, spans, items), old in zip(find(batch.column(text).to_pylist(), tests.value, shard_bytes), earlier):
+            texts, rows = batch.column(text).to_pylist(), []
+            for (n, spans, items), old in zip(find(texts, tests.value, shard_bytes), earlier):
                 if old:
                     spans = _union(spans + [tuple(s.values()) for s in old["spans"]])
                     items = sorted({*items, *old["items"]})
-                rows.append({"n_words": n, "items": items, "spans": [
-                    {"word_start": s[0], "word_end": s[1], "byte_start": s[2], "byte_end": s[3]} for s in spans]})
-            kept = [(c, batch.column(c)) for c in batch.schema.names if c != FOUND]
-            yield pa.RecordBatch.from_arrays([*(x for _, x in kept), pa.array(rows, kind)], [*(c for c, _ in kept), FOUND])
+                rows.append((n, spans, items))
+            kept = {c: batch.column(c) for c in batch.schema.names if c != FOUND}
+            if cut_out:
+                yield _without(kept, text, texts, rows)
+                continue
+            found = [{"n_words": n, "items": items, "spans": [dict(zip(("word_start", "word_end", "byte_start", "byte_end"), s)) for s in spans]} for n, spans, items in rows]
+            yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(found, kind)], [*kept, FOUND])
     return search
 
 
+def _without(columns: dict, text: str, texts: list, rows: list) -> pa.RecordBatch:
+    """Rows with their spans cut out of the text and n_chars to match; those left without a word go."""
+    sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(texts)
+    keep = []
+    for i, (n_words, spans, _) in enumerate(rows):
+        keep.append(not spans or sum(s[1] - s[0] for s in spans) < n_words)
+        if spans:
+            data, at, parts = texts[i].encode("utf-8", "surrogatepass"), 0, []
+            for s in spans:
+                parts.append(data[at:s[2]])
+                at = s[3]
+            texts[i] = b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
+            sizes[i] = len(texts[i])
+    new = {text: texts, "n_chars": sizes}
+    arrays = [pa.array(new[c], x.type) if c in new else x for c, x in columns.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(columns)).filter(pa.array(keep, pa.bool_()))
+
+
 def _union(spans: list[tuple]) -> list[tuple]:
     out: list[tuple] = []
     for s in sorted(spans):
@@ -327,29 +351,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents with every span cut out of their texts; those left without a word go."""
-    names = [c for c in docs.columns if c != FOUND]
-    schema = docs.select(*names).schema
-
-    def cut_out(batches):
-        for batch in sliced(batches, 512):
-            texts, keep, counts = [], [], []
-            sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else [None] * batch.num_rows
-            for t, n, found in zip(batch.column("text").to_pylist(), sizes, batch.column(FOUND).to_pylist()):
-                spans = found["spans"]
-                if spans:
-                    data, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
-                    for s in spans:
-                        parts.append(data[at:s["byte_start"]])
-                        at = s["byte_end"]
-                    t = b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
-                texts.append(t)
-                counts.append(len(t) if spans else n)
-                keep.append(not spans or sum(s["word_end"] - s["word_start"] for s in spans) < found["n_words"])
-            new = {"text": texts, "n_chars": counts}
-            columns = [pa.array(new[c], batch.column(c).type) if c in new else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
-
-    return mark(docs, benchmark, **options).mapInArrow(cut_out, schema)
+    return mark(docs, benchmark, cut_out=True, **options)
 
 
 SQL = r"""

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import hash63, sliced
+from netloom.llm.common import hash63, map_arrow, sliced
 
 SAMPLE_PAGES, SAMPLE_BLOCKS, MADE_UP, HIDDEN, EPOCHS, BATCH, SEED = 120, 40, 420, 12, 10, 32, 7
 PATH_DIMS, WORD_DIMS = 64, 16
@@ -335,4 +335,4 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
             texts = main_texts(b.column("html").to_pylist(), held.value, features)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    return pages.select(*names, "html").mapInArrow(run, f"{schema}, text string, n_chars bigint")
+    return map_arrow(pages.select(*names, "html"), run, f"{schema}, text string, n_chars bigint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.lineage import cut
-from netloom.llm.common import LOWER, not_space, prefix_hash, sliced, stretch_hash, tasks_of, utf8, word_hashes
+from netloom.llm.common import LOWER, map_arrow, not_space, prefix_hash, sliced, stretch_hash, tasks_of, utf8, word_hashes
 from netloom.llm.packed import components, pack, reduce, schema_of, small_enough
 
 SHINGLE, PERCENT, SHORT_LIST, BLOCK_NODES, SPARE = 4, 85, 64, 20_000, 10
@@ -65,7 +65,7 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                                               pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "node"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, NODES)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, NODES)
 
 
 def postings(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -87,7 +87,7 @@ def postings(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                 # the low part of the range of hashes is posted most: deal by other bits
                 yield from pack(joined, joined["shingle"] * np.uint64(0x9E3779B97F4A7C15), buckets)
 
-    return docs.select("text").mapInArrow(run, schema_of(["shingle", "node", "n"]))
+    return map_arrow(docs.select("text"), run, schema_of(["shingle", "node", "n"]))
 
 
 def _short_pairs(c: dict, short: int, percent: int):
@@ -112,7 +112,7 @@ def _short_pairs(c: dict, short: int, percent: int):
 
     held = 0
     for m in np.unique(size[(size > 1) & (size <= short)]):
-        for lists in np.array_split(start[size == m], max(1, len(start[size == m]) * m * m // 4_000_000)):
+        for lists in np.array_split(start[size == m], max(1, len(start[size == m]) * m * m // 1_000_000)):
             rows = lists[:, None] + np.arange(m)
             i, j = np.triu_indices(m, 1)
             x, y = rows[:, i].ravel(), rows[:, j].ravel()
@@ -120,7 +120,7 @@ def _short_pairs(c: dict, short: int, percent: int):
             a.append(node[x[fit]])
             b.append(node[y[fit]])
             held += int(fit.sum())
-            if held > 4_000_000:
+            if held > 1_000_000:
                 yield flush()
                 a, b, held = [], [], 0
     if held:
@@ -221,7 +221,7 @@ def verified(docs: DataFrame, members: DataFrame, count: int, k: int, percent: i
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("block"), b.column("parts"), pa.array([s.tobytes() for s in found], pa.binary())],
                                              ["node", "block", "parts", "shingles"]).filter(pa.array(own, pa.bool_()))
 
-    rows = texts.select("node", "block", "parts", "text").mapInArrow(sets, "node bigint, block bigint, parts int, shingles binary")
+    rows = map_arrow(texts.select("node", "block", "parts", "text"), sets, "node bigint, block bigint, parts int, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("i"), F.greatest(p, F.col("own")).alias("j")))
     spread = rows.withColumn("own", own).withColumn("g", F.explode(pairs)).select("block", "g.i", "g.j", "node", "shingles")

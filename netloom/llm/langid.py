@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.lineage import cut
-from netloom.llm.common import hash63, sliced
+from netloom.llm.common import hash63, map_arrow, sliced, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 TRAIN_DOCS, ROUNDS, SMOOTHING, CACHE = 2000, 2, 0.1, 400_000
@@ -123,6 +123,7 @@ class Model:
 def fit(docs: DataFrame, pieces: list[str] | None = None, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
     """Probabilities from rows (doc_id, text, lang); the driver gets a count for each piece and language."""
     spark = docs.sparkSession
+    small_batches(spark)
     pieces = read_pieces() if pieces is None else pieces
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              [*names, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return map_arrow(docs.select(*names), score, f"{schema}, lang_pred string, score double")
 
 
 def held_out() -> F.Column:

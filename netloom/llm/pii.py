@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.llm.common import hash63, runs, sha, sliced
+from netloom.llm.common import hash63, map_arrow, runs, sha, sliced, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_STRETCHES, EPOCHS, REACH = 4000, 400, 10, 2
@@ -268,6 +268,7 @@ def rewritten(kind: str, value: str, r: np.random.Generator) -> str | None:
 
 def training_table(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: int = SAMPLE_STRETCHES) -> DataFrame:
     """text, spans: stretches around numbers and addresses of about `sample_docs` documents, at most `limit` of them."""
+    small_batches(docs.sparkSession)
     n = docs.count()
     share = min(1_000_000, 1_000_000 * sample_docs // max(n, 1))
 
@@ -378,7 +379,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
                  pa.array([written(base + more) for base, more in found], pa.string()), pa.array([len(more) for _, more in found], pa.int64())],
                 [x.split()[0] for x in FOUND.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, FOUND)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, FOUND)
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -402,4 +403,4 @@ def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
             new = {"text": texts, "n_chars": sizes}
             yield pa.RecordBatch.from_arrays([pa.array(new[c], b.column(c).type) if c in new else b.column(c) for c in b.schema.names], b.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

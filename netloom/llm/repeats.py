@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.lineage import cut
-from netloom.llm.common import prefix_hash, runs, stretch_hash, tasks_of, utf8
+from netloom.llm.common import map_arrow, prefix_hash, runs, stretch_hash, tasks_of, utf8
 from netloom.llm.packed import dealt, pack, reduce, schema_of, small_enough
 
 LENGTH, GRAM, CHUNK, FLUSH, BATCH_IDS = 100, 32, 1_000_000, 250_000, 65536
@@ -81,7 +81,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
                 [pa.array([key_of(d) for d in b.column("doc_id").to_pylist()], pa.int64()), pa.array(list(map(len, raw)), pa.int64()),
                  pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())], ["doc", "n_bytes", "digest"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc bigint, n_bytes bigint, digest string")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc bigint, n_bytes bigint, digest string")
 
 
 def entries(docs: DataFrame, buckets: int) -> DataFrame:
@@ -107,7 +107,7 @@ def entries(docs: DataFrame, buckets: int) -> DataFrame:
             if size:
                 yield from _packed(columns, buckets)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema_of(list(ENTRY)))
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema_of(list(ENTRY)))
 
 
 def _packed(columns, buckets):
@@ -230,7 +230,7 @@ def _with_texts(docs: DataFrame, packed: DataFrame, wanted: DataFrame, count: in
             yield pa.RecordBatch.from_arrays([pa.array(to), *[empty] * len(names), pa.array(ids), b.column("text")], ["bucket", *names, "id", "text"])
 
     keyed = docs.select(F.col("doc_id").cast("bigint"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    texts = keyed.join(small_enough(wanted, count), "doc", "left_semi").select("doc_id", "text").mapInArrow(deal, f"{schema_of(names)}, id bigint, text string")
+    texts = map_arrow(keyed.join(small_enough(wanted, count), "doc", "left_semi").select("doc_id", "text"), deal, f"{schema_of(names)}, id bigint, text string")
     both = texts.unionByName(packed.withColumn("id", F.lit(None).cast("bigint")).withColumn("text", F.lit(None).cast("string")))
 
     def run(batches):
