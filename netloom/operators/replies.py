@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from netloom.functions import text
 from netloom.operators.rules import normal_severity
 
-ISSUE = "array<struct<type:string,severity:string,description:string,suggestion:string>>"
+ISSUE = "array<struct<type:string,severity:string,description:string,suggestion:string,nodes:array<string>,components:array<string>,location:string>>"
 REPLY = f"overall_score int, fatal_errors {ISSUE}, correctness_issues {ISSUE}, quality_issues {ISSUE}, summary string"
 
 
@@ -23,6 +23,35 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     return out.withColumn("reply", F.when(F.col("ok"), F.from_json("json", REPLY)))
 
 
+def array_issues(replies: DataFrame, family: Column) -> DataFrame:
+    """Issues of replies that are JSON arrays, all of one family a reply, with every field; others give no rows."""
+    out = with_json(replies.withColumn("family", family)).where(F.col("json").rlike(r"^\s*\[") & F.try_parse_json("json").isNotNull())
+    out = out.select("circuit_id", "family", F.posexplode(F.from_json("json", ISSUE)).alias("ord", "i")).select("circuit_id", "family", "ord", "i.*")
+    return out.withColumn("severity", normal_severity(F.col("family"), F.col("severity")))
+
+
+CIRCUIT = ("name string, expected_function string, components array<struct<id:string,type:string,value:string,nodes:array<string>>>, "
+           "connections array<struct<from_node:string,to_node:string,via:string>>, notes string")
+
+
+def circuit_replies(replies: DataFrame) -> DataFrame:
+    """Adds `ok` and `circuit` for replies that describe a circuit; `reject` names the first required field that is missing."""
+    out = with_json(replies).withColumn("ok", F.try_parse_json("json").isNotNull() & F.col("json").rlike(r"^\s*\{"))
+    out = out.withColumn("circuit", F.when(F.col("ok"), F.from_json("json", CIRCUIT)))
+    required = [F.when(F.col(f"circuit.{n}").isNull(), n) for n in ("name", "expected_function", "components", "connections")]
+    return out.withColumn("reject", F.when(~F.coalesce("ok", F.lit(False)), "json").otherwise(F.coalesce(*required)))
+
+
+def circuit_parts(parsed: DataFrame) -> DataFrame:
+    """(circuit_id, idx, id, type, value, nodes) of good circuit replies, for `rules.part_rejects` and the rules."""
+    return parsed.where("reject is null").select("circuit_id", F.posexplode("circuit.components").alias("idx", "p")).select("circuit_id", "idx", "p.*")
+
+
+def circuit_links(parsed: DataFrame) -> DataFrame:
+    """(circuit_id, idx, from_node, to_node, via) of good circuit replies."""
+    return parsed.where("reject is null").select("circuit_id", F.posexplode("circuit.connections").alias("idx", "l")).select("circuit_id", "idx", "l.*")
+
+
 def reply_issues(parsed: DataFrame) -> DataFrame:
     """Issues of good replies in long form with normalised severities."""
     lists = F.array(*[F.struct(F.lit(family).alias("family"), F.col("reply")[col].alias("items")) for family, col in (
@@ -77,6 +106,23 @@ def prompt_lines(circuits: DataFrame, parts: DataFrame, links: DataFrame, head:
     return out
 
 
+# slots of each prompt shape, and how many characters of a slot it takes
+PROMPT_SHAPES = {
+    "description": {"description": None}, "netlist_request": {"description": None}, "netlist_review": {"name": None, "netlist": 2000},
+    "simulation": {"name": None, "result": None}, "wired_review": {"name": None, "components": None, "groups": None},
+}
+
+
+def prompts(table: DataFrame, shape: str, wording: str) -> DataFrame:
+    """(circuit_id, prompt): the caller's wording with the slots of a shape filled from columns of `table`."""
+    slots = PROMPT_SHAPES[shape]
+    absent = [s for s in slots if "{%s}" % s not in wording]
+    if absent:
+        raise ValueError(f"the wording for {shape} has no place for {', '.join(absent)}")
+    filled = {s: F.col(s) if n is None else shortened(F.col(s), n) for s, n in slots.items()}
+    return table.select("circuit_id", fill(wording, **filled).alias("prompt"))
+
+
 def shortened(c: Column, n: int) -> Column:
     """First n characters, for listings."""
     return F.substring(c, 1, n)

@@ -29,6 +29,7 @@ def supply_nodes(parts: DataFrame) -> DataFrame:
             .withColumn("plus", F.col("n_plus") > 0).withColumn("minus", (F.col("n_minus") + F.col("n_ground")) > 0))
 
 
+# the sentences of the findings below and of the summary are fixed values
 def short_circuits(parts: DataFrame, links: DataFrame) -> DataFrame:
     """Links without a part between a supply and a ground node, in either direction."""
     roles = supply_nodes(parts).select("circuit_id", "node", "plus", "minus")
@@ -134,6 +135,24 @@ def part_rejects(parts: DataFrame) -> DataFrame:
         ~F.coalesce(F.col("type").isin(*dims.PART_TYPES), F.lit(False)), "type").when(F.col("nodes").isNull(), "nodes"))
 
 
+def link_rejects(links: DataFrame) -> DataFrame:
+    """Adds `reject` for links without an end."""
+    return links.withColumn("reject", F.when(F.col("from_node").isNull(), "from_node").when(F.col("to_node").isNull(), "to_node"))
+
+
+def report_rejects(reports_: DataFrame) -> DataFrame:
+    """Adds `reject` for reports whose score is missing or outside 0 to 100, or that have no summary."""
+    return reports_.withColumn("reject", F.when(~F.coalesce(F.col("overall_score").between(0, 100), F.lit(False)), "overall_score")
+                               .when(F.col("summary").isNull(), "summary"))
+
+
+def field_rejects(issues: DataFrame) -> DataFrame:
+    """Adds `reject`: the first required field an issue lacks (safety: nodes, description; others: components, description, suggestion)."""
+    safety = F.col("family") == "safety"
+    return issues.withColumn("reject", F.when(safety & F.col("nodes").isNull(), "nodes").when(~safety & F.col("components").isNull(), "components")
+                             .when(F.col("description").isNull(), "description").when(~safety & F.col("suggestion").isNull(), "suggestion"))
+
+
 def issue_rejects(issues: DataFrame) -> DataFrame:
     """Adds `reject` for issues outside the enumerations of their family."""
     f, t, s = F.col("family"), F.col("type"), F.col("severity")

@@ -19,7 +19,7 @@ CLASSES = ("resistor", "capacitor.polarized", "capacitor.unpolarized", "diode",
 SUFFIXES = ("k", "V", "R7", "H", "Ω", "uF", "A5", "")
 VALUES = ("Ω", "kΩ", "MΩ", "μF", "V", "", "k", "vf=2.1")
 
-_guards: dict[tuple[str, str], ranks.SkewGuard] = {}
+_guards: dict[tuple, ranks.SkewGuard] = {}
 
 
 def _pick(values: tuple, index) -> "F.Column":
@@ -39,10 +39,17 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def version(self) -> tuple:
+        """Names, sizes and times of what the folder holds: results kept for it are kept for these files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
     @property
     def guard(self) -> ranks.SkewGuard:
         """Orders with very many lines, counted once per folder and session."""
-        key = (self.spark.sparkContext.applicationId, self.folder)
+        key = (self.spark.sparkContext.applicationId, self.folder, self.version)
         if key not in _guards:
             _guards[key] = ranks.SkewGuard(self.read("lineitem").select("l_orderkey"), ["l_orderkey"])
         return _guards[key]

@@ -259,3 +259,72 @@ _HEAD, _MID, _TAIL = ["电路名称: {name}", "预期功能: {expected_function}
  UNION ALL SELECT o_orderkey, 4, unnest([0,1]), unnest({sql_list(_TAIL)}) FROM orders)""")
 def _(t):
     return replies.prompt_lines(_circuits(t), t.parts, t.links, _HEAD, _MID, _TAIL)
+
+
+def _array_replies(t):
+    item = F.struct("idx", "type", "severity", F.concat(F.lit("about "), "type").alias("description"), F.when(F.col("idx") % 3 != 0, "fix").alias("suggestion"),
+                    F.when(F.col("idx") % 4 != 0, F.array(F.concat(F.lit("P"), F.col("idx").cast("string")), F.lit("P0"))).alias("components"))
+    return t.issues.where("family = 'correctness'").groupBy("circuit_id").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("j")).select(
+        "circuit_id", F.concat(F.lit("```json\n"), "j", F.lit("\n```")).alias("response"))
+
+
+_ARRAYS = """ SELECT circuit_id, row_number() OVER (PARTITION BY circuit_id ORDER BY idx) - 1 AS ord, type, CASE WHEN severity IN ('major','minor') THEN severity ELSE 'minor' END AS severity,
+ 'about '||type AS description, CASE WHEN idx%3<>0 THEN 'fix' END AS suggestion, CASE WHEN idx%4<>0 THEN 'P'||idx||',P0' END AS components FROM issues WHERE family='correctness'"""
+
+
+@query("F15_array_replies", ("issues",), _ARRAYS)
+def _(t):
+    return replies.array_issues(_array_replies(t), F.lit("correctness")).select(
+        "circuit_id", "ord", "type", "severity", "description", "suggestion", F.when(F.col("components").isNotNull(), F.array_join("components", ",")).alias("components"))
+
+
+@query("F16_required_fields", ("issues",), "SELECT circuit_id, ord, CASE WHEN components IS NULL THEN 'components' WHEN suggestion IS NULL THEN 'suggestion' END AS reject FROM (" + _ARRAYS + ")")
+def _(t):
+    return rules.field_rejects(replies.array_issues(_array_replies(t), F.lit("correctness"))).select("circuit_id", "ord", "reject")
+
+
+@query("F16_report_validation", ("replies",), _FIRST + """ SELECT circuit_id, CASE WHEN NOT (json<>'' AND json_valid(json)) OR CAST(json_extract(json,'$.overall_score') AS INT) > 60 THEN 'overall_score' END AS reject FROM js""")
+def _(t):
+    read = replies.parse_replies(t.replies).select("circuit_id", "reply.overall_score", "reply.summary")
+    # scores above 60 are moved out of the range
+    return rules.report_rejects(read.withColumn("overall_score", F.when(F.col("overall_score") > 60, F.col("overall_score") + 41).otherwise(F.col("overall_score")))).select("circuit_id", "reject")
+
+
+def _circuit_replies(t):
+    parts = t.parts.groupBy("circuit_id").agg(F.sort_array(F.collect_list(F.struct("idx", "id", "type", "value", "nodes"))).alias("components"))
+    links = t.links.groupBy("circuit_id").agg(F.sort_array(F.collect_list(F.struct("idx", "from_node", "to_node", "via"))).alias("connections"))
+    doc = F.to_json(F.struct("name", F.when(F.col("circuit_id") % 5 != 0, F.col("expected_function")).alias("expected_function"), "components", "connections"))
+    return _circuits(t).join(parts, "circuit_id").join(links, "circuit_id").select("circuit_id", F.concat(F.lit("```json\n"), doc, F.lit("\n```")).alias("response"))
+
+
+@query("F15_circuit_parts", ("parts",), "SELECT circuit_id, row_number() OVER (PARTITION BY circuit_id ORDER BY idx) - 1 AS idx, id, type, value, array_to_string(nodes, ',') AS nodes FROM parts WHERE circuit_id%5<>0")
+def _(t):
+    return replies.circuit_parts(replies.circuit_replies(_circuit_replies(t))).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query("F15_circuit_links", ("links",), "SELECT circuit_id, row_number() OVER (PARTITION BY circuit_id ORDER BY idx) - 1 AS idx, from_node, to_node, via FROM links WHERE circuit_id%5<>0")
+def _(t):
+    return replies.circuit_links(replies.circuit_replies(_circuit_replies(t)))
+
+
+@query("F15_circuit_status", ("parts",), "SELECT circuit_id, CASE WHEN circuit_id%5=0 THEN 'expected_function' END AS reject FROM (SELECT DISTINCT circuit_id FROM parts)")
+def _(t):
+    return replies.circuit_replies(_circuit_replies(t)).select("circuit_id", "reject")
+
+
+_SHAPES = (("description", "Draw: {description}."), ("netlist_request", "As a netlist: {description}"), ("netlist_review", "{name}:\n{netlist}\nIs it right?"),
+           ("simulation", "{name} gave {result}"), ("wired_review", "{name}\n{components}\n{groups}"))
+
+
+@query("F28_prompt_shapes", (), """SELECT doc_id AS circuit_id, shape, CASE shape WHEN 'description' THEN 'Draw: '||text||'.' WHEN 'netlist_request' THEN 'As a netlist: '||text
+ WHEN 'netlist_review' THEN source||':'||chr(10)||left(text, 2000)||chr(10)||'Is it right?' WHEN 'simulation' THEN source||' gave '||lang
+ ELSE source||chr(10)||text||chr(10)||lang END AS prompt FROM (SELECT doc_id, coalesce(text,'None') AS text, coalesce(source,'None') AS source, coalesce(lang,'None') AS lang FROM documents),
+ (SELECT unnest(['description','netlist_request','netlist_review','simulation','wired_review']) AS shape)""")
+def _(t):
+    d = t.read("documents").select(F.col("doc_id").alias("circuit_id"), F.col("text").alias("description"), F.col("source").alias("name"), F.col("lang").alias("result"),
+                                   F.col("text").alias("netlist"), F.col("text").alias("components"), F.col("lang").alias("groups"))
+    out = None
+    for shape, wording in _SHAPES:
+        own = replies.prompts(d, shape, wording).withColumn("shape", F.lit(shape))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -56,7 +56,7 @@ _inputs: dict[tuple[str, str], Inputs] = {}
 
 def Stage(t) -> Inputs:
     """The written inputs of one folder, made once per session and shared by the stage queries."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = (t.spark.sparkContext.applicationId, t.folder, t.version)
     if key not in _inputs:
         _inputs[key] = Inputs(t)
     return _inputs[key]
@@ -330,7 +330,7 @@ _prepared: dict[tuple[str, str], dict] = {}
 
 def wired(t, switches):
     """The whole run; what no setting changes is worked out once per folder and session."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    key = (t.spark.sparkContext.applicationId, t.folder, t.version)
     if key not in _prepared:
         comps = t.comps("wiring")
         comps = detect.reindex(detect.suppress(comps, detect.family_conflicts(comps, "wiring")), t.image_guard)
