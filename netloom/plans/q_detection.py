@@ -121,6 +121,12 @@ def _(t):
     return detect.with_labels(t.ports("annotation"), "annotation").select("image_id", "ci", "pi", "label")
 
 
+@query("J03_port_labels_by_index", ("ports_annotation", "labels_annotation"), """SELECT image_id, ci, pi, coalesce(label,CAST(pi AS VARCHAR)) AS label
+ FROM ports_annotation LEFT JOIN labels_annotation USING (name, pi)""")
+def _(t):
+    return detect.with_labels(t.ports("annotation"), "annotation", by_index=True).select("image_id", "ci", "pi", "label")
+
+
 @query("W01_designators_annotation", ("comps_annotation",), f"""SELECT image_id, idx, prefix||row_number() OVER
  (PARTITION BY image_id, prefix ORDER BY idx) AS designator FROM (SELECT *, coalesce(MAP {{{','.join(
     f"'{n}':'{p}'" for n, p in dims.PREFIXES['annotation'].items())}}}[name], left(name,1)) AS prefix FROM comps_annotation)""")
@@ -181,14 +187,34 @@ def _(t):
     return detect.suppress(c, detect.family_conflicts(c, "annotation")).select("image_id", "idx", "cls")
 
 
-@query("J27_any_family_overlaps", ("boxes",), _walk(
-    f"""SELECT a.image_id, a.idx AS a, b.idx AS b, CASE WHEN a.conf>=b.conf THEN b.idx ELSE a.idx END AS loser
- FROM boxes a JOIN boxes b ON a.image_id=b.image_id AND a.idx<b.idx AND {g.overlaps('a', 'b')} AND {g.iou('a', 'b')}>0.3""", ",")
-    + " SELECT image_id, idx, cls FROM boxes ANTI JOIN gone USING (image_id, idx)", recursive=True)
+_FAMW = "(CASE " + " ".join(f"WHEN %s IN ({','.join(repr(c) for c in f)}) THEN {i}" for i, f in enumerate(dims.FAMILIES["wiring"])) + " END)"
+
+
+@query("J26_wiring_family_overlaps", ("comps_wiring",), _walk(
+    f"""SELECT a.image_id, a.idx AS a, b.idx AS b, CASE WHEN {_SPEC % 'a.cls'}>={_SPEC % 'b.cls'} THEN b.idx ELSE a.idx END AS loser
+ FROM comps_wiring a JOIN comps_wiring b ON a.image_id=b.image_id AND a.idx<b.idx AND {_FAMW.replace('%s', 'a.cls')}={_FAMW.replace('%s', 'b.cls')}
+ AND {g.overlaps('a', 'b')} AND {g.iou('a', 'b')}>0.35""", ",")
+    + " SELECT image_id, idx, cls FROM comps_wiring ANTI JOIN gone USING (image_id, idx)", recursive=True)
+def _(t):
+    c = t.comps("wiring")
+    return detect.suppress(c, detect.family_conflicts(c, "wiring")).select("image_id", "idx", "cls")
+
+
+def _any_sql(limit):
+    return _walk(f"""SELECT a.image_id, a.idx AS a, b.idx AS b, CASE WHEN a.conf>=b.conf THEN b.idx ELSE a.idx END AS loser
+ FROM boxes a JOIN boxes b ON a.image_id=b.image_id AND a.idx<b.idx AND {g.overlaps('a', 'b')} AND {g.iou('a', 'b')}>{limit}""", ",") + " SELECT image_id, idx, cls FROM boxes ANTI JOIN gone USING (image_id, idx)"
+
+
+@query("J27_any_family_overlaps", ("boxes",), _any_sql(0.3), recursive=True)
 def _(t):
     return detect.suppress(t.boxes, detect.any_conflicts(t.boxes, 0.3)).select("image_id", "idx", "cls")
 
 
+@query("J27_default_limit", ("boxes",), _any_sql(0.7), recursive=True)
+def _(t):
+    return detect.suppress(t.boxes, detect.any_conflicts(t.boxes)).select("image_id", "idx", "cls")
+
+
 _MATCH = f""", pairs AS (SELECT a.image_id, a.idx AS p, b.idx AS d, {g.iou('a', 'b')} AS s FROM boxes a JOIN refs b
   ON a.image_id=b.image_id AND {g.overlaps('a', 'b')} AND {g.iou('a', 'b')}>0.3),
  steps AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY p, s DESC, d) AS n FROM pairs),
