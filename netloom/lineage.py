@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _local_dirs: dict[str, str] = {}
+_written: set[str] = set()  # paths of the tables that `cut` made in this process
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +33,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/netloom/{label}-{uuid.uuid4().hex}"
 
 
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path without its scheme and host."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write `df` once and continue from the written table."""
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
+    _written.add(_plain(df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +61,7 @@ def drop_table(df: DataFrame) -> None:
         return
     jvm = spark._jvm
     parent = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    if "/netloom/" in str(parent):
+    if _plain(spark, str(parent)) in _written:
         parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
 
 

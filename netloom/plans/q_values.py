@@ -234,7 +234,27 @@ def _(t):
     return ranks.row_number(conn, ["image_id"], ["d", "ci", "pi", "cj", "pj"], "place").select("image_id", "ci", "pi", "cj", "pj", "place")
 
 
-@query("G09_assign_nodes", ("segments", "ports_wiring"))
+_NODES = f""", pairs AS (SELECT image_id, p, q, o FROM conn UNION ALL
+  SELECT a.image_id, a.ci*4294967296+a.pi, b.ci*4294967296+b.pi, row({g.dist('a.px', 'a.py', 'b.px', 'b.py')}, 1, 0, 0, a.ci*4294967296+a.pi, 0, b.ci*4294967296+b.pi)
+  FROM sp a JOIN sp b ON a.image_id=b.image_id AND a.ci<b.ci WHERE {g.dist('a.px', 'a.py', 'b.px', 'b.py')}<35),
+ steps AS MATERIALIZED (SELECT image_id, p, q, row_number() OVER (PARTITION BY image_id ORDER BY o) AS n FROM pairs),
+ spm AS MATERIALIZED (SELECT image_id, ci, pi, n_ports, name, ci*4294967296+pi AS p FROM sp),
+ walk(image_id, n, ps, ns, nxt) AS (SELECT image_id, 0::BIGINT, coalesce(list(p) FILTER (name='GND'), []::BIGINT[]), coalesce(list(0::BIGINT) FILTER (name='GND'), []::BIGINT[]), 1::BIGINT FROM spm GROUP BY image_id
+  UNION ALL SELECT image_id, n, CASE WHEN ia IS NULL AND ib IS NULL THEN list_concat(ps, [p, q]) WHEN ib IS NULL THEN list_append(ps, q) WHEN ia IS NULL THEN list_append(ps, p) ELSE ps END,
+   CASE WHEN ia IS NULL AND ib IS NULL THEN list_concat(ns, [nxt, nxt]) WHEN ib IS NULL THEN list_append(ns, ns[ia]) WHEN ia IS NULL THEN list_append(ns, ns[ib]) ELSE ns END,
+   CASE WHEN ia IS NULL AND ib IS NULL THEN nxt+1 ELSE nxt END
+   FROM (SELECT w.image_id, s.n, s.p, s.q, ps, ns, nxt, nullif(list_position(ps, s.p), 0) AS ia, nullif(list_position(ps, s.q), 0) AS ib FROM walk w JOIN steps s ON s.image_id=w.image_id AND s.n=w.n+1)),
+ last AS MATERIALIZED (SELECT image_id, arg_max(ps, n) AS ps, arg_max(ns, n) AS ns, arg_max(nxt, n) AS nxt FROM walk GROUP BY image_id),
+ got AS MATERIALIZED (SELECT image_id, unnest(ps) AS p, unnest(ns) AS node FROM last),
+ fresh AS MATERIALIZED (SELECT image_id, ci, row_number() OVER (PARTITION BY image_id ORDER BY ci) - 1 AS k FROM (
+  SELECT image_id, ci FROM spm JOIN got USING (image_id, p) WHERE n_ports=2 GROUP BY image_id, ci HAVING count(*)=2 AND min(node)=max(node))),
+ more AS (SELECT image_id, count(*) AS m FROM fresh GROUP BY image_id),
+ solo AS (SELECT image_id, p, row_number() OVER (PARTITION BY image_id ORDER BY p) - 1 AS k FROM spm ANTI JOIN got USING (image_id, p))
+ SELECT s.image_id, s.ci, s.pi, CASE WHEN f.k IS NOT NULL AND s.pi=1 THEN nxt+f.k WHEN o.k IS NOT NULL THEN nxt+coalesce(m,0)+o.k ELSE t.node END AS node
+ FROM spm s JOIN last l USING (image_id) LEFT JOIN got t USING (image_id, p) LEFT JOIN fresh f USING (image_id, ci) LEFT JOIN more USING (image_id) LEFT JOIN solo o USING (image_id, p)"""
+
+
+@query("G09_assign_nodes", ("segments", "ports_wiring"), _WG + _SP + _MW + _CONN + _NODES, recursive=True)
 def _(t):
     ports = _sp(t)
     return segments.assign_nodes(ports, segments.merge_wires(_on(t, ports)), t.image_guard)
