@@ -191,6 +191,19 @@ def _(t):
     return wiring.nearest_by_direction(pairs, s.limits).select("image_id", "ax", "ay", "bx", "by", "way")
 
 
+@query("W14_degree_cap_of_candidates", _NEED, _P2J0 + _JJ + """, steps AS MATERIALIZED (SELECT image_id, ax, ay, bx, by, ax*4294967296+ay AS ea, bx*4294967296+by AS eb, row_number() OVER (PARTITION BY image_id ORDER BY oa, ob) AS n FROM jj),
+ walk(image_id, n, ends, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM steps UNION ALL
+  SELECT image_id, n, CASE WHEN full_ THEN ends ELSE list_concat(ends, [ea, eb]) END, CASE WHEN full_ THEN kept ELSE list_append(kept, n) END FROM (
+   SELECT w.image_id, s.n, w.ends, w.kept, ea, eb, len(list_filter(w.ends, lambda e: e=ea))>=10 OR len(list_filter(w.ends, lambda e: e=eb))>=10 AS full_
+   FROM walk w JOIN steps s ON s.image_id=w.image_id AND s.n=w.n+1)),
+ kept AS (SELECT image_id, unnest(arg_max(kept, n)) AS n FROM walk GROUP BY image_id)
+ SELECT image_id, ax, ay, bx, by FROM steps JOIN kept USING (image_id, n)""", recursive=True)
+def _(t):
+    s = Stage(t)
+    pairs = wiring.junction_pairs(s.junctions, s.links(), s.comps, s.limits).withColumn("ord", F.struct("oa", "ob"))
+    return wiring.degree_cap(pairs).select("image_id", "ax", "ay", "bx", "by")
+
+
 @query("W14_degree_cap", ("boxes",), """, c AS (SELECT image_id, idx, (x1+x2)//2 AS x, (y1+y2)//2 AS y FROM boxes),
  steps AS (SELECT a.image_id, a.idx AS a, b.idx AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, row_number() OVER (PARTITION BY a.image_id ORDER BY a.idx, b.idx) AS n FROM c a JOIN c b ON a.image_id=b.image_id AND a.idx<b.idx AND b.idx<a.idx+4),
  walk(image_id, n, ends, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM steps UNION ALL
