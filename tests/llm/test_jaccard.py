@@ -84,3 +84,14 @@ def test_empty_repeated_and_null_ids(spark, make_docs):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "A B C D E"), (3, None), (3, None), (None, "z z")]
     out = jaccard.join(make_docs(rows).withColumnRenamed("lang", "node")).collect()
     assert sorted(map(tuple, out), key=str) == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3), (None, 1, None)], key=str)
+
+
+def test_without_broadcasts(spark, make_docs, monkeypatch):
+    """Beyond the limit of a broadcast the wanted texts are joined by a shuffle."""
+    monkeypatch.setattr(jaccard, "small_enough", lambda df, rows: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(3, 10, 6)
+        assert sorted(map(tuple, jaccard.join(make_docs(rows)).collect())) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -81,3 +81,14 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, make_docs):
     t = "".join(random.Random(1).choices("abcdef ", k=300))
     out = sorted(map(tuple, repeats.remove_repeats(make_docs([(1, t), (1, t), (None, t[50:200]), (2, "short")])).collect()), key=str)
     assert [(r[0], r[2]) for r in out] == [(1, 150), (1, 150), (2, 0), (None, 0)]
+
+
+def test_without_broadcasts(spark, make_docs, monkeypatch):
+    """Beyond the limit of a broadcast the wanted texts are joined by a shuffle."""
+    monkeypatch.setattr(repeats, "small_enough", lambda df, rows: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(8)[:60]
+        assert sorted(map(tuple, repeats.remove_repeats(make_docs(rows)).collect())) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
