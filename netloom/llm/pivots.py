@@ -1,7 +1,8 @@
 """Near-duplicate vectors by an index of pivot permutations.
 
 Reference points are drawn from the vectors. Every vector is described by its nearest reference points in order
-(its permutation). Inverted lists stand for pairs of points, so that two vectors on one list share at least two of
+(its permutation), as many as `nearest_of` says: the more points there are, the more of them a near vector may have
+in between. Inverted lists stand for pairs of points, so that two vectors on one list share at least two of
 their nearest points. A list verifies its vectors by cosine in double precision; a pair that meets on several lists
 counts on the first only. Long lists are cut into blocks, and every pair of blocks is a group of its own.
 
@@ -29,6 +30,11 @@ CODED = "vec_id bigint, class string, dims int, v binary"
 POSTING = "list bigint, rep bigint, n bigint, near binary, v binary"
 
 
+def nearest_of(n_points: int) -> int:
+    """Nearest points of a vector: NEAREST up to 64 points, and two more for every eightfold number."""
+    return NEAREST + max(0, round(2 / 3 * math.log2(max(n_points, 1) / 64)))
+
+
 def coded(vectors: DataFrame) -> DataFrame:
     """vec_id with a digest and the double values of the vector scaled to length 1; null where it links with nothing."""
     def run(batches):
@@ -55,9 +61,9 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(x.as_buffer()) for x in column])
 
 
-def postings(classes: DataFrame, points: np.ndarray, nearest: int = NEAREST) -> DataFrame:
+def postings(classes: DataFrame, points: np.ndarray, nearest: int | None = None) -> DataFrame:
     """A row for every vector and pair of its nearest points; `near` holds the points in order of closeness."""
-    held = classes.sparkSession.sparkContext.broadcast(points)
+    held, nearest = classes.sparkSession.sparkContext.broadcast(points), nearest or nearest_of(len(points))
 
     def run(batches):
         p = held.value
@@ -140,7 +146,7 @@ def verified(rows: DataFrame, n_points: int, cosine: float = COSINE) -> DataFram
     return rows.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
-def links(classes: DataFrame, n_classes: int, cosine: float = COSINE, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
+def links(classes: DataFrame, n_classes: int, cosine: float = COSINE, nearest: int | None = None, block: int = BLOCK) -> DataFrame:
     """Linked weights and star edges of the distinct vectors (rep, class, n, v) of one length."""
     spark = classes.sparkSession
     n_points = min(n_classes, max(MIN_PIVOTS, min(MAX_PIVOTS, math.isqrt(n_classes))))

@@ -47,6 +47,18 @@ def test_recall_over_the_whole_table(spark):
     assert sum(want.values()) > 100 and sum(got.values()) >= 0.95 * sum(want.values()) and all(got[i] <= want[i] for i in want)
 
 
+@pytest.mark.parametrize("n_points", [44, 280, 1000, 4096])
+def test_recall_near_the_threshold_with_many_points(spark, n_points):
+    r, pairs, dims = np.random.default_rng(n_points), 600, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    u, w = unit(r.normal(size=(pairs, dims))), r.normal(size=(pairs, dims))
+    v = 0.901 * u + np.sqrt(1 - 0.901 ** 2) * unit(w - (w * u).sum(1)[:, None] * u)
+    classes = spark.createDataFrame([(i, 1, bytearray(x.tobytes())) for i, x in enumerate([*u, *v])], "rep bigint, n bigint, v binary")
+    posted = pivots.postings(classes, unit(r.normal(size=(n_points, dims)))).selectExpr("list", "0 AS i", "0 AS j", "0 AS part", "rep", "n", "near", "v")
+    found = pivots.verified(posted.repartition(4, "list").sortWithinPartitions("list"), n_points).groupBy().sum("links").collect()[0][0]
+    assert 2 * pairs * 0.97 <= found <= 2 * pairs
+
+
 def test_empty_and_unlinked(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert pivots.near_duplicates(spark.createDataFrame([], schema)).collect() == []
