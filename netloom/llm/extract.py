@@ -6,7 +6,8 @@ sequence from both sides and labels every block as main text or not. Training pa
 labelled by what their paths say, and from made-up sequences of the same texts in other layouts.
 
 Null and empty pages, and pages without a main block, give an empty text. Unclosed tags, comments and scripts end
-where a browser would end them. Repeated rows are extracted alike; other columns are kept.
+where a browser would end them. Only elements of raw text are dropped; what stands in drawings, objects, canvases and
+templates is labelled like other blocks, and formulas belong to the text around them. Repeated rows are extracted alike; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ PATH_DIMS, WORD_DIMS = 64, 16
 DIMS = PATH_DIMS + WORD_DIMS + 5
 
 # fixed values: element kinds of the HTML standard
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = "script|style|template|iframe|svg|math|noembed|noframes|object|canvas"
+DROPPED = "script|style|iframe|noembed|noframes"
+CLOSE_THEMSELVES = frozenset("svg object canvas template".split())  # by "/>", and everything inside svg
 # an opening tag of the key closes an open element of the values
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -40,8 +43,9 @@ AGAINST = frozenset("""head nav header footer aside form script style noscript b
 FOR = frozenset("article main content post entry story articlebody maincontent".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<drop>%s)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=drop)\s*>|.*\Z)"
+    r"<!--(?:.*?-->|.*\Z)|(?P<open><(?P<drop>%s)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)(?:.*?</(?P=drop)(?=[\s/>])[^>]*+>|.*\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<odd>/?[a-zA-Z][a-zA-Z0-9:-]*)[^>]*+>|<[!?/][^>]*+>" % DROPPED, re.S | re.I)
+_NO_TEXT = re.compile(r"(?:\s*+<(?!/?svg[\s/>])[^<>]*+>)*+\s*+</svg\s*>", re.I)  # the rest of a drawing without text
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
@@ -64,9 +68,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if any(tag == "a" for tag, _ in stack):
                 linked += len(text)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         add(page[at:m.start()])
         at = m.end()
+        if m["drop"] and page[m.end("open") - 2] == "/" and any(tag == "svg" for tag, _ in stack):
+            at = m.end("open")
         tag = (m["tag"] or m["odd"] or "").lower()
         close = m["close"] == "/" or tag.startswith("/")
         tag = tag.lstrip("/")
@@ -79,8 +85,12 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 _pop(stack, {"a"})
                 stack.append(("a", ()))
             continue
+        closed = not close and page[m.end() - 2] == "/"
+        if tag == "svg" and not close and (closed or (rest := _NO_TEXT.match(page, at))):
+            at = at if closed else rest.end()
+            continue
         flush()
-        if tag in VOID:
+        if tag in VOID or closed and (tag in CLOSE_THEMSELVES or any(t == "svg" for t, _ in stack)):
             continue
         if close:
             _pop(stack, {tag})

@@ -28,6 +28,24 @@ def test_blocks():
     assert extract.blocks("<p " + "a='" * 50_000)  # no closing quote: still linear
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<p>one</p><svg class="i"/><p>two</p><p>three</p>', ["one", "two", "three"]),
+    ("<p>one <svg viewBox='0 0 1 1'><g><path d='M0'/></g></svg> two</p><p>three", ["one two", "three"]),
+    ("<p>a</p><svg><style/><text>label</text></svg><p>b</p><svg><path/><p>c</p>", ["a", "label", "b", "c"]),
+    ('<svg-icon name="x"></svg-icon><p>b</p><object-viewer>c</object-viewer><template-x/><p>d</p><script-x>e</script-x><p>f', ["b", "c", "d", "e", "f"]),
+    ("<p>so <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p><math/><p>b", ["so a=2 holds", "b"]),
+    ("<p>a</p><object data='x'><p>instead</p></object><canvas>old</canvas><p>b</p><object><canvas><template><p>c</p>", ["a", "instead", "old", "b", "c"]),
+    ("<p>a</p><script>x</scripts><p>y</p></script ><p>b</p><STYLE>z</style\n><p>c<iframe src='x'>d</iframe> e<noembed>f</noembed><noframes>g", ["a", "b", "c e"]),
+])
+def test_only_raw_text_is_dropped(page, want):
+    assert [t for _, t, _ in extract.blocks(page)] == want
+
+
+def test_an_article_with_drawings_and_formulas(model):
+    page = PAGE.replace("<p>First", '<svg class="i"/><object data="o"></object><math/><p>First')
+    assert extract.main_texts([page], model, extract.Features()) == extract.main_texts([PAGE], model, extract.Features())
+
+
 def test_gradients_are_those_of_the_loss():
     r = np.random.default_rng(0)
     m = extract.Labeller()
