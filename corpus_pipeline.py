@@ -2,10 +2,12 @@
 
 1. language: documents without letters, or without a clear language, go.
 2. near duplicates: of documents whose five-word shingles are 80% alike, directly or through others, the one with
-   the smallest id stays; of equal rows, one.
+   the smallest id stays (null ids come last), and of its rows one; of equal rows without words, one.
 3. benchmark: passages of benchmark items are cut out; a document left without words goes.
 4. personal data: spans are replaced by their kind.
 5. mix: blocks are apportioned to sources; the result has the documents that the mix takes, with the number of words.
+
+Ids may be null and may have several texts: rows are decided on by a number of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +19,12 @@ from netloom.llm import decontaminate, jaccard, langid, mixing, pii
 from netloom.llm.common import table
 from netloom.llm.packed import small_enough
 
-MIN_SCORE = 0.5
+MIN_SCORE, ROW = 0.5, "row_number_in_stage"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number, written so that it stays."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +34,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.join(docs, k=5, percent=80)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("rows")), "kept")
-    joined = docs.join(small_enough(kept, kept.count()), F.col("doc_id").eqNullSafe(F.col("kept")))
-    once = joined.where("rows = 1").select(*docs.columns)
-    return once.unionByName(joined.where("rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    rows = numbered(docs)
+    found = jaccard.grouped(rows, k=5, percent=80, carried=(ROW,))
+    alone = F.col("comp").isNull()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", ROW))
+    kept = cut(found.groupBy("comp", F.when(alone, F.col("doc_id")).alias("id"), F.when(alone, F.col("th")).alias("digest")).agg(first.alias("first")).select(f"first.{ROW}"), "kept")
+    return rows.join(small_enough(kept, kept.count()), ROW, "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +51,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = cut(mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.sum("taken").alias("taken")), "plan")
-    return docs.drop("size", "target", "taken").join(small_enough(plan, plan.count()), "doc_id")
+    rows = numbered(docs.drop("size", "target", "taken"))
+    plan = cut(mixing.mix(rows, carried=(ROW,)).where("taken > 0").select(ROW, "size", "target", "taken"), "plan")
+    return rows.join(small_enough(plan, plan.count()), ROW).drop(ROW)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("mix", mix)]

@@ -25,7 +25,7 @@ from netloom.llm.common import LOWER, map_arrow, not_space, prefix_hash, sliced,
 from netloom.llm.packed import components, pack, reduce, schema_of, small_enough
 
 SHINGLE, PERCENT, SHORT_LIST, BLOCK_NODES, SPARE = 4, 85, 64, 20_000, 10
-NODES = "doc_id bigint, n bigint, node bigint"
+NODES = "doc_id bigint, th bigint, n bigint, node bigint"
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -57,15 +57,16 @@ def posted(n: int, percent: int) -> int:
     return min(n, int(n - least_overlap(n, percent) + spare(n)))
 
 
-def nodes_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, number of shingles and node (a digest of the set; null if empty)."""
+def nodes_of(docs: DataFrame, k: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, th (hash of the text), number of shingles, node (a digest of the set; null if empty) and the carried bigints."""
     def run(batches):
         for b in sliced(batches, 1024):
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), *(b.column(c) for c in carried)],
+                                             ["doc_id", "th", "n", "node", *carried])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, NODES)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text", *carried), run, ", ".join([NODES, *(f"`{c}` bigint" for c in carried)]))
 
 
 def postings(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -210,14 +211,17 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.
 
 
 def verified(docs: DataFrame, members: DataFrame, count: int, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside candidate blocks. members: doc_id, node, block, parts, one document for each node."""
+    """Links (a, b) inside candidate blocks. members: id, digest (of the text), node, block, parts, one document for each node."""
     spark, buckets = docs.sparkSession, tasks_of(docs.sparkSession)
-    texts = docs.select("doc_id", "text").join(small_enough(members, count), "doc_id")
+    # null ids meet by the text alone
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(small_enough(members, count), (F.col("th") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("id")))
 
     def sets(batches):
+        seen = set()
         for b in sliced(batches, 1024):
             found = [shingle_set(t, k) for t in b.column("text").to_pylist()]
-            own = [node_of(s) == node for s, node in zip(found, b.column("node").to_pylist())]  # an id may have several texts
+            # a hash of a text may stand for several, and one text in many rows is sent once
+            own = [node_of(s) == node and node not in seen and not seen.add(node) for s, node in zip(found, b.column("node").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("block"), b.column("parts"), pa.array([s.tobytes() for s in found], pa.binary())],
                                              ["node", "block", "parts", "shingles"]).filter(pa.array(own, pa.bool_()))
 
@@ -250,19 +254,24 @@ def verified(docs: DataFrame, members: DataFrame, count: int, k: int, percent: i
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, short: int = SHORT_LIST, block_nodes: int = BLOCK_NODES) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents whose sets link when 100 * shared >= percent * union."""
-    rows = cut(nodes_of(docs, k), "nodes")
-    distinct = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "distinct")
+def grouped(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, short: int = SHORT_LIST, block_nodes: int = BLOCK_NODES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of `nodes_of` with comp (the least node of the component; null without shingles) and component_id (its least doc_id)."""
+    rows = cut(nodes_of(docs, k, carried), "nodes")
+    distinct = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.first("n").alias("n")), "distinct")
     blocks = components(candidates(docs, distinct, k, percent, short))
     sizes = blocks.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = cut(blocks.join(sizes, "comp").join(distinct, "node").select("doc_id", "node", F.col("comp").alias("block"), F.ceil(F.col("size") / block_nodes).cast("int").alias("parts")), "members")
+    members = cut(blocks.join(sizes, "comp").join(distinct, "node").select(F.col("doc_id").alias("id"), F.col("th").alias("digest"), "node", F.col("comp").alias("block"), F.ceil(F.col("size") / block_nodes).cast("int").alias("parts")), "members")
     count = members.count()
     comp = components(cut(verified(docs, members, count, k, percent), "links"))
     named = distinct.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_node = cut(named.join(least, "comp").select("node", "component_id"), "of_node")
-    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = cut(named.join(least, "comp").select("node", "comp", "component_id"), "of_node")
+    return rows.join(of_node, "node", "left")
+
+
+def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, short: int = SHORT_LIST, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents whose sets link when 100 * shared >= percent * union."""
+    return grouped(docs, k, percent, short, block_nodes).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 SQL = r"""

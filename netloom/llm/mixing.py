@@ -60,13 +60,13 @@ def apportion(votes: list[float], caps: list[int], seats: int) -> list[int]:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: int = 2, block: int = BLOCK,
-        seed: str = SEED, docs_per_shard: int = DOCS_PER_SHARD, max_shards: int = MAX_SHARDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, shard and the words of every document the mix takes.
+        seed: str = SEED, docs_per_shard: int = DOCS_PER_SHARD, max_shards: int = MAX_SHARDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, shard and the carried columns of every document.
 
     The driver sees one row per source and per shard (at most `max_shards` a source), never documents.
     """
     spark = docs.sparkSession
-    sized = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size")), "sized")
+    sized = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"), *carried), "sized")
     per_source = sorted(sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size")).collect(),
                         key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r["size"] for r in per_source], [weights[i % len(weights)] for i in range(len(per_source))], share, limit)
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         F.col("in_first") * ((F.col("first") + 1) * block - F.col("a")) + F.col("in_last") * (F.col("a") + F.col("size") - F.col("last") * block)
         + block * (upto("last") - upto("first + 1")))
     return ranged.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + once_more).cast("bigint").alias("taken"),
-                         "source", "shard")
+                         "source", "shard", *carried)
 
 
 SQL = rf"""

@@ -42,6 +42,29 @@ def test_stages(spark, make_docs, tmp_path):
     assert {i for i, _ in out["mix"]} <= {*clean, 40, 43, 47}
 
 
+def test_null_ids_and_ids_with_several_texts(spark, make_docs):
+    rng = random.Random(9)
+    near, other, third = (sentence(rng, 200) for _ in range(3))
+    alone = [(None, sentence(rng, 90)) for _ in range(5)]
+    # copies among null ids; of a smaller id, where another text of the id stays; of two rows of one id
+    texts = alone + [(None, near), (None, near + " more"), (None, near), (3, other), (7, other + " more"), (7, sentence(rng, 120)), (8, third), (8, third + " more"), (None, other)]
+    rows = [(r.doc_id, r.text) for r in c.near_duplicates(spark, make_docs(texts, source=lambda i: "s").repartition(3), "").collect()]
+    assert len(rows) == len(set(rows)) == 9 and set(rows) <= set(texts)
+    assert set(alone) | {(3, other), texts[10]} <= set(rows)
+    assert sum(t.startswith(near) for _, t in rows) == 1 and [i for i, t in rows if t.startswith(third)] == [8]
+
+
+def test_mix_keeps_every_row_it_takes(spark, make_docs):
+    rng = random.Random(10)
+    texts = [(None, sentence(rng, 50 + i)) for i in range(6)] + [(1, sentence(rng, 300)), (1, sentence(rng, 40)), (1, "same text"), (1, "same text"), (2, "")]
+    docs = make_docs(texts, source=lambda i: "s")
+    plan = [r for r in c.mixing.mix(docs).collect() if r.taken > 0]
+    got = c.mix(spark, docs, "").collect()
+    assert sum(r.doc_id is None for r in plan) > 3 and len(got) == len(plan)
+    assert sorted((str(r.doc_id), r["size"], r.taken) for r in got) == sorted((str(r.doc_id), r["size"], r.taken) for r in plan)
+    assert all(r["size"] == len(r.text.split()) and r.taken <= 2 * r["size"] for r in got)
+
+
 def test_run_on_a_table(spark):
     rows = c.run(spark, FOLDER)
     assert {"doc_id", "text", "taken"} <= set(rows.columns) and 100 < rows.count() <= 200
