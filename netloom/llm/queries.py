@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import chat, decontaminate, extract, jaccard, langid, mixing, pii, pivots, repeats, warc
+from netloom.llm import anchors, chat, decontaminate, extract, jaccard, langid, mixing, pii, pivots, prefixtrie, repeats, warc, whitening
 from netloom.llm.common import table
 
 
@@ -50,5 +50,19 @@ def op10_language_id(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op3_divide_skip, op4_chat_format, op5_suffix_levels, op6_fm_index, op7_pivot_permutations, op8_warc_salvage, op9_block_labeller, op10_language_id)}
-ORACLES = {"op2_source_mix": mixing.SQL, "op3_divide_skip": jaccard.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL}
+def op11_cover_anchors(spark, folder):
+    return anchors.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_prefix_trie(spark, folder):
+    return prefixtrie.trie(table(spark, folder, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_word_shape_crf, op2_source_mix, op3_divide_skip, op4_chat_format, op5_suffix_levels, op6_fm_index, op7_pivot_permutations, op8_warc_salvage, op9_block_labeller, op10_language_id,
+                                  op11_cover_anchors, op12_whitening, op13_prefix_trie)}
+ORACLES = {"op2_source_mix": mixing.SQL, "op3_divide_skip": jaccard.SQL, "op4_chat_format": chat.SQL, "op6_fm_index": decontaminate.SQL, "op8_warc_salvage": warc.SQL,
+           "op11_cover_anchors": anchors.SQL, "op13_prefix_trie": prefixtrie.SQL}
