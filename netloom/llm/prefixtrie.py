@@ -313,9 +313,9 @@ tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
 rows_ AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 digits AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, conv_id::VARCHAR AS s FROM rows_),
-crc(conv_id, base, s, at, c) AS (SELECT conv_id, base, s, 0, 4294967295 FROM digits
-  UNION ALL SELECT conv_id, base, s, at + 1, xor(c >> 8, (SELECT t FROM tab)[(xor(c, ascii(substr(s, at + 1, 1))) & 255) + 1]) FROM crc WHERE at < length(s)),
-conv AS (SELECT conv_id, base, (xor(c, 4294967295) % 4) AS h FROM crc WHERE at = length(s)),
+crc(conv_id, base, s, i, c) AS (SELECT conv_id, base, s, 0, 4294967295 FROM digits
+  UNION ALL SELECT conv_id, base, s, i + 1, xor(c >> 8, (SELECT t FROM tab)[(xor(c, ascii(substr(s, i + 1, 1))) & 255) + 1]) FROM crc WHERE i < length(s)),
+conv AS (SELECT conv_id, base, (xor(c, 4294967295) % 4) AS h FROM crc WHERE i = length(s)),
 heads AS (SELECT c.conv_id, r.pos AS depth, r.role, r.text FROM conv c JOIN rows_ r ON r.conv_id = c.base AND r.pos <= c.h),
 got AS (SELECT c.conv_id, c.h, count(d.depth) AS hb FROM conv c LEFT JOIN heads d USING (conv_id) GROUP BY ALL),
 built AS (SELECT * FROM heads UNION ALL SELECT g.conv_id, r.pos - g.h + g.hb, r.role, r.text FROM got g JOIN rows_ r ON r.conv_id = g.conv_id AND r.pos > g.h),
