@@ -4,8 +4,8 @@ Archives are rows (archive, content) of bounded size, so that any store Spark re
 `export` writes them as files into a mounted folder. The reader checks every member and record; after a
 failed check it looks for the next valid member or version line, goes on from there and logs the gap.
 
-A null text is an empty payload, a null url an empty target. Repeated rows are separate records; of equal
-ids any one is referred to. An empty table gives no archives. Other columns are ignored.
+A null text is an empty payload, a null url an empty target. Repeated rows are separate records; rows of one id may
+have different payloads, each is judged by its own. An empty table gives no archives. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from netloom.lineage import cut
 
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
-ARCHIVE_BYTES, MIN_REVISIT = 8 << 20, 1000
+ARCHIVE_BYTES, MIN_REVISIT, STEP = 8 << 20, 1000, 1 << 16
 ARCHIVES = "archive string, content binary"
 RECORDS = "archive string, at bigint, page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
-GAPS = "archive string, gap_start bigint, gap_end bigint, reason string"
+GAPS = "archive string, gap_start bigint, gap_end bigint, reason string, inner_start bigint, inner_end bigint"
 
 
 def record_bytes(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
@@ -48,20 +48,24 @@ def member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse_record(data: bytes) -> dict | None:
-    """The record at the start of `data`, with `size`; None if its head, length or digests are wrong."""
-    head_end = data.find(b"\r\n\r\n")
-    if not data.startswith(VERSION) or head_end < 0:
+def parse_record(data: bytes, at: int = 0) -> dict | None:
+    """The record at a place of `data`, with `size`; None if its head, length or digests are wrong. A record may lack a
+    payload digest: a response then gets that of its payload."""
+    head_end = data.find(b"\r\n\r\n", at)
+    if not data.startswith(VERSION, at) or head_end < 0:
         return None
-    fields = dict(x.split(": ", 1) for x in data[len(VERSION):head_end].decode("utf-8", "replace").split("\r\n") if ": " in x)
+    fields = dict(x.split(": ", 1) for x in data[at + len(VERSION):head_end].decode("utf-8", "replace").split("\r\n") if ": " in x)
     try:
         n = int(fields["Content-Length"])
-        block = data[head_end + 4:head_end + 4 + n]
-        named = fields["WARC-Block-Digest"]
+        kind, named = fields["WARC-Type"], fields["WARC-Block-Digest"]
         page_id = re.search(r"urn:page:(-?\d+|None)", fields["WARC-Record-ID"])[1]
+        told = fields.get("WARC-Payload-Digest")
+        told = told and base64.b32decode(told.removeprefix("sha1:")).hex()
     except (KeyError, ValueError, TypeError):
         return None
-    if len(block) != n or data[head_end + 4 + n:head_end + 8 + n] != b"\r\n\r\n":
+    end = head_end + 4 + n
+    block = data[head_end + 4:end]
+    if n < 0 or len(block) != n or data[end:end + 4] != b"\r\n\r\n":
         return None
     if named != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
         return None
@@ -69,74 +73,94 @@ def parse_record(data: bytes) -> dict | None:
     length = re.search(rb"Content-Length: (\d+)", block[:http_end + 2])
     refers = re.search(r"urn:page:(-?\d+)", fields.get("WARC-Refers-To", ""))
     payload = block[http_end + 4:]
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    return {"page_id": None if page_id == "None" else int(page_id), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"],
-            "refers_to": int(refers[1]) if refers else None, "payload_digest": digest,
-            "payload_bytes": int(length[1]) if length else len(payload), "payload": payload, "size": head_end + 8 + n}
+    if kind != "revisit":
+        own = hashlib.sha1(payload).hexdigest()
+        if told and told != own:
+            return None
+        told = own
+    return {"page_id": None if page_id == "None" else int(page_id), "url": fields.get("WARC-Target-URI"), "record_type": kind,
+            "refers_to": int(refers[1]) if refers else None, "payload_digest": told,
+            "payload_bytes": int(length[1]) if length else len(payload), "payload": payload, "size": end + 4 - at}
+
+
+def _inflated(content: bytes, at: int) -> tuple[bytes | None, int, str]:
+    """Content of the gzip member at a place and its length there; None and a reason if its checks fail."""
+    z, parts, end = zlib.decompressobj(31), [], at
+    try:
+        while not z.eof and end < len(content):
+            parts.append(z.decompress(content[end:end + STEP]))
+            end += STEP
+    except zlib.error as e:
+        return None, 0, f"member: {e}"
+    if not z.eof:
+        return None, 0, "truncated member"
+    return b"".join(parts), min(end, len(content)) - len(z.unused_data) - at, ""
+
+
+def _records_in(data: bytes):
+    """Records of a member and the ranges between them that hold none."""
+    at, lost = 0, None
+    while at < len(data):
+        r = parse_record(data, at)
+        if r:
+            if lost is not None:
+                yield "gap", (lost, at)
+                lost = None
+            yield "record", r
+            at += r["size"]
+            continue
+        lost = at if lost is None else lost
+        at = data.find(VERSION, at + 1)
+        at = len(data) if at < 0 else at
+    if lost is not None:
+        yield "gap", (lost, len(data))
 
 
 def read_records(content: bytes):
-    """(offset, record) and (start, end, reason) gaps of one archive, plain or compressed, in order."""
+    """(offset, record) and (start, end, reason, inner start, inner end) gaps of one archive, plain or compressed, in
+    order. The inner range is set for a stretch inside the content of a whole member whose other records were read."""
     at, lost, why = 0, None, ""
     while at < len(content):
-        found, step = [], 0
+        found, inner, step = [], [], 0
         if content.startswith(MEMBER, at):
-            z = zlib.decompressobj(31)
-            try:
-                # a member that is whole ends with its own checksum
-                data = z.decompress(memoryview(content)[at:])
-                if z.eof:
-                    step = len(content) - at - len(z.unused_data)
-                    inner = 0
-                    while inner < len(data) and (r := parse_record(data[inner:] if inner else data)):
-                        found.append(r)
-                        inner += r["size"]
-                    if inner < len(data):
-                        found, why = found, "bad record in a member"
-                        if not found:
-                            step = 0
-                        else:
-                            yield "gap", (at, at + step, why)
-                else:
-                    why = "truncated member"
-            except zlib.error as e:
-                why = f"member: {e}"
+            data, step, why = _inflated(content, at)
+            for kind, x in _records_in(data or b""):
+                (found if kind == "record" else inner).append(x)
+            if data is not None and not found:
+                why = "bad record in a member"
         elif content.startswith(VERSION, at):
-            end = at + (1 << 20)
-            while True:  # plain records: widen the view until the record fits
-                r = parse_record(content[at:end])
-                if r or end >= len(content):
-                    break
-                end = at + 4 * (end - at)
-            if r:
-                found, step = [r], r["size"]
-            else:
-                why = "bad record"
+            r = parse_record(content, at)
+            found, step, why = ([r], r["size"], "") if r else ([], 0, "bad record")
         else:
             why = "no member or version line"
-        if step and found:
+        if found:
             if lost is not None:
-                yield "gap", (lost[0], at, lost[1])
+                yield "gap", (lost[0], at, lost[1], None, None)
                 lost = None
             for r in found:
                 yield "record", (at, r)
+            for x, y in inner:
+                yield "gap", (at, at + step, "bad record in a member", x, y)
             at += step
             continue
         lost = lost or (at, why)
         nexts = [x for x in (content.find(MEMBER, at + 1), content.find(VERSION, at + 1)) if x >= 0]
         at = min(nexts) if nexts else len(content)
     if lost is not None:
-        yield "gap", (lost[0], len(content), lost[1])
+        yield "gap", (lost[0], len(content), lost[1], None, None)
 
 
 def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html and refers_to: the largest id of the pages with the same payload, null for that page itself."""
-    sized = cut(pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("digest"),
-                             F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes")), "payloads")
+    """page_id, url, html and refers_to: the largest id of the pages with the same payload, null for that page itself.
+
+    Null ids never count as largest and revisit nothing; rows of one id with the same payload are all responses or all
+    revisits, and rows of one id with different payloads are judged one by one."""
+    digest = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    sized = cut(pages.select("page_id", digest.alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes")), "payloads")
     large = sized.where(F.col("bytes") >= min_bytes)
     keeper = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = large.join(keeper, "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
-    return pages.select("page_id", "url", "html").join(revisits, "page_id", "left")
+    revisits = large.join(keeper, "digest").where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    return pages.select("page_id", "url", "html", digest.alias("digest")).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(planned: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -60,4 +60,37 @@ def test_pages(spark, tmp_path):
     assert sum(len(ids(f.read_bytes())) for f in tmp_path.iterdir()) == 8
     assert warc.quarantined(archives).count() == 0
     damaged = spark.createDataFrame([("x", b"lost" + warc.member(warc.record_bytes(1, "u", b"p")))], warc.ARCHIVES)
-    assert [tuple(r) for r in warc.quarantined(damaged).collect()] == [("x", 0, 4, "no member or version line")]
+    assert [tuple(r) for r in warc.quarantined(damaged).collect()] == [("x", 0, 4, "no member or version line", None, None)]
+
+
+def test_records_without_or_with_wrong_payload_digest():
+    plain = warc.record_bytes(1, "u", b"p" * 40)
+    without = b"\r\n".join(x for x in plain.split(b"\r\n") if not x.startswith(b"WARC-Payload-Digest"))
+    (_, (_, r)), = warc.read_records(without)
+    assert (r["page_id"], r["payload_digest"]) == (1, hashlib.sha1(b"p" * 40).hexdigest())
+    other = warc.record_bytes(2, "u", b"q" * 40)
+    digest = lambda x: next(y for y in x.split(b"\r\n") if y.startswith(b"WARC-Payload-Digest"))
+    wrong = plain.replace(digest(plain), digest(other))
+    assert ids(wrong) == [] and ids(wrong + other) == [2] and ids(b"".join(map(warc.member, (without, wrong, other)))) == [1, 2]
+
+
+def test_damage_inside_a_member_is_logged_where_it_is():
+    a, b, c = (warc.record_bytes(i, "u", bytes([65 + i]) * 60) for i in range(3))
+    content = warc.member(a + b.replace(b"B" * 20, b"x" * 20) + c)
+    assert ids(content) == [0, 2]
+    assert [x for kind, x in warc.read_records(content) if kind == "gap"] == [(0, len(content), "bad record in a member", len(a), len(a) + len(b))]
+
+
+def test_one_id_with_several_payloads_and_null_ids(spark):
+    big, other, third = "x" * 1500, "y" * 1500, "z" * 1200
+    pages = [(1, big), (1, other), (2, big), (3, third), (1, third), (None, big), (None, third)]
+    df = spark.createDataFrame([(i, "u", h, "d") for i, h in pages], "page_id bigint, url string, html string, digest string")
+    rows = sorted(((r.page_id, r.payload_digest[:4], r.record_type, r.refers_to) for r in warc.page_records(df).collect()), key=str)
+    d = lambda t: hashlib.sha1(t.encode()).hexdigest()[:4]
+    assert rows == sorted([(1, d(big), "revisit", 2), (1, d(other), "response", None), (2, d(big), "response", None), (3, d(third), "response", None),
+                           (1, d(third), "revisit", 3), (None, d(big), "response", None), (None, d(third), "response", None)], key=str)
+
+
+def test_many_members_take_time_in_proportion():
+    content = b"".join(warc.member(warc.record_bytes(i, "u", b"p" * 2000)) for i in range(3000))
+    assert len(ids(content)) == 3000
