@@ -42,3 +42,15 @@ def test_fingerprint_of_typed_tables(spark):
     assert [(t.role, t.text) for t in chat.canonical(df).first().turns] == [("user", "q"), ("assistant", "a")]
     df = spark.createDataFrame([(1, "q", "a", 3)], "conv_id bigint, prompt string, response string, extra int")
     assert [(t.role, t.text) for t in chat.canonical(df).first().turns] == [("user", "q"), ("assistant", "a")]
+
+
+def test_extra_columns_named_like_other_layouts(spark):
+    rows = [(1, 0, "human", "q", "x"), (1, 1, "assistant", "a", "y")]
+    plain = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, other string")
+    want = chat.digests(chat.formatted(chat.canonical(plain))).collect()
+    assert want[0].turns_sha256 == hashlib.sha256(b"human\nq\nassistant\na\n").hexdigest()
+    for extra in (["system"], ["prompt"], ["data"], ["prompt", "response"], ["messages"], ["input", "instruction", "output"]):
+        table = plain.selectExpr("*", *(f"'made up' AS {c}" for c in extra))
+        assert chat.digests(chat.formatted(chat.canonical(table))).collect() == want
+    both = spark.createDataFrame([(1, "s", "q", "a", "i")], "conv_id bigint, system string, prompt string, response string, instruction string")
+    assert [(t.role, t.text) for t in chat.canonical(both).first().turns] == [("system", "s"), ("user", "q"), ("assistant", "a")]
