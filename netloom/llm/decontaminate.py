@@ -207,15 +207,15 @@ def search_shard(texts: list[np.ndarray], tests: TestSet) -> list[tuple[np.ndarr
 
 
 def _pieces(data: np.ndarray, size: int):
-    """Stretches of a long text that end between words, as long as `size` allows."""
+    """Stretches of a long text, one behind the other, that end between words, as long as `size` allows."""
     at = 0
     while at < len(data):
         end = min(at + size, len(data))
         while end < len(data) and _WORD_BYTE[LOWER[data[end - 1]]]:
             gap = np.flatnonzero(~_WORD_BYTE[LOWER[data[end:end + size]]])
             end = end + int(gap[0]) + 1 if len(gap) else min(end + size, len(data))
-        nxt = yield at, end
-        at = end if nxt is None else nxt
+        yield at, end
+        at = end
 
 
 def find(texts: list[str | None], tests: TestSet, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, list[tuple[int, int, int, int]], list[str]]]:
@@ -253,21 +253,21 @@ def find(texts: list[str | None], tests: TestSet, shard_bytes: int = SHARD_BYTES
 
 
 def _find_long(data, tests, shard_bytes, merged):
-    starts, ends, hits, n = [], [], [], 0
-    pieces = _pieces(data, shard_bytes)
-    try:
-        a, b = next(pieces)
-        while True:
-            start, end, found = search_shard([data[a:b]], tests)[0]
-            back = min(tests.window - 1, len(start) - 1) if b < len(data) and len(start) else 0
-            fresh = len(start) - back  # the last words are read again with the next piece
-            starts.append(start[:fresh] + a)
-            ends.append(end[:fresh] + a)
-            hits.append(found + np.array([n, n, 0]))
-            n += fresh
-            a, b = pieces.send(int(start[fresh]) + a if back else None)
-    except StopIteration:
-        pass
+    """Like `find` for one long text. The last words of a piece, as many as a window less one, stand before the next
+    piece, however far apart the two are."""
+    starts, ends, hits, n = [], [], [np.zeros((0, 3), np.int64)], 0
+    carried: list[bytes] = []
+    for a, b in _pieces(data, shard_bytes):
+        before = np.frombuffer(b"".join(w + b" " for w in carried), np.uint8)
+        piece = np.concatenate([before, data[a:b]])
+        start, end, found = search_shard([piece], tests)[0]
+        k = len(carried)
+        hits.append(found + np.array([n - k, n - k, 0]))
+        starts.append(start[k:] - len(before) + a)
+        ends.append(end[k:] - len(before) + a)
+        n += len(start) - k
+        if tests.window > 1:
+            carried = [piece[x:y].tobytes() for x, y in zip(start[1 - tests.window:], end[1 - tests.window:])]
     return merged(n, np.concatenate(hits), np.concatenate(starts), np.concatenate(ends))
 
 

@@ -79,3 +79,13 @@ def test_spans_are_cut_out(spark, make_docs):
     out = d.without_spans(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {0: (f"{rest} . End", len(rest) + 6), 2: ("clean text", 10), 3: (None, 0), 4: ("", 0)}
+
+
+def test_windows_across_long_gaps_in_long_texts():
+    rng = random.Random(8)
+    item = sentence(rng, 12).split()
+    tests = d.TestSet([("a", " ".join(item)), ("b", "short item")], 10)
+    texts = [" ".join(item[:5]) + " " * 2_100 + " ".join(item[5:]), ("-" * 700).join(item), sentence(rng, 90) + " short" + "." * 3000 + "item " + sentence(rng, 30),
+             item[0] + " " * 900 + "x" * 4000 + " " * 900 + " ".join(item[1:]), " ".join(item[:6] + ["y" * 2000] + item[6:]), " " * 5000]
+    assert d.find(texts, tests, shard_bytes=500) == d.find(texts, tests, shard_bytes=1 << 20)
+    assert [sum(b - a for a, b, *_ in spans) for _, spans, _ in d.find(texts, tests, shard_bytes=500)] == [12, 12, 2, 11, 0, 0]
