@@ -7,7 +7,8 @@ their nearest points. A list verifies its vectors by cosine in double precision;
 counts on the first only. Long lists are cut into blocks, and every pair of blocks is a group of its own.
 
 Equal vectors are one class with a count. Vectors that are null, zero or hold null or non-finite components link
-with nothing; vectors of different lengths never link. Repeated ids are separate vectors of one id.
+with nothing; vectors of different lengths never link. Repeated ids are separate vectors of one id; a null id is
+larger than any other, and a component without ids has a null component_id.
 `MAX_PIVOTS` bounds the reference points; all vectors are indexed.
 """
 
@@ -27,7 +28,7 @@ from netloom.llm.packed import components, forest
 
 MIN_PIVOTS, MAX_PIVOTS, NEAREST, BLOCK, COSINE = 32, 4096, 6, 1024, 0.9
 CODED = "vec_id bigint, class string, dims int, v binary"
-POSTING = "list bigint, rep bigint, n bigint, near binary, v binary"
+POSTING = "list bigint, node bigint, n bigint, near binary, v binary"
 
 
 def nearest_of(n_points: int) -> int:
@@ -77,18 +78,18 @@ def postings(classes: DataFrame, points: np.ndarray, nearest: int | None = None)
                 keys = np.stack([low[:, i].astype(np.int64) * len(p) + low[:, j] for i, j in pairs], 1)
                 take = pa.array(np.repeat(np.arange(part.num_rows), len(pairs)))
                 near_bytes = pa.array([x.tobytes() for x in near], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), part.column("rep").take(take), part.column("n").take(take),
-                                                  near_bytes.take(take), part.column("v").take(take)], ["list", "rep", "n", "near", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), part.column("node").take(take), part.column("n").take(take),
+                                                  near_bytes.take(take), part.column("v").take(take)], ["list", "node", "n", "near", "v"])
 
-    return classes.select("rep", "n", "v").mapInArrow(run, POSTING)
+    return classes.select("node", "n", "v").mapInArrow(run, POSTING)
 
 
 def verified(rows: DataFrame, n_points: int, cosine: float = COSINE) -> DataFrame:
     """a, b, links: for each group of rows (list, i, j, part) the linked weight of every vector `a`, and a smaller vector it reaches."""
-    def link(rep, n, near, v, part, split, key):
-        left = np.flatnonzero(part == 0) if split else np.arange(len(rep))
+    def link(node, n, near, v, part, split, key):
+        left = np.flatnonzero(part == 0) if split else np.arange(len(node))
         right = np.flatnonzero(part == 1) if split else left
-        links, ea, eb = np.zeros(len(rep), np.int64), [], []
+        links, ea, eb = np.zeros(len(node), np.int64), [], []
         low, high = divmod(key, n_points)
         for a in range(0, len(left), BLOCK):
             rows_a = left[a:a + BLOCK]
@@ -113,9 +114,9 @@ def verified(rows: DataFrame, n_points: int, cosine: float = COSINE) -> DataFram
         x, y = np.concatenate(ea or [np.zeros(0, int)]), np.concatenate(eb or [np.zeros(0, int)])
         if not len(x):
             return None
-        nodes, roots = forest(rep[x], rep[y])
+        nodes, roots = forest(node[x], node[y])
         total = np.zeros(len(nodes), np.int64)
-        np.add.at(total, np.searchsorted(nodes, rep[links > 0]), links[links > 0])
+        np.add.at(total, np.searchsorted(nodes, node[links > 0]), links[links > 0])
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots), pa.array(total)], ["a", "b", "links"])
 
     def run(batches):
@@ -139,7 +140,7 @@ def verified(rows: DataFrame, n_points: int, cosine: float = COSINE) -> DataFram
         if t.num_rows < 2:
             return
         near = np.stack([np.frombuffer(x.as_buffer(), np.int32) for x in t.column("near")])
-        out = link(t.column("rep").to_numpy(), t.column("n").to_numpy(), near, _matrix(t.column("v")), t.column("part").to_numpy(), name[1] != name[2], int(name[0]))
+        out = link(t.column("node").to_numpy(), t.column("n").to_numpy(), near, _matrix(t.column("v")), t.column("part").to_numpy(), name[1] != name[2], int(name[0]))
         if out is not None:
             yield out
 
@@ -147,18 +148,18 @@ def verified(rows: DataFrame, n_points: int, cosine: float = COSINE) -> DataFram
 
 
 def links(classes: DataFrame, n_classes: int, cosine: float = COSINE, nearest: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Linked weights and star edges of the distinct vectors (rep, class, n, v) of one length."""
+    """Linked weights and star edges of the distinct vectors (node, class, n, v) of one length."""
     spark = classes.sparkSession
     n_points = min(n_classes, max(MIN_PIVOTS, min(MAX_PIVOTS, math.isqrt(n_classes))))
     points = np.stack([np.frombuffer(r.v) for r in classes.select("v").orderBy(hash63(F.col("class"), "pivots"), "class").limit(n_points).collect()])
     posted = postings(classes, points, nearest)
     long = posted.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("list", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # a vector of a long list goes to every pair of blocks that has its own
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") > k).cast("int").alias("part")))
     grouped = (posted.join(cut(long, "long"), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
-               .withColumn("g", F.explode(pairs)).select("list", "g.i", "g.j", "g.part", "rep", "n", "near", "v"))
+               .withColumn("g", F.explode(pairs)).select("list", "g.i", "g.j", "g.part", "node", "n", "near", "v"))
     dealt = grouped.repartition(tasks_of(spark), "list", "i", "j").sortWithinPartitions("list", "i", "j")
     return verified(dealt, len(points), cosine)
 
@@ -166,8 +167,9 @@ def links(classes: DataFrame, n_classes: int, cosine: float = COSINE, nearest: i
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector (vec_id, embedding)."""
     rows = cut(coded(vectors), "vectors")
-    classes = cut(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("dims").alias("dims"),
-                                                                      F.first("v").alias("v")), "classes")
+    # a class has a number of its own, since one id may have several vectors, or be null
+    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("dims").alias("dims"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     found = None
     for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect():
         own = links(classes.where(F.col("dims") == r["dims"]), r["n"], cosine, **options)
@@ -176,9 +178,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, **options) -> Da
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = cut(found, "links")
     comp = components(found.where("a <> b").select("a", "b"))
-    weight = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    state = (classes.select("class", "rep", "n").join(weight, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id")))
-    return rows.select("vec_id", "class").join(state, "class", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("vec_id"), F.col("component_id").isNull()).alias("kept"))
+    weight = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    named = cut(classes.select("class", "rep", "n", "node").join(comp, "node", "left").join(weight, "node", "left")
+                .select("class", "rep", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "named")
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    state = named.join(least, "comp").select("class", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "class").join(state, "class", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # a null id is kept where no vector of its component has one
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.col("component_id").isNull()))

@@ -53,8 +53,8 @@ def test_recall_near_the_threshold_with_many_points(spark, n_points):
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
     u, w = unit(r.normal(size=(pairs, dims))), r.normal(size=(pairs, dims))
     v = 0.901 * u + np.sqrt(1 - 0.901 ** 2) * unit(w - (w * u).sum(1)[:, None] * u)
-    classes = spark.createDataFrame([(i, 1, bytearray(x.tobytes())) for i, x in enumerate([*u, *v])], "rep bigint, n bigint, v binary")
-    posted = pivots.postings(classes, unit(r.normal(size=(n_points, dims)))).selectExpr("list", "0 AS i", "0 AS j", "0 AS part", "rep", "n", "near", "v")
+    classes = spark.createDataFrame([(i, 1, bytearray(x.tobytes())) for i, x in enumerate([*u, *v])], "node bigint, n bigint, v binary")
+    posted = pivots.postings(classes, unit(r.normal(size=(n_points, dims)))).selectExpr("list", "0 AS i", "0 AS j", "0 AS part", "node", "n", "near", "v")
     found = pivots.verified(posted.repartition(4, "list").sortWithinPartitions("list"), n_points).groupBy().sum("links").collect()[0][0]
     assert 2 * pairs * 0.97 <= found <= 2 * pairs
 
@@ -64,3 +64,10 @@ def test_empty_and_unlinked(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], schema)).collect() == []
     assert [tuple(r) for r in pivots.near_duplicates(spark.createDataFrame([(3, None)], schema)).collect()] == [(3, 0, 3, True)]
     assert sorted(tuple(r) for r in pivots.near_duplicates(spark.createDataFrame([(3, [1.0]), (4, [2.0]), (5, [-1.0])], schema)).collect()) == [(3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.0, 1.01]), (None, [-1.0, 0.0]), (None, [-1.0, 0.01]), (4, [0.5, -1.0]), (None, None)]
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 1, 1, False), (None, 1, None, True), (None, 1, None, True),
+                                                       (4, 0, 4, True), (None, 0, None, True)], key=str)
