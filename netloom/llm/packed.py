@@ -8,8 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.lineage import cut
-from netloom.operators.graph import connected_components
+from netloom.lineage import cut, cut_counting, drop_table
 
 Columns = dict[str, np.ndarray]
 
@@ -97,8 +96,39 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def folded(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges contracted until there are at most twice as many as nodes, written; and whether there are any.
+
+    A contraction leaves stars: `a` is a member, `b` the least node it reached there. The stars of all partitions meet
+    by member, so what one member joined is contracted in the next round, however many partitions there are. Tasks hold
+    no more edges than they get.
+    """
+    table, last = cut(contracted(edges).distinct(), "edges"), None
+    while True:
+        n = table.count()
+        nodes = table.select("a").unionByName(table.select(F.col("b").alias("a"))).distinct().count()
+        if n <= 2 * nodes or (last is not None and n > 0.9 * last):
+            return table, n > 0
+        smaller = cut(contracted(table.repartition("a")).distinct(), "edges")
+        drop_table(table)
+        table, last = smaller, n
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable along edges (a, b), for every node of an edge."""
-    kept = cut(contracted(edges).distinct().withColumn("g", F.lit(0)), "edges")
-    nodes = kept.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
-    return connected_components(nodes, kept, "g").select("node", "comp")
+    """node, comp: the smallest node reachable along edges (a, b), for every node of an edge.
+
+    The contracted edges are walked in rounds: the least label among the neighbours, then the label of that label.
+    """
+    table, some = folded(edges)
+    both = table.unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = table.select("a", "b").unionByName(table.select(F.col("b").alias("a"), "b"))
+    labels = cut(labels.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), "labels")
+    while some:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        stepped = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("step"))
+        roots = labels.select(F.col("node").alias("step"), F.col("comp").alias("jump"))
+        moved, seen = cut_counting(stepped.join(roots, "step", "left").select("node", F.least("step", F.coalesce("jump", "step")).alias("comp"), "old"),
+                                   "labels", moved=F.sum((F.col("comp") < F.col("old")).cast("bigint")))
+        drop_table(labels)
+        labels, some = moved.drop("old"), bool(seen["moved"])
+    return labels
