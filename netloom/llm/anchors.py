@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from netloom.lineage import cut, cut_counting
+from netloom.lineage import cut, cut_counting, drop_table
 from netloom.llm.common import map_arrow, mixed, not_space, prefix_hash, runs, stretch_hash, tasks_of, utf8, word_hashes
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -396,6 +396,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
     buckets, tasks = tasks_of(spark, -(-raw // (2 * bucket_bytes))), tasks_of(spark, -(-raw // (4 * chunk_bytes)))
     answers = answered_anchors(entries(table, window, buckets), buckets)
     parts = cut(extended(table, answers, window, buckets, tasks), "extended")
+    drop_table(table)
     first = cut(answered_windows(parts.where("kind = 1").select("bucket", "chunk", "windows", "docs"), buckets), "first")
     rest = marked(parts.where("kind = 2").select("chunk", "blob"), first, window, tasks)
     return parts.where("kind = 0").select(*_RESULT_NAMES).unionByName(rest)
