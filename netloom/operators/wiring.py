@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netloom.functions import dims, geom
 from netloom.lineage import count_all, cut, cut_counting, drop_table
-from netloom.operators import graph, spatial
+from netloom.operators import graph, spatial, sweep
 
 CELL_SIZE = 128
 WIDE_CELL = 256
 LOW_HALF = 0xFFFFFFFF
+CAP = 10
 
 
 def packed(high: Column, low: Column) -> Column:
@@ -290,49 +291,14 @@ def close_ports(ports: DataFrame, links: DataFrame, stage: int = 6, reach: int =
 def sight_lines(ports: DataFrame, comps: DataFrame, links: DataFrame, stage: int = 4, band: int = 25) -> DataFrame:
     """Ports on one line with no third box between, not both linked; the closest pair of each two components."""
     linked = links.select("image_id", "ci", "pi").distinct().withColumn("on", F.lit(True))
-    p = cut(ports.join(linked, ["image_id", "ci", "pi"], "left").select(
-        "image_id", "ci", "pi", "px", "py", "name", F.coalesce("on", F.lit(False)).alias("on")), "sight")
-    b = p.select("image_id", F.col("ci").alias("cj"), F.col("pi").alias("pj"), F.col("px").alias("qx"), F.col("py").alias("qy"),
-                 F.col("name").alias("nameq"), F.col("on").alias("onq"))
-    near = [F.floor(F.col(v) / band).cast("bigint") for v in ("px", "py", "qx", "qy")]
-    bands_a = F.array(F.struct(F.lit("h").alias("way"), near[1].alias("lane")), F.struct(F.lit("v").alias("way"), near[0].alias("lane")))
-    lanes = lambda w, v: F.transform(F.array(v - 1, v, v + 1), lambda k: F.struct(F.lit(w).alias("way"), k.alias("lane")))
-    a = p.where("not on").select("*", F.inline(bands_a))
-    z = b.select("*", F.inline(F.concat(lanes("h", near[3]), lanes("v", near[2]))))
-    dx, dy = F.abs(F.col("px") - F.col("qx")), F.abs(F.col("py") - F.col("qy"))
-    same_h, same_v = (dy < band) & (dx > 5), (dx < band) & (dy > 5)
-    cand = (a.join(z, ["image_id", "way", "lane"]).where(F.col("ci") != F.col("cj"))
-            .where(((F.col("way") == "h") & same_h) | ((F.col("way") == "v") & same_v & ~same_h))
-            .where("not (name = 'GND' and nameq = 'GND')"))
-    # lower component first; a pair of two open ports is found from both ends and kept once
-    swap = F.col("ci") > F.col("cj")
-    def pick(x, y):
-        return F.when(swap, F.col(y)).otherwise(F.col(x))
-    cand = cand.where(~swap | F.col("onq")).select(
-        "image_id", "way", pick("ci", "cj").alias("ia"), pick("pi", "pj").alias("pa"), pick("px", "qx").alias("ax"), pick("py", "qy").alias("ay"),
-        pick("cj", "ci").alias("ib"), pick("pj", "pi").alias("pb"), pick("qx", "px").alias("bx"), pick("qy", "py").alias("by"))
-    cand = cut(cand, "sight")
-    h = F.col("way") == "h"
-    low = F.when(h, F.least("ax", "bx")).otherwise(F.least("ay", "by")) + 5
-    high = F.when(h, F.greatest("ax", "bx")).otherwise(F.greatest("ay", "by")) - 5
-    mid = F.when(h, F.col("ay")).otherwise(F.col("ax"))
-    strip = cand.withColumn("low", low).withColumn("high", high).withColumn("mid", mid)
-    lo, hi = F.least("low", "high"), F.greatest("low", "high")
-    size = F.lit(CELL_SIZE)
-    cells = spatial.with_cells(strip, F.when(h, lo).otherwise(F.col("mid") - band), F.when(h, F.col("mid") - band).otherwise(lo),
-                               F.when(h, hi).otherwise(F.col("mid") + band), F.when(h, F.col("mid") + band).otherwise(hi), size)
-    boxes = spatial.with_cells(comps.select("image_id", "idx", "x1", "y1", "x2", "y2"), *geom.box(""), size)
-    k1, k2 = F.when(h, F.col("x1")).otherwise(F.col("y1")), F.when(h, F.col("x2")).otherwise(F.col("y2"))
-    m1, m2 = F.when(h, F.col("y1")).otherwise(F.col("x1")), F.when(h, F.col("y2")).otherwise(F.col("x2"))
-    keys = ["image_id", "ia", "pa", "ib", "pb"]
-    blocked = cells.join(boxes, ["image_id", *spatial.CELL]).where(
-        (F.col("idx") != F.col("ia")) & (F.col("idx") != F.col("ib")) & (k2 > F.col("low")) & (k1 < F.col("high"))
-        & (m1 < F.col("mid") + band) & (m2 > F.col("mid") - band)).select(*keys).distinct()
+    p = ports.join(linked, ["image_id", "ci", "pi"], "left").select(
+        "image_id", "ci", "pi", "px", "py", (F.col("name") == "GND").alias("gnd"), F.coalesce("on", F.lit(False)).alias("on"))
+    cand = sweep.ports_in_sight(cut(p, "sight"), comps, band)
     d = geom.dist(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    best = cand.join(blocked, keys, "left_anti").groupBy("image_id", "ia", "ib").agg(
+    best = cand.groupBy("image_id", "ia", "ib").agg(
         F.min(F.struct(d.alias("d"), "pa", "pb", "ax", "ay", "bx", "by")).alias("w"), F.min("pa").alias("first"))
-    ends = F.array(F.struct(F.col("ia").alias("ci"), F.col("w.pa").alias("pi"), F.lit(0).alias("side")),
-                   F.struct(F.col("ib").alias("ci"), F.col("w.pb").alias("pi"), F.lit(1).alias("side")))
+    ends = F.array(F.struct(F.col("ia").alias("ci"), F.col("w.pa").cast("int").alias("pi"), F.lit(0).alias("side")),
+                   F.struct(F.col("ib").alias("ci"), F.col("w.pb").cast("int").alias("pi"), F.lit(1).alias("side")))
     return best.select("image_id", "ia", "ib", "first", geom.half(F.col("w.ax"), F.col("w.bx")).alias("jx"),
                        geom.half(F.col("w.ay"), F.col("w.by")).alias("jy"), F.inline(ends)).select(
         "image_id", "ci", "pi", "jx", "jy", order(stage, F.col("ia"), F.col("first"), F.col("ib"), F.col("side")).alias("ord"))
@@ -348,14 +314,24 @@ def force_last(ports: DataFrame, junctions: DataFrame, comps: DataFrame, links:
 
 
 # ---- junctions to junctions -----------------------------------------------------------------------------
-def junction_pairs(junctions: DataFrame, links: DataFrame, comps: DataFrame, limits: DataFrame) -> DataFrame:
+def _pins_at(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """Ports of each component on a junction, and whether it is no ground."""
+    at = links.groupBy("image_id", "jx", "jy", "ci").agg(F.sort_array(F.collect_set("pi")).alias("pins"))
+    return at.join(comps.select("image_id", F.col("idx").alias("ci"), (F.col("name") != "GND").alias("live")), ["image_id", "ci"])
+
+
+def junction_pairs(junctions: DataFrame, links: DataFrame, comps: DataFrame, limits: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Candidate pairs (image_id, ax, ay, bx, by, d, oa, ob), a before b in the junction list.
 
-    Near (12) or aligned within limits; not sharing all components, not shorting one, not grounds only.
+    Near (12) or aligned within limits; not sharing all components, not shorting one, not grounds only. With `ends`
+    (image_id, ax, ay), only pairs of these junctions, each with the end first, whatever the order.
     """
     j = cut(junctions.join(limits.select("image_id", "jj_align", "jj_max"), "image_id"), "jj")
     a = j.select("image_id", F.col("jx").alias("ax"), F.col("jy").alias("ay"), F.col("jord").alias("oa"), "jj_align", "jj_max")
     b = j.select("image_id", F.col("jx").alias("bx"), F.col("jy").alias("by"), F.col("jord").alias("ob"), "jj_align", "jj_max")
+    ordered = F.col("oa") < F.col("ob")
+    if ends is not None:
+        a, ordered = a.join(ends, ["image_id", "ax", "ay"], "left_semi"), F.col("oa") != F.col("ob")
     def keys(x, y):
         f = lambda v, s: F.floor(v / s).cast("bigint")
         al, mx = F.col("jj_align"), F.col("jj_max")
@@ -368,10 +344,9 @@ def junction_pairs(junctions: DataFrame, links: DataFrame, comps: DataFrame, lim
     line = (((dy < F.col("jj_align")) & (dx > 10)) | ((dx < F.col("jj_align")) & (dy > 10))) & (d < F.col("jj_max"))
     pairs = (a.select("*", F.inline(one)).join(b.drop("jj_align", "jj_max").join(j.select("image_id", "jj_align", "jj_max").distinct(), "image_id")
                                               .select("image_id", "bx", "by", "ob", F.inline(nine)), ["image_id", "way", "u", "v"])
-             .where((F.col("oa") < F.col("ob")) & ((d < 12) | line)).withColumn("d", d)
+             .where(ordered & ((d < 12) | line)).withColumn("d", d)
              .select("image_id", "ax", "ay", "bx", "by", "d", "oa", "ob").distinct())
-    at = links.groupBy("image_id", "jx", "jy", "ci").agg(F.sort_array(F.collect_set("pi")).alias("pins"))
-    at = cut(at.join(comps.select("image_id", F.col("idx").alias("ci"), (F.col("name") != "GND").alias("live")), ["image_id", "ci"]), "at")
+    at = cut(_pins_at(links, comps), "at")
     stat = at.groupBy("image_id", "jx", "jy").agg(count_all().alias("n"), F.count_if("live").alias("live"))
     def side(df, x, y, s):
         return df.select("image_id", F.col("jx").alias(x), F.col("jy").alias(y), *[F.col(c).alias(c + s) for c in df.columns if c not in ("image_id", "jx", "jy")])
@@ -386,23 +361,30 @@ def junction_pairs(junctions: DataFrame, links: DataFrame, comps: DataFrame, lim
         "image_id", "ax", "ay", "bx", "by", "d", "oa", "ob")
 
 
-def nearest_by_direction(pairs: DataFrame, limits: DataFrame) -> DataFrame:
-    """Directed links (ax, ay) -> (bx, by): the closest candidate to the left, right, above and below."""
-    flip = pairs.select("image_id", F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"),
-                        "d", "oa", "ob", F.lit(1).alias("side"))
-    all_ = pairs.withColumn("side", F.lit(0)).unionByName(flip).join(limits.select("image_id", "jj_align"), "image_id")
-    dx, dy, al = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("jj_align")
-    ways = F.array(F.when((F.abs(dy) < al) & (dx < 0), 0), F.when((F.abs(dy) < al) & (dx > 0), 1),
-                   F.when((F.abs(dx) < al) & (dy < 0), 2), F.when((F.abs(dx) < al) & (dy > 0), 3))
-    firsts = all_.groupBy("image_id", "ax", "ay").agg(F.min(F.struct("oa", "ob", "side")).alias("seen"))
-    best = all_.select("*", F.explode(ways).alias("way")).where("way is not null").groupBy("image_id", "ax", "ay", "way").agg(
-        F.min(F.struct("d", "oa", "ob", "bx", "by")).alias("w"))
-    return best.join(firsts, ["image_id", "ax", "ay"]).select(
-        "image_id", "ax", "ay", F.col("w.bx").alias("bx"), F.col("w.by").alias("by"), "way",
-        F.struct("seen", "way").alias("ord"))
+def nearest_by_direction(junctions: DataFrame, links: DataFrame, comps: DataFrame, limits: DataFrame) -> DataFrame:
+    """Directed links (ax, ay) -> (bx, by): the closest partner, as of `junction_pairs`, to the left, right, above and
+    below, found by a sweep over sorted lanes; no pairs are formed."""
+    hung = _pins_at(links, comps).groupBy("image_id", "jx", "jy").agg(F.collect_list(F.struct("ci", "pins")).alias("pins"), F.bool_or("live").alias("live"))
+    points = (junctions.join(limits.select("image_id", "jj_align", "jj_max"), "image_id").join(hung, ["image_id", "jx", "jy"], "left")
+              .select("image_id", F.col("jx").alias("x"), F.col("jy").alias("y"), "jord", F.col("jj_align").alias("align"), F.col("jj_max").alias("most"), "pins",
+                      F.coalesce("live", F.lit(False)).alias("live")))
+    return sweep.nearest_valid(points)
 
 
-def degree_cap(jj: DataFrame, limit: int = 10) -> DataFrame:
+def in_list_order(jj: DataFrame, junctions: DataFrame, links: DataFrame, comps: DataFrame, limits: DataFrame, cap: int = CAP) -> DataFrame:
+    """Links with `ord`, the place at which the published walk meets them: by the first pair of the starting junction,
+    then by direction. Only links with an end of more than `cap` links need it; the others get a null place."""
+    at = lambda e: jj.select("image_id", F.col(f"{e}x").alias("ex"), F.col(f"{e}y").alias("ey"))
+    busy = cut(at("a").unionByName(at("b")).groupBy("image_id", "ex", "ey").agg(count_all().alias("n")).where(F.col("n") > cap).select("image_id", "ex", "ey"), "busy")
+    touch = [jj.join(busy.withColumnsRenamed({"ex": f"{e}x", "ey": f"{e}y"}), ["image_id", f"{e}x", f"{e}y"], "left_semi").select("image_id", "ax", "ay") for e in "ab"]
+    ends = cut(touch[0].unionByName(touch[1]).distinct(), "ends")
+    found = junction_pairs(junctions, links, comps, limits, ends)
+    seen = found.groupBy("image_id", "ax", "ay").agg(F.min(F.struct(
+        F.least("oa", "ob").alias("oa"), F.greatest("oa", "ob").alias("ob"), (F.col("oa") > F.col("ob")).cast("int").alias("side"))).alias("seen"))
+    return jj.join(seen, ["image_id", "ax", "ay"], "left").withColumn("ord", F.struct("seen", "way")).drop("seen")
+
+
+def degree_cap(jj: DataFrame, limit: int = CAP) -> DataFrame:
     """Links kept while both junctions have fewer than `limit` (eight branches assumed, plus two)."""
     p = jj.withColumn("a", point_id(F.col("ax"), F.col("ay"))).withColumn("b", point_id(F.col("bx"), F.col("by")))
     return graph.capped_pairs(p, limit).drop("a", "b")
@@ -504,8 +486,8 @@ def routes(lines: DataFrame, comps: DataFrame, ports: DataFrame) -> DataFrame:
 
 # ---- the whole run -----------------------------------------------------------------------------------------------
 def prepare(comps: DataFrame, ports: DataFrame, raw_junctions: DataFrame, limits: DataFrame) -> dict[str, DataFrame]:
-    """Everything that no switch changes: placed ports, junctions, links up to the port fallbacks, and
-    candidate junction pairs. Written once, shared by all settings."""
+    """Everything that no switch changes: placed ports, junctions and links up to the port fallbacks. Written once, shared
+    by all settings, as are the junction links that `wire` adds for each setting of the nearest filter."""
     comps, limits = cut(comps, "comps"), cut(limits, "limits")
     ports = cut(prepare_ports(ports), "ports")
     junctions = cut(prepare_junctions(raw_junctions, limits), "junctions")
@@ -515,8 +497,19 @@ def prepare(comps: DataFrame, ports: DataFrame, raw_junctions: DataFrame, limits
     links = cut(links.unionByName(second_junctions(ports, junctions, comps, limits, links, 2)), "links")
     more = cut(port_fallback(ports, comps, limits, links, "agg_p2p", 3), "more")
     links, junctions = cut(links.unionByName(more), "links"), cut(add_junctions(junctions, more), "junctions")
-    pairs = cut(junction_pairs(junctions, links, comps, limits), "pairs")
-    return {"comps": comps, "limits": limits, "ports": ports, "junctions": junctions, "links": links, "pairs": pairs}
+    return {"comps": comps, "limits": limits, "ports": ports, "junctions": junctions, "links": links}
+
+
+def _junction_links(prepared: dict[str, DataFrame], nearest: bool) -> DataFrame:
+    key = "nearest" if nearest else "pairs"
+    if key not in prepared:
+        args = [prepared[k] for k in ("junctions", "links", "comps", "limits")]
+        if nearest:
+            jj = in_list_order(cut(nearest_by_direction(*args), "nearest"), *args)
+        else:
+            jj = junction_pairs(*args).withColumn("ord", F.struct("oa", "ob"))
+        prepared[key] = cut(jj, "jj")
+    return prepared[key]
 
 
 def wire(prepared: dict[str, DataFrame], switches: dict | None = None) -> dict[str, DataFrame]:
@@ -527,11 +520,7 @@ def wire(prepared: dict[str, DataFrame], switches: dict | None = None) -> dict[s
         raise ValueError(f"these switches need pictures, which the vector path does not read: {', '.join(raster)}")
     on = {**dims.DEFAULT_SWITCHES, **own}
     comps, limits, ports, junctions, links = (prepared[k] for k in ("comps", "limits", "ports", "junctions", "links"))
-    if on["use_nn_filter"]:
-        jj = nearest_by_direction(prepared["pairs"], limits)
-    else:
-        jj = prepared["pairs"].withColumn("ord", F.struct("oa", "ob"))
-    jj = cut(jj, "jj")
+    jj = _junction_links(prepared, on["use_nn_filter"])
     if on["use_degree_constraint"]:
         jj = degree_cap(jj)
     if on["use_los"]:

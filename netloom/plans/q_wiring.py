@@ -43,8 +43,7 @@ class Inputs:
 
     @cached_property
     def jj(self):
-        pairs = wiring.junction_pairs(self.junctions, self.links(), self.comps, self.limits)
-        return cut(wiring.nearest_by_direction(pairs, self.limits), "jj")
+        return cut(wiring.nearest_by_direction(self.junctions, self.links(), self.comps, self.limits), "jj")
 
     @cached_property
     def groups(self):
@@ -187,8 +186,7 @@ _NN = """, both_ AS (SELECT image_id, ax, ay, bx, by, d, oa, ob, jj_align FROM j
 @query("W05_nearest_by_direction", _NEED, _P2J0 + _JJ + _NN + " SELECT image_id, ax, ay, bx, by, way FROM nn")
 def _(t):
     s = Stage(t)
-    pairs = wiring.junction_pairs(s.junctions, s.links(), s.comps, s.limits)
-    return wiring.nearest_by_direction(pairs, s.limits).select("image_id", "ax", "ay", "bx", "by", "way")
+    return wiring.nearest_by_direction(s.junctions, s.links(), s.comps, s.limits)
 
 
 @query("W14_degree_cap_of_candidates", _NEED, _P2J0 + _JJ + """, steps AS MATERIALIZED (SELECT image_id, ax, ay, bx, by, ax*4294967296+ay AS ea, bx*4294967296+by AS eb, row_number() OVER (PARTITION BY image_id ORDER BY oa, ob) AS n FROM jj),
