@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from netloom.functions import geom
 from netloom.lineage import count_all, cut
 from netloom.operators import graph, ranks, spatial
-from netloom.operators.values import nearest
-from netloom.operators.wiring import port_id
+from netloom.operators.nearest import nearest
+from netloom.operators.wiring import packed, port_id
 
 
 def drop_repeats(segs: DataFrame, threshold: int = 8) -> DataFrame:
@@ -48,9 +48,27 @@ def adjacent(segs: DataFrame, threshold: int = 12) -> DataFrame:
 
 
 def wire_groups(segs: DataFrame, threshold: int = 12) -> DataFrame:
-    """segments with `g`, the smallest segment of their wire."""
-    comp = graph.connected_components(segs.select("image_id", F.col("seg").alias("node")), adjacent(segs, threshold))
-    return segs.join(comp.select("image_id", F.col("node").alias("seg"), F.col("comp").alias("g")), ["image_id", "seg"])
+    """segments with `g`, the smallest segment of their wire.
+
+    The nodes are square cells so small that any two ends in one are adjacent. A segment ties the cells of its ends;
+    cells next to each other are tied if two of their places are adjacent. However many segments meet in a spot, they
+    give one tie each.
+    """
+    side, size = max(1, int(threshold / 2 ** 0.5)), F.lit(max(1, int(threshold / 2 ** 0.5)))
+    def at(x, y):
+        return packed(spatial.cell(F.col(x), size), spatial.cell(F.col(y), size))
+    own = segs.select("image_id", "seg", at("x1", "y1").alias("a"), at("x2", "y2").alias("b"))
+    spots = cut(_ends(segs).select("image_id", "ex", "ey").distinct(), "spots")
+    here = spatial.with_cell(spots, F.col("ex"), F.col("ey"), size)
+    near = spatial.with_near_cells(spots.select("image_id", F.col("ex").alias("fx"), F.col("ey").alias("fy")), F.col("fx"), F.col("fy"), size, F.lit(max(threshold, side)))
+    ties = here.join(near, ["image_id", *spatial.CELL]).where(geom.dist(F.col("ex"), F.col("ey"), F.col("fx"), F.col("fy")) <= threshold)
+    edges = own.select("image_id", "a", "b").unionByName(ties.select("image_id", at("ex", "ey").alias("a"), at("fx", "fy").alias("b")))
+    edges = cut(edges.select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "ties")
+    comp = cut(graph.connected_components(own.select("image_id", F.col("a").alias("node")).distinct(), edges), "cells")
+    placed = own.select("image_id", "seg", F.col("a").alias("node")).join(comp, ["image_id", "node"])
+    least = placed.groupBy("image_id", "comp").agg(F.min("seg").alias("g"))
+    g = placed.join(least, ["image_id", "comp"]).select("image_id", "seg", "g")
+    return segs.join(g, ["image_id", "seg"])
 
 
 def leaf_ends(grouped: DataFrame) -> DataFrame:
@@ -104,7 +122,7 @@ def nearest_on_wire(ports: DataFrame, merged: DataFrame) -> DataFrame:
     left = at.select("image_id", "m", "p", "ci", F.col("first").alias("lf"), F.col("px").alias("lx"), F.col("py").alias("ly"))
     right = at.select("image_id", "m", F.col("p").alias("q"), F.col("ci").alias("cq"), F.col("first").alias("rf"), F.col("px").alias("rx"), F.col("py").alias("ry"))
     # the tie is the pair in list order: which of both comes first depends on the partner
-    best = nearest(left, right, ["image_id", "m"], ["p", "lf"], ["rf", "q"], geom.dist, start=64, allowed=F.col("ci") != F.col("cq"))
+    best = nearest(left, right, ["image_id", "m"], ["p", "lf"], ["rf", "q"], geom.dist, owners=("ci", "cq"))
     here, there = F.struct(F.col("lf").alias("f"), F.col("p").alias("n")), F.struct(F.col("best.rf").alias("f"), F.col("best.q").alias("n"))
     return best.select("image_id", "p", F.col("best.q").alias("q"), F.struct(
         F.col("best.d").alias("d"), F.lit(0).alias("src"), F.col("m"), F.least(here, there).alias("u"), F.greatest(here, there).alias("v")).alias("ord"))

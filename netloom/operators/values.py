@@ -2,48 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from netloom.functions import dims, geom, text
-from netloom.lineage import count_all, cut, cut_counting
+from netloom.lineage import count_all, cut
 from netloom.operators import graph, ranks, spatial
+from netloom.operators.nearest import nearest
 
 REACH = 250
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], ties: list[str], metric: Callable,
-            start: int = 256, allowed: Column | None = None) -> DataFrame:
-    """For each left row the best right row of the same keys by (distance, ties), however far away.
-
-    left(*keys, *ids, lx, ly), right(*keys, rx, ry, *ties). The reach doubles and only rows without
-    partner go on, so crowded places are settled within small cells. Returns (*keys, *ids, best) with
-    best = struct(d, *ties).
-    """
-    right = cut(right, "near-right")
-    pending = cut(left.join(right.select(*keys).distinct(), keys, "left_semi"), "near-left")
-    span = right.agg(F.max(F.greatest(F.abs("rx"), F.abs("ry")))).first()[0] or 0
-    far = left.agg(F.max(F.greatest(F.abs("lx"), F.abs("ly")))).first()[0] or 0
-    reach, out = start, None
-    d = metric(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))
-    while True:
-        size = F.lit(reach)
-        a = spatial.with_near_cells(pending, F.col("lx"), F.col("ly"), size)
-        b = spatial.with_cell(right, F.col("rx"), F.col("ry"), size)
-        near = a.join(b, [*keys, *spatial.CELL]).withColumn("d", d).where(F.col("d") <= reach)
-        if allowed is not None:
-            near = near.where(allowed)
-        found = cut(near.groupBy(*keys, *ids).agg(F.min(F.struct("d", *ties)).alias("best")), "near")
-        out = found if out is None else out.unionByName(found)
-        if reach > 4 * (span + far + 1):
-            return out
-        pending, seen = cut_counting(pending.join(found, [*keys, *ids], "left_anti"), "near-left", n=count_all())
-        if not seen["n"]:
-            return out
-        reach *= 2
-
-
 def _in_reach(comps: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (idx, name, conf) with the texts at most REACH away by Manhattan distance."""
     size = F.lit(256)
