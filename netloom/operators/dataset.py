@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.functions import dims
+from netloom.lineage import cut
 from netloom.operators import ranks
 
 
@@ -149,21 +151,52 @@ def correction_memory(posts: DataFrame) -> DataFrame:
     return posts.groupBy("pattern").agg(F.max_by("replacement", "seq").alias("replacement"), F.min("seq").alias("first"))
 
 
-def apply_corrections(texts: DataFrame, memory: DataFrame, col: str = "text") -> DataFrame:
+SLICE_CHARS = 4_000_000  # characters of the patterns of one automaton
+
+
+def apply_corrections(texts: DataFrame, memory: DataFrame, col: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
     """Text with the first pattern it contains replaced everywhere.
 
-    Patterns and distinct texts meet by the first characters of a pattern, as many as the shortest has.
+    Patterns go into automata (a trie with failure links), one for each slice of at most about `slice_chars` characters,
+    and every distinct text runs once through each. Null and empty patterns never match, null texts stay.
     """
-    ordered = memory.where("pattern <> ''").select("pattern", "replacement", "first")
-    short = ordered.agg(F.min(F.length("pattern"))).first()[0]
-    if short is None:
+    ordered = cut(memory.where("pattern <> ''").select("pattern", "replacement", "first"), "memory")
+    chars = ordered.agg(F.sum(F.length("pattern") + F.length(F.coalesce("replacement", F.lit(""))) + 16)).first()[0]
+    if not chars:
         return texts
-    keyed = ordered.withColumn("_k", F.substring("pattern", 1, short))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_t") - short + 1, F.lit(1)))
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_t"), i, F.lit(short))))
-    distinct = texts.select(F.col(col).alias("_t")).where(F.length("_t") >= short).distinct()
-    hits = (distinct.select("_t", F.explode(pieces).alias("_k")).join(keyed, "_k").where(F.contains("_t", "pattern"))
-            .groupBy("_t").agg(F.min_by(F.struct("pattern", "replacement"), "first").alias("_h")))
-    return (texts.join(hits, F.col(col) == F.col("_t"), "left").withColumn(
+    distinct, slices = texts.select(F.col(col).alias("_t")).where("_t <> ''").distinct(), -(-chars // slice_chars)
+    if slices > 1:
+        distinct = cut(distinct, "texts")
+    hits = None
+    for k in range(slices):
+        own = ordered if slices == 1 else ordered.where(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == k)
+        found = distinct.mapInArrow(_finder(own), "_t string, first bigint, pattern string, replacement string")
+        hits = found if hits is None else hits.unionByName(found)
+    best = hits.groupBy("_t").agg(F.min(F.struct("first", "pattern", "replacement")).alias("_h"))
+    return (texts.join(best, F.col(col) == F.col("_t"), "left").withColumn(
         col, F.when(F.col("_h").isNotNull(), F.replace(F.col(col), F.col("_h.pattern"), F.col("_h.replacement"))).otherwise(F.col(col)))
         .drop("_t", "_h"))
+
+
+def _finder(patterns: DataFrame):
+    """A function that gives each text with its first pattern; the automaton of the slice is sent to every task."""
+    import ahocorasick
+    rows = patterns.collect()  # one slice, of bounded size
+    held = patterns.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches):
+        machine = ahocorasick.Automaton()
+        for r in held.value:
+            machine.add_word(r["pattern"], (r["first"], r["pattern"], r["replacement"]))
+        if len(machine):
+            machine.make_automaton()
+        for b in batches:
+            found = []
+            for t in b.column(0).to_pylist():
+                if len(machine) and (hit := min((x for _, x in machine.iter(t)), key=lambda x: x[:2], default=None)):
+                    found.append((t, *hit))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.string(), pa.int64(), pa.string(), pa.string()))],
+                                                 ["_t", "first", "pattern", "replacement"])
+
+    return run

@@ -359,10 +359,11 @@ def _(t):
     return _words(t).distinct().select("text", F.array_join(F.transform(text.encode(F.col("text")), lambda i: i.cast("string")), " ").alias("ids"))
 
 
-@query("F25_decode_sequences", ("texts",), _WORD + _DISTINCT + f""", ids AS (SELECT text, i, v FROM (SELECT text, generate_subscripts(l,1) AS i, unnest(l) AS v FROM (SELECT text, list_transform(string_split(text,''), lambda c: position(c IN '{dims.READABLE}')) AS l FROM u WHERE text<>''))),
- seen AS (SELECT text, i, v, lag(v) OVER (PARTITION BY text ORDER BY i) AS p FROM ids),
- read AS (SELECT text, string_agg('{dims.READABLE}'[v],'' ORDER BY i) AS decoded FROM seen WHERE v<>0 AND (p IS NULL OR p<>v) GROUP BY text)
- SELECT u.text, coalesce(decoded,'') AS decoded FROM u LEFT JOIN read USING (text)""")
+@query("F25_decode_sequences", ("texts",), _WORD + _DISTINCT + f""", numbered AS MATERIALIZED (SELECT row_number() OVER () AS n, text FROM u),
+ ids AS MATERIALIZED (SELECT n, i, position(text[i] IN '{dims.READABLE}') AS v FROM (SELECT n, text, unnest(range(1, length(text)+1)) AS i FROM numbered)),
+ seen AS MATERIALIZED (SELECT n, i, v, lag(v) OVER (PARTITION BY n ORDER BY i) AS p FROM ids),
+ read AS MATERIALIZED (SELECT n, string_agg('{dims.READABLE}'[v],'' ORDER BY i) AS decoded FROM seen WHERE v<>0 AND (p IS NULL OR p<>v) GROUP BY n)
+ SELECT text, coalesce(decoded,'') AS decoded FROM numbered LEFT JOIN read USING (n)""")
 def _(t):
     chars = F.filter(F.split("text", ""), lambda c: c != "")
     ids = F.transform(chars, lambda c: F.position(c, F.lit(dims.READABLE)))

@@ -182,8 +182,8 @@ def _stream(t, table):
 @query("T01_latest_documents", (), "SELECT user_id, arg_max(props, event_id) AS props FROM events GROUP BY user_id")
 def _(t):
     base = scratch_path(t.spark, "t01")
-    jobs.keep_latest(_stream(t, "events"), "user_id", "event_id", "props", f"{base}/log", f"{base}/checkpoint")
-    return jobs.latest_state(t.spark, "user_id", "event_id", "props", f"{base}/log")
+    jobs.keep_latest(_stream(t, "events"), "user_id", "event_id", "props", f"{base}/checkpoint")
+    return jobs.latest_state(t.spark, "user_id", "props", f"{base}/checkpoint")
 
 
 @query("T02_corrected_stream", ("texts",), _CORR.replace("SELECT image_id, text_ord, CASE", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE").replace(
@@ -191,10 +191,10 @@ def _(t):
 def _(t):
     base = scratch_path(t.spark, "t02")
     posts = _posts(type("S", (), {"read": staticmethod(lambda n: _stream(t, n))}))
-    jobs.keep_corrections(posts, f"{base}/log", f"{base}/c1")
+    jobs.keep_corrections(posts, f"{base}/c1")
     texts = _stream(t, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(
         F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_suppkey") % 2 == 0, "k").otherwise("V")).alias("text"))
-    jobs.correct_stream(texts, f"{base}/log", f"{base}/out", f"{base}/c2")
+    jobs.correct_stream(texts, f"{base}/c1", f"{base}/out", f"{base}/c2")
     return t.spark.read.parquet(f"{base}/out").drop("batch")
 
 

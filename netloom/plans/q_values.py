@@ -220,8 +220,9 @@ def _(t):
     return first.select("image_id", *[f(F.col(c)).alias(n) for c, names in (("p", ("ci", "pi")), ("q", ("cj", "pj"))) for f, n in zip((wiring.component_of, wiring.place_of), names)])
 
 
-@query("J22_close_connections", ("ports_wiring",), f""", pw AS MATERIALIZED (SELECT image_id, ci, pi, px, py FROM ports_wiring) SELECT image_id, ci, pi, cj, pj, round(d, 6) AS d FROM (
- SELECT a.image_id, a.ci, a.pi, b.ci AS cj, b.pi AS pj, {g.dist('a.px', 'a.py', 'b.px', 'b.py')} AS d FROM pw a JOIN pw b ON a.image_id=b.image_id AND a.ci<b.ci) WHERE d<35""")
+@query("J22_close_connections", ("ports_wiring",), f""", pw AS MATERIALIZED (SELECT image_id, ci, pi, px, py, CAST(floor(px/35.0) AS BIGINT) AS u, CAST(floor(py/35.0) AS BIGINT) AS v FROM ports_wiring),
+ about AS MATERIALIZED (SELECT image_id, ci AS cj, pi AS pj, px AS qx, py AS qy, u+du AS u, v+dv AS v FROM pw, (VALUES (-1), (0), (1)) h(du), (VALUES (-1), (0), (1)) k(dv))
+ SELECT image_id, ci, pi, cj, pj, round({g.dist('px', 'py', 'qx', 'qy')}, 6) AS d FROM pw JOIN about USING (image_id, u, v) WHERE ci<cj AND {g.dist('px', 'py', 'qx', 'qy')}<35""")
 def _(t):
     return segments.proximity(t.ports("wiring")).withColumn("d", F.round("d", 6))
 

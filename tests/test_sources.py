@@ -46,3 +46,25 @@ def test_a_picture_over_several_tasks_keeps_its_groups(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     texts = spark.read.text(str(tmp_path / "t"), wholetext=True).select("image_id", F.col("value").alias("text"))
     assert readers.true_group_entries(texts).select("image_id", "g").distinct().count() == 3000
+
+
+def test_corrections_in_slices_equal_a_plain_search(spark):
+    """Patterns of one character, patterns in patterns, and several automata."""
+    import random
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abΩ.") for _ in range(rng.randrange(n)))
+    patterns = list(dict.fromkeys(["a", "", "Ω", *(word(5) for _ in range(60))]))
+    order = list(range(len(patterns)))
+    rng.shuffle(order)
+    rows = [(p, f"<{i}>", i) for i, p in zip(order, patterns)]
+    texts = [None, "", "a", *(word(12) for _ in range(200))]
+    memory = spark.createDataFrame(rows + [(None, "x", -1)], "pattern string, replacement string, first bigint")
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+
+    def plain(t):
+        hit = min(((f, p, r) for p, r, f in rows if p and t and p in t), default=None)
+        return t.replace(hit[1], hit[2]) if hit else t
+
+    for chars in (10 ** 6, 300):
+        got = {r.i: r.text for r in dataset.apply_corrections(frame, memory, slice_chars=chars).collect()}
+        assert got == {i: plain(t) for i, t in enumerate(texts)}
