@@ -170,3 +170,19 @@ def report_lines(comps: DataFrame, texts: DataFrame, junctions: DataFrame, listi
         d = d.withColumn("ord", F.col("ord").cast("bigint"))
         out = d if out is None else out.unionByName(d)
     return out
+
+
+def confidence_lines(comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The other report form, (image_id, section, ord, line), from comps(.., idx, name, value, conf) and
+    texts(.., text_ord, text, conf): parts, then texts, each with its confidence in whole per cent."""
+    def percent(c):
+        return F.format_string("  [%d%%] ", F.bround(F.col(c) * 100).cast("bigint"))
+
+    def part(df, section, title, at, body, images):
+        n = images.join(df.groupBy("image_id").agg(count_all().alias("n")), "image_id", "left")
+        head = n.select("image_id", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.concat(F.lit(title), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" 个")).alias("line"))
+        return head.unionByName(df.select("image_id", F.lit(section).alias("section"), (F.col(at) + 1).cast("bigint").alias("ord"), F.concat(percent("conf"), body).alias("line")))
+    images = comps.select("image_id").distinct()
+    value = F.when(F.col("value") != "", F.concat(F.lit("= "), "value")).otherwise("(未识别)")
+    parts = part(comps, 0, "[元件检测] 共 ", "idx", F.format_string("%-15s %s", "name", value), images)
+    return parts.unionByName(part(texts.join(images, "image_id", "left_semi"), 1, "[OCR文字] 共 ", "text_ord", F.concat(F.lit('"'), "text", F.lit('"')), images))

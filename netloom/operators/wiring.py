@@ -466,22 +466,48 @@ def bends(margin: int = 20) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("n"), x.cast("bigint").alias("mx"), y.cast("bigint").alias("my")) for i, (x, y) in enumerate(pts)])
 
 
+WAVES = (2, 8, 22)  # bends are tried in this many steps; lines that found one take no further part
+
+
 def routes(lines: DataFrame, comps: DataFrame, ports: DataFrame) -> DataFrame:
     """(image_id, line, n, mx, my) for lines(image_id, line, own, px, py, qx, qy, port_link): the first bend
-    with both legs clear; n = -1 for the straight line of a port link that is clear or ends at a port."""
-    cand = lines.select("*", F.inline(bends()))
-    leg1 = cand.select("image_id", "line", "n", "own", F.col("px").alias("sx1"), F.col("py").alias("sy1"), F.col("mx").alias("sx2"), F.col("my").alias("sy2"))
-    leg2 = cand.select("image_id", "line", "n", "own", F.col("mx").alias("sx1"), F.col("my").alias("sy1"), F.col("qx").alias("sx2"), F.col("qy").alias("sy2"))
-    bad = crossing(leg1.unionByName(leg2), comps, ["line", "n"])
-    best = cand.join(bad, ["image_id", "line", "n"], "left_anti").groupBy("image_id", "line").agg(F.min(F.struct("n", "mx", "my")).alias("b")).select(
-        "image_id", "line", "b.n", "b.mx", "b.my")
-    best = cut(best, "routes")
-    rest = lines.where("port_link").join(best.select("image_id", "line"), ["image_id", "line"], "left_anti")
+    with both legs clear; n = -1 for the straight line of a port link that is clear or ends at a port.
+
+    `line` is any key that is unique in its picture; `own` is the component a port link starts from, -1 for others.
+    """
+    pending, found, low = cut(lines, "lines"), None, 0
+    for high in WAVES:
+        cand = pending.select("*", F.inline(F.slice(bends(), low + 1, high - low)))
+        leg1 = cand.select("image_id", "line", "n", "own", F.col("px").alias("sx1"), F.col("py").alias("sy1"), F.col("mx").alias("sx2"), F.col("my").alias("sy2"))
+        leg2 = cand.select("image_id", "line", "n", "own", F.col("mx").alias("sx1"), F.col("my").alias("sy1"), F.col("qx").alias("sx2"), F.col("qy").alias("sy2"))
+        bad = crossing(leg1.unionByName(leg2), comps, ["line", "n"])
+        best = cand.join(bad, ["image_id", "line", "n"], "left_anti").groupBy("image_id", "line").agg(F.min(F.struct("n", "mx", "my")).alias("b")).select(
+            "image_id", "line", "b.n", "b.mx", "b.my")
+        best = cut(best, "routes")
+        found = best if found is None else found.unionByName(best)
+        pending, seen = cut_counting(pending.join(best.select("image_id", "line"), ["image_id", "line"], "left_anti"), "lines", n=count_all())
+        if not seen["n"]:
+            return found
+        low = high
+    rest = pending.where("port_link")
     spots = ports.select("image_id", F.col("px").alias("qx"), F.col("py").alias("qy")).distinct().withColumn("on_port", F.lit(True))
     hit = crossing(rest.select("image_id", "line", "own", F.col("px").alias("sx1"), F.col("py").alias("sy1"), F.col("qx").alias("sx2"), F.col("qy").alias("sy2")), comps, ["line"])
     straight = rest.join(spots, ["image_id", "qx", "qy"], "left").join(hit.withColumn("hit", F.lit(True)), ["image_id", "line"], "left").where(
         "on_port or hit is null").select("image_id", "line", F.lit(-1).alias("n"), F.lit(None).cast("bigint").alias("mx"), F.lit(None).cast("bigint").alias("my"))
-    return best.unionByName(straight)
+    return found.unionByName(straight)
+
+
+def lines_of(links: DataFrame, jj: DataFrame, ports: DataFrame) -> DataFrame:
+    """Lines to route: links of ports to junctions, and links between junctions (both ways are lines of their own)."""
+    def key(kind, x, y, way):
+        return F.struct(F.lit(kind).alias("kind"), x.alias("from"), y.alias("to"), way.cast("int").alias("way")).alias("line")
+    to = point_id(F.col("jx"), F.col("jy"))
+    first = links.join(ports.select("image_id", "ci", "pi", "px", "py"), ["image_id", "ci", "pi"]).select(
+        "image_id", key(0, port_id(), to, F.lit(0)), F.col("ci").cast("bigint").alias("own"), "px", "py", F.col("jx").alias("qx"), F.col("jy").alias("qy"), F.lit(True).alias("port_link")).distinct()
+    way = F.col("way") if "way" in jj.columns else F.lit(0)
+    second = jj.select("image_id", key(1, point_id(F.col("ax"), F.col("ay")), point_id(F.col("bx"), F.col("by")), way), F.lit(-1).cast("bigint").alias("own"),
+                       F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("bx").alias("qx"), F.col("by").alias("qy"), F.lit(False).alias("port_link"))
+    return first.unionByName(second)
 
 
 # ---- the whole run -----------------------------------------------------------------------------------------------
@@ -532,4 +558,4 @@ def wire(prepared: dict[str, DataFrame], switches: dict | None = None) -> dict[s
         links, junctions = cut(links.unionByName(more), "links"), cut(add_junctions(junctions, more), "junctions")
     kept = cut(unshort(ports, links, port_groups(ports, links, jj)), "links")
     groups = eligible(port_groups(ports, kept, jj, final=True))
-    return {"groups": groups, "links": kept, "jj": jj, "junctions": junctions, "ports": ports}
+    return {"groups": groups, "links": kept, "all_links": links, "jj": jj, "junctions": junctions, "ports": ports}

@@ -10,7 +10,7 @@ from netloom.operators import detect, ranks
 from netloom.plans.fixtures import sql_list
 from netloom.plans.q_metrics import _CORR, _posts
 from netloom.plans.registry import query
-from netloom.sources import readers, sinks
+from netloom.sources import files, readers, sinks
 from netloom.streaming import jobs
 
 
@@ -69,6 +69,17 @@ def _(t):
     return readers.manifest(t.spark, path)
 
 
+@query("S07_manifest_or_listing", ("pictures",), "SELECT 'm' AS kind, 'img_'||lpad(CAST(ord AS VARCHAR), 6, '0')||'.jpg' AS file FROM pictures UNION ALL SELECT 'l', CAST(s_suppkey AS VARCHAR)||'.PNG' FROM supplier")
+def _(t):
+    path = scratch_path(t.spark, "pictures")
+    one = t.pictures.select(F.format_string("img_%06d.jpg", "ord").alias("file"), "drafter", "count", F.concat(F.lit("C"), F.col("ord").cast("string")).alias("name"))
+    sinks.write_manifest(one, f"{path}/with/manifest.txt")
+    names = t.read("supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".PNG")).alias("name"), F.lit("x").alias("line"))
+    files.write_named(names, [], f"{path}/without")
+    with_, without = (readers.picture_names(t.spark, f"{path}/{k}") for k in ("with", "without"))
+    return with_.select(F.lit("m").alias("kind"), "file").unionByName(without.select(F.lit("l").alias("kind"), "file"))
+
+
 @query("S07_listing", (), "SELECT s_suppkey AS k FROM supplier")
 def _(t):
     path = scratch_path(t.spark, "listing")
@@ -108,7 +119,8 @@ def _(t):
         (((s * 53) % 400).cast("double") / 400).alias("cy"), (F.col("l_quantity") / 64).alias("bw"), ((p % 60).cast("double") / 64).alias("bh"))
     path = scratch_path(t.spark, "yolo")
     sinks.write_yolo(labels, path)
-    back = readers.yolo_labels(t.spark.read.text(path))
+    place = F.regexp_extract_all("name", F.lit(r"[^/.]+"), F.lit(0))
+    back = readers.yolo_labels(files.read_named(t.spark, path).select(place[0].alias("split"), place[1].cast("bigint").alias("image_id"), "value"))
     return back.select("split", "image_id", "cid", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "bw", "bh")])
 
 
@@ -140,7 +152,7 @@ def _(t):
                                   F.concat(F.lit("R"), F.col("l_partkey").cast("string"), F.lit(".x")).alias("designator"), F.col("l_linenumber").cast("string").alias("label"))
     path = scratch_path(t.spark, "truth")
     sinks.write_lines(sinks.truth_lines(e), "image_id", ["no"], path)
-    texts = t.spark.read.text(path, wholetext=True).select("image_id", F.col("value").alias("text"))
+    texts = t.spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("image_id"), F.col("value").alias("text"))
     return readers.true_group_entries(texts).select(F.col("image_id").cast("bigint").alias("image_id"), "g", "designator", "label")
 
 

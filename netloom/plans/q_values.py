@@ -144,6 +144,16 @@ def _(t):
                                listing.join(seen, "image_id", "left_semi"), t.image_guard)
 
 
+@query("S16_confidence_lines", ("comps_wiring", "texts"), _C % "wiring" + """, im AS (SELECT DISTINCT image_id FROM c), w AS (SELECT *, (text_ord*7)%101/100.0 AS conf FROM texts WHERE image_id IN (SELECT image_id FROM im))
+ SELECT image_id, 0 AS section, 0 AS ord, '[元件检测] 共 '||count(*)||' 个' AS line FROM c GROUP BY 1
+ UNION ALL SELECT image_id, 0, idx+1, '  ['||CAST(round_even(conf*100, 0) AS BIGINT)||'%] '||rpad(name, CAST(greatest(15, length(name)) AS INT), ' ')||' '||CASE WHEN idx%3=0 THEN '(未识别)' ELSE '= '||idx||'k' END FROM c
+ UNION ALL SELECT image_id, 1, 0, '[OCR文字] 共 '||(SELECT count(*) FROM w WHERE w.image_id=im.image_id)||' 个' FROM im
+ UNION ALL SELECT image_id, 1, text_ord+1, '  ['||CAST(round_even(conf*100, 0) AS BIGINT)||'%] "'||text||'"' FROM w""")
+def _(t):
+    c = _comps(t, "wiring").withColumn("value", F.when(F.col("idx") % 3 == 0, "").otherwise(F.concat(F.col("idx").cast("string"), F.lit("k"))))
+    return values.confidence_lines(c, t.texts.withColumn("conf", (F.col("text_ord") * 7) % 101 / 100.0))
+
+
 # ---- segments -----------------------------------------------------------------------------------------
 def _d(p, q, a="a", b="b"):
     return g.dist(f"{a}.x{p}", f"{a}.y{p}", f"{b}.x{q}", f"{b}.y{q}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import dims, geom
 from netloom.lineage import cut
-from netloom.operators import detect, ranks, wiring
+from netloom.operators import circuit, detect, ranks, wiring
 from netloom.plans import sqlgeo as g
 from netloom.plans.registry import query
 
@@ -333,14 +333,25 @@ def _(t):
     s = Stage(t)
     lines = s.links().join(s.ports, ["image_id", "ci", "pi"]).select(
         "image_id", wiring.port_id().alias("line"), F.col("ci").alias("own"), "px", "py", F.col("jx").alias("qx"), F.col("jy").alias("qy"), F.lit(True).alias("port_link"))
-    return wiring.routes(cut(lines, "lines"), s.comps, s.ports)
+    return wiring.routes(lines, s.comps, s.ports)
+
+
+@query("G10_junction_routes", _NEED, _P2J0 + _JJ + _NN + f""", ln AS (SELECT image_id, ax, ay, bx, by, way, ax AS px, ay AS py, bx AS qx, by AS qy, (ax+bx)//2 AS hx, (ay+by)//2 AS hy FROM nn),
+ bd AS (SELECT *, unnest(range(22)) AS n, CAST(unnest(list_transform({_BENDS}, lambda r: r[1])) AS BIGINT) AS mx, CAST(unnest(list_transform({_BENDS}, lambda r: r[2])) AS BIGINT) AS my FROM ln),
+ fit AS (SELECT * FROM bd b WHERE NOT {g.crosses(('b.px', 'b.py'), ('b.mx', 'b.my'), '-1', 'comps_wiring', 'b.image_id')} AND NOT {g.crosses(('b.mx', 'b.my'), ('b.qx', 'b.qy'), '-1', 'comps_wiring', 'b.image_id')})
+ SELECT image_id, ax, ay, bx, by, way, min(n) AS n, arg_min(mx, n) AS mx, arg_min(my, n) AS my FROM fit GROUP BY ALL""")
+def _(t):
+    s = Stage(t)
+    found = wiring.routes(wiring.lines_of(s.links().limit(0), s.jj, s.ports), s.comps, s.ports)
+    x, y = (lambda c: F.shiftright(c, 32)), (lambda c: wiring.place_of(c).cast("bigint"))
+    return found.select("image_id", *[f(F.col(f"line.{c}")).alias(n) for c, names in (("from", ("ax", "ay")), ("to", ("bx", "by"))) for f, n in zip((x, y), names)], "line.way", "n", "mx", "my")
 
 
 _prepared: dict[tuple[str, str], dict] = {}
 
 
-def wired(t, switches):
-    """The whole run; what no setting changes is worked out once per folder and session."""
+def prepared(t):
+    """Components and what the wiring run needs of them, worked out once per folder and session."""
     key = (t.spark.sparkContext.applicationId, t.folder, t.version)
     if key not in _prepared:
         comps = t.comps("wiring")
@@ -348,8 +359,26 @@ def wired(t, switches):
         comps = cut(detect.fix_sources(comps.drop("idx").withColumnRenamed("new_idx", "idx")), "comps")
         ports = detect.place_ports(comps, "wiring").withColumnRenamed("idx", "ci").select("image_id", "ci", "pi", "px", "py", "n_ports", "name")
         raw = detect.with_centre(detect.route_boxes(t.boxes).where("route = 'junction'")).select("image_id", F.col("cx").alias("jx"), F.col("cy").alias("jy"))
-        _prepared[key] = wiring.prepare(comps, ports, raw, detect.thresholds(t.images))
-    return wiring.wire(_prepared[key], switches)
+        _prepared[key] = wiring.prepare(comps, ports, raw, detect.thresholds(t.images)) | {"comps": comps}
+    return _prepared[key]
+
+
+def wired(t, switches):
+    """Groups under one setting."""
+    return wiring.wire(prepared(t), switches)
+
+
+@query("S16_whole_run_report")
+def _(t):
+    ready = prepared(t)
+    return circuit.run(ready, ready["comps"], t.texts, dims.ABLATIONS["Ours"], guard=t.image_guard)["report"]
+
+
+@query("G10_whole_run_routes")
+def _(t):
+    ready = prepared(t)
+    found = circuit.run(ready, ready["comps"], t.texts, dims.ABLATIONS["Ours"], guard=t.image_guard)["routes"]
+    return found.select("image_id", "line.*", "n", "mx", "my")
 
 
 @query("G05_G06_whole_wiring")

@@ -78,6 +78,16 @@ def listing(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png}") -
             .select(F.col("path"), F.element_at(F.split("path", "/"), -1).alias("file")))
 
 
+def picture_names(spark: SparkSession, folder: str, manifest_name: str = "manifest.txt") -> DataFrame:
+    """(file) of the pictures to read: the first column of the manifest of the folder if it has one, else the pictures
+    that lie in the folder itself, by their ending in any case."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{manifest_name}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return manifest(spark, path.toString()).select(F.trim("file").alias("file")).where("file <> ''")
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return found.where(F.lower("file").rlike(r"\.(jpg|jpeg|png)$"))
+
+
 def label_samples(lines: DataFrame, files: DataFrame | None = None, by_basename: bool = False, alphabet: str | None = None) -> DataFrame:
     """lines(value) `path<TAB>text` -> (path, text), only with a tab and, given files(path), only existing ones.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.operators import lines, ranks
+from netloom.sources import files
 
 
 def detection_documents(comps: DataFrame, ports: DataFrame) -> DataFrame:
@@ -27,9 +28,14 @@ def yolo_lines(labels: DataFrame) -> DataFrame:
 
 
 def write_yolo(labels: DataFrame, path: str) -> None:
-    """Text per split and image. Rebalancing keeps small images in one file and splits outsized ones."""
-    out = yolo_lines(labels).select("split", "image_id", "value")
-    out.hint("rebalance", "split", "image_id").write.mode("overwrite").partitionBy("split", "image_id").text(path)
+    """A text file per picture in the folder of its split."""
+    name = F.concat(F.col("split").cast("string"), F.lit("/"), F.col("image_id").cast("string"), F.lit(".txt"))
+    files.write_named(yolo_lines(labels).select(name.alias("name"), F.col("value").alias("line")), [], path)
+
+
+def write_yolo_table(labels: DataFrame, path: str, buckets: int) -> None:
+    """The same labels as a table, in `buckets` files a split by the hash of the picture; for anything but the text form."""
+    labels.repartition(buckets, "image_id").sortWithinPartitions("split", "image_id").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def descriptor_lines(classes: DataFrame, root: str) -> DataFrame:
@@ -58,9 +64,8 @@ def truth_lines(entries: DataFrame, guard: ranks.SkewGuard | None = None) -> Dat
 
 
 def write_lines(rows: DataFrame, key: str, order: list[str], path: str) -> None:
-    """Line tables as one text file per key, lines in order: all lines of a key meet in one task."""
-    (rows.repartition(key).sortWithinPartitions(key, *order).select(key, F.col("line").alias("value"))
-     .write.mode("overwrite").partitionBy(key).text(path))
+    """Line tables as one text file per key, `<key>.txt`, lines in order."""
+    files.write_named(rows.select(F.concat(F.col(key).cast("string"), F.lit(".txt")).alias("name"), "line", *order), order, path)
 
 
 def write_split_labels(samples: DataFrame, path: str) -> None:

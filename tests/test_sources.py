@@ -44,7 +44,7 @@ def test_a_picture_over_several_tasks_keeps_its_groups(spark, tmp_path):
         sinks.write_lines(lines, "image_id", ["no"], str(tmp_path / "t"))
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    texts = spark.read.text(str(tmp_path / "t"), wholetext=True).select("image_id", F.col("value").alias("text"))
+    texts = spark.read.text(str(tmp_path / "t"), wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("image_id"), F.col("value").alias("text"))
     assert readers.true_group_entries(texts).select("image_id", "g").distinct().count() == 3000
 
 
