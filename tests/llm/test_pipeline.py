@@ -76,3 +76,19 @@ def test_empty_tables(spark, make_docs, tmp_path):
     for name, stage in c.STAGES:
         docs = c.cut(stage(spark, docs, str(tmp_path)), name)
         assert docs.count() == 0
+
+
+def test_columns_named_like_those_of_the_stages(spark, make_docs, tmp_path):
+    rng = random.Random(12)
+    spark.createDataFrame([(1, sentence(rng, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["score", "lang_pred", "LANG_PRED_own", "row_number_in_stage", "_found", "node", "th", "comp", "block", "h", "shard", "sid"]
+    docs = make_docs([(i, sentence(rng, 60)) for i in range(20)]).selectExpr("*", *(f"concat('{n}-', doc_id) AS `{n}`" for n in names))
+    columns = docs.columns
+    for name, stage in c.STAGES[:-1]:
+        docs = c.cut(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in docs.collect() for n in names)
+    mixed = c.mix(spark, docs.selectExpr("*", "'x' AS Size", "'y' AS taken"), "")
+    assert mixed.columns == [*columns, "size", "target", "taken"]
+    rows = mixed.collect()
+    assert rows and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names) and all(r["size"] == 60 and r.taken > 0 for r in rows)
