@@ -36,49 +36,108 @@ def _digest(value: Column) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(value) % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64(value, F.lit(1))).alias("h2")]
 
 
-def pair_counts(members: DataFrame, keys: tuple = ("image_id",)) -> DataFrame:
+HEAVY = 1000      # classes of ids from which a group is heavy
+PRODUCT = 10_000  # true times predicted groups of one class up to which they are listed
+
+
+def _met(classes: DataFrame, keys: list, at: DataFrame, name: str, heavy: DataFrame) -> DataFrame:
+    """Pairs c < c2 of classes in one light group. at(*keys, c, name); heavy(*keys, name)."""
+    light = at.join(heavy, [*keys, name], "left_anti")
+    return light.join(light.withColumnRenamed("c", "c2"), [*keys, name]).where("c < c2").select(*keys, "c", "c2").distinct()
+
+
+def _heavy(at: DataFrame, keys: list, name: str, limit: int) -> DataFrame:
+    return cut(at.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*keys, name), "heavy")
+
+
+def _signed(classes: DataFrame, keys: list, at: DataFrame, name: str, heavy: DataFrame) -> DataFrame:
+    """Classes with the heavy groups they lie in, as an array s_<name>; a picture has few heavy groups."""
+    own = at.join(heavy, [*keys, name]).groupBy(*keys, "c").agg(F.sort_array(F.collect_set(name)).alias("s"))
+    none = F.array().cast(own.schema["s"].dataType)
+    return classes.join(own, [*keys, "c"], "left").withColumn("s", F.coalesce("s", none)).withColumnRenamed("s", f"s_{name}")
+
+
+def _weight_of_heavy(signed: DataFrame, keys: list, marks: list[str]) -> DataFrame:
+    """(*keys, pairs): pairs of ids of different classes that share a heavy group on every side of `marks`, counted by
+    classes of equal heavy sets."""
+    kinds = signed.where(" and ".join(f"size({m}) > 0" for m in marks)).groupBy(*keys, *marks).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"))
+    kinds = cut(kinds.withColumn("kind", F.struct(*marks)), "kinds")
+    within = kinds.select(*keys, ((F.col("w") * F.col("w") - F.col("ww")) / 2).cast("bigint").alias("pairs"))
+    one = kinds.select(*keys, "kind", "w", F.explode(marks[0]).alias("at"))
+    other = one.select(*keys, F.col("kind").alias("k2"), F.col("w").alias("w2"), "at")
+    both = one.join(other, [*keys, "at"]).where("kind < k2").select(*keys, "kind", "k2", "w", "w2").distinct()
+    for m in marks[1:]:
+        both = both.where(F.arrays_overlap(F.col("kind")[m], F.col("k2")[m]))
+    return within.unionByName(both.select(*keys, (F.col("w") * F.col("w2")).cast("bigint").alias("pairs")))
+
+
+def _weights(pairs: DataFrame, signed: DataFrame, keys: list, marks: list[str]) -> DataFrame:
+    """(*keys, pairs) of listed pairs of classes that do not share a heavy group on every side."""
+    a = signed.select(*keys, "c", F.col("w").alias("wa"), *(F.col(m).alias(f"a_{m}") for m in marks))
+    b = signed.select(*keys, F.col("c").alias("c2"), F.col("w").alias("wb"), *(F.col(m).alias(f"b_{m}") for m in marks))
+    known = F.lit(True)
+    for m in marks:
+        known = known & F.arrays_overlap(f"a_{m}", f"b_{m}")
+    return pairs.join(a, [*keys, "c"]).join(b, [*keys, "c2"]).where(~known).select(*keys, (F.col("wa") * F.col("wb")).cast("bigint").alias("pairs"))
+
+
+def pair_counts(members: DataFrame, keys: tuple = ("image_id",), heavy: int = HEAVY) -> DataFrame:
     """Distinct unordered pairs of ids that share a group, per key: (*keys, pairs).
 
-    members(*keys, g, id) without repeats; g may be any type. Sum of n(n-1)/2 over the groups, less
-    what ids lying in several groups count too often. Such ids fall into classes of equal sets of groups
-    (compared by digest), so the correction works on few classes and no set is ever held.
+    members(*keys, g, id) without repeats; g may be any type. Pairs with an id of one group only are counted by numbers.
+    Ids in several groups fall into classes of equal sets of groups (compared by digest). Classes meet in light
+    groups; those that share a heavy group, of more than `heavy` classes, are counted by their sets of heavy groups.
     """
-    simple = members.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, _twos(F.col("n")).cast("bigint").alias("pairs"))
-    many = members.groupBy(*keys, "id").agg(*_digest(F.col("g"))).where("n > 1")
-    classes = cut(many.groupBy(*keys, F.struct("n", "h1", "h2").alias("c")).agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id")), "classes")
-    inner = classes.select(*keys, (-(F.col("c.n") - 1) * _twos(F.col("w"))).cast("bigint").alias("pairs"))
-    flat = cut(classes.join(members, [*keys, "id"]).select(*keys, "c", "w", "g"), "flat")  # the groups of one id of each class
-    other = flat.select(*keys, "g", F.col("c").alias("c2"), F.col("w").alias("w2"))
-    cross = (flat.join(other, [*keys, "g"]).where("c < c2").groupBy(*keys, "c", "c2", "w", "w2")
-             .agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-             .select(*keys, (-(F.col("k") - 1) * F.col("w") * F.col("w2")).cast("bigint").alias("pairs")))
-    return simple.unionByName(inner).unionByName(cross).groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
-
-
-def shared_pairs(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    keys = list(keys)
+    ids = cut(members.groupBy(*keys, "id").agg(*_digest(F.col("g")), F.min("g").alias("g")), "ids")
+    single = ids.where("n = 1").groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("s"))
+    every = members.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("k"))
+    simple = single.join(every, [*keys, "g"]).select(*keys, (_twos(F.col("s")) + F.col("s") * (F.col("k") - F.col("s"))).cast("bigint").alias("pairs"))
+    classes = cut(ids.where("n > 1").groupBy(*keys, F.struct("n", "h1", "h2").alias("c")).agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("id")), "classes")
+    inner = classes.select(*keys, _twos(F.col("w")).cast("bigint").alias("pairs"))
+    at = cut(classes.join(members, [*keys, "id"]).select(*keys, "c", "g"), "at")  # the groups of one id of each class
+    hot = _heavy(at, keys, "g", heavy)
+    signed = cut(_signed(classes.drop("id"), keys, at, "g", hot), "signed")
+    listed = _weights(_met(classes, keys, at, "g", hot), signed, keys, ["s_g"])
+    parts = simple.unionByName(inner).unionByName(listed).unionByName(_weight_of_heavy(signed, keys, ["s_g"]))
+    # groups without any pair still give their key a row
+    return parts.unionByName(every.select(*keys, F.lit(0).cast("bigint").alias("pairs"))).groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
+
+
+def shared_pairs(truth: DataFrame, pred: DataFrame, heavy: int = HEAVY, product: int = PRODUCT) -> DataFrame:
     """(image_id, pairs): distinct pairs of ids that share a true group and a predicted group.
 
-    Ids in one group on either side are counted by their pair of groups. Ids in several groups meet the counts
-    of the others through one side, then the other; among themselves they meet by classes of equal sets. So an
-    id in m true and n predicted groups gives m + n rows.
+    Ids in one group on either side are counted by their pair of groups; they meet the other ids through the pairs of
+    groups of a class, or, where these are too many, through one side and then the other. Classes of ids in several
+    groups meet in light groups of one side and are tested on the other; classes that share heavy groups on both sides
+    are counted by their sets of heavy groups.
     """
+    keys = ["image_id"]
     ids = (truth.groupBy("image_id", "id").agg(*[c.alias("t_" + n) for c, n in zip(_digest(F.col("g")), ("n", "h1", "h2"))], F.min("g").alias("g"))
            .join(pred.groupBy("image_id", "id").agg(*[c.alias("p_" + n) for c, n in zip(_digest(F.col("g")), ("n", "h1", "h2"))], F.min("g").alias("p")), ["image_id", "id"]))
     ids = cut(ids, "ids")
-    simple = ids.where("t_n = 1 and p_n = 1").groupBy("image_id", "g", "p").agg(F.count(F.lit(1)).alias("k"))
+    simple = cut(ids.where("t_n = 1 and p_n = 1").groupBy("image_id", "g", "p").agg(F.count(F.lit(1)).alias("k")), "simple")
     many = ids.where("t_n > 1 or p_n > 1")
     classes = cut(many.groupBy("image_id", F.struct("t_n", "t_h1", "t_h2", "p_n", "p_h1", "p_h2").alias("c")).agg(
         F.count(F.lit(1)).alias("w"), F.min("id").alias("id")), "classes")
-    side = lambda df, name: cut(classes.join(df, ["image_id", "id"]).select("image_id", "c", "w", F.col("g").alias(name)), "side")
+    side = lambda df, name: cut(classes.join(df, ["image_id", "id"]).select("image_id", "c", F.col("g").alias(name)), "side")
     in_t, in_p = side(truth, "g"), side(pred, "p")
-    with_simple = (simple.join(in_t, ["image_id", "g"]).groupBy("image_id", "c", "w", "p").agg(F.sum("k").alias("k"))
-                   .join(in_p.select("image_id", "c", "p"), ["image_id", "c", "p"]).select("image_id", (F.col("w") * F.col("k")).alias("pairs")))
-
-    def meet(df, on):
-        other = df.select("image_id", on, F.col("c").alias("c2"), F.col("w").alias("w2"))
-        return df.join(other, ["image_id", on]).where("c < c2").select("image_id", "c", "c2", "w", "w2").distinct()
-    among = meet(in_t, "g").join(meet(in_p, "p"), ["image_id", "c", "c2", "w", "w2"], "left_semi").select("image_id", (F.col("w") * F.col("w2")).alias("pairs"))
+    few = F.col("c.t_n") * F.col("c.p_n") <= product
+    listed = in_t.where(few).join(in_p, ["image_id", "c"]).join(simple, ["image_id", "g", "p"]).select("image_id", "c", "k")
+    through = (simple.join(in_t.where(~few), ["image_id", "g"]).groupBy("image_id", "c", "p").agg(F.sum("k").alias("k"))
+               .join(in_p.where(~few), ["image_id", "c", "p"]).select("image_id", "c", "k"))
+    with_simple = listed.unionByName(through).join(classes, ["image_id", "c"]).select("image_id", (F.col("w") * F.col("k")).alias("pairs"))
+    hot_t, hot_p = _heavy(in_t, keys, "g", heavy), _heavy(in_p, keys, "p", heavy)
+    signed = cut(_signed(_signed(classes.drop("id"), keys, in_t, "g", hot_t), keys, in_p, "p", hot_p), "signed")
+
+    def tested(pairs, at, name):
+        """Those of the pairs that share a group of the other side."""
+        mine = pairs.join(at, ["image_id", "c"])
+        return mine.join(at.withColumnRenamed("c", "c2"), ["image_id", "c2", name]).select("image_id", "c", "c2").distinct()
+    met = tested(_met(classes, keys, in_t, "g", hot_t), in_p, "p")
+    if not hot_t.isEmpty():  # pairs that share heavy true groups only
+        met = met.unionByName(tested(_met(classes, keys, in_p, "p", hot_p), in_t, "g")).distinct()
+    among = _weights(met, signed, keys, ["s_g", "s_p"]).unionByName(_weight_of_heavy(signed, keys, ["s_g", "s_p"]))
     parts = [simple.select("image_id", _twos(F.col("k")).alias("pairs")), classes.select("image_id", _twos(F.col("w")).alias("pairs")), with_simple, among]
     out = parts[0].select("image_id", F.col("pairs").cast("bigint"))
     for p in parts[1:]:
@@ -104,9 +163,17 @@ def _group_digests(df: DataFrame, name: str, on: str = "id") -> DataFrame:
     return df.groupBy("image_id", F.col("g").alias(name)).agg(*_digest(F.col(on))).select("image_id", name, F.struct("n", "h1", "h2").alias("d"))
 
 
+def _verified(found: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Pairs of groups (image_id, g, p, n) of equal digests whose n members are the same."""
+    mine = found.join(truth.select("image_id", "g", "id"), ["image_id", "g"])
+    same = mine.join(pred.select("image_id", F.col("g").alias("p"), "id"), ["image_id", "p", "id"])
+    return same.groupBy("image_id", "g", "p", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n").select("image_id", "g", "p")
+
+
 def equal_groups(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """(image_id, g, p) of true and predicted groups that hold the same ids."""
-    return _group_digests(truth, "g").join(_group_digests(pred, "p"), ["image_id", "d"]).select("image_id", "g", "p")
+    found = _group_digests(truth, "g").join(_group_digests(pred, "p"), ["image_id", "d"]).select("image_id", "g", "p", "d.n")
+    return _verified(found, truth, pred)
 
 
 def matched_groups(truth: DataFrame, pred: DataFrame) -> DataFrame:
@@ -115,7 +182,7 @@ def matched_groups(truth: DataFrame, pred: DataFrame) -> DataFrame:
     # classes of equal sets are as small as the number of repeated nets in a picture
     gs = gs.withColumn("k", F.row_number().over(W.partitionBy("image_id", "d").orderBy("g")))
     ps = ps.withColumn("k", F.row_number().over(W.partitionBy("image_id", "d").orderBy("p")))
-    return gs.join(ps, ["image_id", "d", "k"]).select("image_id", "g", "p")
+    return _verified(gs.join(ps, ["image_id", "d", "k"]).select("image_id", "g", "p", "d.n"), truth, pred)
 
 
 def last_groups(groups: DataFrame) -> DataFrame:

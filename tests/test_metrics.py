@@ -65,3 +65,31 @@ def test_an_id_in_many_groups_on_both_sides(spark):
     rows = [(1, g, x) for g in range(n) for x in ("hot", f"x{g}")]
     df = spark.createDataFrame(rows, "image_id long, g long, id string")
     assert [tuple(r) for r in metrics.edge_counts(df, df).select("tp", "fp", "fn").collect()] == [(n, 0, 0)]
+
+
+def test_heavy_groups_count_the_same(spark):
+    """Every border between light and heavy groups gives the pairs of a plain listing."""
+    rnd = random.Random(21)
+    t, p = ({(i, g): set(rnd.sample(range(16), rnd.randint(2, 11))) for i in range(4) for g in range(6)} for _ in range(2))
+    frame = lambda gs: spark.createDataFrame([(i, g, str(x)) for (i, g), ms in gs.items() for x in ms], "image_id long, g long, id string")
+    plain = lambda gs, i: _plain_edges([set(map(str, ms)) for (k, _), ms in gs.items() if k == i])
+    for heavy in (1, 4, 7):
+        assert {r.image_id: r.pairs for r in metrics.pair_counts(frame(t), heavy=heavy).collect()} == {i: len(plain(t, i)) for i in range(4)}
+        for product in (1, 100):
+            got = {r.image_id: r.pairs for r in metrics.shared_pairs(frame(t), frame(p), heavy=heavy, product=product).collect()}
+            assert got == {i: len(plain(t, i) & plain(p, i)) for i in range(4)}
+
+
+def test_a_group_with_ten_thousand_classes(spark):
+    """All ids lie in group 0, each in another group of its own too: no two classes are alike, and they never meet in pairs."""
+    n = 10_000
+    df = spark.range(n).selectExpr("1L AS image_id", "explode(array(0L, id + 1)) AS g", "concat('x', id) AS id")
+    df = df.unionByName(spark.range(n).selectExpr("1L AS image_id", "id + 1 AS g", "concat('y', id) AS id"))
+    assert [tuple(r) for r in metrics.edge_counts(df, df).select("tp", "fp", "fn").collect()] == [(n * (n - 1) // 2 + n, 0, 0)]
+
+
+def test_groups_of_equal_digest_are_compared_by_members(spark):
+    found = spark.createDataFrame([(1, 0, 5, 2), (1, 1, 6, 2)], "image_id long, g long, p long, n long")
+    t = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "c"), (1, 1, "d")], "image_id long, g long, id string")
+    p = spark.createDataFrame([(1, 5, "a"), (1, 5, "x"), (1, 6, "d"), (1, 6, "c")], "image_id long, g long, id string")
+    assert [tuple(r) for r in metrics._verified(found, t, p).collect()] == [(1, 1, 6)]
