@@ -6,6 +6,8 @@ counted in closed form; sets are compared by sizes and sizes of intersections.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netloom.lineage import cut
@@ -75,10 +77,10 @@ def _weights(pairs: DataFrame, signed: DataFrame, keys: list, marks: list[str])
     """(*keys, pairs) of listed pairs of classes that do not share a heavy group on every side."""
     a = signed.select(*keys, "c", F.col("w").alias("wa"), *(F.col(m).alias(f"a_{m}") for m in marks))
     b = signed.select(*keys, F.col("c").alias("c2"), F.col("w").alias("wb"), *(F.col(m).alias(f"b_{m}") for m in marks))
-    known = F.lit(True)
-    for m in marks:
-        known = known & F.arrays_overlap(f"a_{m}", f"b_{m}")
-    return pairs.join(a, [*keys, "c"]).join(b, [*keys, "c2"]).where(~known).select(*keys, (F.col("wa") * F.col("wb")).cast("bigint").alias("pairs"))
+    both = pairs.join(a, [*keys, "c"]).join(b, [*keys, "c2"])
+    if marks:
+        both = both.where(~functools.reduce(lambda x, y: x & y, [F.arrays_overlap(f"a_{m}", f"b_{m}") for m in marks]))
+    return both.select(*keys, (F.col("wa") * F.col("wb")).cast("bigint").alias("pairs"))
 
 
 def pair_counts(members: DataFrame, keys: tuple = ("image_id",), heavy: int = HEAVY) -> DataFrame:
@@ -97,9 +99,12 @@ def pair_counts(members: DataFrame, keys: tuple = ("image_id",), heavy: int = HE
     inner = classes.select(*keys, _twos(F.col("w")).cast("bigint").alias("pairs"))
     at = cut(classes.join(members, [*keys, "id"]).select(*keys, "c", "g"), "at")  # the groups of one id of each class
     hot = _heavy(at, keys, "g", heavy)
-    signed = cut(_signed(classes.drop("id"), keys, at, "g", hot), "signed")
-    listed = _weights(_met(classes, keys, at, "g", hot), signed, keys, ["s_g"])
-    parts = simple.unionByName(inner).unionByName(listed).unionByName(_weight_of_heavy(signed, keys, ["s_g"]))
+    met, parts = _met(classes, keys, at, "g", hot), simple.unionByName(inner)
+    if hot.isEmpty():
+        parts = parts.unionByName(_weights(met, classes, keys, []))
+    else:
+        signed = cut(_signed(classes.drop("id"), keys, at, "g", hot), "signed")
+        parts = parts.unionByName(_weights(met, signed, keys, ["s_g"])).unionByName(_weight_of_heavy(signed, keys, ["s_g"]))
     # groups without any pair still give their key a row
     return parts.unionByName(every.select(*keys, F.lit(0).cast("bigint").alias("pairs"))).groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
 
@@ -128,16 +133,18 @@ def shared_pairs(truth: DataFrame, pred: DataFrame, heavy: int = HEAVY, product:
                .join(in_p.where(~few), ["image_id", "c", "p"]).select("image_id", "c", "k"))
     with_simple = listed.unionByName(through).join(classes, ["image_id", "c"]).select("image_id", (F.col("w") * F.col("k")).alias("pairs"))
     hot_t, hot_p = _heavy(in_t, keys, "g", heavy), _heavy(in_p, keys, "p", heavy)
-    signed = cut(_signed(_signed(classes.drop("id"), keys, in_t, "g", hot_t), keys, in_p, "p", hot_p), "signed")
 
     def tested(pairs, at, name):
         """Those of the pairs that share a group of the other side."""
         mine = pairs.join(at, ["image_id", "c"])
         return mine.join(at.withColumnRenamed("c", "c2"), ["image_id", "c2", name]).select("image_id", "c", "c2").distinct()
     met = tested(_met(classes, keys, in_t, "g", hot_t), in_p, "p")
-    if not hot_t.isEmpty():  # pairs that share heavy true groups only
+    if hot_t.isEmpty():
+        among = _weights(met, classes, keys, [])
+    else:  # pairs may share heavy true groups only
         met = met.unionByName(tested(_met(classes, keys, in_p, "p", hot_p), in_t, "g")).distinct()
-    among = _weights(met, signed, keys, ["s_g", "s_p"]).unionByName(_weight_of_heavy(signed, keys, ["s_g", "s_p"]))
+        signed = cut(_signed(_signed(classes.drop("id"), keys, in_t, "g", hot_t), keys, in_p, "p", hot_p), "signed")
+        among = _weights(met, signed, keys, ["s_g", "s_p"]).unionByName(_weight_of_heavy(signed, keys, ["s_g", "s_p"]))
     parts = [simple.select("image_id", _twos(F.col("k")).alias("pairs")), classes.select("image_id", _twos(F.col("w")).alias("pairs")), with_simple, among]
     out = parts[0].select("image_id", F.col("pairs").cast("bigint"))
     for p in parts[1:]:
