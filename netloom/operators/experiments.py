@@ -29,9 +29,14 @@ def run(prepared: dict[str, DataFrame], comps: DataFrame, references: DataFrame,
     reference_ports (as for `metrics.port_identity`). truth has true group entries.
     """
     ids = cut(metrics.port_identity(detect.match_boxes(comps, references), prepared["ports"], reference_ports), "ids")
-    out = None
-    for name, switches in honoured(settings).items():
-        entries = predicted_entries(wiring.wire(prepared, switches)["groups"], ids)
-        own = metrics.evaluate(images, truth, entries).withColumn("config", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-    return out
+    settings, entries = honoured(settings), None
+    # pictures of all settings are scored at once, under the key (config, image_id)
+    both = lambda config: F.struct(config.alias("config"), "image_id").alias("image_id")
+    for name, switches in settings.items():
+        own = predicted_entries(wiring.wire(prepared, switches)["groups"], ids)
+        own = own.select(both(F.lit(name)), "g", "designator", "label")
+        entries = own if entries is None else entries.unionByName(own)
+    names = F.explode(F.array(*[F.lit(n) for n in settings]))
+    every = images.select(F.col("image_id"), names.alias("config")).select(both(F.col("config")))
+    true = truth.select("*", names.alias("config")).select(both(F.col("config")), "g", "designator", "label")
+    return metrics.evaluate(every, true, cut(entries, "entries")).select("image_id.config", "image_id.image_id", "n_gt_groups", "n_pred_groups", *metrics.RATES)

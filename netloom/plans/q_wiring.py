@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import dims, geom
 from netloom.lineage import cut
-from netloom.operators import circuit, detect, ranks, wiring
+from netloom.operators import circuit, detect, experiments, ranks, wiring
 from netloom.plans import sqlgeo as g
 from netloom.plans.registry import query
 
@@ -386,6 +386,22 @@ def _(t):
     return whole_run(t)["routes"].select("image_id", "line.*", "n", "mx", "my")
 
 
+def ablation_inputs(t) -> tuple:
+    """References with designators, their ports, and true groups: ports of the references by the junction they hang on."""
+    named = cut(detect.designators(t.comps("annotation"), "annotation", t.image_guard), "named")
+    ports = cut(detect.with_labels(detect.place_ports(named, "annotation"), "annotation").withColumnRenamed("idx", "ci"), "ports")
+    truth = Stage(t).links().join(ports.select("image_id", "ci", "pi", "designator", "label"), ["image_id", "ci", "pi"]).select(
+        "image_id", wiring.point_id(F.col("jx"), F.col("jy")).alias("g"), "designator", "label")
+    return named, ports, truth
+
+
+@query("A10_ablation_run")
+def _(t):
+    ready = prepared(t)
+    named, ports, truth = ablation_inputs(t)
+    return experiments.run(ready, ready["comps"], named, ports, t.images, truth)
+
+
 @query("G05_G06_whole_wiring")
 def _(t):
     return wired(t, dims.ABLATIONS["Ours"])["groups"]
