@@ -34,15 +34,17 @@ def text_choices(comps: DataFrame, texts: DataFrame) -> DataFrame:
     """(image_id, text_ord, idx, value, score): the component each text settles on.
 
     Per text the candidates are walked by component and variant; one replaces the best only if its
-    score is lower, by over 20 if the best was exact. The list of a text holds the components whose
-    centres lie in its diamond of REACH pixels, so it is bounded by the place, not by the picture.
+    score is lower, by over 20 if the best was exact. So only a score below all before it can replace the
+    best, which is the first of its score: one candidate for each whole score is kept, at most REACH + 41
+    a text however many components are about.
     """
     cand = _in_reach(comps, texts).select("image_id", "text_ord", "idx", "name", "text", "d", F.posexplode(text.variants(F.col("text"))).alias("k", "v"))
     cand = cand.withColumn("value", text.fits(F.col("v.value"), F.col("name"))).where("value is not null")
     exact = F.col("v.value") == F.col("text")
-    cand = cand.select("image_id", "text_ord", F.struct("idx", "k", F.when(F.col("value") == "", F.col("v.value")).otherwise(F.col("value")).alias("value"),
-                                                       (F.col("d") - F.when(exact, 40).otherwise(0)).cast("bigint").alias("score"), exact.alias("exact")).alias("c"))
-    lists = cand.groupBy("image_id", "text_ord").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    first = cand.select("image_id", "text_ord", (F.col("d") - F.when(exact, 40).otherwise(0)).cast("bigint").alias("score"),
+                        F.struct("idx", "k", F.when(F.col("value") == "", F.col("v.value")).otherwise(F.col("value")).alias("value"), exact.alias("exact")).alias("f"))
+    first = first.groupBy("image_id", "text_ord", "score").agg(F.min("f").alias("f"))
+    lists = first.groupBy("image_id", "text_ord").agg(F.sort_array(F.collect_list(F.struct("f.idx", "f.k", "f.value", "score", "f.exact"))).alias("cs"))
 
     def step(best, c):
         better = c["score"] < best["score"] - F.when(best["exact"], 20).otherwise(0)
