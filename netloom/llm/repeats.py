@@ -9,7 +9,11 @@ Suffixes are dealt to buckets by that hash. In a bucket, the batches of document
 suffix array (ordered by hash and stretch), is merge-scanned against the arrays of all existing levels, and becomes a
 level itself; levels of like size merge, so that there are logarithmically many. A stretch that is whole in an earlier
 place is removed at once. Where only the first bytes agree, the bytes of the stretches are fetched and their strings
-compared one by one, level by level again.
+compared one by one, beside the levels.
+
+Equal entries are combined before they are dealt. A hash that very many different stretches share (a passage that
+many documents carry in their own surroundings) is not met in one task: its strings are dealt one by one, by their own
+hash, after each task has kept the earliest of equal ones. The number of buckets follows the bytes of the texts.
 
 Null and empty texts have no bytes. Texts shorter than 100 bytes lose nothing. Repeated
 rows (one id, one text) are judged alike and do not count as earlier copies of each other; different texts of one id
@@ -23,13 +27,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.lineage import cut
 from netloom.llm.common import map_arrow, prefix_hash, runs, stretch_hash, tasks_of, utf8
-from netloom.llm.packed import dealt, pack, reduce, schema_of, small_enough
+from netloom.llm.packed import dealt, pack, schema_of, small_enough, unpack
 
 LENGTH, GRAM, CHUNK, FLUSH, BATCH_IDS = 100, 32, 1_000_000, 250_000, 65536
+BUCKET_BYTES = 64 << 20  # text behind the entries of one bucket
+HOT_SHARE, HOT_LEAST = 100_000, 5_000  # a hash with more asked stretches than both say is met by single strings
 GRAMS = LENGTH - GRAM + 1
 PLACE_BITS = 23  # places within a chunk, below the hash in one number
 
@@ -85,7 +92,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def entries(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed suffix entries of every batch; of equal texts in a batch only the first has any."""
+    """Packed suffix entries of every batch, the earliest of equal ones; the others are marks (`sure`), dealt by document."""
     def run(batches):
         for b in batches:
             ids = [key_of(d) for d in b.column("doc_id").to_pylist()]
@@ -107,12 +114,36 @@ def entries(docs: DataFrame, buckets: int) -> DataFrame:
             if size:
                 yield from _packed(columns, buckets)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema_of(list(ENTRY)))
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema_of(list(ENTRY)) + ", sure boolean")
+
+
+def later(doc: np.ndarray, start: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the entries of each key: the first of the earliest ones, and all that stand later than it (masks)."""
+    order = np.lexsort((start, doc, *key[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], 0)
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    first, after = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order[new]] = True
+    after[order] = (doc[order] != doc[lead]) | (start[order] != start[lead])
+    return first, after
+
+
+def _marked(batches, **same):
+    """Batches with constant columns added."""
+    for b in batches:
+        for name, value in same.items():
+            b = b.append_column(name, pa.array([value] * b.num_rows, pa.int32() if type(value) is int else None))
+        yield b
 
 
 def _packed(columns, buckets):
-    joined = {k: np.concatenate(v) for k, v in columns.items()}
-    yield from pack(joined, joined["gram"] * np.uint64(0x9E3779B97F4A7C15), buckets)
+    c = {k: np.concatenate(v) for k, v in columns.items()}
+    first, after = later(c["doc"], c["start"], c["gram"], c["stretch"])
+    keep = {k: v[first] for k, v in c.items()}
+    yield from _marked(pack(keep, keep["gram"] * np.uint64(0x9E3779B97F4A7C15), buckets), sure=False)
+    gone = {k: v[after] for k, v in c.items()}
+    yield from _marked(pack(gone, _by_document(gone["doc"]), buckets), sure=True)
 
 
 class Level:
@@ -211,11 +242,35 @@ def _by_document(doc: np.ndarray) -> np.ndarray:
 
 def marks(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed (doc, start, count, ask, gram), dealt by document."""
-    def work(c):
-        for doc, start, count, ask, gram in scanned(c):
-            yield from pack({"doc": doc, "start": start, "count": count, "ask": ask, "gram": gram}, _by_document(doc), buckets)
+    def run(batches):
+        held = []
+        for b in batches:
+            sure = b.filter(b.column("sure"))
+            if sure.num_rows:
+                zeros = pa.array([bytes(len(x.as_buffer())) for x in sure.column("count")], pa.binary())
+                yield pa.RecordBatch.from_arrays([sure.column("bucket"), sure.column("doc"), sure.column("start"), sure.column("count"), zeros, sure.column("gram")], ["bucket", *MARK])
+            held.append(b.filter(pc.invert(b.column("sure"))))
+        c = unpack(held, ENTRY)
+        if len(c["gram"]):
+            for doc, start, count, ask, gram in scanned(c):
+                yield from pack({"doc": doc, "start": start, "count": count, "ask": ask, "gram": gram}, _by_document(doc), buckets)
+
+    return cut(dealt(entries(docs, buckets), buckets).mapInArrow(run, schema_of(list(MARK))), "marks")
+
+
+def hot_grams(marked: DataFrame) -> np.ndarray:
+    """Hashes with very many asked stretches, fewer than HOT_SHARE of them."""
+    def run(batches):
+        for b in batches:
+            asked = [np.frombuffer(g.as_buffer(), np.uint64)[np.frombuffer(a.as_buffer(), np.uint8) == 1] for g, a in zip(b.column("gram"), b.column("ask"))]
+            gram, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *asked]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    return cut(reduce(entries(docs, buckets), buckets, ENTRY, work, schema_of(list(MARK))), "marks")
+    counted = marked.select("gram", "ask").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = cut(counted, "asked")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    hot = counted.where(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("gram").collect()
+    return np.sort(np.array([r.gram for r in hot], np.int64).view(np.uint64))
 
 
 def _with_texts(docs: DataFrame, packed: DataFrame, wanted: DataFrame, count: int, buckets: int, kinds: dict, work, schema: str) -> DataFrame:
@@ -260,10 +315,16 @@ def _with_texts(docs: DataFrame, packed: DataFrame, wanted: DataFrame, count: in
 
 
 CONTEXT = {"doc": np.int64, "start": np.int64, "count": np.uint8}
+STRETCH, STRING, SURE = 0, 1, 2
+CONTEXTS = schema_of([*CONTEXT, "bytes"]) + ", kind int"
 
 
-def contexts(docs: DataFrame, asked: DataFrame, wanted: DataFrame, count: int, buckets: int) -> DataFrame:
-    """Packed stretches with their bytes, dealt by the hash of the indexed suffix."""
+def contexts(docs: DataFrame, asked: DataFrame, wanted: DataFrame, count: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Packed rows of three kinds: stretches with their bytes, dealt by the hash of the indexed suffix; for the hot hashes
+    single strings (their hash in `bytes`), the earliest of equal ones of a task, dealt by their own hash; and marks of
+    the strings that stand earlier in the same task, dealt by document."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
     def work(ids, texts, c):
         on = c["ask"] == 1
         doc, start, size, gram = (c[k][on] for k in ("doc", "start", "count", "gram"))
@@ -284,17 +345,24 @@ def contexts(docs: DataFrame, asked: DataFrame, wanted: DataFrame, count: int, b
         if not rows:
             return
         at = np.concatenate(rows)
-        ends = np.cumsum([len(x) for x in out])
-        joined = np.concatenate(out)
-        to = (((gram[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
-        for bucket in np.unique(to):
-            own = np.flatnonzero(to == bucket)
-            parts = [joined[ends[k] - (int(size[at[k]]) - 1 + LENGTH):ends[k]] for k in own]
+        doc, start, size, gram = doc[at], start[at], size[at], gram[at]
+        is_hot = np.isin(gram, sent.value)
+        to = (((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+        for bucket in np.unique(to[~is_hot]):
+            own = np.flatnonzero((to == bucket) & ~is_hot)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (doc[at[own]], start[at[own]], size[at[own]].astype(np.uint8), np.concatenate(parts)))],
-                ["bucket", *CONTEXT, "bytes"])
+                [pa.array([bucket], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (doc[own], start[own], size[own].astype(np.uint8), np.concatenate([out[k] for k in own]))),
+                 pa.array([STRETCH], pa.int32())], ["bucket", *CONTEXT, "bytes", "kind"])
+        own = np.flatnonzero(is_hot)
+        if len(own):
+            owner, offset, string = _strings(np.concatenate([out[k] for k in own]), size[own])
+            first, after = later(doc[own][owner], start[own][owner] + offset, string)
+            yield from _marked(_flagged(after, owner, offset, doc[own], start[own], buckets, bytes=b""), kind=SURE)
+            owner, string = owner[first], string[first]
+            named = {"doc": doc[own][owner], "start": start[own][owner] + offset[first], "count": np.ones(len(owner), np.uint8), "bytes": string}
+            yield from _marked(pack(named, string, buckets), kind=STRING)
 
-    return _with_texts(docs, asked, wanted, count, buckets, MARK, work, schema_of([*CONTEXT, "bytes"]))
+    return _with_texts(docs, asked, wanted, count, buckets, MARK, work, CONTEXTS)
 
 
 def _string_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -310,42 +378,57 @@ def _string_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def compared(c: dict[str, np.ndarray], buckets: int):
-    """Runs of starts, among the asked stretches of one task, whose strings stand earlier."""
-    size = c["count"].astype(np.int64)
+def _strings(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, offset and hash of every string of the stretches whose bytes follow one another."""
     ends = np.cumsum(size - 1 + LENGTH)
-    begins = ends - (size - 1 + LENGTH)
-    total = size.sum()
     owner = np.repeat(np.arange(len(size)), size)
-    offset = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-    string = _string_hashes(c["bytes"], begins, ends, size)
-    order = np.argsort(string, kind="stable")
-    string = string[order]
-    group = np.cumsum(np.concatenate([[False], string[1:] != string[:-1]]))
-    # only strings that occur again need an order of places
-    n = np.bincount(group)
-    again = np.flatnonzero(n[group] > 1)
-    doc, start = c["doc"][owner[order[again]]], c["start"][owner[order[again]]] + offset[order[again]]
-    inner = np.lexsort((start, doc, group[again]))
-    g, doc, start = group[again][inner], doc[inner], start[inner]
-    first = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0)) if len(g) else np.zeros(0, np.int64)
-    later = (doc != doc[lead]) | (start != start[lead])
-    hit = order[again][inner][later]
-    flag = np.zeros(total, bool)
-    flag[hit] = True
-    # runs of flagged starts within one stretch
-    edge = np.concatenate([[True], owner[1:] != owner[:-1]]) if total else np.zeros(0, bool)
+    offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return owner, offset, _string_hashes(data, ends - (size - 1 + LENGTH), ends, size)
+
+
+def _flagged(flag: np.ndarray, owner: np.ndarray, offset: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int, **same):
+    """Packed runs of flagged starts within one stretch, dealt by document."""
+    edge = np.ones(len(owner), bool)
+    edge[1:] = owner[1:] != owner[:-1]
     begin = np.flatnonzero(flag & (edge | ~np.concatenate([[False], flag[:-1]])))
     stop = np.flatnonzero(flag & np.concatenate([edge[1:] | ~flag[1:], [True]]))
-    doc, start, count = c["doc"][owner[begin]], c["start"][owner[begin]] + offset[begin], (stop - begin + 1).astype(np.uint8)
-    yield from pack({"doc": doc, "start": start, "count": count}, _by_document(doc), buckets)
+    doc, start, count = doc[owner[begin]], start[owner[begin]] + offset[begin], (stop - begin + 1).astype(np.uint8)
+    yield from _marked(pack({"doc": doc, "start": start, "count": count}, _by_document(doc), buckets), **same)
+
+
+def compared(c: dict[str, np.ndarray], buckets: int):
+    """Runs of starts, among the asked stretches of one task, whose strings stand earlier."""
+    owner, offset, string = _strings(c["bytes"], c["count"].astype(np.int64))
+    _, after = later(c["doc"][owner], c["start"][owner] + offset, string)
+    yield from _flagged(after, owner, offset, c["doc"], c["start"], buckets)
+
+
+def settled(context: DataFrame, buckets: int) -> DataFrame:
+    """Packed marks of all that `contexts` gives."""
+    def run(batches):
+        held = {STRETCH: [], STRING: []}
+        for b in batches:
+            kind = b.column("kind")
+            sure = b.filter(pc.equal(kind, SURE))
+            if sure.num_rows:
+                yield sure.select(["bucket", *CONTEXT])
+            for k, parts in held.items():
+                parts.append(b.filter(pc.equal(kind, k)))
+        c = unpack(held[STRETCH], CONTEXT | {"bytes": np.uint8})
+        if len(c["doc"]):
+            yield from compared(c, buckets)
+        c = unpack(held[STRING], CONTEXT | {"bytes": np.uint64})
+        if len(c["doc"]):
+            _, after = later(c["doc"], c["start"], c["bytes"])
+            yield from pack({k: c[k][after] for k in CONTEXT}, _by_document(c["doc"][after]), buckets)
+
+    return dealt(context, buckets).mapInArrow(run, schema_of(list(CONTEXT)))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    buckets = tasks_of(docs.sparkSession)
     texts = cut(texts_of(docs), "texts")
+    buckets = tasks_of(docs.sparkSession, -(-(texts.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
     long = texts.where(F.col("n_bytes") >= LENGTH)
     copies = long.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").select("digest", "first")
     marked = marks(docs, buckets)
@@ -359,8 +442,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return run
 
     asking = cut(marked.select("doc", "ask").mapInArrow(ids(True), "doc bigint").distinct(), "asking")
-    context = contexts(docs, marked, asking, asking.count(), buckets)
-    extra = cut(reduce(context, buckets, CONTEXT | {"bytes": np.uint8}, lambda c: compared(c, buckets), schema_of(list(CONTEXT))), "extra")
+    context = contexts(docs, marked, asking, asking.count(), buckets, hot_grams(marked))
+    extra = cut(settled(context, buckets), "extra")
 
     def sure(batches):
         for b in batches:

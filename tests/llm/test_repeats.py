@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.llm import repeats
 from tests.llm.conftest import sentence
@@ -51,6 +52,37 @@ def test_equals_plain_version(spark, make_docs, monkeypatch, chunk):
     assert sorted(map(tuple, repeats.remove_repeats(df).collect())) == plain(rows)
 
 
+@pytest.mark.parametrize("flush", [250_000, 40])
+def test_hot_hashes_are_met_by_single_strings(spark, make_docs, monkeypatch, flush):
+    """A passage in many different surroundings: its hashes are hot, and the result is that of the plain version."""
+    monkeypatch.setattr(repeats, "HOT_LEAST", 5)
+    monkeypatch.setattr(repeats, "FLUSH", flush)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1000)
+    rng = random.Random(11)
+    passage = sentence(rng, 60)
+    rows = corpus(9) + [(1000 + i, f"{sentence(rng, 8, 10 ** 6)} {passage[i % 7:]} {sentence(rng, 8, 10 ** 6)}") for i in range(80)]
+    rng.shuffle(rows)
+    df = make_docs(rows).repartition(6)
+    assert len(repeats.hot_grams(repeats.marks(df, 7))) > 0
+    assert sorted(map(tuple, repeats.remove_repeats(df).collect())) == plain(rows)
+
+
+def test_entries_of_a_hot_passage_are_combined_and_its_strings_spread(spark, make_docs, monkeypatch):
+    """A passage in a third of all documents: no bucket of strings holds much more than the others."""
+    monkeypatch.setattr(repeats, "HOT_LEAST", 50)
+    rng = random.Random(12)
+    passage = sentence(rng, 60)
+    rows = [(i, sentence(rng, 40, 10 ** 6) + (" " + passage + " " + sentence(rng, 40, 10 ** 6) if i % 3 == 0 else "")) for i in range(3000)]
+    df = make_docs(rows).repartition(4)
+    marked = repeats.marks(df, 8)
+    asking = df.select(F.col("doc_id").alias("doc"))
+    found = repeats.contexts(df, marked, asking, 3000, 8, repeats.hot_grams(marked)).where("kind <> 2")
+    held = [r.n for r in found.groupBy("bucket").agg(F.sum(F.length("bytes") * F.when(F.col("kind") == 1, 1).otherwise(0)).alias("n")).collect()]
+    assert len(held) == 8 and max(held) < 1.5 * sorted(held)[4]
+    stretches = found.where("kind = 0").agg(F.coalesce(F.max(F.length("doc") / 8), F.lit(0)).alias("n")).first().n
+    assert stretches <= 2 * repeats.HOT_LEAST
+
+
 def test_levels_grow_geometrically():
     rng, family, seen = np.random.default_rng(0), repeats.Family(), {}
     for batch in range(40):
