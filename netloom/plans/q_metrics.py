@@ -251,9 +251,9 @@ def _(t):
     return dataset.first_source([fixed, t.read("documents").select("doc_id", F.col("source").alias("payload"))], "doc_id")
 
 
-@query("S05_work_list", ("truth", "images", "refs"), "SELECT DISTINCT image_id FROM truth WHERE image_id IN (SELECT image_id FROM images WHERE width>1000) AND image_id IN (SELECT image_id FROM refs)")
+@query("S05_work_list", ("truth", "images", "refs"), "SELECT DISTINCT image_id FROM truth WHERE image_id IN (SELECT image_id FROM images) AND image_id IN (SELECT image_id FROM refs)")
 def _(t):
-    return dataset.work_list(t.truth, t.images.where("width > 1000"), t.refs, t.refs)
+    return dataset.work_list(t.truth, t.images, t.refs, t.refs)
 
 
 @query("U03_distinct_points", ("boxes",), "SELECT DISTINCT image_id, (x1+x2)//2 AS cx, (y1+y2)//2 AS cy FROM boxes")

@@ -256,8 +256,7 @@ def _(t):
     return wiring.close_ports(s.ports, s.links()).select(*LINK)
 
 
-_REV = """, rp AS (SELECT image_id, ci, pi, px, py FROM ports_wiring), rl AS (SELECT r.image_id, r.ci, r.pi, q.px AS jx, q.py AS jy FROM rp r JOIN rp q ON q.image_id=r.image_id AND q.ci=(r.ci+1) AND q.pi=r.pi
-  UNION ALL SELECT r.image_id, r.ci, r.pi, q.px, q.py FROM rp r JOIN rp q ON q.image_id=r.image_id AND q.ci=(r.ci-1) AND q.pi=r.pi WHERE r.image_id%3=0),
+_REV = """, rp AS (SELECT image_id, ci, pi, px, py FROM ports_wiring), rl AS (SELECT r.image_id, r.ci, r.pi, q.px AS jx, q.py AS jy FROM rp r JOIN rp q ON q.image_id=r.image_id AND q.pi=r.pi AND q.ci-r.ci IN (-1, 1, 2)),
  here AS (SELECT image_id, px, py, max(ci*4294967296+pi) AS b FROM rp GROUP BY ALL)
  SELECT DISTINCT l.image_id, l.ci*4294967296+l.pi AS a, h.b FROM rl l JOIN here h ON h.image_id=l.image_id AND h.px=l.jx AND h.py=l.jy JOIN rp a ON a.image_id=l.image_id AND a.ci=l.ci AND a.pi=l.pi
  WHERE EXISTS (SELECT 1 FROM rl k WHERE k.image_id=l.image_id AND k.ci*4294967296+k.pi=h.b AND k.jx=a.px AND k.jy=a.py)"""
@@ -267,9 +266,9 @@ _REV = """, rp AS (SELECT image_id, ci, pi, px, py FROM ports_wiring), rl AS (SE
 def _(t):
     p = cut(t.ports("wiring").select("image_id", "ci", "pi", "px", "py"), "ports")
     q = p.select("image_id", F.col("ci").alias("cj"), "pi", F.col("px").alias("jx"), F.col("py").alias("jy"))
-    fwd = p.withColumn("cj", F.col("ci") + 1).join(q, ["image_id", "cj", "pi"])
-    back = p.where("image_id % 3 = 0").withColumn("cj", F.col("ci") - 1).join(q, ["image_id", "cj", "pi"])
-    links = fwd.unionByName(back).select(*LINK)
+    # both ways between neighbours, one way to the component after
+    step = F.explode(F.array(*[F.col("ci") + k for k in (-1, 1, 2)]))
+    links = p.withColumn("cj", step).join(q, ["image_id", "cj", "pi"]).select(*LINK)
     return wiring.reverse_pairs(links, p)
 
 
