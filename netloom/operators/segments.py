@@ -5,7 +5,7 @@ segments(image_id, seg, x1, y1, x2, y2), ports(image_id, ci, pi, px, py, n_ports
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.functions import geom
 from netloom.lineage import count_all, cut
@@ -14,18 +14,29 @@ from netloom.operators.nearest import nearest
 from netloom.operators.wiring import packed, port_id
 
 
+def ends_of(x1: str, y1: str, x2: str, y2: str) -> Column:
+    return F.array(*[F.struct(F.col(x).alias("ux"), F.col(y).alias("uy")) for x, y in ((x1, y1), (x2, y2))])
+
+
 def drop_repeats(segs: DataFrame, threshold: int = 8) -> DataFrame:
     """Segments without an earlier one, kept or not, whose ends lie closer than `threshold` in sum."""
-    size = F.lit(threshold)
-    ends = F.array(F.struct(F.col("x1").alias("ux"), F.col("y1").alias("uy")), F.struct(F.col("x2").alias("ux"), F.col("y2").alias("uy")))
-    a = spatial.with_near_cells(segs, F.col("x1"), F.col("y1"), size)
-    b = segs.select("image_id", F.col("seg").alias("earlier"), *[F.col(c).alias("e" + c) for c in ("x1", "y1", "x2", "y2")], F.inline(ends))
-    b = spatial.with_cell(b, F.col("ux"), F.col("uy"), size)
+    size, segs = F.lit(threshold), cut(segs, "segments")
+    crowd = spatial.crowded(segs)
+    b = segs.select("image_id", F.col("seg").alias("earlier"), *[F.col(c).alias("e" + c) for c in ("x1", "y1", "x2", "y2")])
     def d(p, q):
         return geom.dist(F.col("x" + p), F.col("y" + p), F.col("ex" + q), F.col("ey" + q))
     close = F.least(d("1", "1") + d("2", "2"), d("1", "2") + d("2", "1")) < threshold
-    hit = a.join(b, ["image_id", *spatial.CELL]).where((F.col("earlier") < F.col("seg")) & close).select("image_id", "seg").distinct()
-    return segs.join(hit, ["image_id", "seg"], "left_anti")
+    repeat = (F.col("earlier") < F.col("seg")) & close
+
+    def by_cell(many):
+        at = spatial.with_cell(b.join(crowd, "image_id", "left_semi").select("*", F.inline(ends_of("ex1", "ey1", "ex2", "ey2"))), F.col("ux"), F.col("uy"), size)
+        hit = spatial.with_near_cells(many, F.col("x1"), F.col("y1"), size).join(at, ["image_id", *spatial.CELL]).where(repeat)
+        return many.join(hit.select("image_id", "seg").distinct(), ["image_id", "seg"], "left_anti")
+
+    def by_image(few):
+        first = b.withColumnRenamed("image_id", "e_image")
+        return few.join(first, (few["image_id"] == first["e_image"]) & repeat, "left_anti")
+    return spatial.split(segs, crowd, by_image, by_cell)
 
 
 def _ends(segs: DataFrame) -> DataFrame:
@@ -52,8 +63,25 @@ def wire_groups(segs: DataFrame, threshold: int = 12) -> DataFrame:
 
     The nodes are square cells so small that any two ends in one are adjacent. A segment ties the cells of its ends;
     cells next to each other are tied if two of their places are adjacent. However many segments meet in a spot, they
-    give one tie each.
+    give one tie each. In pictures with few segments these are the nodes, and pairs of them that are adjacent the edges.
     """
+    own = cut(segs.select("image_id", "seg", "x1", "y1", "x2", "y2"), "segments")
+    crowd = spatial.crowded(own)
+
+    def by_image(few):
+        left = few.select("image_id", F.col("seg").alias("a"), *[F.col(c).alias("a" + c) for c in ("x1", "y1", "x2", "y2")])
+        right = few.select("image_id", F.col("seg").alias("b"), *[F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
+        near = [geom.dist(F.col(f"ax{i}"), F.col(f"ay{i}"), F.col(f"bx{k}"), F.col(f"by{k}")) <= threshold for i in (1, 2) for k in (1, 2)]
+        edges = left.join(right, "image_id").where((F.col("a") < F.col("b")) & (near[0] | near[1] | near[2] | near[3])).select("image_id", "a", "b")
+        comp = graph.connected_components(few.select("image_id", F.col("seg").alias("node")).distinct(), edges)
+        return comp.withColumnsRenamed({"node": "seg", "comp": "g"})
+
+    g = spatial.split(own, crowd, by_image, lambda many: _groups_by_cells(many, threshold))
+    return segs.join(g, ["image_id", "seg"])
+
+
+def _groups_by_cells(segs: DataFrame, threshold: int) -> DataFrame:
+    """(image_id, seg, g) of crowded pictures."""
     side, size = max(1, int(threshold / 2 ** 0.5)), F.lit(max(1, int(threshold / 2 ** 0.5)))
     def at(x, y):
         return packed(spatial.cell(F.col(x), size), spatial.cell(F.col(y), size))
@@ -67,8 +95,7 @@ def wire_groups(segs: DataFrame, threshold: int = 12) -> DataFrame:
     comp = cut(graph.connected_components(own.select("image_id", F.col("a").alias("node")).distinct(), edges), "cells")
     placed = own.select("image_id", "seg", F.col("a").alias("node")).join(comp, ["image_id", "node"])
     least = placed.groupBy("image_id", "comp").agg(F.min("seg").alias("g"))
-    g = placed.join(least, ["image_id", "comp"]).select("image_id", "seg", "g")
-    return segs.join(g, ["image_id", "seg"])
+    return placed.join(least, ["image_id", "comp"]).select("image_id", "seg", "g")
 
 
 def leaf_ends(grouped: DataFrame) -> DataFrame:
@@ -81,10 +108,9 @@ def leaf_ends(grouped: DataFrame) -> DataFrame:
 
 def ports_on_wires(ports: DataFrame, leaves: DataFrame, max_dist: int = 25) -> DataFrame:
     """(image_id, ci, pi, g): wires with a leaf end closer than `max_dist` to the port; all matches."""
-    size = F.lit(max_dist)
-    a = spatial.with_near_cells(ports.select("image_id", "ci", "pi", "px", "py"), F.col("px"), F.col("py"), size)
-    b = spatial.with_cell(leaves, F.col("ex"), F.col("ey"), size)
-    return a.join(b, ["image_id", *spatial.CELL]).where(
+    size, ports, leaves = F.lit(max_dist), cut(ports.select("image_id", "ci", "pi", "px", "py"), "ports"), cut(leaves, "leaves")
+    return spatial.met(ports, leaves, spatial.crowded(ports, leaves), lambda a: spatial.with_near_cells(a, F.col("px"), F.col("py"), size),
+                       lambda b: spatial.with_cell(b, F.col("ex"), F.col("ey"), size)).where(
         geom.dist(F.col("px"), F.col("py"), F.col("ex"), F.col("ey")) < max_dist).select("image_id", "ci", "pi", "g").distinct()
 
 
@@ -101,11 +127,11 @@ def merge_wires(on_wire: DataFrame) -> DataFrame:
 def proximity(ports: DataFrame, reach: int = 35) -> DataFrame:
     """(image_id, ci, pi, cj, pj, d): ports of different components closer than `reach`."""
     size = F.lit(reach)
-    a = spatial.with_cell(ports.select("image_id", "ci", "pi", "px", "py"), F.col("px"), F.col("py"), size)
-    b = spatial.with_near_cells(ports.select("image_id", F.col("ci").alias("cj"), F.col("pi").alias("pj"), F.col("px").alias("qx"), F.col("py").alias("qy")),
-                                F.col("qx"), F.col("qy"), size)
+    a = cut(ports.select("image_id", "ci", "pi", "px", "py"), "ports")
+    b = a.select("image_id", F.col("ci").alias("cj"), F.col("pi").alias("pj"), F.col("px").alias("qx"), F.col("py").alias("qy"))
     d = geom.dist(F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
-    return a.join(b, ["image_id", *spatial.CELL]).where(F.col("ci") < F.col("cj")).withColumn("d", d).where(F.col("d") < reach).select(
+    pairs = spatial.met(a, b, spatial.crowded(a), lambda a: spatial.with_cell(a, F.col("px"), F.col("py"), size), lambda b: spatial.with_near_cells(b, F.col("qx"), F.col("qy"), size))
+    return pairs.where(F.col("ci") < F.col("cj")).withColumn("d", d).where(F.col("d") < reach).select(
         "image_id", "ci", "pi", "cj", "pj", "d")
 
 
@@ -119,10 +145,15 @@ def nearest_on_wire(ports: DataFrame, merged: DataFrame) -> DataFrame:
     joint = merged.groupBy("image_id", "m").agg((F.min("ci") != F.max("ci")).alias("ok")).where("ok").select("image_id", "m")
     at = cut(merged.join(joint, ["image_id", "m"]).join(ports.select("image_id", "ci", "pi", "px", "py"), ["image_id", "ci", "pi"])
              .withColumn("p", port_id()), "at")
+    crowd = spatial.crowded(at)
     left = at.select("image_id", "m", "p", "ci", F.col("first").alias("lf"), F.col("px").alias("lx"), F.col("py").alias("ly"))
     right = at.select("image_id", "m", F.col("p").alias("q"), F.col("ci").alias("cq"), F.col("first").alias("rf"), F.col("px").alias("rx"), F.col("py").alias("ry"))
     # the tie is the pair in list order: which of both comes first depends on the partner
-    best = nearest(left, right, ["image_id", "m"], ["p", "lf"], ["rf", "q"], geom.dist, owners=("ci", "cq"))
+    def by_image(few):
+        d = geom.dist(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")).alias("d")
+        return few.join(right, ["image_id", "m"]).where(F.col("ci") != F.col("cq")).groupBy("image_id", "m", "p", "lf").agg(F.min(F.struct(d, "rf", "q")).alias("best"))
+    best = spatial.split(left, crowd, by_image, lambda many: nearest(
+        many, right.join(crowd, "image_id", "left_semi"), ["image_id", "m"], ["p", "lf"], ["rf", "q"], geom.dist, owners=("ci", "cq")))
     here, there = F.struct(F.col("lf").alias("f"), F.col("p").alias("n")), F.struct(F.col("best.rf").alias("f"), F.col("best.q").alias("n"))
     return best.select("image_id", "p", F.col("best.q").alias("q"), F.struct(
         F.col("best.d").alias("d"), F.lit(0).alias("src"), F.col("m"), F.least(here, there).alias("u"), F.greatest(here, there).alias("v")).alias("ord"))

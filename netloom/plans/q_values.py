@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netloom import session
 from netloom.functions import dims, geom
 from netloom.lineage import cut
-from netloom.operators import detect, lines, segments, values, wiring
+from netloom.operators import detect, lines, segments, spatial, values, wiring
 from netloom.plans import sqlgeo as g
 from netloom.plans.q_metrics import _VARIANTS, _fits_sql
 from netloom.plans.registry import query
@@ -199,6 +200,7 @@ def _sp(t):
 
 
 def _on(t, ports):
+    session.by_image(t.spark, spatial.crowded(ports) is None)
     return cut(segments.ports_on_wires(ports, segments.leaf_ends(segments.wire_groups(t.segments))), "on")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.lineage import cut
-from netloom.operators import graph, spatial, wiring
+from netloom.operators import graph, segments, spatial, wiring
 
 
 def drawn(spark):
@@ -60,3 +60,21 @@ def test_components_by_one_pass_and_by_rounds(spark, monkeypatch, limit):
     edges = spark.createDataFrame([(1, 3, 9), (1, 9, 5), (1, 5, 4), (2, 11, 10), (2, 10, 2), (2, 8, 7), (2, 7, 6), (2, 6, 2), (2, 1, 0), (2, 0, 3)], "image_id bigint, a bigint, b bigint")
     got = {(r[0], r[1]): r[2] for r in graph.connected_components(nodes, edges).collect()}
     assert got == {(1, n): 3 if n in (3, 4, 5, 9) else n for n in range(12)} | {(2, n): 2 if n in (2, 6, 7, 8, 10, 11) else 0 if n in (0, 1, 3) else n for n in range(12)}
+
+
+def test_segments_both_ways_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    segs = spark.createDataFrame([(k, i, rng.randrange(120), rng.randrange(120), rng.randrange(120), rng.randrange(120)) for k in (1, 2) for i in range(18)],
+                                 "image_id bigint, seg bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    ports = spark.createDataFrame([(k, i // 2, i % 2, rng.randrange(120), rng.randrange(120), 2, "R") for k in (1, 2) for i in range(16)],
+                                  "image_id bigint, ci bigint, pi int, px bigint, py bigint, n_ports int, name string")
+
+    def made():
+        grouped = cut(segments.wire_groups(segs))
+        on = cut(segments.ports_on_wires(ports, segments.leaf_ends(grouped)))
+        tables = [segments.drop_repeats(segs, 60), grouped, on, segments.proximity(ports), segments.nearest_on_wire(ports, cut(segments.merge_wires(on)))]
+        return [sorted(map(str, t.select(sorted(t.columns)).collect())) for t in tables]
+    few = made()
+    assert all(few)
+    monkeypatch.setattr(spatial, "FEW", 3)
+    assert made() == few
