@@ -36,8 +36,10 @@ CIRCUIT = ("name string, expected_function string, components array<struct<id:st
 
 def circuit_replies(replies: DataFrame) -> DataFrame:
     """Adds `ok` and `circuit` for replies that describe a circuit; `reject` names the first required field that is missing."""
-    out = with_json(replies).withColumn("ok", F.try_parse_json("json").isNotNull() & F.col("json").rlike(r"^\s*\{"))
-    out = out.withColumn("circuit", F.when(F.col("ok"), F.from_json("json", CIRCUIT)))
+    # rows of a generator are made once; as plain columns both would be worked out again for each field that a filter asks for
+    out = with_json(replies).withColumn("json", F.explode(F.array("json")))
+    out = out.withColumn("ok", F.try_parse_json("json").isNotNull() & F.col("json").rlike(r"^\s*\{"))
+    out = out.withColumn("circuit", F.explode(F.array(F.when(F.col("ok"), F.from_json("json", CIRCUIT)))))
     required = [F.when(F.col(f"circuit.{n}").isNull(), n) for n in ("name", "expected_function", "components", "connections")]
     return out.withColumn("reject", F.when(~F.coalesce("ok", F.lit(False)), "json").otherwise(F.coalesce(*required)))
 

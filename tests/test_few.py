@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.lineage import cut
-from netloom.operators import graph, segments, spatial, wiring
+from netloom.operators import graph, replies, segments, spatial, wiring
 
 
 def drawn(spark):
@@ -78,3 +78,13 @@ def test_segments_both_ways_agree(spark, monkeypatch):
     assert all(few)
     monkeypatch.setattr(spatial, "FEW", 3)
     assert made() == few
+
+
+def test_circuit_replies_are_parsed_once(spark):
+    good = '{"name": "a", "expected_function": "f", "components": [{"id": "R1"}], "connections": [{"from_node": "A", "to_node": "B", "via": "R1"}]}'
+    rows = spark.createDataFrame([(1, good), (2, "no json"), (3, None), (4, '{"name": "a"}')], "circuit_id bigint, response string")
+    parsed = replies.circuit_replies(rows)
+    links = replies.circuit_links(parsed)
+    assert [tuple(r) for r in links.collect()] == [(1, 0, "A", "B", "R1")]
+    assert {r.circuit_id: r.reject for r in parsed.collect()} == {1: None, 2: "json", 3: "json", 4: "expected_function"}
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
