@@ -30,3 +30,8 @@ def test_equal_settings_are_wired_once(spark, monkeypatch):
     rows = experiments.run(ready, ready["comps"], named, ports, t.images, truth)
     assert wiring.in_effect(dims.ABLATIONS["Ours"]) == wiring.in_effect(dims.ABLATIONS["w/o_Sobel"]) != wiring.in_effect(dims.ABLATIONS["Baseline"])
     assert len(calls) == 2 and {r.config for r in rows.select("config").distinct().collect()} == {"Ours", "Baseline", "w/o_Sobel"}
+
+
+def test_the_report_reads_written_tables(spark):
+    report = q_wiring.whole_run(Tables(spark, "/root/testdata/sf0.001"))["report"]
+    assert joins(report) <= 4  # three titles, and the pictures without groups
