@@ -360,7 +360,8 @@ def prepared(t):
         comps = detect.reindex(detect.suppress(comps, detect.family_conflicts(comps, "wiring")), t.image_guard)
         comps = cut(detect.fix_sources(comps.drop("idx").withColumnRenamed("new_idx", "idx")), "comps")
         ports = detect.place_ports(comps, "wiring").withColumnRenamed("idx", "ci").select("image_id", "ci", "pi", "px", "py", "n_ports", "name")
-        raw = detect.with_centre(detect.route_boxes(t.boxes).where("route = 'junction'")).select("image_id", F.col("cx").alias("jx"), F.col("cy").alias("jy"))
+        raw = cut(detect.with_centre(detect.route_boxes(t.boxes).where("route = 'junction'")).select("image_id", F.col("cx").alias("jx"), F.col("cy").alias("jy")), "raw")
+        session.by_image(t.spark, spatial.crowded(comps, ports, raw) is None)
         _prepared[key] = wiring.prepare(comps, ports, raw, detect.thresholds(t.images)) | {"comps": comps}
     made = _prepared[key]
     session.by_image(t.spark, spatial.crowded(made["comps"], made["ports"], made["junctions"]) is None)

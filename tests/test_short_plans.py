@@ -35,3 +35,17 @@ def test_equal_settings_are_wired_once(spark, monkeypatch):
 def test_the_report_reads_written_tables(spark):
     report = q_wiring.whole_run(Tables(spark, "/root/testdata/sf0.001"))["report"]
     assert joins(report) <= 4  # three titles, and the pictures without groups
+
+
+def test_small_pictures_stay_together_from_the_first_step(spark, monkeypatch):
+    """Whether pictures are crowded is settled before the run is prepared, not after it."""
+    name, seen = "spark.sql.requireAllClusterKeysForCoPartition", []
+
+    def prepare(comps, ports, raw, limits):
+        seen.append(spark.conf.get(name))
+        return {"ports": ports, "junctions": raw}
+    monkeypatch.setattr(q_wiring, "_prepared", {})
+    monkeypatch.setattr(wiring, "prepare", prepare)
+    spark.conf.set(name, "true")
+    q_wiring.prepared(Tables(spark, "/root/testdata/sf0.001"))
+    assert seen == ["false"]
