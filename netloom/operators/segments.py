@@ -5,7 +5,9 @@ segments(image_id, seg, x1, y1, x2, y2), ports(image_id, ci, pi, px, py, n_ports
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from netloom.functions import geom
 from netloom.lineage import count_all, cut
@@ -63,21 +65,54 @@ def wire_groups(segs: DataFrame, threshold: int = 12) -> DataFrame:
 
     The nodes are square cells so small that any two ends in one are adjacent. A segment ties the cells of its ends;
     cells next to each other are tied if two of their places are adjacent. However many segments meet in a spot, they
-    give one tie each. In pictures with few segments these are the nodes, and pairs of them that are adjacent the edges.
+    give one tie each. In pictures with few segments these are the nodes, and pairs of them that are adjacent the edges;
+    they meet in one list for each picture, so no pair is shuffled and `segs` is read once.
     """
-    own = cut(segs.select("image_id", "seg", "x1", "y1", "x2", "y2"), "segments")
-    crowd = spatial.crowded(own)
-
-    def by_image(few):
-        left = few.select("image_id", F.col("seg").alias("a"), *[F.col(c).alias("a" + c) for c in ("x1", "y1", "x2", "y2")])
-        right = few.select("image_id", F.col("seg").alias("b"), *[F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")])
-        near = [geom.dist(F.col(f"ax{i}"), F.col(f"ay{i}"), F.col(f"bx{k}"), F.col(f"by{k}")) <= threshold for i in (1, 2) for k in (1, 2)]
-        edges = left.join(right, "image_id").where((F.col("a") < F.col("b")) & (near[0] | near[1] | near[2] | near[3])).select("image_id", "a", "b")
-        comp = graph.connected_components(few.select("image_id", F.col("seg").alias("node")).distinct(), edges)
-        return comp.withColumnsRenamed({"node": "seg", "comp": "g"})
-
-    g = spatial.split(own, crowd, by_image, lambda many: _groups_by_cells(many, threshold))
-    return segs.join(g, ["image_id", "seg"])
+    crowd = spatial.crowded(segs)
+    if crowd is None:
+        return spatial.settled(_groups_by_image(segs, threshold), segs)
+    own = cut(segs.join(crowd, "image_id", "left_semi").select("image_id", "seg", "x1", "y1", "x2", "y2"), "segments")
+    many = segs.join(_groups_by_cells(own, threshold), ["image_id", "seg"])
+    return spatial.settled(_groups_by_image(segs.join(crowd, "image_id", "left_anti"), threshold).unionByName(many), segs)
+
+
+PAIRS = 4_000_000  # pairs of segments that are looked at together
+
+
+def _groups_by_image(segs: DataFrame, threshold: int) -> DataFrame:
+    """segments with `g`, from one list for each picture."""
+    rest = [c for c in segs.columns if c not in ("image_id", "seg")]
+    lists = segs.where("image_id is not null").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("seg", *rest))).alias("s"))
+    found = lists.withColumn("g", _wires_of_lists(threshold)(*[F.col(f"s.{c}") for c in ("seg", "x1", "y1", "x2", "y2")]))
+    rows = found.select("image_id", F.inline(F.zip_with("s", "g", lambda s, g: F.struct(s.alias("s"), g.alias("g")))))
+    return rows.select("image_id", *[F.col(f"s.{c}") for c in segs.columns if c != "image_id"], "g")
+
+
+def _wires_of_lists(threshold: int):
+    most = PAIRS
+
+    def wires(seg: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+        (row, own), places = graph.flat(seg), [graph.flat(c)[1] for c in (x1, y1, x2, y2)]
+        after = np.searchsorted(row, row, "right") - np.arange(len(row)) - 1  # later segments of the same picture
+        a, b, done, sums = [], [], 0, np.cumsum(after)
+        while done < len(row):
+            till = max(done + 1, int(np.searchsorted(sums, (sums[done - 1] if done else 0) + most, "right")))
+            n = after[done:till]
+            u = np.repeat(np.arange(done, till), n)
+            v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+            near = own[u] == own[v]
+            for x, y in (places[:2], places[2:]):
+                for fx, fy in (places[:2], places[2:]):
+                    dx, dy = x[u] - fx[v], y[u] - fy[v]
+                    near |= np.sqrt((dx * dx + dy * dy).astype(np.float64)) <= threshold
+            a.append(u[near])
+            b.append(v[near])
+            done = till
+        none = np.zeros(0, np.int64)
+        label = graph.least_labels(len(row), np.concatenate([none, *a]), np.concatenate([none, *b]))
+        return graph.lists_like(seg, own[label])
+
+    return F.arrow_udf(wires, T.ArrayType(T.LongType()))
 
 
 def _groups_by_cells(segs: DataFrame, threshold: int) -> DataFrame:
@@ -102,26 +137,46 @@ def leaf_ends(grouped: DataFrame) -> DataFrame:
     """(image_id, g, ex, ey): ends whose place on a three-pixel grid occurs once in the wire."""
     def grid(c):
         return (F.bround(F.col(c) / 3.0) * 3).cast("bigint")
-    return (_ends(grouped).groupBy("image_id", "g", grid("ex").alias("rx"), grid("ey").alias("ry"))
-            .agg(count_all().alias("n"), F.min("ex").alias("ex"), F.min("ey").alias("ey")).where("n = 1").select("image_id", "g", "ex", "ey"))
+    few = spatial.is_settled(grouped) and spatial.crowded(grouped) is None
+    leaves = (_ends(spatial.laid(grouped, None) if few else grouped).groupBy("image_id", "g", grid("ex").alias("rx"), grid("ey").alias("ry"))
+              .agg(count_all().alias("n"), F.min("ex").alias("ex"), F.min("ey").alias("ey")).where("n = 1").select("image_id", "g", "ex", "ey"))
+    return spatial.settled(leaves, grouped)
 
 
 def ports_on_wires(ports: DataFrame, leaves: DataFrame, max_dist: int = 25) -> DataFrame:
     """(image_id, ci, pi, g): wires with a leaf end closer than `max_dist` to the port; all matches."""
-    size, ports, leaves = F.lit(max_dist), cut(ports.select("image_id", "ci", "pi", "px", "py"), "ports"), cut(leaves, "leaves")
-    return spatial.met(ports, leaves, spatial.crowded(ports, leaves), lambda a: spatial.with_near_cells(a, F.col("px"), F.col("py"), size),
+    size, leaves = F.lit(max_dist), spatial.counted(leaves, "leaves")
+    ports = spatial.counted(spatial.settled(ports.select("image_id", "ci", "pi", "px", "py"), ports), "ports")
+    found = spatial.met(ports, leaves, spatial.crowded(ports, leaves), lambda a: spatial.with_near_cells(a, F.col("px"), F.col("py"), size),
                        lambda b: spatial.with_cell(b, F.col("ex"), F.col("ey"), size)).where(
         geom.dist(F.col("px"), F.col("py"), F.col("ex"), F.col("ey")) < max_dist).select("image_id", "ci", "pi", "g").distinct()
+    return spatial.settled(found, ports, leaves)
 
 
 def merge_wires(on_wire: DataFrame) -> DataFrame:
     """(image_id, ci, pi, m, first): ports with their merged wire; wires that are the last match of ports of
     one component become one. `first` is the first wire of the port inside the merged one."""
+    on_wire = spatial.counted(on_wire, "on")
+    merged = spatial.split(on_wire, spatial.crowded(on_wire), _merged_by_image, _merged_by_ties)
+    return spatial.settled(merged.groupBy("image_id", "ci", "pi", "m").agg(F.min("g").alias("first")), on_wire)
+
+
+def _merged_by_image(on_wire: DataFrame) -> DataFrame:
+    """(image_id, ci, pi, g, m), from one list for each picture."""
+    own = on_wire.where("image_id is not null").withColumn("own", F.max("g").over(W.partitionBy("image_id", "ci", "pi")))
+    led = own.withColumn("lead", F.min("own").over(W.partitionBy("image_id", "ci")))
+    lists = led.groupBy("image_id").agg(F.collect_list(F.struct("ci", "pi", "g", "lead", "own")).alias("s"))
+    found = lists.withColumn("m", graph.components_in_lists(F.col("s.g"), F.col("s.lead"), F.col("s.own")))
+    rows = found.select("image_id", F.inline(F.zip_with("s", "m", lambda s, m: F.struct(s.alias("s"), m.alias("m")))))
+    return spatial.laid(rows.select("image_id", "s.ci", "s.pi", "s.g", "m"), None)
+
+
+def _merged_by_ties(on_wire: DataFrame) -> DataFrame:
     own = on_wire.groupBy("image_id", "ci", "pi").agg(F.max("g").alias("own"))
     lead = own.groupBy("image_id", "ci").agg(F.min("own").alias("a"))
     edges = own.join(lead, ["image_id", "ci"]).select("image_id", "a", F.col("own").alias("b")).where("a <> b").distinct()
     comp = graph.connected_components(on_wire.select("image_id", F.col("g").alias("node")).distinct(), edges)
-    return on_wire.join(comp.withColumnsRenamed({"node": "g", "comp": "m"}), ["image_id", "g"]).groupBy("image_id", "ci", "pi", "m").agg(F.min("g").alias("first"))
+    return on_wire.join(comp.withColumnsRenamed({"node": "g", "comp": "m"}), ["image_id", "g"]).select("image_id", "ci", "pi", "g", "m")
 
 
 def proximity(ports: DataFrame, reach: int = 35) -> DataFrame:
@@ -142,10 +197,15 @@ def nearest_on_wire(ports: DataFrame, merged: DataFrame) -> DataFrame:
     first connection of a port can give it a node, so the other pairs of a wire are never formed.
     """
     # a wire of one component offers no partner; without those the search below always ends early
-    joint = merged.groupBy("image_id", "m").agg((F.min("ci") != F.max("ci")).alias("ok")).where("ok").select("image_id", "m")
-    at = cut(merged.join(joint, ["image_id", "m"]).join(ports.select("image_id", "ci", "pi", "px", "py"), ["image_id", "ci", "pi"])
+    if spatial.is_settled(merged) and spatial.crowded(merged) is None:
+        wire = W.partitionBy("image_id", "m")
+        joint = merged.withColumn("ok", F.min("ci").over(wire) != F.max("ci").over(wire)).where("ok").drop("ok")
+    else:
+        joint = merged.join(merged.groupBy("image_id", "m").agg((F.min("ci") != F.max("ci")).alias("ok")).where("ok").select("image_id", "m"), ["image_id", "m"])
+    at = cut(joint.join(ports.select("image_id", "ci", "pi", "px", "py"), ["image_id", "ci", "pi"])
              .withColumn("p", port_id()), "at")
     crowd = spatial.crowded(at)
+    at = spatial.laid(at, crowd)
     left = at.select("image_id", "m", "p", "ci", F.col("first").alias("lf"), F.col("px").alias("lx"), F.col("py").alias("ly"))
     right = at.select("image_id", "m", F.col("p").alias("q"), F.col("ci").alias("cq"), F.col("first").alias("rf"), F.col("px").alias("rx"), F.col("py").alias("ry"))
     # the tie is the pair in list order: which of both comes first depends on the partner

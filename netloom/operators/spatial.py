@@ -34,6 +34,23 @@ def crowded(*tables: DataFrame) -> DataFrame | None:
     return reduce(DataFrame.unionByName, found).distinct() if found else None
 
 
+def settled(df: DataFrame, *of: DataFrame) -> DataFrame:
+    """`df`, whose images are crowded where those of the tables it was made of are; nothing where these were not counted."""
+    if all(is_settled(o) for o in of):
+        _crowds[df] = (FEW, crowded(*of))
+    return df
+
+
+def is_settled(df: DataFrame) -> bool:
+    found = _crowds.get(df)
+    return found is not None and found[0] == FEW
+
+
+def counted(df: DataFrame, label: str) -> DataFrame:
+    """`df`, written first if its images still have to be counted or some are crowded."""
+    return df if is_settled(df) and _crowd(df) is None else cut(df, label)
+
+
 def split(df: DataFrame, crowd: DataFrame | None, few: Callable, many: Callable) -> DataFrame:
     """`few` over the rows of images that are not crowded, `many` over the others."""
     if crowd is None:

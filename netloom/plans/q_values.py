@@ -196,12 +196,13 @@ _SP = """, sp AS (SELECT image_id, ci, pi, px%90 AS px, py%90 AS py, n_ports, na
 
 
 def _sp(t):
-    return cut(t.ports("wiring").select("image_id", "ci", "pi", (F.col("px") % 90).alias("px"), (F.col("py") % 90).alias("py"), "n_ports", "name"), "sp")
+    ports = t.ports("wiring").select("image_id", "ci", "pi", (F.col("px") % 90).alias("px"), (F.col("py") % 90).alias("py"), "n_ports", "name")
+    return ports if spatial.crowded(ports) is None else cut(ports, "sp")
 
 
 def _on(t, ports):
-    session.by_image(t.spark, spatial.crowded(ports) is None)
-    return cut(segments.ports_on_wires(ports, segments.leaf_ends(segments.wire_groups(t.segments))), "on")
+    session.by_image(t.spark, spatial.crowded(ports, t.segments) is None)
+    return segments.ports_on_wires(ports, segments.leaf_ends(segments.wire_groups(t.segments)))
 
 
 @query("J12_ports_on_wires", ("segments", "ports_wiring"), _WG + _SP + " SELECT image_id, ci, pi, g FROM onw", recursive=True)

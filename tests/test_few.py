@@ -80,6 +80,53 @@ def test_segments_both_ways_agree(spark, monkeypatch):
     assert made() == few
 
 
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_wires_of_small_pictures_are_shuffled_by_picture_only(spark):
+    rng = random.Random(5)
+    segs = cut(spark.createDataFrame([(k, i, *[rng.randrange(120) for _ in range(4)]) for k in (1, 2) for i in range(9)],
+                                     "image_id bigint, seg bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint"))
+    ports = cut(spark.createDataFrame([(k, i // 2, i % 2, rng.randrange(120), rng.randrange(120)) for k in (1, 2) for i in range(8)],
+                                      "image_id bigint, ci bigint, pi int, px bigint, py bigint"))
+    assert spatial.crowded(segs, ports) is None
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grouped = segments.wire_groups(segs)
+        assert exchanges(grouped) == 1
+        on = segments.ports_on_wires(ports, segments.leaf_ends(grouped))
+        assert exchanges(on) <= 3  # segments, their leaves, ports
+        assert exchanges(segments.merge_wires(on)) <= 4
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_components_in_lists(spark):
+    rows = spark.createDataFrame([(1, [5, 9, 4, 7, 5], [9, 5], [5, 4]), (2, [3, 1], [], []), (3, [], [], []), (4, [1 << 60, (1 << 60) + 1, 0], [1 << 60], [(1 << 60) + 1])],
+                                 "k int, n array<bigint>, a array<bigint>, b array<bigint>")
+    got = {r.k: r.c for r in rows.select("k", graph.components_in_lists(F.col("n"), F.col("a"), F.col("b")).alias("c")).collect()}
+    assert got == {1: [4, 4, 4, 7, 4], 2: [3, 1], 3: [], 4: [1 << 60, 1 << 60, 0]}
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 4_000_000])
+def test_wires_do_not_depend_on_the_slices(spark, monkeypatch, pairs):
+    rng = random.Random(11)
+    rows = [(k, i, *[rng.randrange(90) for _ in range(4)]) for k in range(6) for i in range(rng.randrange(1, 14))]
+    near = lambda p, q: any(((p[i] - q[k]) ** 2 + (p[i + 1] - q[k + 1]) ** 2) ** .5 <= 12 for i in (2, 4) for k in (2, 4))
+    want = {r[:2]: r[1] for r in rows}
+    for _ in rows:
+        for p in rows:
+            for q in rows:
+                if p[0] == q[0] and near(p, q):
+                    want[p[:2]] = min(want[p[:2]], want[q[:2]])
+    monkeypatch.setattr(segments, "PAIRS", pairs)
+    segs = spark.createDataFrame(rows, "image_id bigint, seg bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    assert {(r.image_id, r.seg): r.g for r in segments.wire_groups(segs).collect()} == want
+
+
 def test_circuit_replies_are_parsed_once(spark):
     good = '{"name": "a", "expected_function": "f", "components": [{"id": "R1"}], "connections": [{"from_node": "A", "to_node": "B", "via": "R1"}]}'
     rows = spark.createDataFrame([(1, good), (2, "no json"), (3, None), (4, '{"name": "a"}')], "circuit_id bigint, response string")
