@@ -14,10 +14,15 @@ from netloom.sources import files, readers, sinks
 from netloom.streaming import jobs
 
 
+def _write_suppliers(t, line, path: str) -> None:
+    """A file for each supplier, all in one folder: a folder for each would be made, renamed and listed by the driver alone."""
+    files.write_named(t.read("supplier").select(F.format_string("s_suppkey=%d.txt", "s_suppkey").alias("name"), line.alias("line")), [], path)
+
+
 @query("S01_descriptions", (), "SELECT s_suppkey AS circuit, '电路描述：'||s_name||chr(10) AS description FROM supplier")
 def _(t):
     path = scratch_path(t.spark, "descriptions")
-    t.read("supplier").select("s_suppkey", F.concat(F.lit("电路描述："), "s_name").alias("value")).write.partitionBy("s_suppkey").text(path)
+    _write_suppliers(t, F.concat(F.lit("电路描述："), "s_name"), path)
     out = readers.descriptions(t.spark, path)
     return out.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("circuit"), "description")
 
@@ -83,7 +88,7 @@ def _(t):
 @query("S07_listing", (), "SELECT s_suppkey AS k FROM supplier")
 def _(t):
     path = scratch_path(t.spark, "listing")
-    t.read("supplier").select("s_suppkey", F.col("s_name").alias("value")).write.partitionBy("s_suppkey").text(path)
+    _write_suppliers(t, F.col("s_name"), path)
     out = readers.listing(t.spark, path, "*.txt")
     return out.select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("k"))
 

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from netloom.plans import catalog, q_sources
 from netloom.sources import files, readers, sinks
 
 
@@ -49,3 +50,11 @@ def test_manifest_or_listing(spark, tmp_path):
     assert sorted(r.file for r in readers.picture_names(spark, str(tmp_path)).collect()) == ["a.png", "b.JPG", "d.jpeg"]
     (tmp_path / "manifest.txt").write_text("z.png\td1\t3\tZ\n\n y.png \td2\t4\tY\n")
     assert sorted(r.file for r in readers.picture_names(spark, str(tmp_path)).collect()) == ["y.png", "z.png"]
+
+
+@pytest.mark.parametrize("name", ["S01_descriptions", "S07_listing"])
+def test_supplier_files_share_one_folder(spark, monkeypatch, tmp_path, name):
+    """No folder is made for each file, which the driver would rename and list one by one."""
+    monkeypatch.setattr(q_sources, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    n = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert n > 1 and [p for p in tmp_path.glob("*/*") if p.is_dir()] == [] and len(list(tmp_path.glob("*/s_suppkey=*.txt"))) == n
