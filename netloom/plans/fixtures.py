@@ -21,6 +21,7 @@ SUFFIXES = ("k", "V", "R7", "H", "Ω", "uF", "A5", "")
 VALUES = ("Ω", "kΩ", "MΩ", "μF", "V", "", "k", "vf=2.1")
 
 _guards: dict[tuple, ranks.SkewGuard] = {}
+_lines: dict[tuple, int] = {}
 
 
 def _pick(values: tuple, index) -> "F.Column":
@@ -60,8 +61,17 @@ class Tables:
     def image_guard(self) -> ranks.SkewGuard:
         return self.guard.renamed("image_id")
 
+    @property
+    def lines(self) -> int:
+        """Rows of lineitem, counted once per folder and session."""
+        key = (self.spark.sparkContext.applicationId, self.folder, self.version)
+        if key not in _lines:
+            _lines[key] = self.read("lineitem").count()
+        return _lines[key]
+
     @cached_property
     def base(self) -> DataFrame:
+        session.deal(self.spark, self.lines)
         return ranks.row_number(self.read("lineitem"), ["l_orderkey"],
                                 ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "idx",
                                 start=0, guard=self.guard)

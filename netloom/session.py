@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 PACKED = 10.0
+TASK_ROWS, TASK_BYTES = 100_000, 4 << 20  # rows of a table that one task has, and bytes that it reads from shuffles
 
 
 def settle(spark: SparkSession) -> None:
@@ -14,6 +15,17 @@ def settle(spark: SparkSession) -> None:
         spark.conf.set(name, str(PACKED))
 
 
+def deal(spark: SparkSession, rows: int) -> None:
+    """Shuffles for tables that come from so many rows: what follows a shuffle sorts and joins its rows several times, so a
+    task holds a bounded part of them, however large the tables are. Settings that deal finer stay."""
+    parts, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    least = -(-rows // TASK_ROWS)
+    if int(spark.conf.get(parts, None) or spark.conf.get("spark.sql.shuffle.partitions")) < least:
+        spark.conf.set(parts, str(least))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > TASK_BYTES:
+        spark.conf.set(size, str(TASK_BYTES))
+
+
 def by_image(spark: SparkSession, on: bool) -> None:
     """Whether joins by image and more may use rows that are shuffled by image; not where images are crowded."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", str(not on).lower())
