@@ -64,40 +64,17 @@ def same_position(a, b, tol: int = 10) -> Column:
     return _all(*[F.abs(p - q) < tol for p, q in zip(a, b)])
 
 
-def _between(v, p, q) -> Column:
-    return (F.least(p, q) <= v) & (v <= F.greatest(p, q))
-
-
-def _turn(ax, ay, bx, by, cx, cy) -> Column:
-    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-
-
-def segments_meet(s, t) -> Column:
-    """Proper crossing, or an end that is collinear with the other segment and inside its bounds."""
-    d1, d2 = _turn(*s, t[0], t[1]), _turn(*s, t[2], t[3])
-    d3, d4 = _turn(*t, s[0], s[1]), _turn(*t, s[2], s[3])
-
-    def opposite(a, b):
-        return ((a > 0) & (b < 0)) | ((a < 0) & (b > 0))
-
-    def on(d, seg, px, py):
-        return (d == 0) & _between(px, seg[0], seg[2]) & _between(py, seg[1], seg[3])
-
-    return ((opposite(d1, d2) & opposite(d3, d4)) | on(d1, s, t[0], t[1]) | on(d2, s, t[2], t[3])
-            | on(d3, t, s[0], s[1]) | on(d4, t, s[2], s[3]))
-
-
 def segment_meets_box(s, r) -> Column:
-    """Segment against a rectangle, the bounding-box test first."""
+    """Segment against a rectangle: their bounds meet, and the corners do not all lie on one side of the segment's line.
+
+    The few terms keep the joins that test it in methods small enough for the compiler of the JVM.
+    """
     near = ((F.greatest(s[0], s[2]) >= r[0]) & (F.least(s[0], s[2]) <= r[2])
             & (F.greatest(s[1], s[3]) >= r[1]) & (F.least(s[1], s[3]) <= r[3]))
-    inside = ((s[0].between(r[0], r[2]) & s[1].between(r[1], r[3]))
-              | (s[2].between(r[0], r[2]) & s[3].between(r[1], r[3])))
-    sides = [(r[0], r[1], r[2], r[1]), (r[2], r[1], r[2], r[3]), (r[2], r[3], r[0], r[3]), (r[0], r[3], r[0], r[1])]
-    hit = inside
-    for side in sides:
-        hit = hit | segments_meet(s, side)
-    return near & hit
+    dx, dy = s[2] - s[0], s[3] - s[1]
+    rise, run = [dx * (r[i] - s[1]) for i in (1, 3)], [dy * (r[i] - s[0]) for i in (0, 2)]
+    # the least and the greatest turn from the segment to a corner
+    return near & (F.least(*rise) <= F.greatest(*run)) & (F.greatest(*rise) >= F.least(*run))
 
 
 def grow(r, by: int):

@@ -155,10 +155,7 @@ def _unmet(rows: DataFrame, comps: DataFrame, own: Column, legs: list[tuple], wa
     """Rows none of whose legs meets a grown box of their picture, but for that of component `own`."""
     boxes, zone = _grown(comps).withColumnRenamed("image_id", "z_image"), tuple(F.col(n) for n in ZONE)
     for leg in legs:
-        x1, y1, x2, y2 = s = tuple(F.col(n) for n in leg)
-        # the box about the leg is looked at first, since few boxes touch it
-        about = (F.least(x1, x2) <= zone[2]) & (F.greatest(x1, x2) >= zone[0]) & (F.least(y1, y2) <= zone[3]) & (F.greatest(y1, y2) >= zone[1])
-        hit = (own != F.col("z")) & about & geom.segment_meets_box(s, zone)
+        hit = (own != F.col("z")) & geom.segment_meets_box(tuple(F.col(n) for n in leg), zone)
         rows = rows.join(boxes, (rows["image_id"] == boxes["z_image"]) & (hit if waived is None else hit & ~waived), "left_anti")
     return rows
 
