@@ -149,12 +149,12 @@ def _prefixed(df: DataFrame, p: str) -> DataFrame:
 def overlap_pairs(left: DataFrame, right: DataFrame, same: bool = False, extra: Column | None = None) -> DataFrame:
     """Overlapping boxes of two tables of a picture; columns prefixed l_ and r_.
 
-    Pairs meet in the cells both touch and are kept in the first such cell only, so none repeats.
+    Pairs meet in the cells both touch and are kept in the first such cell only, so none repeats. Small pictures, if they
+    have been counted, meet by picture.
     """
     size = F.lit(CELL_SIZE)
     la, rb = geom.box("l_"), geom.box("r_")
-    a = spatial.with_cells(_prefixed(left, "l_"), *la, size)
-    z = spatial.with_cells(_prefixed(right, "r_"), *rb, size)
+    a, z = _prefixed(left, "l_"), _prefixed(right, "r_")
     cond = geom.overlapping(la, rb)
     if same:
         cond = cond & (F.col("l_idx") < F.col("r_idx"))
@@ -162,7 +162,13 @@ def overlap_pairs(left: DataFrame, right: DataFrame, same: bool = False, extra:
         cond = cond & extra
     first = ((F.col("cell_x") == spatial.cell(F.greatest(la[0], rb[0]), size))
              & (F.col("cell_y") == spatial.cell(F.greatest(la[1], rb[1]), size)))
-    return a.join(z, ["image_id", *spatial.CELL]).where(cond & first).drop(*spatial.CELL)
+
+    def by_cell(many, others):
+        return spatial.with_cells(many, *la, size).join(spatial.with_cells(others, *rb, size), ["image_id", *spatial.CELL]).where(cond & first).drop(*spatial.CELL)
+    if not (spatial.is_settled(left) and spatial.is_settled(right)):
+        return by_cell(a, z)
+    crowd = spatial.crowded(left, right)
+    return spatial.split(a, crowd, lambda few: few.join(z, "image_id").where(cond), lambda many: by_cell(many, z.join(crowd, "image_id", "left_semi")))
 
 
 def family_of(cls: Column, profile: str) -> Column:
@@ -177,7 +183,7 @@ def specificity(cls: Column) -> Column:
 
 def family_conflicts(comps: DataFrame, profile: str, limit: float = 0.35) -> DataFrame:
     """Ordered same-family overlaps with the box that loses."""
-    slim = comps.select("image_id", "idx", "cls", "x1", "y1", "x2", "y2")
+    slim = spatial.settled(comps.select("image_id", "idx", "cls", "x1", "y1", "x2", "y2"), comps)
     same = family_of(F.col("l_cls"), profile) == family_of(F.col("r_cls"), profile)
     pairs = overlap_pairs(slim, slim, same=True, extra=same)
     return pairs.where(geom.iou(geom.box("l_"), geom.box("r_")) > limit).select(
@@ -223,8 +229,8 @@ def fix_sources(comps: DataFrame) -> DataFrame:
 
 def outside(texts: DataFrame, comps: DataFrame, key: str = "text_ord") -> DataFrame:
     """Texts not covered by more than half by any of the given components."""
-    t = texts.select("image_id", F.col(key).alias("idx"), "x1", "y1", "x2", "y2")
-    c = comps.select("image_id", "idx", "x1", "y1", "x2", "y2")
+    t = spatial.settled(texts.select("image_id", F.col(key).alias("idx"), "x1", "y1", "x2", "y2"), texts)
+    c = spatial.settled(comps.select("image_id", "idx", "x1", "y1", "x2", "y2"), comps)
     lb, rb = geom.box("l_"), geom.box("r_")
     covered = overlap_pairs(t, c, extra=geom.overlap_area(lb, rb) > geom.area(lb) * 0.5)
     return texts.join(covered.select("image_id", F.col("l_idx").alias(key)).distinct(), ["image_id", key], "left_anti")
@@ -245,7 +251,7 @@ def match_boxes(pred: DataFrame, ref: DataFrame) -> DataFrame:
     """One-to-one match: predicted boxes in order each take the free reference box of highest IoU > 0.3."""
     cols = ["image_id", "idx", "x1", "y1", "x2", "y2"]
     value = geom.iou(geom.box("l_"), geom.box("r_"))
-    pairs = overlap_pairs(pred.select(*cols), ref.select(*cols)).withColumn("iou", value).where("iou > 0.3").select(
+    pairs = overlap_pairs(*[spatial.settled(df.select(*cols), df) for df in (pred, ref)]).withColumn("iou", value).where("iou > 0.3").select(
         "image_id", F.col("l_idx").alias("a"), (-F.col("r_idx") - 1).alias("b"),
         F.struct(F.col("l_idx").alias("p"), (-F.col("iou")).alias("s"), F.col("r_idx").alias("d")).alias("ord"))
     return graph.greedy_matching(pairs).select("image_id", F.col("a").alias("pred_idx"), (-F.col("b") - 1).alias("ref_idx"))

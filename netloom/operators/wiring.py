@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from netloom.functions import dims, geom
 from netloom.lineage import count_all, cut, cut_counting, drop_table
-from netloom.operators import graph, spatial, sweep
+from netloom.operators import graph, lists, spatial, sweep
 
 CELL_SIZE = 128
 WIDE_CELL = 256
@@ -73,7 +73,33 @@ def snap_axis(points: DataFrame, col: str, tol: Column) -> DataFrame:
 
 
 def snap(points: DataFrame, x: str, y: str, tol: Column) -> DataFrame:
-    return snap_axis(snap_axis(points, x, tol), y, tol)
+    points = spatial.counted(points, "points")
+    return spatial.split(points, spatial.crowded(points), lambda few: _by_list(few, x, y, [(_snapped, tol)], x, y),
+                         lambda many: snap_axis(snap_axis(many, x, tol), y, tol))
+
+
+def _snapped(x: Column, y: Column, tol: Column) -> tuple[Column, Column]:
+    return lists.snapped(x, tol), lists.snapped(y, tol)
+
+
+def _merged(round_metric: bool):
+    def step(x, y, tol):
+        to = lists.merged(x, y, tol, round_metric)
+        return to["x"], to["y"]
+    return step
+
+
+def _by_list(points: DataFrame, x: str, y: str, steps: list[tuple], to_x: str, to_y: str) -> DataFrame:
+    """Points with their place after `steps`, pairs of a function of the lists of x, y and a limit, and that limit (a column
+    of `points`, one value per picture). The points of a picture meet in one list."""
+    limits = [F.max(tol).alias(f"_{i}") for i, (_, tol) in enumerate(steps)]
+    found = lists.gathered(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), "_p", *limits).withColumns(
+        {f"_{c}": F.col(f"_p.{c}").cast("array<bigint>") for c in (x, y)})
+    for i, (step, _) in enumerate(steps):
+        found = found.withColumns(dict(zip((f"_{x}", f"_{y}"), step(F.col(f"_{x}"), F.col(f"_{y}"), F.col(f"_{i}")))))
+    rows = found.select("image_id", F.inline(F.arrays_zip("_p", F.col(f"_{x}").alias("_x"), F.col(f"_{y}").alias("_y"))))
+    rest = [c for c in points.columns if c not in ("image_id", to_x, to_y)]
+    return rows.select("image_id", *[F.col(f"_p.{c}") for c in rest], F.col("_x").alias(to_x), F.col("_y").alias(to_y))
 
 
 def merge_points(points: DataFrame, x: str, y: str, tol: Column, round_metric: bool = True) -> DataFrame:
@@ -82,6 +108,12 @@ def merge_points(points: DataFrame, x: str, y: str, tol: Column, round_metric: b
     Euclidean steps when `round_metric`, else the larger coordinate difference counts. Equal points
     weigh by their number.
     """
+    points = spatial.counted(points, "points")
+    return spatial.split(points, spatial.crowded(points), lambda few: _by_list(few, x, y, [(_merged(round_metric), tol)], "mx", "my"),
+                         lambda many: _merged_in_rounds(many, x, y, tol, round_metric))
+
+
+def _merged_in_rounds(points: DataFrame, x: str, y: str, tol: Column, round_metric: bool) -> DataFrame:
     spots = cut(points.groupBy("image_id", F.col(x).alias("x"), F.col(y).alias("y")).agg(
         count_all().alias("w"), F.max(tol).alias("tol")).withColumn("node", point_id(F.col("x"), F.col("y"))), "spots")
     a = spots.select("image_id", F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "tol")
@@ -102,12 +134,18 @@ def merge_points(points: DataFrame, x: str, y: str, tol: Column, round_metric: b
 
 def prepare_junctions(raw: DataFrame, limits: DataFrame) -> DataFrame:
     """Raw junction centres (image_id, jx, jy), repeats included, to the ordered junction list."""
-    # every snap reads its points several times, so they are written in between
-    pts = cut(raw.join(limits.select("image_id", "grid_snap", "uf_merge"), "image_id"), "raw")
-    snapped = cut(snap(pts, "jx", "jy", F.col("grid_snap")), "snapped")
-    merged = merge_points(snapped, "jx", "jy", F.col("uf_merge"))
-    once = cut(merged.select("image_id", F.col("mx").alias("jx"), F.col("my").alias("jy")).distinct(), "once")
-    return base_junctions(snap(once, "jx", "jy", F.lit(8)))
+    raw = spatial.counted(raw, "raw")
+    steps = [(_snapped, F.col("grid_snap")), (_merged(True), F.col("uf_merge")), (_snapped, F.lit(8))]
+
+    def many(points):
+        # every snap reads its points several times, so they are written in between
+        snapped = cut(snap(cut(points, "raw"), "jx", "jy", F.col("grid_snap")), "snapped")
+        merged = merge_points(snapped, "jx", "jy", F.col("uf_merge"))
+        once = cut(merged.select("image_id", F.col("mx").alias("jx"), F.col("my").alias("jy")).distinct(), "once")
+        return snap(once, "jx", "jy", F.lit(8)).select("image_id", "jx", "jy")
+    placed = raw.join(limits.select("image_id", "grid_snap", "uf_merge"), "image_id")
+    return base_junctions(spatial.split(placed, spatial.crowded(raw), lambda few: _by_list(few, "jx", "jy", steps, "jx", "jy").select(
+        "image_id", "jx", "jy"), many))
 
 
 def base_junctions(points: DataFrame) -> DataFrame:
@@ -116,9 +154,13 @@ def base_junctions(points: DataFrame) -> DataFrame:
 
 def prepare_ports(ports: DataFrame) -> DataFrame:
     """Ports on common grid lines, near ports merged to their mean."""
-    snapped = cut(snap(cut(ports, "placed"), "px", "py", F.lit(5)), "snapped")
-    merged = merge_points(snapped, "px", "py", F.lit(8), round_metric=False)
-    return merged.drop("px", "py").withColumnsRenamed({"mx": "px", "my": "py"})
+    ports = spatial.counted(ports, "placed")
+
+    def many(points):
+        snapped = cut(snap(cut(points, "placed"), "px", "py", F.lit(5)), "snapped")
+        return merge_points(snapped, "px", "py", F.lit(8), round_metric=False).drop("px", "py").withColumnsRenamed({"mx": "px", "my": "py"})
+    return spatial.split(ports, spatial.crowded(ports), lambda few: _by_list(
+        few, "px", "py", [(_snapped, F.lit(5)), (_merged(False), F.lit(8))], "px", "py"), many)
 
 
 # ---- crossings ------------------------------------------------------------------------------------
@@ -518,12 +560,33 @@ def _group_edges(links: DataFrame, jj: DataFrame, between_comps: bool) -> DataFr
     return star.select("image_id", F.col("lead").alias("a"), F.col("p").alias("b")).unionByName(ties.select("image_id", "a", "b"))
 
 
+def _listed(ports: DataFrame, links: DataFrame, jj: DataFrame, *more: str) -> DataFrame:
+    """(image_id, p, l, t): the ports, their links in order and the junction links of each picture as lists."""
+    p = lists.gathered(ports.select("image_id", port_id().alias("id"), "px", "py", *more), "p")
+    at = links.select("image_id", "ord", port_id().alias("id"), "jx", "jy", *[c for c in links.columns if c not in ("image_id", "ord", "jx", "jy")])
+    return (p.join(lists.gathered(at, "l", ordered=True), "image_id", "left")
+            .join(lists.gathered(jj.select("image_id", "ax", "ay", "bx", "by"), "t"), "image_id", "left"))
+
+
+def _grouped(found: DataFrame) -> DataFrame:
+    rows = found.select("image_id", F.inline(F.arrays_zip("p", "g")))
+    return rows.select("image_id", component_of(F.col("p.id")).alias("ci"), place_of(F.col("p.id")).alias("pi"), "g")
+
+
 def port_groups(ports: DataFrame, links: DataFrame, jj: DataFrame, final: bool = False) -> DataFrame:
     """(image_id, ci, pi, g): ports joined through junctions; g is the smallest port of the group.
 
     The final pass keeps the first port of a junction apart from ports of its own component and adds
-    no reverse pairs.
+    no reverse pairs. The rows of a small picture meet in one list.
     """
+    jj = spatial.counted(jj, "jj")
+    crowd = spatial.crowded(ports, links, jj)
+    return spatial.split(ports, crowd, lambda few: _grouped(_listed(few, links, jj).withColumn(
+        "g", lists.grouped(F.col("p"), F.col("l"), F.col("t"), final))), lambda many: _groups_by_edges(
+        many, links.join(crowd, "image_id", "left_semi"), jj.join(crowd, "image_id", "left_semi"), final))
+
+
+def _groups_by_edges(ports: DataFrame, links: DataFrame, jj: DataFrame, final: bool) -> DataFrame:
     edges = _group_edges(links, jj, between_comps=final)
     if not final:
         edges = edges.unionByName(reverse_pairs(links, ports))
@@ -549,6 +612,26 @@ def eligible(groups: DataFrame) -> DataFrame:
     return groups.join(big, ["image_id", "g"])
 
 
+def settled_groups(ports: DataFrame, links: DataFrame, jj: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups that join two components or more, and the links left: `port_groups`, `unshort`, and the final pass.
+
+    In small pictures all three go by the lists of a picture, which are made once.
+    """
+    jj = spatial.counted(jj, "jj")
+    crowd = spatial.crowded(ports, links, jj)
+    few = ports if crowd is None else ports.join(crowd, "image_id", "left_anti")
+    p, l, t = (F.col(c) for c in "plt")
+    found = _listed(few, links, jj, "n_ports").withColumn("g", lists.grouped(p, l, t)).withColumn("kept", lists.unshorted(p, F.col("g"), l))
+    found = found.withColumn("l", F.transform(F.filter(F.arrays_zip("l", "kept"), lambda e: e["kept"]), lambda e: e["l"]))
+    found = cut(found.select("image_id", "p", "l", lists.grouped(p, l, t, final=True, several=True).alias("g")), "groups")
+    groups, kept = _grouped(found).where("g is not null"), found.select("image_id", F.inline("l")).select(*links.columns)
+    if crowd is not None:
+        ports, links, jj = (df.join(crowd, "image_id", "left_semi") for df in (ports, links, jj))
+        held = cut(unshort(ports, links, _groups_by_edges(ports, links, jj, False)), "links")
+        groups, kept = groups.unionByName(eligible(_groups_by_edges(ports, held, jj, True))), kept.unionByName(held)
+    return groups, kept
+
+
 # ---- routes ---------------------------------------------------------------------------------------------------
 def bends(margin: int = 20) -> Column:
     """Ordered bend points of a link (px, py) -> (qx, qy). Their order is fixed: the first clear one is taken."""
@@ -662,6 +745,5 @@ def wire(prepared: dict[str, DataFrame], switches: dict | None = None) -> dict[s
     if on["use_close_port"]:
         more = cut(close_ports(ports, links), "more")
         links, junctions = cut(links.unionByName(more), "links"), cut(add_junctions(junctions, more), "junctions")
-    kept = cut(unshort(ports, links, port_groups(ports, links, jj)), "links")
-    groups = eligible(port_groups(ports, kept, jj, final=True))
+    groups, kept = settled_groups(ports, links, jj)
     return {"groups": groups, "links": kept, "all_links": links, "jj": jj, "junctions": junctions, "ports": ports}

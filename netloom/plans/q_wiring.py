@@ -356,7 +356,8 @@ def prepared(t):
     """Components and what the wiring run needs of them, worked out once per folder and session."""
     key = (t.spark.sparkContext.applicationId, t.folder, t.version)
     if key not in _prepared:
-        comps = t.comps("wiring")
+        comps = cut(t.comps("wiring"), "comps")
+        session.by_image(t.spark, spatial.crowded(comps) is None)
         comps = detect.reindex(detect.suppress(comps, detect.family_conflicts(comps, "wiring")), t.image_guard)
         comps = cut(detect.fix_sources(comps.drop("idx").withColumnRenamed("new_idx", "idx")), "comps")
         ports = detect.place_ports(comps, "wiring").withColumnRenamed("idx", "ci").select("image_id", "ci", "pi", "px", "py", "n_ports", "name")
