@@ -524,7 +524,7 @@ def in_list_order(jj: DataFrame, junctions: DataFrame, links: DataFrame, comps:
 
 def degree_cap(jj: DataFrame, limit: int = CAP) -> DataFrame:
     """Links kept while both junctions have fewer than `limit` (eight branches assumed, plus two)."""
-    p = jj.withColumn("a", point_id(F.col("ax"), F.col("ay"))).withColumn("b", point_id(F.col("bx"), F.col("by")))
+    p = spatial.settled(jj.withColumn("a", point_id(F.col("ax"), F.col("ay"))).withColumn("b", point_id(F.col("bx"), F.col("by"))), jj)
     return graph.capped_pairs(p, limit).drop("a", "b")
 
 
@@ -736,6 +736,7 @@ def wire(prepared: dict[str, DataFrame], switches: dict | None = None) -> dict[s
     on = {**dims.DEFAULT_SWITCHES, **own}
     comps, limits, ports, junctions, links = (prepared[k] for k in ("comps", "limits", "ports", "junctions", "links"))
     jj = _junction_links(prepared, on["use_nn_filter"])
+    spatial.crowded(jj)
     if on["use_degree_constraint"]:
         jj = degree_cap(jj)
     if on["use_los"]:

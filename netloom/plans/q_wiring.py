@@ -214,10 +214,14 @@ def _(t):
  kept AS (SELECT image_id, unnest(arg_max(kept, n)) AS n FROM walk GROUP BY image_id)
  SELECT image_id, a, b FROM steps JOIN kept USING (image_id, n)""", recursive=True)
 def _(t):
-    c = detect.with_centre(t.boxes)
-    a = c.select("image_id", F.col("idx").alias("ia"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.explode(F.array(*[F.col("idx") + k for k in (1, 2, 3)])).alias("ib"))
-    b = c.select("image_id", F.col("idx").alias("ib"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    jj = a.join(b, ["image_id", "ib"]).withColumn("ord", F.struct("ia", "ib"))
+    c = cut(detect.with_centre(t.boxes).select("image_id", "idx", "cx", "cy"), "centres")
+    crowd = spatial.crowded(c)
+    session.by_image(t.spark, crowd is None)
+    at = spatial.laid(c, crowd)
+    a = at.select("image_id", F.col("idx").alias("ia"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.explode(F.array(*[F.col("idx") + k for k in (1, 2, 3)])).alias("ib"))
+    b = at.select("image_id", F.col("idx").alias("ib"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+    # three pairs a box at most, so that pictures of few boxes have few pairs
+    jj = spatial.settled(a.join(b, ["image_id", "ib"]).withColumn("ord", F.struct("ia", "ib")), c)
     return wiring.degree_cap(jj, 2).select("image_id", F.col("ia").alias("a"), F.col("ib").alias("b"))
 
 

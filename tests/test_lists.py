@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from netloom.lineage import cut
-from netloom.operators import spatial, wiring
+from netloom.operators import graph, spatial, wiring
 
 
 def told(df):
@@ -60,3 +60,15 @@ def test_small_pictures_are_placed_and_grouped_without_joins_of_points(spark):
     assert "Join" not in plan(wiring.prepare_ports(ports)) and "Window" not in plan(wiring.snap(ports, "px", "py", F.lit(5)))
     assert plan(wiring.port_groups(ports, links, jj)).count("Join ") == 2  # links and junction links come to the ports of a picture
     assert plan(wiring.prepare_junctions(links.select("image_id", "jx", "jy"), limits)).count("Join ") == 1
+
+
+def test_capped_pairs_of_small_pictures_are_shuffled_once(spark, monkeypatch):
+    """Lists and walks accept the same pairs; written and counted tables were joined to their busy ends twice."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(6), rng.randrange(6), k, k % 5) for i in (1, 2) for k in range(40)]
+    pairs = spark.createDataFrame(rows, "image_id bigint, a bigint, b bigint, k int, way int").withColumn("ord", F.struct("k")).drop("k")
+    few = graph.capped_pairs(cut(pairs), 4)
+    assert "Join" not in plan(few)
+    few = told(few)
+    monkeypatch.setattr(spatial, "FEW", 0)
+    assert few == told(graph.capped_pairs(cut(pairs), 4)) and 0 < len(few) < 80
