@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from netloom.lineage import cut
-from netloom.operators import graph, spatial, wiring
+from netloom.operators import graph, spatial, values, wiring
 
 
 def told(df):
@@ -72,3 +72,24 @@ def test_capped_pairs_of_small_pictures_are_shuffled_once(spark, monkeypatch):
     few = told(few)
     monkeypatch.setattr(spatial, "FEW", 0)
     assert few == told(graph.capped_pairs(cut(pairs), 4)) and 0 < len(few) < 80
+
+
+def test_texts_of_small_pictures_meet_their_components_by_picture(spark, monkeypatch):
+    rng = random.Random(5)
+    comps = cut(spark.createDataFrame([(i, k, rng.choice(["Resistor", "Capacitor", "GND"]), 0.9, rng.randrange(600), rng.randrange(600)) for i in (1, 2) for k in range(9)],
+                                      "image_id bigint, idx bigint, name string, conf double, cx bigint, cy bigint"))
+    texts = cut(spark.createDataFrame([(i, k, rng.choice(["10k", "5uF", "7", "22Ω"]), rng.randrange(600), rng.randrange(600)) for i in (1, 2, 3) for k in range(9)],
+                                      "image_id bigint, text_ord bigint, text string, cx bigint, cy bigint"))
+    both = lambda: (told(values.match_by_proximity(comps, texts)), told(values.nearest_texts(comps, texts)))
+    by_cell = both()  # not counted
+    spatial.crowded(comps, texts)
+    assert "cell_x" not in plan(values._in_reach(comps, texts)) and both() == by_cell and all(by_cell)
+    monkeypatch.setattr(spatial, "FEW", 5)
+    spatial.crowded(comps, texts)
+    assert both() == by_cell
+
+
+def test_wired_results_are_kept_with_what_was_prepared(spark):
+    made = {"groups": None}
+    ready = {wiring.in_effect({"skip_llm": True}): made}
+    assert wiring.wire(ready, {"skip_llm": True}) is made and wiring.wire(ready, {"use_sobel": False}) is made
